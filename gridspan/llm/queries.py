@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, token_count, topk, url_filter
+from . import bpe, decontaminate, language, quality, token_count, topk, url_filter, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_quality": quality.op3_quality,
     "op4_url_filters": url_filter.op4_url_filters,
     "op5_token_counts": token_count.op5_token_counts,
+    "op6_warc": warc.op6_warc,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op9_exact_top_k": topk.op9_exact_top_k,
+    "op10_language_id": language.op10_language_id,
 }
-ORACLES: dict[str, str] = {**url_filter.SQL, **topk.SQL}
+ORACLES: dict[str, str] = {**url_filter.SQL, **topk.SQL, **warc.SQL}

@@ -202,3 +202,8 @@ class Remembered(dict):
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, other bytes as they are."""
+    return _LOWER[data]
