@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, quality, token_count, topk, url_filter, warc
+from . import bpe, decontaminate, language, quality, substring, token_count, topk, url_filter, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_quality": quality.op3_quality,
     "op4_url_filters": url_filter.op4_url_filters,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_language_id": language.op10_language_id,
 }
-ORACLES: dict[str, str] = {**url_filter.SQL, **topk.SQL, **warc.SQL}
+ORACLES: dict[str, str] = {**substring.SQL, **url_filter.SQL, **topk.SQL, **warc.SQL}
