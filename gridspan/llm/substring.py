@@ -8,7 +8,7 @@ Neighbouring suffixes that share their least trigram hash (a window's least
 trigram depends on its words alone) travel together as one run of words, so a
 suffix costs a few bytes instead of ``SPAN`` words, and equal windows meet in
 the same bucket. A task packs its runs into one payload for each bucket: the
-distinct words' 64-bit hashes once, then small codes. Suffixes that already
+distinct words' hashes once, then small codes. Suffixes that already
 repeat a smaller document of the same pack are settled there and only the
 smallest document's are sent, so a passage that stands in a third of all
 documents arrives once from each pack.
@@ -28,7 +28,8 @@ text, so a bucket's memory does not.
 Defined results: null texts have no words. Null ids neither lose words nor make
 others lose them. Rows that repeat an id do not affect each other, whatever
 their texts, as no id is smaller than itself. Documents of fewer than ``SPAN``
-words are kept whole. Words are compared by 64-bit hashes, place by place.
+words are kept whole. Words are compared by 40-bit hashes, place by place, so
+windows that differ in one word are confused once in 2**40 such pairs.
 Other columns are not read.
 """
 
@@ -47,22 +48,21 @@ from .common import table, text_bytes
 SPAN = 13
 GRAM = 3
 GROUP = 1_000_000
-PACK_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+PACK_BYTES = 12 << 20
+BUCKET_BYTES = 28 << 20
+#: Bits of a word's hash that travel. Two windows that differ are taken for equal only if every pair of differing words at one place collides.
+WORD_BITS = 40
 _RUNS = 1  # kind of a row: suffix runs, or marks that a pack has settled
 _MARKS = 0
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays as one compressed buffer, each as narrow as its values allow."""
+    """Whole numbers of at least 0 as one compressed buffer, each array with as few bytes as its largest needs, byte by byte."""
     out = []
     for a in arrays:
-        if a.dtype == np.uint64:
-            kind = np.dtype(np.uint64)
-        else:
-            top = int(a.max(initial=0))
-            kind = np.dtype(np.int64) if a.size and a.min() < 0 else np.dtype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
-        out.append(np.array([len(a), ord(kind.char)], dtype=np.int64).tobytes() + a.astype(kind).tobytes())
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        out.append(np.array([len(a), width], dtype="<i8").tobytes() + planes.tobytes())
     raw = b"".join(out)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -71,23 +71,25 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     out, at = [], 0
     while at < len(raw):
-        n, char = np.frombuffer(raw, dtype=np.int64, count=2, offset=at).tolist()
-        kind = np.dtype(chr(char))
-        a = np.frombuffer(raw, dtype=kind, count=n, offset=at + 16)
-        out.append(a if kind == np.uint64 else a.astype(np.int64))
-        at += 16 + n * kind.itemsize
+        n, width = np.frombuffer(raw, dtype="<i8", count=2, offset=at).tolist()
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at + 16).reshape(width, n)
+        a = planes[0].astype(np.int32 if width < 4 else np.int64)
+        for k in range(1, width):
+            a |= planes[k].astype(a.dtype) << (8 * k)
+        out.append(a)
+        at += 16 + n * width
     return out
 
 
 def _delta(a: np.ndarray) -> np.ndarray:
     """Differences with the sign in the lowest bit, which are small for ids in order."""
-    d = np.diff(a, prepend=0)
-    return (d << 1) ^ (d >> 63)
+    d = np.diff(a.astype(np.int64), prepend=0)
+    return ((d << 1) ^ (d >> 63)).view(np.uint64)
 
 
 def _undelta(a: np.ndarray) -> np.ndarray:
     a = a.astype(np.int64)
-    return np.cumsum((a >> 1) ^ -(a & 1))
+    return np.cumsum((a.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(a & 1))
 
 
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -113,12 +115,13 @@ def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.nda
     starts = T.window_starts(first, SPAN)
     if not len(starts):
         return
-    doc = np.repeat(np.arange(len(n_words)), np.maximum(n_words - SPAN + 1, 0))
+    doc = np.repeat(np.arange(len(n_words), dtype=np.int32), np.maximum(n_words - SPAN + 1, 0))
     # windows of the pack that a smaller document has too
     code, place = T.distinct(T.shingles(h, SPAN)[starts])
     least = ids[doc[place]]
     np.minimum.at(least, code, ids[doc])
     local = ids[doc] > least[code]
+    del code, place, least
     at = np.flatnonzero(local)
     begin, n = _runs_of(starts[at], doc[at])
     if len(begin):
@@ -132,19 +135,21 @@ def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.nda
     gram = np.minimum(gram[:-extra], gram[extra:])
     at = np.flatnonzero(~local)
     least_gram = gram[starts[at]]
+    del gram, local
     begin, n = _runs_of(starts[at], doc[at], least_gram)
     bucket = (T.mix(least_gram[begin]) % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, begin, n = bucket[order], at[begin[order]], n[order]
+    del at, least_gram, order
     word_code, word_place = T.distinct(h)
-    hashes = h[word_place]
+    word_code, hashes = word_code.astype(np.int32), h[word_place] >> np.uint64(64 - WORD_BITS)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
         s, c = starts[begin[lo:hi]], n[lo:hi]
         words = word_code[_expand(s, c + (SPAN - 1))]
-        used = np.zeros(len(hashes), dtype=bool)
-        used[words] = True
-        vocabulary = np.flatnonzero(used)
+        count = np.bincount(words, minlength=len(hashes))
+        vocabulary = np.flatnonzero(count)
+        vocabulary = vocabulary[np.argsort(-count[vocabulary], kind="stable")]  # frequent words get small codes
         number = np.zeros(len(hashes), dtype=np.int64)
         number[vocabulary] = np.arange(len(vocabulary))
         d = doc[begin[lo:hi]]
@@ -185,7 +190,7 @@ def subtree(codes: np.ndarray, starts: np.ndarray, depth: int, bits: int) -> tup
         step = max(1, min(SPAN - depth, (63 - node_bits) // bits))
         key = node
         for k in range(step):
-            key = key << bits | codes[starts[at] + depth + k]
+            key = key << bits | codes[starts[at] + (depth + k)]
         depth += step
         order = np.argsort(key)
         key = key[order]
@@ -216,6 +221,7 @@ def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     parts = [_unpack(p) for p in payloads]
     _, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+    code = code.astype(np.int32)
     codes = np.concatenate([code[a + p[1]] for a, p in zip(shift, parts)])
     count = np.concatenate([p[2] for p in parts])
     docs = np.cumsum([0, *(len(p[5]) for p in parts)])
