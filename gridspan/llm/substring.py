@@ -9,9 +9,9 @@ trigram depends on its words alone) travel together as one run of words, so a
 suffix costs a few bytes instead of ``SPAN`` words, and equal windows meet in
 the same bucket. A task packs its runs into one payload for each bucket: the
 distinct words' hashes once, then small codes. Suffixes that already
-repeat a smaller document of the same pack are settled there and only the
-smallest document's are sent, so a passage that stands in a third of all
-documents arrives once from each pack.
+repeat a smaller document of the same few megabytes are settled there and only
+the smallest document's are sent, so a passage that stands in a third of all
+documents arrives once from each such chunk.
 
 *Subtrees.* In a bucket, variable-length prefixes split the suffixes into
 groups of at most ``GROUP`` (a prefix with more is extended by a word, again
@@ -48,7 +48,7 @@ from .common import table, text_bytes
 SPAN = 13
 GRAM = 3
 GROUP = 1_000_000
-PACK_BYTES = 12 << 20
+PACK_BYTES = 16 << 20
 BUCKET_BYTES = 28 << 20
 #: Bits of a word's hash that travel. Two windows that differ are taken for equal only if every pair of differing words at one place collides.
 WORD_BITS = 40
@@ -109,19 +109,23 @@ def _runs_of(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin, np.diff(begin, append=len(at))
 
 
-def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, payload) rows of a pack of documents; ``marks`` tells rows of one id apart."""
+def settled(h: np.ndarray, first: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each window of a few documents also starts in one of them with a smaller id."""
+    starts = T.window_starts(first, SPAN)
+    doc = np.repeat(ids, np.maximum(np.diff(first) - SPAN + 1, 0))
+    code, place = T.distinct(T.shingles(h, SPAN)[starts])
+    least = doc[place]
+    np.minimum.at(least, code, doc)
+    return doc > least[code]
+
+
+def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, local: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, payload) rows of a pack of documents; ``marks`` tells rows of one id apart, ``local`` marks settled windows."""
     first = np.concatenate([[0], np.cumsum(n_words)])
     starts = T.window_starts(first, SPAN)
     if not len(starts):
         return
     doc = np.repeat(np.arange(len(n_words), dtype=np.int32), np.maximum(n_words - SPAN + 1, 0))
-    # windows of the pack that a smaller document has too
-    code, place = T.distinct(T.shingles(h, SPAN)[starts])
-    least = ids[doc[place]]
-    np.minimum.at(least, code, ids[doc])
-    local = ids[doc] > least[code]
-    del code, place, least
     at = np.flatnonzero(local)
     begin, n = _runs_of(starts[at], doc[at])
     if len(begin):
@@ -245,8 +249,9 @@ def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list) -> pa.RecordBatch:
-            h, n, ids, marks = (np.concatenate(x) for x in zip(*held))
-            got = list(pack_runs(h, n, ids, marks, n_buckets))
+            h, n, ids, marks, local = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            got = list(pack_runs(h, n, ids, marks, local, n_buckets))
             return pa.record_batch([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "kind", "payload"])
 
         held, size = [], 0
@@ -254,11 +259,12 @@ def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, hi, data, offsets in T.chunks(b):
                 w = T.words_of(data, offsets)
-                held.append((w.hashes(), w.n_words, ids[lo:hi], marks[lo:hi]))
+                h = w.hashes()
+                held.append((h, w.n_words, ids[lo:hi], marks[lo:hi], settled(h, w.first, ids[lo:hi])))
                 size += len(data)
                 if size >= PACK_BYTES:
                     yield rows(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield rows(held)
 

@@ -17,6 +17,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+# freed Arrow buffers go back to the system, as a worker shares its executor's memory
+pa.set_memory_pool(pa.system_memory_pool())
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
