@@ -48,6 +48,8 @@ from .common import table, text_bytes
 SPAN = 13
 GRAM = 3
 GROUP = 1_000_000
+#: A bucket's runs are ordered by so many sub-buckets, whose trees are grown one after the other.
+SUBS = 8
 PACK_BYTES = 16 << 20
 BUCKET_BYTES = 28 << 20
 #: Bits of a word's hash that travel. Two windows that differ are taken for equal only if every pair of differing words at one place collides.
@@ -141,9 +143,9 @@ def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.nda
     least_gram = gram[starts[at]]
     del gram, local
     begin, n = _runs_of(starts[at], doc[at], least_gram)
-    bucket = (T.mix(least_gram[begin]) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = (T.mix(least_gram[begin]) % np.uint64(n_buckets * SUBS)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, begin, n = bucket[order], at[begin[order]], n[order]
+    sub, bucket, begin, n = bucket[order] % SUBS, bucket[order] // SUBS, at[begin[order]], n[order]
     del at, least_gram, order
     word_code, word_place = T.distinct(h)
     word_code, hashes = word_code.astype(np.int32), h[word_place] >> np.uint64(64 - WORD_BITS)
@@ -158,7 +160,7 @@ def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.nda
         number[vocabulary] = np.arange(len(vocabulary))
         d = doc[begin[lo:hi]]
         some, which = np.unique(d, return_inverse=True)
-        yield int(bucket[lo]), _RUNS, _pack([hashes[vocabulary], number[words], c, _delta(which), s - first[d], _delta(ids[some]), marks[some]])
+        yield int(bucket[lo]), _RUNS, _pack([hashes[vocabulary], number[words], c, _delta(which), s - first[d], _delta(ids[some]), marks[some], sub[lo:hi]])
 
 
 def prefix_groups(codes: np.ndarray, starts: np.ndarray, depth: int = 0, limit: int = GROUP) -> Iterator[tuple[np.ndarray, int]]:
@@ -224,24 +226,30 @@ def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Marks (id, row mark, first window, windows) from a bucket's suffix runs."""
     parts = [_unpack(p) for p in payloads]
     _, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    shift = np.cumsum([0, *(len(p[0]) for p in parts)])
     code = code.astype(np.int32)
-    codes = np.concatenate([code[a + p[1]] for a, p in zip(shift, parts)])
-    count = np.concatenate([p[2] for p in parts])
-    docs = np.cumsum([0, *(len(p[5]) for p in parts)])
-    run_doc = np.concatenate([a + _undelta(p[3]) for a, p in zip(docs, parts)])
-    run_at = np.concatenate([p[4] for p in parts])
-    ids, marks = np.concatenate([_undelta(p[5]) for p in parts]), np.concatenate([p[6] for p in parts])
-    del parts
-    length = count + (SPAN - 1)
-    starts = _expand(np.cumsum(length) - length, count)
-    doc = np.repeat(run_doc, count)
-    hit = np.flatnonzero(repeated(codes, starts, ids[doc]))
-    at, doc = _expand(run_at, count)[hit], doc[hit]
-    order = np.lexsort((at, doc))
-    at, doc = at[order], doc[order]
-    begin, n = _runs_of(at, doc)
-    return ids[doc[begin]], marks[doc[begin]], at[begin], n
+    vocabularies = np.split(code, np.cumsum([len(p[0]) for p in parts])[:-1])
+    ids, marks = [_undelta(p[5]) for p in parts], [p[6] for p in parts]
+    docs = [_undelta(p[3]).astype(np.int32) for p in parts]
+    ends = [np.concatenate([[0], np.cumsum(p[2] + (SPAN - 1))]) for p in parts]
+    shift = np.cumsum([0, *map(len, ids)])
+    all_ids, all_marks = np.concatenate(ids), np.concatenate(marks)
+    out = []
+    for sub in range(SUBS):
+        cut = [(int(np.searchsorted(p[7], sub)), int(np.searchsorted(p[7], sub, side="right"))) for p in parts]
+        codes = np.concatenate([v[p[1][e[lo] : e[hi]]] for p, v, e, (lo, hi) in zip(parts, vocabularies, ends, cut)])
+        count = np.concatenate([p[2][lo:hi] for p, (lo, hi) in zip(parts, cut)]).astype(np.int64)
+        run_doc = np.concatenate([s + d[lo:hi] for s, d, (lo, hi) in zip(shift, docs, cut)])
+        run_at = np.concatenate([p[4][lo:hi] for p, (lo, hi) in zip(parts, cut)])
+        length = count + (SPAN - 1)
+        starts = _expand(np.cumsum(length) - length, count)
+        doc = np.repeat(run_doc, count)
+        hit = np.flatnonzero(repeated(codes, starts, all_ids[doc]))
+        at, doc = _expand(run_at, count)[hit], doc[hit]
+        order = np.lexsort((at, doc))
+        at, doc = at[order], doc[order]
+        begin, n = _runs_of(at, doc)
+        out.append((all_ids[doc[begin]], all_marks[doc[begin]], at[begin], n))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
