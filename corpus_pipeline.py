@@ -1,5 +1,63 @@
-"""Placeholder until its stages exist."""
-STAGES = []
+"""The corpus pipeline: from raw documents to token ids.
+
+``STAGES`` lists (name, function); every function takes (spark, docs, sf_dir)
+and gets what the one before kept. ``run`` applies them to ``documents``, each
+stage's result written to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspan.llm import bpe, decontaminate, jaccard, quality, substring
+from gridspan.llm.common import table, without, written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as good; it learns from the labels outside its held-out fold."""
+    return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each class of near duplicates; documents without links and rows without an id stay."""
+    labels, _ = jaccard.similar(docs)
+    return without(docs, labels.filter("id <> component").select(F.col("id").alias("doc_id")))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that start in a smaller id; texts that lose nothing keep their white space."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "n_chars"))
+    cut = substring.dedup_substrings(docs, carry=others)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
+    out = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*(F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an overlap with a benchmark item."""
+    return without(docs, decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document: (doc_id, n_tokens, ids)."""
+    return bpe.encode(docs, bpe.default_vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+
+#: SQL cannot express the classifier; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs

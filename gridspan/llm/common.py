@@ -46,3 +46,13 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of text in all rows, by one aggregate over one column."""
     got = df.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()
     return int(got["n"] or 0)
+
+
+#: Ids that are broadcast at most (16 bytes each in a hash table's terms: some tens of MB); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (a column of the same name). Rows with a null id stay."""
+    gone = written(ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(docs.columns)

@@ -177,6 +177,21 @@ def score(docs: DataFrame, model: Neighbours | None, threshold: float = 0.3, id_
     return out.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def keep_good(docs: DataFrame, model: Neighbours | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents that are predicted 1, all columns as they are; without a model, all documents."""
+    if model is None:
+        return docs
+    data = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, raw, offsets in T.chunks(b, text_col):
+                part = b.slice(lo, hi - lo)
+                yield part.filter(pa.array(data.value.score(features(raw, offsets)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, learn(docs, table(spark, sf_dir, "labels")))

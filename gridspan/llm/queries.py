@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, quality, substring, token_count, topk, url_filter, warc
+from . import bpe, decontaminate, jaccard, language, quality, substring, token_count, topk, url_filter, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_token_counts": token_count.op5_token_counts,
     "op6_warc": warc.op6_warc,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_language_id": language.op10_language_id,
 }
-ORACLES: dict[str, str] = {**substring.SQL, **url_filter.SQL, **topk.SQL, **warc.SQL}
+ORACLES: dict[str, str] = {**substring.SQL, **url_filter.SQL, **jaccard.SQL, **topk.SQL, **warc.SQL}

@@ -294,8 +294,9 @@ def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, at list, n list) to (id, n_words, n_removed, kept)."""
+    """(id, text, at list, n list, others) to (id, n_words, n_removed, kept, others)."""
     for b in batches:
+        carried = b.schema.names[4:]
         lists = [c.fill_null([]) if c.null_count else c for c in (b.column(2), b.column(3))]
         ends = lists[0].offsets.to_numpy()
         at, n = (c.flatten().to_numpy() for c in lists)
@@ -331,20 +332,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64).tobytes()), raw).cast(pa.string())
             total = w.n_words
             left = T.sums(keep.astype(np.int64), w.first)
-            yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(total), pa.array(total - left), kept], names=["id", "n_words", "n_removed", "kept"])
+            cols = [b.column(0).slice(lo, hi - lo), pa.array(total), pa.array(total - left), kept, *(b.column(c).slice(lo, hi - lo) for c in carried)]
+            yield pa.record_batch(cols, names=["id", "n_words", "n_removed", "kept", *carried])
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept): the text of each document without repeated passages, words joined by one space.
 
-    The id must be a whole number.
+    The columns in ``carry`` follow. The id must be a whole number.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("mark"), F.col(text_col).alias("text"))
+    others = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("mark"), F.col(text_col).alias("text"), *others)
     n_buckets = max(8, -(-text_bytes(df, text_col) // BUCKET_BYTES))
-    marks = find_repeats(docs, n_buckets).groupBy("id", "mark").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    both = docs.join(marks, ["id", "mark"], "left").select("id", "text", "at", "n")
-    out = both.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("id", id_col)
+    marks = find_repeats(docs.select("id", "mark", "text"), n_buckets).groupBy("id", "mark").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    both = docs.join(marks, ["id", "mark"], "left").select("id", "text", "at", "n", *(f"c{k}" for k in range(len(carry))))
+    more = "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = both.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string" + more)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
