@@ -20,8 +20,9 @@ levels, by hash first, so that no task gets a large group), pairs are cut by
 size and by the number of tokens that both prefixes share, and the rest is
 verified on the full sets of the whole texts. Components of the links are
 formed. Where a key still has members of several components, its members are
-compared by the same counts, block against block inside tasks, and only pairs
-of different components that pass are verified. So no pair of similar texts
+compared by bounds on those counts (from 256-bit parity sketches of the
+prefixes), block against block inside tasks, and only pairs of different
+components that pass are counted and verified. So no pair of similar texts
 stays in different components, though pairs within one are never listed.
 
 Defined results: a text of fewer than ``WORDS`` words is one shingle, its whole
@@ -48,7 +49,7 @@ from .substring import _delta, _pack, _undelta, _unpack
 WORDS = 5
 NUM, DEN = 3, 4
 EXTRA = 1  # tokens by which prefixes are extended: combinations of two
-FREQUENT = 64
+FREQUENT = 1024
 PACK_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
 SALTS = 16
@@ -252,43 +253,48 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(rows.groupBy("a", "part").applyInArrow(check, "a long, b long"), "links")
 
 
+SKETCH = 4  # longs of a prefix's parity sketch
+
+
+def _sketch(tokens: str) -> list[Column]:
+    """Parities of the tokens that fall on each of 64 * SKETCH bits: differing bits bound the tokens not shared from below."""
+    word = "aggregate(filter({0}, x -> (shiftrightunsigned(x, 7) & {1}) = {2}), 0L, (s, x) -> s ^ shiftleft(1L, cast(shiftrightunsigned(x, 1) & 63 as int)))"
+    return [F.expr(word.format(tokens, SKETCH - 1, k)).alias(f"s{k}") for k in range(SKETCH)]
+
+
 def _across(keys: DataFrame, labels: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a key and enough prefix tokens."""
+    """Pairs of different components that share a key and may share enough prefix tokens."""
     k = keys.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     k = written(k, "labelled")
     mixed = k.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi and rows > 2")
-    k = k.join(mixed.select("key", "rows"), "key").join(prefixes.select("id", "tokens", F.col("size").alias("p")), "id")
+    about = prefixes.select("id", F.col("size").alias("p"), F.size("tokens").alias("t"), *_sketch("tokens"))
+    k = k.join(mixed.select("key", "rows"), "key").join(about, "id")
     blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
     k = k.withColumn("i", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     k = k.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    k = k.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "n", "component", "p", "tokens")
+    k = k.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "n", "component", "p", "t", *(f"s{w}" for w in range(SKETCH)))
 
     def run(group: pa.Table) -> pa.Table:
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        block, ids, n, comp, p = (group.column(c).to_numpy() for c in ("i", "id", "n", "component", "p"))
-        tokens = group.column("tokens").combine_chunks()
-        size = np.diff(tokens.offsets.to_numpy())
-        code, place = T.distinct(tokens.flatten().to_numpy())
-        member = np.zeros((len(ids), len(place)), dtype=np.float32)
-        common = np.bincount(code, minlength=len(place)) > 1
-        row = np.repeat(np.arange(len(ids)), size)
-        member[row, code] = 1
-        member = member[:, common]
+        block, ids, n, comp, p, t = (group.column(c).to_numpy() for c in ("i", "id", "n", "component", "p", "t"))
+        words = np.stack([group.column(f"s{w}").to_numpy() for w in range(SKETCH)], axis=1)
+        sign = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        a_out, b_out = [], []
+        found = [np.zeros((0, 2), np.int64)]
         for lo in range(0, len(left), 256):
             a = left[lo : lo + 256]
-            shared = member[a] @ member[right].T
-            need = least_common(n[a][:, None], n[right][None, :])
-            need = np.minimum(p[a][:, None] - n[a][:, None] + need, p[right][None, :] - n[right][None, :] + need)
-            ok = (shared >= need) & (comp[a][:, None] != comp[right][None, :]) & (np.minimum(n[a][:, None], n[right][None, :]) * DEN >= NUM * np.maximum(n[a][:, None], n[right][None, :]))
+            differ = (64 * SKETCH - sign[a] @ sign[right].T) / 2
+            shared = (t[a][:, None] + t[right][None, :] - differ) / 2  # at most
+            u, v = n[a][:, None], n[right][None, :]
+            need = least_common(u, v)
+            need = np.minimum(p[a][:, None] - u + need, p[right][None, :] - v + need)
+            ok = (shared >= need) & (comp[a][:, None] != comp[right][None, :]) & (np.minimum(u, v) * DEN >= NUM * np.maximum(u, v))
             u, v = np.nonzero(ok)
-            a_out.append(np.minimum(ids[a[u]], ids[right[v]]))
-            b_out.append(np.maximum(ids[a[u]], ids[right[v]]))
-        pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], axis=1), axis=0) if a_out else np.zeros((0, 2), np.int64)
+            found.append(np.sort(np.stack([ids[a[u]], ids[right[v]]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return k.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+    return k.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -308,7 +314,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     prefixes = written(prefixes.select("id", F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"), size.alias("size")), "prefixes")
     links = _verified(_counted(_star(keys), prefixes), docs).unionByName(copies)
     labels = components(links)
-    more = _verified(_across(keys, labels, prefixes), docs)
+    sizes = lambda x: whole.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    across = written(_across(keys, labels, prefixes), "across")
+    more = _verified(_counted(across.join(sizes("a"), "a").join(sizes("b"), "b"), prefixes), docs)
     if more.head(1):
         links = links.unionByName(more)
         labels = components(links)
