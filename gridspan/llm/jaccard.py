@@ -53,7 +53,7 @@ FREQUENT = 1024
 PACK_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
 SALTS = 16
-BLOCK = 2000
+BLOCK = 1000
 PER_CENTRE = 256
 #: Rows of a pair list that are broadcast at most; a longer list is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -262,9 +262,13 @@ def _sketch(tokens: str) -> list[Column]:
     return [F.expr(word.format(tokens, SKETCH - 1, k)).alias(f"s{k}") for k in range(SKETCH)]
 
 
-def _across(keys: DataFrame, labels: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a key and may share enough prefix tokens."""
-    k = keys.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _across(tokens: DataFrame, labels: DataFrame, prefixes: DataFrame, n_buckets: int) -> DataFrame:
+    """Pairs of different components that share a prefix token and may share enough of them.
+
+    Two documents that meet in a combination of frequent tokens also meet in
+    each of the tokens, so here every token is a group of its own.
+    """
+    k = tokens.select("key", "id", "n").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     k = written(k, "labelled")
     mixed = k.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi and rows > 2")
     about = prefixes.select("id", F.col("size").alias("p"), F.size("tokens").alias("t"), *_sketch("tokens"))
@@ -272,29 +276,36 @@ def _across(keys: DataFrame, labels: DataFrame, prefixes: DataFrame) -> DataFram
     blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
     k = k.withColumn("i", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     k = k.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    k = k.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "n", "component", "p", "t", *(f"s{w}" for w in range(SKETCH)))
+    k = k.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
+    k = k.select(F.pmod(F.xxhash64("key", "x", "y"), F.lit(n_buckets)).alias("bucket"), F.xxhash64("key", "x", "y").alias("g"), (F.col("i") == F.col("x")).alias("low"), (F.col("i") == F.col("y")).alias("high"), "id", "n", "component", "p", "t", *(f"s{w}" for w in range(SKETCH)))
 
     def run(group: pa.Table) -> pa.Table:
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        block, ids, n, comp, p, t = (group.column(c).to_numpy() for c in ("i", "id", "n", "component", "p", "t"))
-        words = np.stack([group.column(f"s{w}").to_numpy() for w in range(SKETCH)], axis=1)
-        sign = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        g = group.column("g").to_numpy()
+        order = np.argsort(g, kind="stable")
+        low, high, ids, n, comp, p, t = (group.column(c).to_numpy()[order] for c in ("low", "high", "id", "n", "component", "p", "t"))
+        sketch = np.stack([group.column(f"s{w}").to_numpy()[order] for w in range(SKETCH)], axis=1)
+        begin = np.flatnonzero(np.diff(g[order], prepend=g[order][0] - 1))
+        end = np.repeat(np.append(begin[1:], len(g)), np.diff(begin, append=len(g)))
+        partners = end - np.arange(len(g)) - 1  # a row is compared with those after it in its group
         found = [np.zeros((0, 2), np.int64)]
-        for lo in range(0, len(left), 256):
-            a = left[lo : lo + 256]
-            differ = (64 * SKETCH - sign[a] @ sign[right].T) / 2
-            shared = (t[a][:, None] + t[right][None, :] - differ) / 2  # at most
-            u, v = n[a][:, None], n[right][None, :]
-            need = least_common(u, v)
-            need = np.minimum(p[a][:, None] - u + need, p[right][None, :] - v + need)
-            ok = (shared >= need) & (comp[a][:, None] != comp[right][None, :]) & (np.minimum(u, v) * DEN >= NUM * np.maximum(u, v))
-            u, v = np.nonzero(ok)
-            found.append(np.sort(np.stack([ids[a[u]], ids[right[v]]], axis=1), axis=1))
+        lo = 0
+        total = np.cumsum(partners)
+        while lo < len(g):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, side="right")))
+            a = np.repeat(np.arange(lo, hi), partners[lo:hi])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(partners[lo:hi]) - partners[lo:hi], partners[lo:hi])
+            ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * DEN >= NUM * np.maximum(n[a], n[b])) & ((low[a] & high[b]) | (high[a] & low[b]))
+            a, b = a[ok], b[ok]
+            differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1).astype(np.int64)
+            need = least_common(n[a], n[b])
+            need = np.minimum(p[a] - n[a] + need, p[b] - n[b] + need)
+            ok = t[a].astype(np.int64) + t[b] - differ >= 2 * need
+            found.append(np.unique(np.sort(np.stack([ids[a[ok]], ids[b[ok]]], axis=1), axis=1), axis=0))
+            lo = hi
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return k.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return k.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -303,7 +314,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     The id must be a whole number.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = _keys(docs, max(8, -(-text_bytes(df, text_col) // BUCKET_BYTES)))
+    n_buckets = max(8, -(-text_bytes(df, text_col) // BUCKET_BYTES))
+    found = _keys(docs, n_buckets)
     copies = found.filter("other is not null").select(F.col("other").alias("a"), F.col("id").alias("b"))
     keys = written(_combined(found), "combined")
     tokens = found.filter("other is null").filter(F.col("key").bitwiseAND(F.lit(1)) == 0)
@@ -315,7 +327,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     links = _verified(_counted(_star(keys), prefixes), docs).unionByName(copies)
     labels = components(links)
     sizes = lambda x: whole.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
-    across = written(_across(keys, labels, prefixes), "across")
+    across = written(_across(tokens, labels, prefixes, n_buckets), "across")
     more = _verified(_counted(across.join(sizes("a"), "a").join(sizes("b"), "b"), prefixes), docs)
     if more.head(1):
         links = links.unionByName(more)
