@@ -17,7 +17,8 @@ def great_circle_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     """Haversine distance; null where any coordinate is null."""
     dlon, dlat = F.radians(signed_longitude_difference(lon2, lon1)), F.radians(lat2 - lat1)
     h = F.sin(dlat / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon / 2) ** 2
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0))))
+    # greatest and least skip nulls, so nulls are kept out of them
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0)))))
 
 
 def centroid(x: Column, y: Column, z: Column) -> tuple[Column, Column]:

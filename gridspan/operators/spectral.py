@@ -49,7 +49,7 @@ def welch_spectrum(df: DataFrame, keys: list[str], segment: int = 2920, overlap:
     """(keys, k, frequency, period_days, psd, background, sig95) of daily series (keys, date, value), linear trend removed."""
     kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         y = group.sort_values("date")["value"].to_numpy(float)
         if len(y) < 8:
             return pd.DataFrame(columns=[*keys, "k", "frequency", "period_days", "psd", "background", "sig95"])

@@ -92,7 +92,7 @@ def hac_trend(df: DataFrame, keys: list[str]) -> DataFrame:
     """Newey-West trend of each series (keys, x, y); series are short by nature, so a group fits in memory."""
     fields = {"n": "int", "slope": "double", "se": "double", "maxlags": "int", "effective_sample_size": "double", "df": "double", "t": "double", "p": "double", "low": "double", "high": "double"}
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         g = group.dropna(subset=["x", "y"]).sort_values("x")
         if len(g) < 3:
             return pd.DataFrame(columns=[*keys, *fields])

@@ -208,7 +208,17 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.substring_index("path", "/", -1).alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (
+def _dated(query):
+    """Dates as ISO strings, as the record's tables hold them."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = query(spark, d)
+        return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c, t in out.dtypes if t == "date"})
+
+    return run
+
+
+QUERIES = {f.__name__: _dated(f) for f in (
     field_cells, field_valid_threshold, grid_cell_area, lcc_components, lcc_daily, lcc_centroid_distance, cell_occurrence, occurrence_summary, detached_summary,
     user_longest_active_run, definition_daily, definition_annual, daily_series, daily_spine_gaps, complete_years, annual_means, monthly_climatology,
     rolling_centered_mean, theil_sen, lag1_autocorrelation, linear_detrend, hac_trend, welch_psd, dominant_period, representative_dates, qc_summary, manifest,
@@ -285,3 +295,9 @@ ORACLES = {
     "qc_summary": f"""WITH RECURSIVE {_FLAGS}, o AS (SELECT max(lcc_area_km2 - canonical_area_km2) AS a, max(box_strict_area_km2 - box_inclusive_area_km2) AS b, CAST(date_diff('day', min(date), max(date)) + 1 - count(DISTINCT date) AS DOUBLE) AS c FROM dd)
         SELECT 'lcc_within_canonical' AS test, round(greatest(a, 0), 4) AS value, 0.0001::DOUBLE AS tolerance, a <= 0.0001 AS pass FROM o UNION ALL SELECT 'strict_within_inclusive', round(greatest(b, 0), 4), 0.0001::DOUBLE, b <= 0.0001 FROM o UNION ALL SELECT 'missing_days', greatest(c, 0), 0.0::DOUBLE, c <= 0 FROM o""",
 }
+
+for _name, _dates in {
+    **dict.fromkeys(("field_cells", "field_valid_threshold", "lcc_components", "lcc_daily", "lcc_centroid_distance", "definition_daily", "daily_series", "daily_spine_gaps", "rolling_centered_mean"), ("date",)),
+    "representative_dates": ("median_date", "minimum_date"),
+}.items():
+    ORACLES[_name] = "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _dates) + f") FROM ({ORACLES[_name]})"
