@@ -263,10 +263,12 @@ def _sketch(tokens: str) -> list[Column]:
 
 
 def _across(tokens: DataFrame, labels: DataFrame, prefixes: DataFrame, n_buckets: int) -> DataFrame:
-    """Pairs of different components that share a prefix token and may share enough of them.
+    """Pairs of different components whose prefixes share enough tokens.
 
     Two documents that meet in a combination of frequent tokens also meet in
-    each of the tokens, so here every token is a group of its own.
+    each of the tokens, so here every token is a group of its own and a pair is
+    counted once in each group where it meets. Groups of two have been verified
+    pair by pair, so what they would add to a count is not needed.
     """
     k = tokens.select("key", "id", "n").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     k = written(k, "labelled")
@@ -287,8 +289,8 @@ def _across(tokens: DataFrame, labels: DataFrame, prefixes: DataFrame, n_buckets
         begin = np.flatnonzero(np.diff(g[order], prepend=g[order][0] - 1))
         end = np.repeat(np.append(begin[1:], len(g)), np.diff(begin, append=len(g)))
         partners = end - np.arange(len(g)) - 1  # a row is compared with those after it in its group
-        found = [np.zeros((0, 2), np.int64)]
-        lo = 0
+        who, code = np.unique(ids, return_inverse=True)
+        held, lo = [np.zeros((3, 0), np.int64)], 0
         total = np.cumsum(partners)
         while lo < len(g):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, side="right")))
@@ -300,12 +302,27 @@ def _across(tokens: DataFrame, labels: DataFrame, prefixes: DataFrame, n_buckets
             need = least_common(n[a], n[b])
             need = np.minimum(p[a] - n[a] + need, p[b] - n[b] + need)
             ok = t[a].astype(np.int64) + t[b] - differ >= 2 * need
-            found.append(np.unique(np.sort(np.stack([ids[a[ok]], ids[b[ok]]], axis=1), axis=1), axis=0))
+            x, y = code[a[ok]], code[b[ok]]
+            held.append(np.stack([np.minimum(x, y) * len(who) + np.maximum(x, y), np.ones(len(x), np.int64), need[ok]]))
+            if sum(h.shape[1] for h in held) > 2 * held[0].shape[1] + 2_000_000:
+                held = [_summed(held)]
             lo = hi
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        pair, c, need = _summed(held)
+        return pa.table({"a": who[pair // len(who)], "b": who[pair % len(who)], "c": c, "need": need})
 
-    return k.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    met = k.groupBy("bucket").applyInArrow(run, "a long, b long, c long, need long")
+    return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
+
+
+def _summed(held: list[np.ndarray]) -> np.ndarray:
+    """Rows (pair, count, need) with one column for each pair: the sum of its counts, the least of its needs."""
+    pair, c, need = np.concatenate(held, axis=1)
+    if not len(pair):
+        return np.zeros((3, 0), np.int64)
+    order = np.argsort(pair)
+    pair, c, need = pair[order], c[order], need[order]
+    begin = np.flatnonzero(np.diff(pair, prepend=pair[0] - 1))
+    return np.stack([pair[begin], np.add.reduceat(c, begin), np.minimum.reduceat(need, begin)])
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -326,9 +343,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     prefixes = written(prefixes.select("id", F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"), size.alias("size")), "prefixes")
     links = _verified(_counted(_star(keys), prefixes), docs).unionByName(copies)
     labels = components(links)
-    sizes = lambda x: whole.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
-    across = written(_across(tokens, labels, prefixes, n_buckets), "across")
-    more = _verified(_counted(across.join(sizes("a"), "a").join(sizes("b"), "b"), prefixes), docs)
+    more = _verified(_across(tokens, labels, prefixes, n_buckets), docs)
     if more.head(1):
         links = links.unionByName(more)
         labels = components(links)
