@@ -1,7 +1,11 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of hashes of its ``WORDS``-word shingles, ordered by
-hash. Texts of Jaccard similarity ``NUM / DEN`` or more agree, in that order,
+class, then hash: shingles that are common come last. A first pass over all
+texts counts shingles by the slots of a table of fixed size; a slot that one
+task's few megabytes fill ``COMMON`` times is common everywhere. Slots decide
+the order alone, so what falls into one by chance costs time, never a pair.
+Texts of Jaccard similarity ``NUM / DEN`` or more agree, in that order,
 on a place early in both sets; the classic prefix of a set of n is its first
 n - ceil(NUM n / DEN) + 1 tokens. Here prefixes are extended by a token, and
 tokens fall into two classes by their number of occurrences in prefixes: rare
@@ -50,6 +54,9 @@ WORDS = 5
 NUM, DEN = 3, 4
 EXTRA = 1  # tokens by which prefixes are extended: combinations of two
 FREQUENT = 1024
+#: Slots that tell common shingles from others (2 ** SLOT_BITS flags are sent to the tasks) and how often one pack must fill a slot.
+SLOT_BITS = 20
+COMMON = 24
 PACK_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
 SALTS = 16
@@ -96,7 +103,47 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long")
 
 
-def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
+def common_slots(docs: DataFrame) -> np.ndarray:
+    """Flags of the slots whose shingles come last; 2 ** SLOT_BITS of them, whatever the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, size = np.zeros(1 << SLOT_BITS, np.int64), 0
+
+        def found() -> pa.RecordBatch:
+            expected = count.sum() / len(count)
+            return pa.record_batch([pa.array(np.flatnonzero(count >= COMMON + 4 * expected))], names=["slot"])
+
+        for b in batches:
+            for _, _, data, offsets in T.chunks(b):
+                w = T.words_of(data, offsets, lower=True)
+                at = T.window_starts(w.first, WORDS)
+                if len(at):
+                    count += np.bincount((T.shingles(w.hashes(), WORDS)[at] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(count))
+                size += len(data)
+                if size >= PACK_BYTES:
+                    yield found()
+                    count[:], size = 0, 0
+        if size:
+            yield found()
+
+    out = np.zeros(1 << SLOT_BITS, dtype=bool)
+    slots = docs.mapInArrow(run, "slot long").distinct().toArrow().column("slot").to_numpy()
+    out[slots] = True
+    return out
+
+
+def prefixes_of(g: np.ndarray, first: np.ndarray, p: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether each token is among the first ``p[i]`` of its set ``g[first[i]:first[i + 1]]``, common ones last."""
+    last = common[(g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    doc = np.repeat(np.arange(len(p)), np.diff(first))
+    rare = np.concatenate([[0], np.cumsum(~last)])
+    rank = rare[:-1] - rare[first[doc]]  # rare tokens of the set before this one
+    n_rare = rare[first[1:]] - rare[first[:-1]]
+    place = np.where(last, n_rare[doc] + (np.arange(len(g)) - first[doc]) - rank, rank)
+    return place < p[doc]
+
+
+def _keys(docs: DataFrame, n_buckets: int, common: np.ndarray) -> DataFrame:
     """Written rows (key, id, n, df, other): tokens of prefixes that occur twice; ``other`` links an equal set and has no key.
 
     The lowest bit of a key tells whole sets from tokens.
@@ -133,8 +180,11 @@ def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
                 least = order[place]  # the smallest id of each set
                 copies, of = mine[order], mine[least][code]
                 other = copies != of
-                p = prefix_size(n[least])
-                at = np.arange(int(p.sum())) + np.repeat(first[least] - (np.cumsum(p) - p), p)
+                least = np.sort(least)
+                p = np.zeros(len(n), dtype=np.int64)
+                p[least] = prefix_size(n[least])
+                at = prefixes_of(g, first, p, common)
+                p = p[least]
                 doc = np.repeat(np.arange(len(least)), p)
                 key = np.concatenate([g[at] & ~np.uint64(1), whole[least]])
                 by = np.argsort(np.concatenate([doc, np.arange(len(least))]), kind="stable")
@@ -332,7 +382,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_buckets = max(8, -(-text_bytes(df, text_col) // BUCKET_BYTES))
-    found = _keys(docs, n_buckets)
+    found = _keys(docs, n_buckets, common_slots(docs))
     copies = found.filter("other is not null").select(F.col("other").alias("a"), F.col("id").alias("b"))
     keys = written(_combined(found), "combined")
     tokens = found.filter("other is null").filter(F.col("key").bitwiseAND(F.lit(1)) == 0)
