@@ -19,7 +19,7 @@ sets meet in a key. Equal sets meet in a key of the whole set.
 with equal sets in one chunk only the smallest id is packed and the others are
 linked to it. Buckets count the tokens and drop those that stand alone.
 
-*Links.* In a key's group the smallest id is paired with the others (in two
+*Links.* In a key's group one document is paired with the others (in two
 levels, by hash first, so that no task gets a large group), pairs are cut by
 size and by the number of tokens that both prefixes share, and the rest is
 verified on the full sets of the whole texts. Components of the links are
@@ -227,7 +227,7 @@ def _keys(docs: DataFrame, n_buckets: int, common: np.ndarray) -> DataFrame:
 
 
 def _combined(keys: DataFrame) -> DataFrame:
-    """(key, id, n) with frequent tokens replaced by combinations of two."""
+    """(key, id, n, w) with frequent tokens replaced by combinations of two; w is the number of frequent ones, 0 at rare tokens."""
     frequent = (F.col("df") > FREQUENT) & (F.col("key").bitwiseAND(F.lit(1)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +236,10 @@ def _combined(keys: DataFrame) -> DataFrame:
                 x = np.sort(np.array(got, dtype=np.int64)).view(np.uint64)
                 for k in range(1, len(x)):  # by distance in the order, so that memory stays linear
                     two = T.mix(x[:-k] * np.uint64(3) + T.mix(x[k:].copy())).view(np.int64)
-                    yield pa.record_batch([pa.array(two), pa.array(np.full(len(two), i)), pa.array(np.full(len(two), n))], names=["key", "id", "n"])
+                    yield pa.record_batch([pa.array(two), pa.array(np.full(len(two), i)), pa.array(np.full(len(two), n)), pa.array(np.full(len(two), len(x), np.int32))], names=["key", "id", "n", "w"])
 
     lists = keys.filter(frequent).groupBy("id", "n").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)
-    return keys.filter(~frequent & F.col("other").isNull()).select("key", "id", "n").unionByName(lists.mapInArrow(run, "key long, id long, n long"))
+    return keys.filter(~frequent & F.col("other").isNull()).select("key", "id", "n", F.lit(0).alias("w")).unionByName(lists.mapInArrow(run, "key long, id long, n long, w int"))
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -247,11 +247,17 @@ def _close(a: Column, b: Column) -> Column:
 
 
 def _star(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each key's smallest id with the others, salted."""
+    """Pairs (a, b) of a centre of each key with the others, salted.
+
+    The centre has the most frequent tokens, then the smallest id: of near
+    copies, one without edits is in the keys of all others, so most keys have
+    the same centre.
+    """
+    centre = F.struct((-F.col("w")).alias("less"), "id", "n")
     salted = Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    first = keys.withColumn("c", F.min(F.struct("id", "n")).over(salted))
+    first = keys.withColumn("c", F.min(centre).over(salted))
     inner = first.filter("c.id <> id").select(F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    top = first.filter("c.id = id").withColumn("c", F.min(F.struct("id", "n")).over(Window.partitionBy("key")))
+    top = first.filter("c.id = id").withColumn("c", F.min(centre).over(Window.partitionBy("key")))
     outer = top.filter("c.id <> id").select(F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     return inner.unionByName(outer).filter(_close(F.col("na"), F.col("nb"))).distinct()
 
