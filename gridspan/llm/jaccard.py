@@ -55,8 +55,8 @@ NUM, DEN = 3, 4
 EXTRA = 1  # tokens by which prefixes are extended: combinations of two
 FREQUENT = 1024
 #: Slots that tell common shingles from others (2 ** SLOT_BITS flags are sent to the tasks) and how often one pack must fill a slot.
-SLOT_BITS = 20
-COMMON = 24
+SLOT_BITS = 22
+COMMON = 8
 PACK_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
 SALTS = 16
@@ -104,37 +104,38 @@ def _sizes(docs: DataFrame) -> DataFrame:
 
 
 def common_slots(docs: DataFrame) -> np.ndarray:
-    """Flags of the slots whose shingles come last; 2 ** SLOT_BITS of them, whatever the number of documents."""
+    """Bits of the slots whose shingles come last; 2 ** SLOT_BITS of them, whatever the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, size = np.zeros(1 << SLOT_BITS, np.int64), 0
+        held, size = [], 0
 
         def found() -> pa.RecordBatch:
-            expected = count.sum() / len(count)
-            return pa.record_batch([pa.array(np.flatnonzero(count >= COMMON + 4 * expected))], names=["slot"])
+            count = np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
+            held.clear()
+            return pa.record_batch([pa.array(np.flatnonzero(count >= COMMON + 4 * count.mean()).astype(np.int32))], names=["slot"])
 
         for b in batches:
             for _, _, data, offsets in T.chunks(b):
                 w = T.words_of(data, offsets, lower=True)
                 at = T.window_starts(w.first, WORDS)
                 if len(at):
-                    count += np.bincount((T.shingles(w.hashes(), WORDS)[at] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(count))
+                    held.append((T.shingles(w.hashes(), WORDS)[at] >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
                 size += len(data)
-                if size >= PACK_BYTES:
+                if size >= PACK_BYTES and held:
                     yield found()
-                    count[:], size = 0, 0
-        if size:
+                    size = 0
+        if held:
             yield found()
 
     out = np.zeros(1 << SLOT_BITS, dtype=bool)
-    slots = docs.mapInArrow(run, "slot long").distinct().toArrow().column("slot").to_numpy()
-    out[slots] = True
-    return out
+    out[docs.mapInArrow(run, "slot int").distinct().toArrow().column("slot").to_numpy()] = True
+    return np.packbits(out, bitorder="little")
 
 
 def prefixes_of(g: np.ndarray, first: np.ndarray, p: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Whether each token is among the first ``p[i]`` of its set ``g[first[i]:first[i + 1]]``, common ones last."""
-    last = common[(g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    slot = (g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    last = (common[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
     doc = np.repeat(np.arange(len(p)), np.diff(first))
     rare = np.concatenate([[0], np.cumsum(~last)])
     rank = rare[:-1] - rare[first[doc]]  # rare tokens of the set before this one
