@@ -52,7 +52,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe_encoding),
 ]
 
-#: SQL cannot express the classifier; the tests hold the pipeline against a brute-force version.
+#: SQL cannot express the classifier. A test of the whole pipeline against a brute-force version is still missing.
 ORACLE_SQL = None
 
 
