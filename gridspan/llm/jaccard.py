@@ -22,8 +22,9 @@ linked to it. Buckets count the tokens and drop those that stand alone.
 *Links.* In a key's group one document is paired with the others (in two
 levels, by hash first, so that no task gets a large group), pairs are cut by
 size and by the number of tokens that both prefixes share, and the rest is
-verified on the full sets of the whole texts. Components of the links are
-formed. Where a key still has members of several components, its members are
+verified on the full sets of the whole texts: for each document its pair with
+the foremost centre, then, once components of these links are formed, the pairs
+whose ends are still apart. Where a key still has members of several components, its members are
 compared by bounds on those counts (from 256-bit parity sketches of the
 prefixes), block against block inside tasks, and only pairs of different
 components that pass are counted and verified. So no pair of similar texts
@@ -248,7 +249,7 @@ def _close(a: Column, b: Column) -> Column:
 
 
 def _star(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a centre of each key with the others, salted.
+    """Pairs (a, b) of a centre of each key with the others, salted, and ``less``, the centre's rank.
 
     The centre has the most frequent tokens, then the smallest id: of near
     copies, one without edits is in the keys of all others, so most keys have
@@ -257,10 +258,22 @@ def _star(keys: DataFrame) -> DataFrame:
     centre = F.struct((-F.col("w")).alias("less"), "id", "n")
     salted = Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     first = keys.withColumn("c", F.min(centre).over(salted))
-    inner = first.filter("c.id <> id").select(F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    inner = first.filter("c.id <> id").select(F.col("c.less").alias("less"), F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     top = first.filter("c.id = id").withColumn("c", F.min(centre).over(Window.partitionBy("key")))
-    outer = top.filter("c.id <> id").select(F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    return inner.unionByName(outer).filter(_close(F.col("na"), F.col("nb"))).distinct()
+    outer = top.filter("c.id <> id").select(F.col("c.less").alias("less"), F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    return inner.unionByName(outer).filter(_close(F.col("na"), F.col("nb"))).groupBy("a", "na", "b", "nb").agg(F.min("less").alias("less"))
+
+
+def _first_centres(star: DataFrame) -> DataFrame:
+    """Of the pairs of each b, that with the foremost centre: near copies have the same one, so most links need no other pair."""
+    return star.groupBy("b", "nb").agg(F.min(F.struct("less", "a", "na")).alias("c")).select("c.a", "c.na", "b", "nb")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    j = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return j.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
 
 
 def _enough(a, b, na, nb):
@@ -398,12 +411,16 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     whole = found.filter("other is null").select("id", "n").distinct()
     prefixes = whole.join(tokens.groupBy("id").agg(F.collect_set("key").alias("tokens")), "id", "left")
     prefixes = written(prefixes.select("id", F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"), size.alias("size")), "prefixes")
-    links = _verified(_counted(_star(keys), prefixes), docs).unionByName(copies)
+    star = written(_star(keys), "star")
+    centres = written(_first_centres(star), "centres")
+    links = _verified(_counted(centres, prefixes), docs).unionByName(copies)
     labels = components(links)
-    more = _verified(_across(tokens, labels, prefixes, n_buckets), docs)
-    if more.head(1):
-        links = links.unionByName(more)
-        labels = components(links)
+    others = lambda labels: _counted(_apart(star.join(centres, ["a", "b"], "left_anti").drop("less").select("a", "na", "b", "nb"), labels), prefixes)
+    for step in (others, lambda labels: _across(tokens, labels, prefixes, n_buckets)):
+        more = _verified(step(labels), docs)
+        if more.head(1):
+            links = links.unionByName(more)
+            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     return labels, links
 
 
