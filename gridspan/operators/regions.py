@@ -50,3 +50,22 @@ def definition_summary(tidy: DataFrame, by: list[str]) -> DataFrame:
         F.avg("mean_sst").alias("mean_daily_mean_sst"),
         F.try_divide(F.sum("integral"), F.sum("area_km2")).alias("area_time_weighted_mean_sst"),
     )
+
+
+def direct_comparison(daily: DataFrame, by: list[str]) -> DataFrame:
+    """Daily differences of largest component and strict box and their overlap, by ``by``; the column ``definition`` names the row."""
+    d = F.col("lcc_area_km2") - F.col("box_strict_area_km2")
+    return daily.groupBy(*by).agg(
+        F.lit("lcc_minus_box_strict").alias("definition"), F.count(F.lit(1)).alias("n_days"), F.avg(d).alias("mean_daily_difference_km2"), F.median(d).alias("median_daily_difference_km2"),
+        (F.try_divide(F.avg(d), F.avg("box_strict_area_km2")) * 100).alias("mean_relative_difference_pct"), F.avg("area_jaccard").alias("mean_area_jaccard"), F.avg("intersection_area_km2").alias("mean_intersection_area_km2"), F.avg("lcc_outside_box_area_km2").alias("mean_lcc_outside_box_area_km2"),
+    )
+
+
+def period_summary(daily: DataFrame, periods: list[tuple[str, int, int]]) -> DataFrame:
+    """The definitions' summary and their direct comparison, for the periods (name, first year, last year) that the record covers; periods may overlap."""
+    p = daily.sparkSession.createDataFrame(periods, "period string, first_year int, last_year int")
+    within = F.year("date").between(F.col("first_year"), F.col("last_year"))
+    span = daily.agg(F.min(F.year("date")).alias("a"), F.max(F.year("date")).alias("b"))
+    p = p.crossJoin(span).filter("first_year >= a and last_year <= b").select("period", "first_year", "last_year")  # a handful of periods
+    tidy = unpivot_definitions(daily).join(F.broadcast(p), within)
+    return definition_summary(tidy, ["period"]).unionByName(direct_comparison(daily.join(F.broadcast(p), within), ["period"]), allowMissingColumns=True)

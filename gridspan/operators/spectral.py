@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_quantile
@@ -71,3 +71,20 @@ def welch_spectrum(df: DataFrame, keys: list[str], segment: int = 2920, overlap:
 
 def dominant_period(spectrum: DataFrame, keys: list[str]) -> DataFrame:
     return spectrum.groupBy(*keys).agg(F.max_by("period_days", F.struct("psd", -F.col("k"))).alias("dominant_period_days"))
+
+
+def band_variance(spectrum: DataFrame, variance: DataFrame, keys: list[str], bands: list[tuple[str, float, float]]) -> DataFrame:
+    """(keys, band, periods, n_frequencies, integrated_variance, fraction_of_detrended_variance_pct); ends included, null where a band is empty.
+
+    ``variance`` (keys, variance) is that of the detrended series; bands may overlap.
+    """
+    w = Window.partitionBy(*keys).orderBy("k")
+    after, before = F.lead("frequency").over(w), F.lag("frequency").over(w)
+    f = F.col("frequency")
+    width = F.coalesce((after - before) / 2, after - f, f - before)
+    b = spectrum.sparkSession.createDataFrame(bands, "band string, minimum_period_days double, maximum_period_days double")
+    inside = F.col("frequency").between(1 / F.col("maximum_period_days"), 1 / F.col("minimum_period_days"))
+    every = variance.crossJoin(F.broadcast(b))  # a handful of bands for each series
+    part = spectrum.withColumn("width", width).join(F.broadcast(b), inside).groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("n_frequencies"), F.sum(F.col("psd") * F.col("width")).alias("integrated_variance"))
+    out = every.join(part, [*keys, "band"], "left")
+    return out.select(*keys, "band", "minimum_period_days", "maximum_period_days", F.coalesce("n_frequencies", F.lit(0)).alias("n_frequencies"), "integrated_variance", (F.try_divide("integrated_variance", "variance") * 100).alias("fraction_of_detrended_variance_pct"))

@@ -30,6 +30,27 @@ def theil_sen(df: DataFrame, keys: list[str]) -> DataFrame:
     return both.join(joint, keys).select(*keys, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), "joint_intercept")
 
 
+#: Upper 2.5 % point of the normal distribution.
+Z95 = 1.959963984540054
+
+
+def theil_sen_interval(df: DataFrame, keys: list[str], z: float = Z95) -> DataFrame:
+    """(keys, n, slope, low, high): the median slope and the slopes at the ranks that Kendall's variance, with ties, gives."""
+    n = F.col("n")
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    score = n * (n - 1) * (n * 2 + 5)
+    for c in ("x", "y"):
+        k = F.col("_times")
+        tied = df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_times")).groupBy(*keys).agg(F.sum(k * (k - 1) * (k * 2 + 5)).alias(f"tied_{c}"))
+        out, score = out.join(tied, keys), score - F.col(f"tied_{c}")
+    s = pairwise_slopes(df, keys)
+    ranked = s.withColumns({"r": F.row_number().over(Window.partitionBy(*keys).orderBy("slope")), "nt": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    j = ranked.join(out.select(*keys, "n", F.sqrt(score / 18.0).alias("sigma")), keys)
+    lo = F.greatest(F.bround((F.col("nt") - F.col("sigma") * z) / 2, 0), F.lit(1.0))
+    hi = F.least(F.bround((F.col("nt") + F.col("sigma") * z) / 2, 0), F.col("nt") - 1.0) + 1
+    return j.groupBy(*keys).agg(F.max("n").alias("n"), F.median("slope").alias("slope"), F.max(F.when(F.col("r") == lo, F.col("slope"))).alias("low"), F.max(F.when(F.col("r") == hi, F.col("slope"))).alias("high"))
+
+
 def lag1(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Correlation of a series with itself one row earlier, clipped to 0.99."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -66,6 +87,34 @@ def effective_sample_size(x: np.ndarray) -> float:
     return float(np.clip(n / (1 + 2 * s), 3, n))
 
 
+def _by_series(df: DataFrame, keys: list[str], fields: dict[str, str], rows) -> DataFrame:
+    """``rows(values in order of x)`` of each series (keys, x, y)."""
+    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(rows(group.dropna(subset=["x", "y"]).sort_values("x")["y"].to_numpy(float)))
+        for name, v in zip(keys, key):
+            out[name] = v
+        return out.reindex(columns=[*keys, *fields])
+
+    return df.select(*keys, F.col("x").cast("double"), F.col("y").cast("double")).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, *(f"{k} {v}" for k, v in fields.items())]))
+
+
+def autocorrelations(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lag, rho): unbiased autocorrelation of each series at every lag."""
+    return _by_series(df, keys, {"lag": "int", "rho": "double"}, lambda y: {"lag": np.arange(len(y)), "rho": autocorrelation(y) if len(y) else y})
+
+
+def effective_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, effective_sample_size, df) of each series."""
+
+    def rows(y: np.ndarray) -> dict:
+        neff = effective_sample_size(y) if len(y) else float("nan")
+        return {"n": [len(y)], "effective_sample_size": [neff], "df": [max(neff - 2, 1.0)]}
+
+    return _by_series(df, keys, {"n": "int", "effective_sample_size": "double", "df": "double"}, rows)
+
+
 def hac_statistics(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
     """Least squares with a Bartlett-weighted covariance, and inference with the effective degrees of freedom."""
     n = len(x)

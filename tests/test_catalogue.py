@@ -7,8 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gridspan.plans import catalogue
+from gridspan.plans import catalogue, series_catalogue
 
+QUERIES = catalogue.QUERIES | series_catalogue.QUERIES
+ORACLES = catalogue.ORACLES | series_catalogue.ORACLES
 DIR = "/root/testdata/sf0.001"
 
 
@@ -29,12 +31,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = catalogue.QUERIES[name](spark, DIR)
+    got = QUERIES[name](spark, DIR)
     names = sorted(got.columns)
     out = rows(got.select(names).collect())
-    if name in catalogue.ORACLES:
-        assert out == rows(con.execute(f"SELECT {', '.join(names)} FROM ({catalogue.ORACLES[name]})").fetchall())
+    if name in ORACLES:
+        assert out == rows(con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall())
     else:
         assert out
