@@ -52,7 +52,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe_encoding),
 ]
 
-#: SQL cannot express the classifier. A test of the whole pipeline against a brute-force version is still missing.
+#: SQL cannot express the classifier; tests/llm/test_pipeline.py holds the result against a plain version.
 ORACLE_SQL = None
 
 
