@@ -77,6 +77,12 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _best_rows(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places of one row for each id: its best."""
+    by = np.lexsort((-scores, ids))
+    return by[np.concatenate([[True], ids[by][1:] != ids[by][:-1]])]
+
+
 def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rot: np.ndarray, k: int, state: dict) -> None:
     """Fold the vectors ``x`` into ``state[i] = (ids, scores)`` of each query i."""
     order = np.argsort(-np.einsum("ij,ij->i", x, x), kind="stable")
@@ -94,22 +100,24 @@ def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
             break
         bound = qr[live, :lead] @ xr[lo:hi, :lead].T
         bound += q_rest[live, None] * x_rest[None, lo:hi] + slack[live, None]
+        repeats = len(np.unique(ids[lo:hi])) < len(ids[lo:hi])
         for row, i in enumerate(live):
             near = np.flatnonzero(bound[row] >= floor[i])
             near = near[ids[lo:hi][near] != qid[i]]
             if not len(near):
                 continue
             s = x[lo:hi][near] @ q[i]
+            if repeats:  # before the cut, where copies would take the places of other ids
+                one = _best_rows(ids[lo:hi][near], s)
+                near, s = near[one], s[one]
             if len(near) > k:
                 least = np.partition(s, len(s) - k)[len(s) - k]
                 near, s = near[s >= least], s[s >= least]
             have = state.get(i, (ids[:0], s[:0]))
             both, score = np.concatenate([have[0], ids[lo:hi][near]]), np.concatenate([have[1], s])
-            _, once = np.unique(both, return_index=True)
-            if len(once) < len(both):  # repeated rows of one id: its best
-                by = np.lexsort((-score, both))
-                by = by[np.concatenate([[True], both[by][1:] != both[by][:-1]])]
-                both, score = both[by], score[by]
+            if len(np.unique(both)) < len(both):  # an id of an earlier block
+                one = _best_rows(both, score)
+                both, score = both[one], score[one]
             at = _best(both, score, k)
             state[i] = (both[at], score[at])
             if len(at) == k:

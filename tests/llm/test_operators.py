@@ -159,6 +159,13 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 20])
+def test_top_k_counts_a_repeated_id_once(spark, copies):
+    rows = [(0, [1.0, 0.0])] + [(1, [20.0, 0.0])] * copies + [(k, [20.0 - k, 0.0]) for k in range(2, 15)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(k, k, 1024 * 1024 * (20 if k == 1 else 20 - k)) for k in range(1, 11)]
+
+
 def test_url_filter(spark):
     urls = ["http://Example.COM/en/1?x", "https://www.example.com/en/", "http://a.net/es/b", "ftp://net/fr/", "http://notexample.com/en/", "http://x.net/de/", None, "no scheme", "http://a.com", "http://münchen.com/#/", "http://com./"]
     got = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame([(k, u, u) for k, u in enumerate(urls)], "page_id long, url string, host string"), url_filter.RULES).join(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
