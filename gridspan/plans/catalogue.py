@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labelling, occurrence, regions, spectral, timeline, trends
 from ..sources import fields as src
+from ..sources import products
 
 THRESHOLDS = (0.05, 0.10, 0.15)
 BOX_LAT, BOX_LON, BOX_THRESHOLD = (-20.0, 20.0), (90.0, 270.0), 0.05
@@ -203,9 +204,8 @@ def qc_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    """(relative_path, bytes, sha256) of the files of a folder, hashed where they are read."""
-    f = src.ship(spark).read.format("binaryFile").option("pathGlobFilter", "[nr]*.parquet").load(d)
-    return f.select(F.substring_index("path", "/", -1).alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(relative_path, bytes, sha256) of all files of a folder."""
+    return products.manifest(spark, d)
 
 
 def _dated(query):

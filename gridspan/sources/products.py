@@ -1,13 +1,25 @@
-"""Products of a run: small tables as CSV, metadata as JSON, a yearly checkpoint, fallback inputs."""
+"""Products of a run: small tables as CSV, metadata as JSON, a yearly checkpoint, fallback inputs, checksums."""
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+PIECE = 1 << 20
+#: Bytes of a file that a task may hold whole, where a store gives no pieces.
+WHOLE = 256 << 20
+#: Tasks of a manifest at most.
+TASKS = 10_000
+CHECKSUMS = "relative_path string, bytes long, sha256 string"
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A small table with a header, in one file."""
@@ -65,3 +77,58 @@ def yearly(spark: SparkSession, path: str, build: Callable[[list[int]], DataFram
         rows = build(todo).withColumn("year", F.year("date"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
     return spark.read.parquet(path).filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            h, n = hashlib.sha256(), 0
+            with open(path, "rb") as f:
+                while piece := f.read(PIECE):
+                    h.update(piece)
+                    n += len(piece)
+            yield pa.record_batch([pa.array([name]), pa.array([n]), pa.array([h.hexdigest()])], names=["relative_path", "bytes", "sha256"])
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(relative_path, bytes, sha256) of every file below a folder, hidden ones too.
+
+    Where the folder has a path of its own on every machine (``file:``), tasks
+    read files in pieces of 1 MiB. Python cannot open other stores: there tasks
+    take files of up to ``WHOLE`` bytes as ``binaryFile`` rows, and the driver's
+    JVM streams longer ones and those that Spark's readers leave out (names with
+    _ or . in front) in pieces. The .crc files of Hadoop's own local file system
+    are not listed. An empty folder gives no rows.
+    """
+    ship(spark)
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    found, it = [], fs.listFiles(base, True)
+    while it.hasNext():
+        status = it.next()
+        path = status.getPath()
+        found.append((status.getLen(), path.toString(), path.toUri().getPath(), path))
+    if fs.getUri().getScheme() == "file":
+        found.sort(key=lambda x: (-x[0], x[2]))
+        n = max(1, min(len(found), TASKS))
+        rows = [(x[2], x[2].removeprefix(root)) for k in range(n) for x in found[k::n]]  # each task gets long and short files
+        if not rows:
+            return spark.createDataFrame([], CHECKSUMS)
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "path string, name string").mapInArrow(_hashed, CHECKSUMS)
+
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(F.col("length") <= WHOLE)
+    seen = {r["path"] for r in whole.select("path").collect()}
+
+    def stream(x: tuple) -> tuple[str, int, str]:
+        digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+        out = jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), digest)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(x[3]), out, PIECE, True)
+        return x[2].removeprefix(root), x[0], bytes(digest.digest()).hex()
+
+    with ThreadPoolExecutor(4) as pool:
+        rest = list(pool.map(stream, (x for x in found if x[1] not in seen)))
+    head = fs.makeQualified(base).toString().rstrip("/") + "/"
+    out = whole.select(F.substr("path", F.lit(len(head) + 1)).alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return out.unionByName(spark.createDataFrame(rest, CHECKSUMS)) if rest else out
