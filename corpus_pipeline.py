@@ -14,15 +14,34 @@ from gridspan.llm import bpe, decontaminate, jaccard, quality, substring
 from gridspan.llm.common import table, without, written
 
 
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written so that the numbers stay: ids may repeat."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good; it learns from the labels outside its held-out fold."""
     return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each class of near duplicates; documents without links and rows without an id stay."""
-    labels, _ = jaccard.similar(docs)
-    return without(docs, labels.filter("id <> component").select(F.col("id").alias("doc_id")))
+    """One row of each class of near duplicates: the one with the smallest id. Texts without links and rows without an id stay.
+
+    Rows are linked by row, not by id: of rows that repeat an id and a text one
+    stays, and an id with two texts loses only the text that is a near copy. In
+    a class whose smallest id has several texts, the least digest stays.
+    """
+    rows = _numbered(docs)
+    known = rows.filter("doc_id is not null")
+    labels, _ = jaccard.similar(known.select(F.col(ROW).alias("doc_id"), "text"))
+    marks = known.select(ROW, "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    marks = marks.join(labels.select(F.col("id").alias(ROW), "component"), ROW, "left")
+    alone = F.when(F.col("component").isNull(), F.struct("doc_id", "digest"))  # texts without words are never linked
+    first = marks.groupBy("component", alone.alias("alone")).agg(F.min(F.struct("doc_id", "digest", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return without(rows, known.select(ROW).join(first, ROW, "left_anti"), ROW).drop(ROW)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +54,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item."""
-    return without(docs, decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")))
+    """Documents without an overlap with a benchmark item. Only the rows that have one go: not others of their id, and those without an id too."""
+    rows = _numbered(docs)
+    found = decontaminate.find_overlaps(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, found.select(F.col("doc_id").alias(ROW)), ROW).drop(ROW)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: (doc_id, n_tokens, ids)."""
-    return bpe.encode(docs, bpe.default_vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document and the text that they decode to: (doc_id, n_tokens, ids, text)."""
+    path = bpe.default_vocabulary()
+    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

@@ -63,3 +63,19 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), d).schema.names == docs.schema.names
     assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark, tmp_path):
+    d = f"file://{tmp_path}/{uuid.uuid4().hex}"
+    spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    leak = "x " + " ".join(ITEM)
+    rows = [(1, a), (1, a), (2, a + " tail"), (2, b), (3, ""), (3, ""), (4, None), (4, None), (5, c), (5, leak), (None, a), (None, a), (None, leak)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, d)
+    want = [(1, a), (2, b), (3, ""), (4, None), (5, c), (5, leak), (None, a), (None, a), (None, leak)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    clean = corpus_pipeline.benchmark_decontamination(spark, kept, d)
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted([r for r in want if r[1] != leak], key=str)
+    last = corpus_pipeline.bpe_encoding(spark, clean, d).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in last), key=str) == sorted([(i, t or "") for i, t in want if t != leak], key=str)
