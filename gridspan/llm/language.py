@@ -5,10 +5,12 @@ many documents advance together, one array operation for each step. Two gated
 recurrent layers read each piece forwards and backwards, a softmax over both
 states labels every byte, and a document's probabilities are the mean over all
 its bytes. Training is backpropagation through time in numpy on the driver,
-over a bounded sample: at most about ``PER_LANGUAGE`` documents of each of the
-``MAX_LANGUAGES`` commonest languages, one piece of each at a place that a hash
-gives. Rows are drawn by comparing a hash of their id with a rate for their
-language, so no group is gathered or sorted.
+over a bounded sample of all languages: about ``PER_LANGUAGE`` documents of each
+or, if there are many, an even share of ``SAMPLE``, but ``FEW`` at least (so
+``SAMPLE`` holds up to SAMPLE / FEW = 3200 languages), one piece of each at a
+place that a hash gives. Ids are drawn by comparing their hash with a rate for
+the language, so no group is gathered or sorted; one row of an id and language
+teaches.
 
 Learned only from documents whose fold is not 1.
 
@@ -35,7 +37,9 @@ FOLDS, HELD = 3, 1
 PIECE = 64
 HIDDEN = 8
 PER_LANGUAGE = 800
-MAX_LANGUAGES = 64
+SAMPLE = 51_200
+#: So many expected draws that a language without any is unlikely (e^-16); a language of fewer documents gives all.
+FEW = 16
 STEPS = 150
 BATCH = 256
 RATE = 0.02
@@ -202,16 +206,18 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Network | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, in_all: int = SAMPLE) -> Network | None:
     """Train on a bounded sample of the documents outside the held-out fold."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = d.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()  # a row for each language
     if not counts:
         return None
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], float(per_language) / r["count"])))
+    each = max(FEW, min(per_language, in_all // len(counts)))
+    # estimates stray by some hundredths; a language that hardly passes the share gives all its ids
+    rates = docs.sparkSession.createDataFrame([(r["lang"], 1.0 if r["n"] <= 1.25 * each else each / r["n"]) for r in counts], "lang string, rate double")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.filter(hashed < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
+    sample = usable.join(F.broadcast(rates), "lang").filter(hashed < F.col("rate")).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,9 +226,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             ok = np.flatnonzero(has_letter(data, offsets))
             at = T.mix(ok.astype(np.uint64) + T.mix(n[ok].astype(np.uint64))) % np.maximum(n[ok] - PIECE + 1, 1).astype(np.uint64)
             got = [data[s : s + min(PIECE, n[k])].tobytes() for k, s in zip(ok.tolist(), (offsets[ok] + at.astype(np.int64)).tolist())]
-            yield pa.record_batch([pa.array(got, pa.binary()), b.column(2).take(pa.array(ok))], names=["piece", "lang"])
+            yield pa.record_batch([b.column(0).take(pa.array(ok)), pa.array(got, pa.binary()), b.column(2).take(pa.array(ok))], names=["doc_id", "piece", "lang"])
 
-    rows = sample.mapInArrow(run, "piece binary, lang string").collect()
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(run, f"doc_id {kind}, piece binary, lang string").groupBy("doc_id", "lang").agg(F.min("piece").alias("piece")).collect()
     if not rows:
         return None
     rows = sorted((r["lang"], bytes(r["piece"])) for r in rows)

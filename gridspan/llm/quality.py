@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                 x = features(data, offsets)
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = text.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, f"doc_id {text.schema['doc_id'].dataType.simpleString()}, label float, x binary").collect()
+    rows = text.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, f"doc_id {text.schema['doc_id'].dataType.simpleString()}, label float, x binary").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()  # a row for each id
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))

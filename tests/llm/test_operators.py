@@ -274,3 +274,15 @@ def test_language_held_out(spark):
     odd = spark.createDataFrame([(1, None, "en"), (2, "123 !", "en"), (3, "", None), (None, "abc", "en")], "doc_id long, text string, lang string")
     assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(odd, None).collect()} == {(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0), (None, "und", 0.0)}
     assert language.learn(odd.limit(0)) is None
+
+
+def test_samples_have_every_language_and_each_id_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language.Network, "train", lambda self, x, n, t: seen.append(t))
+    docs = [(k, "some words", f"l{k % 70:02}") for k in range(1400)] + [(4, f"row {k}", "l04") for k in range(500)]
+    net = language.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert net.languages == [f"l{k:02}" for k in range(70)]
+    assert np.bincount(seen[0]).max() <= 20
+    monkeypatch.setattr(quality.Neighbours, "fit", classmethod(lambda cls, x, y: (x, y)))
+    x, y = quality.learn(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int"))
+    assert len(x) == len(y) <= 20
