@@ -1,40 +1,52 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document is the set of hashes of its ``WORDS``-word shingles, ordered by
-class, then hash: shingles that are common come last. A first pass over all
-texts counts shingles by the slots of a table of fixed size; a slot that one
-task's few megabytes fill ``COMMON`` times is common everywhere. Slots decide
-the order alone, so what falls into one by chance costs time, never a pair.
-Texts of Jaccard similarity ``NUM / DEN`` or more agree, in that order,
-on a place early in both sets; the classic prefix of a set of n is its first
-n - ceil(NUM n / DEN) + 1 tokens. Here prefixes are extended by a token, and
-tokens fall into two classes by their number of occurrences in prefixes: rare
-tokens are keys themselves, of frequent ones (more than ``FREQUENT``) every
-combination of two in a prefix is a key. If two sets were similar but shared no
-rare token and fewer than two frequent ones of the extended prefix, the tokens
-that they do not share would outnumber what the similarity allows, so similar
-sets meet in a key. Equal sets meet in a key of the whole set.
+A document is the set of hashes of its ``WORDS``-word shingles, ordered by how
+often they occur, rare ones first: a first pass counts all shingles of all
+texts in a table of slots, whose size follows the number of shingles up to
+2 ** MAX_SLOT_BITS bytes. What falls into one slot by chance costs time, never a
+pair, as the counts decide only the order and the class of a token.
+
+Texts of Jaccard similarity ``NUM / DEN`` or more agree, in that order, on a
+place early in both sets; the classic prefix of a set of n is its first
+n - ceil(NUM n / DEN) + 1 tokens. Here prefixes are extended by a token, so
+similar sets share two tokens of their prefixes, and tokens fall into two
+classes. A rare token is a key itself; of frequent ones (slots counted more
+than ``FREQUENT`` times above the mean) every combination of two in a prefix is
+a key. Sets of more than ``COMBINED`` tokens, whose combinations would outgrow
+their texts, have single frequent tokens as keys, and so have those of at least
+NUM / DEN of that size, which may have a partner among them. Equal sets meet in
+a key of the whole set.
 
 *Keys.* Tasks pack the prefixes of their documents by hash bucket; of documents
-with equal sets in one chunk only the smallest id is packed and the others are
-linked to it. Buckets count the tokens and drop those that stand alone.
-
-*Links.* In a key's group one document is paired with the others (in two
-levels, by hash first, so that no task gets a large group), pairs are cut by
-size and by the number of tokens that both prefixes share, and the rest is
-verified on the full sets of the whole texts: for each document its pair with
-the foremost centre, then, once components of these links are formed, the pairs
-whose ends are still apart. Where a key still has members of several components, its members are
-compared by bounds on those counts (from 256-bit parity sketches of the
-prefixes), block against block inside tasks, and only pairs of different
-components that pass are counted and verified. So no pair of similar texts
-stays in different components, though pairs within one are never listed.
+with equal sets in one pack only the smallest id is packed and the others are
+linked to it. A key counted more than ``HOT`` times is dealt over several
+buckets by document.
+
+*Stars.* A bucket pairs each key's documents with one of them, the key's
+centre: the document whose prefix has the most frequent tokens, so of near
+copies one without edits. A key with m documents gives m - 1 rows. For each
+document, the centre that looks most similar is verified on the full sets of
+the whole texts, and components of these links are formed.
+
+*Cells.* A centre and the documents that ever met it are a cell; any two
+documents that share a key share a cell. In cells with several components the
+documents outside the main one are compared with the others, block against
+block inside tasks, by parity sketches of two bits or more a token, whose
+differing bits bound the number of tokens not shared from below. Documents that
+may have a partner are sent on with their texts, and pairs whose ends are still
+apart are verified, the likeliest first. No pair is written but those links
+that join two components of a task.
+
+So no two similar texts stay in different components, though pairs within one
+are not listed, nor counted.
 
 Defined results: a text of fewer than ``WORDS`` words is one shingle, its whole
 word sequence; texts without words and null texts have no shingles and are in
-no links. Rows that repeat an id count as copies: the id's largest set size and
-a component for both texts. Null ids are returned as they are, without links.
-Shingles are compared by 64-bit hashes. Other columns are not read.
+no links. Rows that repeat an id count as one document with several texts: each
+row has its own set size, all have one component. Null ids are returned as they
+are, without links. Shingles are compared by 64-bit hashes; two texts with u
+shingles in all hold a pair of different shingles of one hash with a chance
+below u ** 2 / 2 ** 65 (20,000 words: 1e-11). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,22 +61,26 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import table, text_bytes, written
 from .components import components
-from .substring import _delta, _pack, _undelta, _unpack
+from .packing import delta, pack, undelta, unpack
 
 WORDS = 5
 NUM, DEN = 3, 4
 EXTRA = 1  # tokens by which prefixes are extended: combinations of two
 FREQUENT = 1024
-#: Slots that tell common shingles from others (2 ** SLOT_BITS flags are sent to the tasks) and how often one pack must fill a slot.
-SLOT_BITS = 22
-COMMON = 8
+COMBINED = 200
+HOT = 1 << 20
+#: The table of counts has a slot for about so many shingles, and 2 ** MAX_SLOT_BITS slots of one byte at most.
+SLOT_LOAD, MIN_SLOT_BITS, MAX_SLOT_BITS = 16, 16, 26
 PACK_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
-SALTS = 16
-BLOCK = 1000
-PER_CENTRE = 256
-#: Rows of a pair list that are broadcast at most; a longer list is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tokens of the documents of one block of a cell, and documents in it.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 20, 2048
+#: Tokens of the documents that one task compares at once, by sketches and by texts.
+SKETCH_TOKENS, TEXT_TOKENS = 32 << 20, 2 << 20
+#: Rows of wanted documents that are broadcast at most, of 33 bytes each; more are joined by shuffle.
+BROADCAST_ROWS = 250_000
+_KEYS, _COPIES, _ABOUT = 0, 1, 2  # kinds of payload
+_U = np.uint64
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +92,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     doc = np.repeat(np.arange(n_docs), np.maximum(w.n_words - WORDS + 1, 0))
     few = np.flatnonzero((w.n_words > 0) & (w.n_words < WORDS))
     if len(few):
-        own = np.array([T.shingles(h[w.first[i] : w.first[i + 1]], int(w.n_words[i]))[0] + np.uint64(w.n_words[i]) for i in few], dtype=np.uint64)
+        own = np.array([T.shingles(h[w.first[i] : w.first[i + 1]], int(w.n_words[i]))[0] + _U(w.n_words[i]) for i in few], dtype=np.uint64)
         g, doc = np.concatenate([g, own]), np.concatenate([doc, few])
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
@@ -90,37 +106,56 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n - -(-NUM * n // DEN) + 1 + EXTRA)
 
 
-def least_common(a, b):
-    """Tokens that sets of sizes a and b must share."""
-    return -(-NUM * (a + b) // (NUM + DEN))
+def most_apart(a, b):
+    """Tokens that similar sets of sizes a and b do not share, at most."""
+    return a + b - 2 * -(-NUM * (a + b) // (NUM + DEN))
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, data, offsets in T.chunks(b):
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(sets_of(data, offsets)[1].astype(np.int64))], names=["id", "n"])
+# --- counts of shingles -------------------------------------------------------------------------
+
+
+class Counts:
+    """Counts of shingles by slot, each as a byte that grows with the logarithm of the count."""
+
+    STEPS = 4  # bytes for each doubling
+
+    def __init__(self, bits: int, level: np.ndarray, mean: float):
+        self.bits, self.level, self.mean = bits, level, mean
+        self.frequent = int(self.levels(np.array([FREQUENT + 2 * mean]))[0])
+
+    @classmethod
+    def levels(cls, count: np.ndarray) -> np.ndarray:
+        return np.floor(cls.STEPS * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        return self.level[(g >> _U(64 - self.bits)).astype(np.int64)]
 
-    return docs.mapInArrow(run, "id long, n long")
+    def parts(self, level: np.ndarray) -> np.ndarray:
+        """Among how many buckets a key of this level is dealt."""
+        return np.ceil(2.0 ** ((level.astype(np.float64) + 1) / self.STEPS) / HOT).astype(np.int64)
 
 
-def common_slots(docs: DataFrame) -> np.ndarray:
-    """Bits of the slots whose shingles come last; 2 ** SLOT_BITS of them, whatever the number of documents."""
+def count_shingles(docs: DataFrame, n_bytes: int) -> Counts:
+    """Counts of all shingles of all texts; the tables of the packs are added up piece by piece."""
+    load = max(1, n_bytes // (6 * SLOT_LOAD))
+    bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, load.bit_length()))
+    piece = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def found() -> pa.RecordBatch:
-            count = np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
+            count = np.bincount(np.concatenate(held), minlength=1 << bits)
             held.clear()
-            return pa.record_batch([pa.array(np.flatnonzero(count >= COMMON + 4 * count.mean()).astype(np.int32))], names=["slot"])
+            parts = [pack([p]) for p in np.split(count, range(piece, len(count), piece))]
+            return pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["piece", "payload"])
 
         for b in batches:
             for _, _, data, offsets in T.chunks(b):
                 w = T.words_of(data, offsets, lower=True)
                 at = T.window_starts(w.first, WORDS)
                 if len(at):
-                    held.append((T.shingles(w.hashes(), WORDS)[at] >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+                    held.append((T.shingles(w.hashes(), WORDS)[at] >> _U(64 - bits)).astype(np.int32))
                 size += len(data)
                 if size >= PACK_BYTES and held:
                     yield found()
@@ -128,313 +163,404 @@ def common_slots(docs: DataFrame) -> np.ndarray:
         if held:
             yield found()
 
-    out = np.zeros(1 << SLOT_BITS, dtype=bool)
-    out[docs.mapInArrow(run, "slot int").distinct().toArrow().column("slot").to_numpy()] = True
-    return np.packbits(out, bitorder="little")
-
-
-def prefixes_of(g: np.ndarray, first: np.ndarray, p: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Whether each token is among the first ``p[i]`` of its set ``g[first[i]:first[i + 1]]``, common ones last."""
-    slot = (g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    last = (common[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-    doc = np.repeat(np.arange(len(p)), np.diff(first))
-    rare = np.concatenate([[0], np.cumsum(~last)])
-    rank = rare[:-1] - rare[first[doc]]  # rare tokens of the set before this one
-    n_rare = rare[first[1:]] - rare[first[:-1]]
-    place = np.where(last, n_rare[doc] + (np.arange(len(g)) - first[doc]) - rank, rank)
-    return place < p[doc]
-
-
-def _keys(docs: DataFrame, n_buckets: int, common: np.ndarray) -> DataFrame:
-    """Written rows (key, id, n, df, other): tokens of prefixes that occur twice; ``other`` links an equal set and has no key.
-
-    The lowest bit of a key tells whole sets from tokens.
-    """
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(held: list) -> pa.RecordBatch:
-            key, n_keys, ids, n, copies, first = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            out = []
-            bucket = (T.mix(key) % np.uint64(n_buckets)).astype(np.int32)
-            doc = np.repeat(np.arange(len(ids), dtype=np.int32), n_keys)
-            order = np.argsort(bucket, kind="stable")
-            key, doc, bucket = key[order], doc[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-                some, which = np.unique(doc[lo:hi], return_inverse=True)
-                out.append((int(bucket[lo]), 1, _pack([key[lo:hi], _delta(which), _delta(ids[some]), n[some]])))
-            if len(copies):
-                out.append((int(abs(int(copies[0])) % n_buckets), 0, _pack([_delta(copies), _delta(first)])))
-            return pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "payload"])
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(piece, dtype=np.int64)
+        for p in group.column("payload").to_pylist():
+            got = unpack(p)[0]
+            total[: len(got)] += got
+        return pa.table({"piece": pa.array([group.column("piece")[0].as_py()], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()), "level": pa.array([Counts.levels(total).tobytes()], pa.binary())})
+
+    out, total = np.zeros(1 << bits, dtype=np.uint8), 0
+    added = docs.mapInArrow(run, "piece int, payload binary").groupBy("piece").applyInArrow(add, "piece int, total long, level binary")
+    for r in added.toArrow().to_pylist():
+        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["level"], dtype=np.uint8)
+        total += r["total"]
+    return Counts(bits, out, total / (1 << bits))
+
+
+# --- sketches -----------------------------------------------------------------------------------
+
+
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of sets of ``n``: a power of two with two bits a token at least."""
+    return 1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64)
+
+
+def sketches(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, first): parities of the tokens that fall on each bit. A sketch of half the words is the xor of the two halves."""
+    words = sketch_words(n)
+    first = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(len(n)), n)
+    bit = first[doc] * 64 + ((g >> _U(8)) & (words[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=int(first[-1]) * 64) & 1).astype(bool), bitorder="little").view(np.uint64), first
+
+
+def differing(words: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of a[i] and b[i] differ, on as many bits as the smaller of the two has."""
+    size = np.diff(first)
+    out, least = np.zeros(len(a), dtype=np.int64), np.minimum(size[a], size[b])
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        some, code = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        m = np.zeros((len(some), w), dtype=np.uint64)
+        for k in np.unique(size[some]).tolist():
+            of = np.flatnonzero(size[some] == k)
+            m[of] = np.bitwise_xor.reduce(words[first[some[of]][:, None] + np.arange(k)].reshape(len(of), k // w, w), axis=1)
+        x, y = code[: len(pairs)], code[len(pairs) :]
+        step = max(1, (1 << 21) // w)
+        for lo in range(0, len(pairs), step):
+            out[pairs[lo : lo + step]] = np.bitwise_count(m[x[lo : lo + step]] ^ m[y[lo : lo + step]]).sum(axis=1)
+    return out
+
+
+# --- keys and stars -----------------------------------------------------------------------------
+
+
+def keys_of(g: np.ndarray, n: np.ndarray, whole: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, level, score): keys of sets, and each set's share of frequent tokens in its prefix."""
+    first = np.concatenate([[0], np.cumsum(n)])
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    level = counts.of(g)
+    order = np.lexsort((level, doc))  # hashes ascend already, and the sort is stable
+    g, level = g[order], level[order]
+    p = prefix_size(n)
+    at = (np.arange(len(g)) - first[doc]) < p[doc]
+    g, level, doc = g[at] & ~_U(1), level[at], doc[at]
+    ends = np.concatenate([[0], np.cumsum(p)])
+    score = T.sums(level.astype(np.int64), ends) * 64 // np.maximum(p, 1)
+    often = level >= counts.frequent
+    single = ~often | (n[doc] * DEN > COMBINED * NUM)
+    out = [(g[single], doc[single], level[single]), (whole | _U(1), np.arange(len(n), dtype=np.int32), np.zeros(len(n), np.uint8))]
+    often &= n[doc] <= COMBINED
+    g, level, doc = g[often], level[often], doc[often]
+    for k in range(1, int(np.bincount(doc).max(initial=0))):  # by distance in the order
+        same = doc[k:] == doc[:-k]
+        two = T.mix(g[:-k][same] * _U(3) + T.mix(g[k:][same])) & ~_U(1)
+        out.append((two, doc[k:][same], np.minimum(level[k:], level[:-k])[same]))
+    key, doc, level = (np.concatenate(x) for x in zip(*out))
+    return key, doc, level, score
+
+
+def _packed(docs: DataFrame, n_buckets: int, counts: Counts) -> DataFrame:
+    """(bucket, kind, payload) rows: keys by bucket, links of equal sets, sizes and sketches."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        g, n, ids = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        words, _ = sketches(g, n)
+        out = [(int(abs(int(ids[0])) % n_buckets), _ABOUT, pack([delta(ids), n, words.view(np.uint8)]))]
+        first = np.concatenate([[0], np.cumsum(n)])
+        whole = T.mix(T.sums(T.mix(g.copy()), first) + n.astype(np.uint64))
+        order = np.argsort(ids, kind="stable")
+        order = order[n[order] > 0]
+        code, place = T.distinct(whole[order])
+        least = np.sort(order[place])  # the smallest id of each set
+        of = ids[order[place]][code]
+        other = ids[order] != of
+        if other.any():
+            out.append((out[0][0], _COPIES, pack([delta(ids[order][other]), delta(of[other])])))
+        keep = np.zeros(len(n), dtype=bool)
+        keep[least] = True
+        g, n, ids, whole = g[np.repeat(keep, n)], n[keep], ids[keep], whole[keep]
+        key, doc, level, score = keys_of(g, n, whole, counts)
+        parts = counts.parts(level)
+        hot = parts > 1
+        salt = np.zeros(len(key), dtype=np.uint64)
+        salt[hot] = T.mix(ids[doc[hot]].astype(np.uint64)) % parts[hot].astype(np.uint64) + _U(1)
+        bucket = (T.mix(key + salt * _U(0x9E3779B97F4A7C15)) % _U(n_buckets)).astype(np.int32)
+        order = np.lexsort((doc, bucket))
+        key, doc, bucket, salt = key[order], doc[order], bucket[order], salt[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+            some, which = np.unique(doc[lo:hi], return_inverse=True)
+            out.append((int(bucket[lo]), _KEYS, pack([key[lo:hi], delta(which), delta(ids[some]), n[some], score[some], salt[lo:hi]])))
+        return pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "payload"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo, hi, data, offsets in T.chunks(b):
                 g, n = sets_of(data, offsets)
-                first = np.concatenate([[0], np.cumsum(n)])
-                whole = T.mix(T.sums(T.mix(g.copy()), first) + n.astype(np.uint64)) | np.uint64(1)
-                mine = ids[lo:hi]
-                order = np.argsort(mine, kind="stable")
-                order = order[n[order] > 0]
-                code, place = T.distinct(whole[order])
-                least = order[place]  # the smallest id of each set
-                copies, of = mine[order], mine[least][code]
-                other = copies != of
-                least = np.sort(least)
-                p = np.zeros(len(n), dtype=np.int64)
-                p[least] = prefix_size(n[least])
-                at = prefixes_of(g, first, p, common)
-                p = p[least]
-                doc = np.repeat(np.arange(len(least)), p)
-                key = np.concatenate([g[at] & ~np.uint64(1), whole[least]])
-                by = np.argsort(np.concatenate([doc, np.arange(len(least))]), kind="stable")
-                held.append((key[by], p + 1, mine[least], n[least].astype(np.int64), copies[other], of[other]))
+                held.append((g, n.astype(np.int64), ids[lo:hi]))
                 size += len(data)
                 if size >= PACK_BYTES:
                     yield rows(held)
                     size = 0
         if held:
             yield rows(held)
-
-    names = {"key": pa.int64(), "id": pa.int64(), "n": pa.int64(), "df": pa.int64(), "other": pa.int64()}
-
-    def count(group: pa.Table) -> pa.Table:
-        kind, payload = group.column("kind").to_pylist(), group.column("payload").to_pylist()
-        out = []
-        for a, b in (_unpack(p) for k, p in zip(kind, payload) if not k):
-            a, b = _undelta(a), _undelta(b)
-            out.append((np.zeros(len(a), np.int64), a, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), b))
-        parts = [_unpack(p) for k, p in zip(kind, payload) if k]
-        if parts:
-            key = np.concatenate([p[0] for p in parts])
-            shift = np.cumsum([0, *(len(p[2]) for p in parts)])
-            doc = np.concatenate([s + _undelta(p[1]) for s, p in zip(shift, parts)])
-            ids, n = np.concatenate([_undelta(p[2]) for p in parts]), np.concatenate([p[3] for p in parts])
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            df = np.diff(begin, append=len(key))
-            keep = np.repeat(df > 1, df)
-            df = np.repeat(df, df)[keep]
-            key, doc = key[keep].astype(np.int64), doc[keep]
-            out.append((key, ids[doc], n[doc], df, np.full(len(key), -1)))
-        cols = [np.concatenate(x) for x in zip(*out)]
-        linked = cols[3] == 0
-        return pa.table({k: pa.array(c, t, mask=~linked if k == "other" else None) for (k, t), c in zip(names.items(), cols)})
-
-    packed = docs.filter("id is not null").mapInArrow(pack, "bucket int, kind int, payload binary")
-    return written(packed.groupBy("bucket").applyInArrow(count, ", ".join(f"{k} long" for k in names)), "keys")
-
-
-def _combined(keys: DataFrame) -> DataFrame:
-    """(key, id, n, w) with frequent tokens replaced by combinations of two; w is the number of frequent ones, 0 at rare tokens."""
-    frequent = (F.col("df") > FREQUENT) & (F.col("key").bitwiseAND(F.lit(1)) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, n, got in zip(*(c.to_pylist() for c in b.columns)):
-                x = np.sort(np.array(got, dtype=np.int64)).view(np.uint64)
-                for k in range(1, len(x)):  # by distance in the order, so that memory stays linear
-                    two = T.mix(x[:-k] * np.uint64(3) + T.mix(x[k:].copy())).view(np.int64)
-                    yield pa.record_batch([pa.array(two), pa.array(np.full(len(two), i)), pa.array(np.full(len(two), n)), pa.array(np.full(len(two), len(x), np.int32))], names=["key", "id", "n", "w"])
-
-    lists = keys.filter(frequent).groupBy("id", "n").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)
-    return keys.filter(~frequent & F.col("other").isNull()).select("key", "id", "n", F.lit(0).alias("w")).unionByName(lists.mapInArrow(run, "key long, id long, n long, w int"))
+        T.trim()
+
+    return docs.filter("id is not null").mapInArrow(run, "bucket int, kind int, payload binary")
+
+
+def stars(parts: list[list[np.ndarray]]) -> dict[str, np.ndarray]:
+    """(cell, a, b, na, nb): each key's documents b with its centre a. The cell is the centre, or the key itself if it is dealt over several buckets."""
+    key, salt = np.concatenate([p[0] for p in parts]), np.concatenate([p[5] for p in parts]) > 0
+    shift = np.cumsum([0, *(len(p[2]) for p in parts)])
+    doc = np.concatenate([s + undelta(p[1]) for s, p in zip(shift, parts)])
+    ids, n, score = np.concatenate([undelta(p[2]) for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64), np.concatenate([p[4] for p in parts]).astype(np.int64)
+    by_size = np.lexsort((ids, n))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[by_size] = np.arange(len(ids))
+    ids, n, score, doc = ids[by_size], n[by_size], score[by_size], place[doc]
+    order = np.lexsort((doc, key))
+    key, doc, hot = key[order].astype(np.int64), doc[order], salt[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (n[doc[:-1]] * DEN < NUM * n[doc[1:]])  # documents beyond a gap in sizes have no partner before it
+    begin = np.flatnonzero(new)
+    size = np.diff(begin, append=len(key))
+    rank = np.empty(len(ids), dtype=np.int64)
+    best = np.lexsort((ids, -score))
+    rank[best] = np.arange(len(ids))
+    centre = np.repeat(best[np.minimum.reduceat(rank[doc], begin)], size) if len(begin) else doc
+    keep = hot | (centre != doc)
+    cell, a, b, hot = key[keep], centre[keep], doc[keep], hot[keep]
+    code = a * len(ids) + b
+    _, plain = np.unique(code[~hot], return_index=True)
+    plain = np.flatnonzero(~hot)[plain]
+    split = np.flatnonzero(hot)
+    split = split[np.unique(np.stack([cell[split], code[split]]), axis=1, return_index=True)[1]] if len(split) else split
+    at = np.concatenate([plain, split])
+    return {"hot": hot[at], "cell": np.where(hot[at], cell[at], ids[a[at]]), "a": ids[a[at]], "b": ids[b[at]], "na": n[a[at]], "nb": n[b[at]]}
+
+
+_FOUND = pa.schema([("kind", pa.int32()), ("hot", pa.bool_()), ("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("sketch", pa.binary())])
+
+
+def _meet(group: pa.Table) -> pa.Table:
+    """Rows of a bucket: stars (kind 0), links of equal sets (1: a, b), sizes and sketches (2: a, na, sketch)."""
+    by_kind: dict[int, list] = {_KEYS: [], _COPIES: [], _ABOUT: []}
+    for kind, payload in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()):
+        by_kind[kind].append(unpack(payload))
+    del group
+    out = []
+    for a, b in by_kind[_COPIES]:
+        out.append(pa.table({"a": undelta(b), "b": undelta(a), "kind": np.full(len(a), _COPIES, np.int32)}))
+    for ids, n, words in by_kind[_ABOUT]:
+        n = n.astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(sketch_words(n))]) * 8
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(first.astype(np.int64).tobytes()), pa.py_buffer(words.astype(np.uint8).tobytes())])
+        out.append(pa.table({"a": undelta(ids), "na": n, "sketch": column.cast(pa.binary()), "kind": np.full(len(n), _ABOUT, np.int32)}))
+    if by_kind[_KEYS]:
+        found = stars(by_kind[_KEYS])
+        out.append(pa.table(found | {"kind": np.full(len(found["a"]), _KEYS, np.int32)}))
+    table = pa.concat_tables(pa.table({f.name: t.column(f.name) if f.name in t.column_names else pa.nulls(len(t), f.type) for f in _FOUND}, schema=_FOUND) for t in out)
+    T.trim()
+    return table
+
+
+# --- comparing documents of cells ---------------------------------------------------------------
+
+
+def candidates(cell: np.ndarray, left: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, apart): pairs of a left row x and another row y of a cell, of different components, whose sketches do not rule out that they are similar."""
+    order = np.lexsort((n, left, cell))
+    _, code = np.unique(cell[order], return_inverse=True)
+    scale = int(n.max(initial=0)) + 2
+    is_left = left[order]
+    right = np.flatnonzero(~is_left)
+    place = code[right] * scale + n[order][right]  # ascending
+    for x in np.array_split(np.flatnonzero(is_left), max(1, int(is_left.sum()) // 4096)):
+        nx = n[order][x]
+        lo = np.searchsorted(place, code[x] * scale + -(-NUM * nx // DEN))
+        hi = np.searchsorted(place, code[x] * scale + np.minimum(DEN * nx // NUM, scale - 1), side="right")
+        many = np.maximum(hi - lo, 0)
+        upto = np.cumsum(many)
+        begin = 0
+        while begin < len(x):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + 500_000, side="right")))
+            k = many[begin:end]
+            a = np.repeat(x[begin:end], k)
+            b = right[np.repeat(lo[begin:end], k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)]
+            begin = end
+            a, b = order[a], order[b]
+            ok = comp[a] != comp[b]
+            a, b = a[ok], b[ok]
+            if len(a):
+                apart = differing(words, first, a, b)
+                ok = apart <= most_apart(n[a], n[b])
+                yield a[ok], b[ok], apart[ok]
+
+
+def _sketched(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """Columns of rows with sketches: cell, left, id, component, n, and all sketches in one array."""
+    cell, left, ids, comp, n = (group.column(c).to_numpy() for c in ("cell", "left", "id", "component", "n"))
+    sketch = group.column("sketch").combine_chunks()
+    raw = np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint64)
+    return cell, left, ids, comp, n, raw, np.concatenate([[0], np.cumsum(sketch_words(n))])
+
+
+def _likeliest(group: pa.Table) -> pa.Table:
+    """(a, b, apart): pairs of a cell's left row a with b that can be similar, from rows with sketches."""
+    cols = _sketched(group)
+    ids, n = cols[2], cols[4]
+    out = [(ids[x], ids[y], d * 1000 // np.maximum(n[x] + n[y], 1)) for x, y, d in candidates(*cols)]
+    T.trim()
+    return pa.table({c: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(("a", "b", "apart"))})
+
+
+def _hopeful(group: pa.Table) -> pa.Table:
+    """(cell, left, id, component, n) of the rows that have a partner in their cell, by sketches."""
+    cols = _sketched(group)
+    keep = np.zeros(len(cols[0]), dtype=bool)
+    for x, y, _ in candidates(*cols):
+        keep[x] = keep[y] = True
+    T.trim()
+    return group.select(["cell", "left", "id", "component", "n"]).filter(pa.array(keep))
+
+
+def _joined(group: pa.Table) -> pa.Table:
+    """Links (a, b) between rows with texts that join two components of this task."""
+    cell, left, ids, comp = (group.column(c).to_numpy() for c in ("cell", "left", "id", "component"))
+    got = [sets_of(data, offsets) for b in group.select(["text"]).to_batches() for _, _, data, offsets in T.chunks(b)]
+    g, n = (np.concatenate(x) for x in zip(*got))
+    del got, group
+    n = n.astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    words, at = sketches(g, n)
+    pairs = list(candidates(cell, left, ids, comp, n, words, at))
+    x, y, apart = (np.concatenate(c) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(apart / np.maximum(n[x] + n[y], 1), kind="stable")
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    found = []
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        p, q = find(int(comp[i])), find(int(comp[j]))
+        if p != q:
+            a, b = g[first[i] : first[i + 1]], g[first[j] : first[j + 1]]
+            at_b = np.searchsorted(b, a)
+            at_b[at_b == len(b)] = 0
+            if int((b[at_b] == a).sum()) * (NUM + DEN) >= NUM * (len(a) + len(b)):
+                root[max(p, q)] = min(p, q)
+                found.append((ids[i], ids[j]))
+    T.trim()
+    return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([p for _, p in found], pa.int64())})
+
+
+def _buckets(rows: DataFrame, tokens: int) -> Column:
+    """The bucket of a row of a cell, so that a bucket has about ``tokens`` tokens in all its rows."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    return F.pmod(F.xxhash64("cell"), F.lit(max(8, -(-int(total) // tokens))))
+
+
+def _verified(rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Written links (a, b) among rows (cell, left, id, component, n), on the full sets of the texts."""
+    wanted = rows.withColumn("bucket", _buckets(rows, TEXT_TOKENS)).drop("n")
+    if rows.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    j = docs.join(wanted, "id")
+    return written(j.groupBy("bucket").applyInArrow(_joined, "a long, b long"), name)
 
 
-def _close(a: Column, b: Column) -> Column:
-    return (F.least(a, b) * DEN >= F.greatest(a, b) * NUM)
+def _close(a: str, b: str) -> Column:
+    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
-def _star(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a centre of each key with the others, salted, and ``less``, the centre's rank.
+def _blocks(n: str, rows: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / F.lit(BLOCK_TOKENS)), F.ceil(F.col(rows) / F.lit(BLOCK_ROWS)), F.lit(1)).cast("int")
 
-    The centre has the most frequent tokens, then the smallest id: of near
-    copies, one without edits is in the keys of all others, so most keys have
-    the same centre.
-    """
-    centre = F.struct((-F.col("w")).alias("less"), "id", "n")
-    salted = Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    first = keys.withColumn("c", F.min(centre).over(salted))
-    inner = first.filter("c.id <> id").select(F.col("c.less").alias("less"), F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    top = first.filter("c.id = id").withColumn("c", F.min(centre).over(Window.partitionBy("key")))
-    outer = top.filter("c.id <> id").select(F.col("c.less").alias("less"), F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    return inner.unionByName(outer).filter(_close(F.col("na"), F.col("nb"))).groupBy("a", "na", "b", "nb").agg(F.min("less").alias("less"))
 
+def _with_sketches(rows: DataFrame, about: DataFrame, run, schema: str) -> DataFrame:
+    j = about.join(rows.drop("n").withColumn("bucket", _buckets(rows, SKETCH_TOKENS)), "id")
+    return j.groupBy("bucket").applyInArrow(run, schema)
 
-def _first_centres(star: DataFrame) -> DataFrame:
-    """Of the pairs of each b, that with the foremost centre: near copies have the same one, so most links need no other pair."""
-    return star.groupBy("b", "nb").agg(F.min(F.struct("less", "a", "na")).alias("c")).select("c.a", "c.na", "b", "nb")
 
+def _first_links(star: DataFrame, about: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of documents with their likeliest centres."""
+    tops = star.filter("hot").groupBy("cell", "a", "na").agg(F.lit(1)).withColumn("top", F.first(F.struct("a", "na")).over(Window.partitionBy("cell").orderBy("a")))
+    tops = tops.select(F.col("top.a").alias("a"), F.col("a").alias("b"), F.col("top.na").alias("na"), F.col("na").alias("nb"))
+    pairs = star.select("a", "b", "na", "nb").unionByName(tops).filter(_close("na", "nb") & (F.col("a") != F.col("b")))
+    pairs = written(pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb")), "pairs")
+    likely = written(_with_sketches(_hubs(pairs), about, _likeliest, "a long, b long, apart long"), "likely")
+    sizes = about.groupBy("id").agg(F.max("n").alias("n"))
+    best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
+    best = best.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
+    return _verified(written(_hubs(best), "wanted"), docs, "links")
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    of = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-    j = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return j.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
 
+def _hubs(pairs: DataFrame) -> DataFrame:
+    """Rows (cell, left, id, component, n) of pairs (a, b, na, nb): a is the left row of each block of its b."""
+    blocks = pairs.groupBy("a", "na").agg(F.sum("nb").alias("sum"), F.count(F.lit(1)).alias("rows")).select("a", "na", _blocks("sum", "rows").alias("blocks"))
+    hubs = blocks.select(F.col("a").alias("id"), F.col("na").alias("n"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("hub"))
+    members = pairs.join(blocks.drop("na"), "a").select(F.col("b").alias("id"), F.col("nb").alias("n"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("hub"))
+    rows = hubs.withColumn("left", F.lit(True)).unionByName(members.withColumn("left", F.lit(False)))
+    return rows.select(F.xxhash64("hub", "block").alias("cell"), "left", "id", F.col("id").alias("component"), "n")
 
-def _enough(a, b, na, nb):
-    """Least number of common prefix tokens of sets of na and nb with prefixes of a and b."""
-    common = F.ceil(NUM * (na + nb) / F.lit(NUM + DEN))
-    return F.least(a - na + common, b - nb + common)
 
+def _across(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (cell, left, id, component, n) of the cells with several components.
 
-def _counted(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs whose prefixes share enough tokens."""
-    p = lambda x: prefixes.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}"), F.col("size").alias(f"p{x}"))
-    j = pairs.join(p("a"), "a").join(p("b"), "b")
-    return j.filter(F.size(F.array_intersect("ta", "tb")) >= _enough(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"))).select("a", "b")
+    Left are the documents outside a cell's main component, dealt in blocks;
+    each block meets every block of the cell's other documents.
+    """
+    both = star.select("hot", "cell", F.col("a").alias("id"), F.col("na").alias("n")).unionByName(star.select("hot", "cell", F.col("b").alias("id"), F.col("nb").alias("n")))
+    rows = both.groupBy("hot", "cell", "id").agg(F.max("n").alias("n")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = written(rows.select("hot", "cell", "id", "n", "component"), "cells")
+    parts = rows.groupBy("hot", "cell", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("sum"))
+    main = parts.groupBy("hot", "cell").agg(F.max(F.struct("rows", "sum", "component")).alias("main"), F.sum("rows").alias("rows"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    out_n, out_rows = F.col("sum") - F.col("main.sum"), F.col("rows") - F.col("main.rows")
+    main = main.select("hot", "cell", F.col("main.component").alias("main"), _blocks("sum", "rows").alias("ys"), out_n.alias("out_n"), out_rows.alias("out_rows")).withColumn("xs", _blocks("out_n", "out_rows"))
+    rows = rows.join(main, ["hot", "cell"])
+    block = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    outside = rows.filter("component <> main").withColumn("x", block("xs")).withColumn("y", every("ys")).withColumn("left", F.lit(True))
+    inside = rows.withColumn("y", block("ys")).withColumn("x", every("xs")).withColumn("left", F.lit(False))
+    return outside.unionByName(inside.select(outside.columns)).select(F.xxhash64("hot", "cell", "x", "y").alias("cell"), "left", "id", "component", "n")
+
+
+def _linked(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels, links, about): components, the links that were found, and (id, n, sketch) of every row with an id."""
+    packed = _packed(docs, max(8, -(-n_bytes // BUCKET_BYTES)), count_shingles(docs, n_bytes))
+    found = written(packed.groupBy("bucket").applyInArrow(_meet, "kind int, hot boolean, cell long, a long, b long, na long, nb long, sketch binary"), "found")
+    about = found.filter(F.col("kind") == _ABOUT).select(F.col("a").alias("id"), F.col("na").alias("n"), "sketch")
+    star = found.filter(F.col("kind") == _KEYS).select("hot", "cell", "a", "b", "na", "nb")
+    links = _first_links(star, about, docs).unionByName(found.filter(F.col("kind") == _COPIES).select("a", "b"))
+    labels = components(links)
+    rows = written(_across(star, labels), "rows")
+    hopeful = written(_with_sketches(rows, about, _hopeful, "cell long, left boolean, id long, component long, n long"), "hopeful")
+    more = _verified(hopeful, docs, "links")
+    if more.head(1):
+        links = links.unionByName(more)
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return labels, links, about
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Written pairs (a, b) whose full sets are similar."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PER_CENTRE)).cast("int").alias("parts"))
-    tasks = hot.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
-    members = pairs.join(hot, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
-    wanted = written(tasks.unionByName(members), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = docs.join(wanted, "id").select("a", "part", "id", "text")
-
-    def check(group: pa.Table) -> pa.Table:
-        centre = group.column("a")[0].as_py()
-        found: list[int] = []
-        base: list[np.ndarray] = []
-        for hub in (True, False):
-            for b in group.to_batches():
-                is_hub = np.array([x == centre for x in b.column(2).to_pylist()])
-                for lo, hi, data, offsets in T.chunks(b):
-                    if not (is_hub[lo:hi] == hub).any():
-                        continue
-                    g, n = sets_of(data, offsets)
-                    for k, s in enumerate(np.split(g, np.cumsum(n)[:-1])):
-                        if is_hub[lo + k] != hub or not len(s):
-                            continue
-                        if hub:
-                            base.append(s)
-                        elif any((len(np.intersect1d(x, s, assume_unique=True)) * (NUM + DEN) >= NUM * (len(x) + len(s))) for x in base):
-                            found.append(b.column(2)[lo + k].as_py())
-        return pa.table({"a": pa.array([centre] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
-
-    return written(rows.groupBy("a", "part").applyInArrow(check, "a long, b long"), "links")
-
-
-SKETCH = 4  # longs of a prefix's parity sketch
-
-
-def _sketch(tokens: str) -> list[Column]:
-    """Parities of the tokens that fall on each of 64 * SKETCH bits: differing bits bound the tokens not shared from below."""
-    word = "aggregate(filter({0}, x -> (shiftrightunsigned(x, 7) & {1}) = {2}), 0L, (s, x) -> s ^ shiftleft(1L, cast(shiftrightunsigned(x, 1) & 63 as int)))"
-    return [F.expr(word.format(tokens, SKETCH - 1, k)).alias(f"s{k}") for k in range(SKETCH)]
-
-
-def _across(tokens: DataFrame, labels: DataFrame, prefixes: DataFrame, n_buckets: int) -> DataFrame:
-    """Pairs of different components whose prefixes share enough tokens.
-
-    Two documents that meet in a combination of frequent tokens also meet in
-    each of the tokens, so here every token is a group of its own and a pair is
-    counted once in each group where it meets. Groups of two have been verified
-    pair by pair, so what they would add to a count is not needed.
-    """
-    k = tokens.select("key", "id", "n").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    k = written(k, "labelled")
-    mixed = k.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi and rows > 2")
-    about = prefixes.select("id", F.col("size").alias("p"), F.size("tokens").alias("t"), *_sketch("tokens"))
-    k = k.join(mixed.select("key", "rows"), "key").join(about, "id")
-    blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
-    k = k.withColumn("i", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    k = k.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    k = k.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
-    k = k.select(F.pmod(F.xxhash64("key", "x", "y"), F.lit(n_buckets)).alias("bucket"), F.xxhash64("key", "x", "y").alias("g"), (F.col("i") == F.col("x")).alias("low"), (F.col("i") == F.col("y")).alias("high"), "id", "n", "component", "p", "t", *(f"s{w}" for w in range(SKETCH)))
-
-    def run(group: pa.Table) -> pa.Table:
-        g = group.column("g").to_numpy()
-        order = np.argsort(g, kind="stable")
-        low, high, ids, n, comp, p, t = (group.column(c).to_numpy()[order] for c in ("low", "high", "id", "n", "component", "p", "t"))
-        sketch = np.stack([group.column(f"s{w}").to_numpy()[order] for w in range(SKETCH)], axis=1)
-        begin = np.flatnonzero(np.diff(g[order], prepend=g[order][0] - 1))
-        end = np.repeat(np.append(begin[1:], len(g)), np.diff(begin, append=len(g)))
-        partners = end - np.arange(len(g)) - 1  # a row is compared with those after it in its group
-        who, code = np.unique(ids, return_inverse=True)
-        held, lo = [np.zeros((3, 0), np.int64)], 0
-        total = np.cumsum(partners)
-        while lo < len(g):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, side="right")))
-            a = np.repeat(np.arange(lo, hi), partners[lo:hi])
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(partners[lo:hi]) - partners[lo:hi], partners[lo:hi])
-            ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * DEN >= NUM * np.maximum(n[a], n[b])) & ((low[a] & high[b]) | (high[a] & low[b]))
-            a, b = a[ok], b[ok]
-            differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1).astype(np.int64)
-            need = least_common(n[a], n[b])
-            need = np.minimum(p[a] - n[a] + need, p[b] - n[b] + need)
-            ok = t[a].astype(np.int64) + t[b] - differ >= 2 * need
-            x, y = code[a[ok]], code[b[ok]]
-            held.append(np.stack([np.minimum(x, y) * len(who) + np.maximum(x, y), np.ones(len(x), np.int64), need[ok]]))
-            if sum(h.shape[1] for h in held) > 2 * held[0].shape[1] + 2_000_000:
-                held = [_summed(held)]
-            lo = hi
-        pair, c, need = _summed(held)
-        return pa.table({"a": who[pair // len(who)], "b": who[pair % len(who)], "c": c, "need": need})
-
-    met = k.groupBy("bucket").applyInArrow(run, "a long, b long, c long, need long")
-    return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
-
-
-def _summed(held: list[np.ndarray]) -> np.ndarray:
-    """Rows (pair, count, need) with one column for each pair: the sum of its counts, the least of its needs."""
-    pair, c, need = np.concatenate(held, axis=1)
-    if not len(pair):
-        return np.zeros((3, 0), np.int64)
-    order = np.argsort(pair)
-    pair, c, need = pair[order], c[order], need[order]
-    begin = np.flatnonzero(np.diff(pair, prepend=pair[0] - 1))
-    return np.stack([pair[begin], np.add.reduceat(c, begin), np.minimum.reduceat(need, begin)])
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(labels, links): (id, component) of every document that is linked, and the verified links (a, b).
+    """(labels, links): (id, component) of every document that is linked, and the verified links (a, b) that connect them.
 
     The id must be a whole number.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n_buckets = max(8, -(-text_bytes(df, text_col) // BUCKET_BYTES))
-    found = _keys(docs, n_buckets, common_slots(docs))
-    copies = found.filter("other is not null").select(F.col("other").alias("a"), F.col("id").alias("b"))
-    keys = written(_combined(found), "combined")
-    tokens = found.filter("other is null").filter(F.col("key").bitwiseAND(F.lit(1)) == 0)
-    n = F.col("n")
-    size = F.least(n, n - F.ceil(n * NUM / F.lit(DEN)) + 1 + EXTRA)
-    whole = found.filter("other is null").select("id", "n").distinct()
-    prefixes = whole.join(tokens.groupBy("id").agg(F.collect_set("key").alias("tokens")), "id", "left")
-    prefixes = written(prefixes.select("id", F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"), size.alias("size")), "prefixes")
-    star = written(_star(keys), "star")
-    centres = written(_first_centres(star), "centres")
-    links = _verified(_counted(centres, prefixes), docs).unionByName(copies)
-    labels = components(links)
-    others = lambda labels: _counted(_apart(star.join(centres, ["a", "b"], "left_anti").drop("less").select("a", "na", "b", "nb"), labels), prefixes)
-    for step in (others, lambda labels: _across(tokens, labels, prefixes, n_buckets)):
-        more = _verified(step(labels), docs)
-        if more.head(1):
-            links = links.unionByName(more)
-            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return labels, links
+    return _linked(_documents(df, id_col, text_col), text_bytes(df, text_col))[:2]
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links): each document's class and the verified links it is an end of."""
-    labels, links = similar(df, id_col, text_col)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    out = _sizes(docs).join(labels.join(ends, "id", "left"), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """(id, n_shingles, component_id): each row's set size and its document's class."""
+    docs = _documents(df, id_col, text_col)
+    labels, _, about = _linked(docs, text_bytes(df, text_col))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in T.chunks(b):
+                n = sets_of(data, offsets)[1].astype(np.int64)
+                yield pa.record_batch([pa.nulls(len(n), pa.int64()), pa.array(n)], names=["id", "n"])
+
+    unnamed = docs.filter("id is null").mapInArrow(sizes, "id long, n long")
+    out = about.select("id", "n").unionByName(unnamed).join(labels, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return similarity_classes(table(spark, sf_dir, "documents"))
 
 
 SQL = {

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import table, text_bytes
+from .packing import delta, pack, undelta, unpack
 
 SPAN = 13
 GRAM = 3
@@ -58,42 +59,6 @@ _RUNS = 1  # kind of a row: suffix runs, or marks that a pack has settled
 _MARKS = 0
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Whole numbers of at least 0 as one compressed buffer, each array with as few bytes as its largest needs, byte by byte."""
-    out = []
-    for a in arrays:
-        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
-        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-        out.append(np.array([len(a), width], dtype="<i8").tobytes() + planes.tobytes())
-    raw = b"".join(out)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    out, at = [], 0
-    while at < len(raw):
-        n, width = np.frombuffer(raw, dtype="<i8", count=2, offset=at).tolist()
-        planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at + 16).reshape(width, n)
-        a = planes[0].astype(np.int32 if width < 4 else np.int64)
-        for k in range(1, width):
-            a |= planes[k].astype(a.dtype) << (8 * k)
-        out.append(a)
-        at += 16 + n * width
-    return out
-
-
-def _delta(a: np.ndarray) -> np.ndarray:
-    """Differences with the sign in the lowest bit, which are small for ids in order."""
-    d = np.diff(a.astype(np.int64), prepend=0)
-    return ((d << 1) ^ (d >> 63)).view(np.uint64)
-
-
-def _undelta(a: np.ndarray) -> np.ndarray:
-    a = a.astype(np.int64)
-    return np.cumsum((a.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(a & 1))
-
-
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... n[0] numbers, then those of start[1], ..."""
     return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
@@ -132,7 +97,7 @@ def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.nda
     begin, n = _runs_of(starts[at], doc[at])
     if len(begin):
         d = doc[at[begin]]
-        yield int(T.mix(ids[:1].astype(np.uint64))[0] % np.uint64(n_buckets)), _MARKS, _pack([_delta(ids[d]), marks[d], starts[at[begin]] - first[d], n])
+        yield int(T.mix(ids[:1].astype(np.uint64))[0] % np.uint64(n_buckets)), _MARKS, pack([delta(ids[d]), marks[d], starts[at[begin]] - first[d], n])
     # the rest, in runs with one least trigram
     gram = T.shingles(h, GRAM)
     for width in (1, 2, 4):
@@ -160,7 +125,7 @@ def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.nda
         number[vocabulary] = np.arange(len(vocabulary))
         d = doc[begin[lo:hi]]
         some, which = np.unique(d, return_inverse=True)
-        yield int(bucket[lo]), _RUNS, _pack([hashes[vocabulary], number[words], c, _delta(which), s - first[d], _delta(ids[some]), marks[some], sub[lo:hi]])
+        yield int(bucket[lo]), _RUNS, pack([hashes[vocabulary], number[words], c, delta(which), s - first[d], delta(ids[some]), marks[some], sub[lo:hi]])
 
 
 def prefix_groups(codes: np.ndarray, starts: np.ndarray, depth: int = 0, limit: int = GROUP) -> Iterator[tuple[np.ndarray, int]]:
@@ -224,12 +189,12 @@ def repeated(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray, limit: int
 
 def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marks (id, row mark, first window, windows) from a bucket's suffix runs."""
-    parts = [_unpack(p) for p in payloads]
+    parts = [unpack(p) for p in payloads]
     _, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     code = code.astype(np.int32)
     vocabularies = np.split(code, np.cumsum([len(p[0]) for p in parts])[:-1])
-    ids, marks = [_undelta(p[5]) for p in parts], [p[6] for p in parts]
-    docs = [_undelta(p[3]).astype(np.int32) for p in parts]
+    ids, marks = [undelta(p[5]) for p in parts], [p[6] for p in parts]
+    docs = [undelta(p[3]).astype(np.int32) for p in parts]
     ends = [np.concatenate([[0], np.cumsum(p[2] + (SPAN - 1))]) for p in parts]
     shift = np.cumsum([0, *map(len, ids)])
     all_ids, all_marks = np.concatenate(ids), np.concatenate(marks)
@@ -255,7 +220,7 @@ def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
     """Marks of ``docs`` (id long, mark long, text): (id, mark, at, n), n windows from word ``at`` on."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list) -> pa.RecordBatch:
             h, n, ids, marks, local = (np.concatenate(x) for x in zip(*held))
             held.clear()
@@ -283,14 +248,14 @@ def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
         marks = [p for k, p in zip(kind, payload) if k == _MARKS]
         runs = [p for k, p in zip(kind, payload) if k == _RUNS]
         del payload
-        out = [(_undelta(a), b, c, d) for a, b, c, d in map(_unpack, marks)]
+        out = [(undelta(a), b, c, d) for a, b, c, d in map(unpack, marks)]
         if runs:
             out.append(bucket_marks(runs))
         a, b, c, d = (np.concatenate(x) for x in zip(*out))
         return pa.table({"id": pa.array(a, pa.int64()), "mark": pa.array(b, pa.int64()), "at": pa.array(c, pa.int32()), "n": pa.array(d, pa.int32())})
 
-    packed = docs.filter(F.col("id").isNotNull()).mapInArrow(pack, "bucket int, kind int, payload binary")
-    return packed.groupBy("bucket").applyInArrow(grow, "id long, mark long, at int, n int")
+    rows = docs.filter(F.col("id").isNotNull()).mapInArrow(packed, "bucket int, kind int, payload binary")
+    return rows.groupBy("bucket").applyInArrow(grow, "id long, mark long, at int, n int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

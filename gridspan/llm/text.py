@@ -10,6 +10,7 @@ a byte and no per-word Python object exists.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,11 @@ import pyarrow as pa
 
 # freed Arrow buffers go back to the system, as a worker shares its executor's memory
 pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -210,3 +216,9 @@ class Remembered(dict):
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, other bytes as they are."""
     return _LOWER[data]
+
+
+def trim() -> None:
+    """Give freed memory back to the system at the end of a task's work: its worker idles on while others run."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
