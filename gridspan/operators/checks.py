@@ -62,3 +62,60 @@ def require_passed(qc: DataFrame) -> DataFrame:
     if failed:
         raise RuntimeError(f"checks failed: {', '.join(failed)}")
     return qc
+
+
+def release_checks(daily: DataFrame, reference: DataFrame, internal: float = 1e-4, external: float = 0.01, relative: float = 1e-11) -> DataFrame:
+    """(test, value, tolerance, pass): the five tests of a release.
+
+    ``daily`` has a row a date with the areas of the four definitions and
+    ``reference`` (date, total_area_km2, largest_component_area_km2) comes from
+    another program. A date of ``daily`` that the reference lacks, or has twice,
+    fails both comparisons.
+    """
+    one = reference.groupBy("date").agg(F.count(F.lit(1)).alias("times"), F.max("total_area_km2").alias("total"), F.max("largest_component_area_km2").alias("top"))
+    j = daily.join(one, "date", "left")
+    odd = F.count_if(F.coalesce("times", F.lit(0)) != 1)
+    apart = lambda a, b: F.max(F.abs(F.col(a) - F.col(b)))
+    within = lambda a, b: F.lit(external) + F.lit(relative) * F.max(F.greatest(F.abs(a), F.abs(b)))
+    above = lambda a, b: F.greatest(F.max(F.col(a) - F.col(b)), F.lit(0.0))
+    row = j.agg(
+        (F.date_diff(F.max("date"), F.min("date")) + 1 - F.count_distinct("date")).cast("double").alias("v0"), above("lcc_area_km2", "canonical_area_km2").alias("v1"), above("box_strict_area_km2", "box_inclusive_area_km2").alias("v2"),
+        apart("canonical_area_km2", "total").alias("v3"), apart("lcc_area_km2", "top").alias("v4"), within("canonical_area_km2", "total").alias("t3"), within("lcc_area_km2", "top").alias("t4"), odd.alias("odd"),
+    )
+    tests = (("daily_record_complete", F.lit(0.0)), ("lcc_within_canonical", F.lit(internal)), ("strict_within_inclusive", F.lit(internal)), ("canonical_area_vs_reference", F.col("t3")), ("lcc_area_vs_reference", F.col("t4")))
+    rows = [F.struct(F.lit(name).alias("test"), F.col(f"v{k}").alias("value"), t.alias("tolerance"), (F.coalesce(F.col(f"v{k}") <= t, F.lit(False)) & ((F.col("odd") == 0) | F.lit(k < 3))).alias("pass")) for k, (name, t) in enumerate(tests)]
+    return row.select(F.inline(F.array(*rows)))
+
+
+def grids_agree(left: DataFrame, right: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """(test, value, tolerance, pass): whether two grids (cell_id, lat, lon, in_mask) have the same cells, mask and coordinates."""
+    c = ("lat", "lon", "in_mask")
+    side = lambda g, n: g.select("cell_id", *(F.col(x).alias(f"{x}_{n}") for x in c), F.lit(True).alias(n))
+    j = side(left, "a").join(side(right, "b"), "cell_id", "full")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    row = j.agg(
+        F.count_if(~both).cast("double").alias("cells_on_both_sides"), F.count_if(both & ~F.col("in_mask_a").eqNullSafe(F.col("in_mask_b"))).cast("double").alias("mask_equal"),
+        *(F.max(F.abs(F.col(f"{x}_a") - F.col(f"{x}_b"))).alias(f"{x}_equal") for x in ("lat", "lon")),
+    )
+    tests = (("cells_on_both_sides", 0.0), ("mask_equal", 0.0), ("lat_equal", tolerance), ("lon_equal", tolerance))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(n).alias("test"), F.col(n).alias("value"), F.lit(t).alias("tolerance"), F.coalesce(F.col(n) <= t, F.lit(False)).alias("pass")) for n, t in tests))))
+
+
+def thresholds_present(df: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold_c, n_rows, present) of each expected threshold."""
+    want = df.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold_c double")
+    n = df.groupBy("threshold_c").agg(F.count(F.lit(1)).alias("n_rows"))
+    return want.join(n, "threshold_c", "left").select("threshold_c", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("n_rows").isNotNull().alias("present"))
+
+
+def require_thresholds(df: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """``df`` itself, or an error that names the thresholds it lacks."""
+    lacking = [r["threshold_c"] for r in thresholds_present(df, thresholds).filter("not present").collect()]  # a row a threshold
+    if lacking:
+        raise ValueError("no rows at " + ", ".join(f"{t:g}" for t in sorted(lacking)))
+    return df
+
+
+def with_default(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """``df`` with ``column``, which is ``value`` only where the table has no such column."""
+    return df if column in df.columns else df.withColumn(column, value)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.fields import GridArrays, field_values
+
 
 def longest_runs(members: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
     """Longest run of consecutive dates of each key (gaps and islands over members only)."""
@@ -14,21 +20,51 @@ def longest_runs(members: DataFrame, keys: list[str], date: str = "date") -> Dat
     return island.groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").cast("int").alias("longest_run"))
 
 
-def valid_days(cells: DataFrame) -> DataFrame:
-    """Days with a value of each cell inside the mask."""
-    return cells.filter(F.col("in_mask") & F.col("sst").isNotNull()).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_valid"))
+def valid_days(fields: DataFrame, grid: GridArrays) -> DataFrame:
+    """Days with a value of each cell inside the mask. Tasks count whole batches, so a batch gives a row for each cell and not each field."""
+    inside = np.flatnonzero(grid.mask.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(inside), dtype=np.int64)
+        for b in batches:
+            step = max(1, (1 << 24) // grid.mask.size)
+            for lo in range(0, b.num_rows, step):
+                n += (~np.isnan(field_values(b.column(0).slice(lo, step), grid.mask.size)[:, inside])).sum(axis=0)
+        yield pa.record_batch([pa.array(inside[n > 0].astype(np.int32)), pa.array(n[n > 0])], names=["cell_id", "n"])
 
+    return fields.select("values").mapInArrow(run, "cell_id int, n long").groupBy("cell_id").agg(F.sum("n").alias("n_valid"))
+
+
+def cell_history(members: DataFrame) -> DataFrame:
+    """(threshold_c, cell_id, n_canonical, n_lcc, longest_run): all in one shuffle of the members by cell."""
+    k = ["threshold_c", "cell_id"]
+    w = Window.partitionBy(*k).orderBy("date")
+    island = F.when(F.col("largest"), F.date_diff("date", F.lit("1970-01-01").cast("date")) - F.count_if("largest").over(w))
+    n = members.withColumn("island", island).groupBy(*k, "island").agg(F.count(F.lit(1)).alias("n"))
+    run = F.when(F.col("island").isNotNull(), F.col("n"))
+    return n.groupBy(*k).agg(F.sum("n").alias("n_canonical"), F.sum(run).alias("n_lcc"), F.max(run).cast("int").alias("longest_run"))
 
-def cell_statistics(members: DataFrame, largest: DataFrame, valid: DataFrame, thresholds: DataFrame) -> DataFrame:
+
+def cell_statistics(members: DataFrame, valid: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """(threshold_c, cell_id, n_valid, n_canonical, n_lcc, longest_run) for every valid cell; zero where it never occurs."""
     k = ["threshold_c", "cell_id"]
-    n = members.groupBy(*k).agg(F.count(F.lit(1)).alias("n_canonical"))
-    m = largest.groupBy(*k).agg(F.count(F.lit(1)).alias("n_lcc"))
-    base = valid.crossJoin(F.broadcast(thresholds))  # a handful of thresholds for each cell
-    out = base.join(n, k, "left").join(m, k, "left").join(longest_runs(largest, k), k, "left")
+    base = valid.withColumn("threshold_c", F.explode(F.array(*(F.lit(t) for t in thresholds))))
+    out = base.join(cell_history(members), k, "left")
     return out.select(*k, "n_valid", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_canonical", "n_lcc", "longest_run")))
 
 
+def cell_percentages(stats: DataFrame) -> DataFrame:
+    """(threshold_c, cell_id, canonical_pct, lcc_pct, detached_pct, mostly_lcc): shares of the valid days."""
+    pct = lambda c: F.try_divide(c * 100.0, F.col("n_valid"))
+    lcc = pct(F.col("n_lcc"))
+    return stats.select("threshold_c", "cell_id", pct(F.col("n_canonical")).alias("canonical_pct"), lcc.alias("lcc_pct"), pct(F.col("n_canonical") - F.col("n_lcc")).alias("detached_pct"), (lcc >= 50.0).alias("mostly_lcc"))
+
+
+def run_scale(stats: DataFrame, share: float = 0.99) -> DataFrame:
+    """(threshold_c, positive_cells, scale): a high percentile of the longest runs of the cells that have any."""
+    return stats.filter("longest_run > 0").groupBy("threshold_c").agg(F.count(F.lit(1)).alias("positive_cells"), F.percentile("longest_run", F.lit(share)).alias("scale"))
+
+
 def _weighted(x: Column, area: Column) -> Column:
     return F.sum(x * area) / F.sum(area)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,25 @@ def centred_mean(df: DataFrame, half: int = 182, least: int = 183, keys: list[st
     """Mean of the rows around each row; null where fewer than ``least`` have a value."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date").rowsBetween(-half, half)
     return df.withColumn("rolling_mean", F.when(F.count("value").over(w) >= least, F.avg("value").over(w)))
+
+
+def annual_metrics(df: DataFrame, keys: list[str], metrics: Sequence[str]) -> DataFrame:
+    """(keys, year, metrics, n_days, date): means of daily values over the complete years, dated at mid-year. Ratios are averaged as they are, day by day."""
+    leap = F.dayofmonth(F.last_day(F.make_date("year", F.lit(2), F.lit(1)))) == 29
+    n = df.groupBy(*keys, F.year("date").alias("year")).agg(*(F.avg(m).alias(m) for m in metrics), F.count(F.lit(1)).alias("n_days"))
+    return n.filter(F.col("n_days") == F.when(leap, 366).otherwise(365)).withColumn("date", F.make_date("year", F.lit(7), F.lit(1)))
+
+
+def monthly_metrics(df: DataFrame, keys: list[str], metrics: Sequence[str]) -> DataFrame:
+    """(keys, month, mean and sample deviation of each metric) over all years, incomplete ones too."""
+    return df.groupBy(*keys, F.month("date").alias("month")).agg(*(f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+
+
+def centred_means(df: DataFrame, keys: list[str], metrics: Sequence[str], half: int = 182, least: int = 183) -> DataFrame:
+    """``df`` with a column ``<metric>_rolling`` for each metric: the mean over the days around each day, null where fewer than ``least`` have a value.
+
+    The window is of days, not rows, so a day that is missing takes no other's
+    place. All metrics share one sort by key.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(-half, half)
+    return df.withColumns({f"{m}_rolling": F.when(F.count(m).over(w) >= least, F.avg(m).over(w)) for m in metrics})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,17 +74,15 @@ def autocorrelation(x: np.ndarray) -> np.ndarray:
 
 
 def effective_sample_size(x: np.ndarray) -> float:
-    """n / (1 + 2 s), s the weighted autocorrelations summed in pairs up to the first pair that is not positive."""
+    """n / (1 + 2 s), s the weighted autocorrelations summed in whole pairs up to the first pair that is not positive."""
     n = len(x)
     rho, s = autocorrelation(x), 0.0
     weight = 1 - np.arange(n) / n
-    k = 1
-    while k < n:
-        pair = slice(k, min(k + 2, n))
+    for k in range(1, n - 1, 2):  # whole pairs
+        pair = slice(k, k + 2)
         if rho[pair].sum() <= 0:
             break
         s += float((weight[pair] * rho[pair]).sum())
-        k += 2
     return float(np.clip(n / (1 + 2 * s), 3, n))
 
 
@@ -149,3 +148,29 @@ def hac_trend(df: DataFrame, keys: list[str]) -> DataFrame:
 
     kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
     return df.select(*keys, F.col("x").cast("double"), F.col("y").cast("double")).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, *(f"{k} {v}" for k, v in fields.items())]))
+
+
+def trend_table(df: DataFrame, keys: list[str], scale: float = 10.0) -> DataFrame:
+    """A row for each series (keys, x, y): the Theil-Sen line with its interval, the Newey-West slope, and the slope relative to the mean in percent.
+
+    Slopes are for ``scale`` units of x (ten years, say). The Newey-West
+    inference uses the effective degrees of freedom of the residuals of the
+    Theil-Sen line.
+    """
+    line, ends = theil_sen(df, keys).drop("n", "joint_intercept"), theil_sen_interval(df, keys).select(*keys, "low", "high")
+    residual = df.join(line, keys).select(*keys, "x", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")).alias("y"))
+    size = effective_sizes(residual, keys).select(*keys, F.col("effective_sample_size").alias("effective_sample_size_residual"), F.col("df").alias("effective_degrees_of_freedom"))
+    hac = hac_trend(df, keys).select(*keys, F.col("slope").alias("hac"), "se", F.col("maxlags").alias("hac_maxlags"), F.col("t").alias("hac_t"))
+    out = df.groupBy(*keys).agg(F.count("y").cast("int").alias("n"), F.avg("y").alias("mean")).join(line, keys).join(ends, keys).join(size, keys).join(hac, keys)
+
+    def inference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            half = [t_quantile(0.975, d) * e for d, e in zip(b["effective_degrees_of_freedom"], b["hac_se"])]
+            yield b.assign(hac_low=b["hac_slope"] - half, hac_high=b["hac_slope"] + half, hac_p=[t_two_sided(t, d) for t, d in zip(b["hac_t"], b["effective_degrees_of_freedom"])])
+
+    s = F.lit(scale)
+    out = out.select(
+        *keys, "n", "mean", (s * F.col("slope")).alias("theil_sen_slope"), (s * F.col("low")).alias("low"), (s * F.col("high")).alias("high"), "intercept", "effective_sample_size_residual", "effective_degrees_of_freedom", "hac_maxlags",
+        (s * F.col("hac")).alias("hac_slope"), (s * F.col("se")).alias("hac_se"), "hac_t", (F.try_divide(F.col("slope") * s, F.col("mean")) * 100).alias("relative_slope_pct"),
+    )
+    return out.mapInPandas(inference, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", hac_low double, hac_high double, hac_p double")

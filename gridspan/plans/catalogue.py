@@ -8,7 +8,6 @@ on their order.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +19,18 @@ THRESHOLDS = (0.05, 0.10, 0.15)
 BOX_LAT, BOX_LON, BOX_THRESHOLD = (-20.0, 20.0), (90.0, 270.0), 0.05
 MASKED = (3, 4)
 N_LAT = N_LON = 8
-MASK = ~np.isin(np.arange(N_LAT * N_LON), MASKED).reshape(N_LAT, N_LON)
 
 
 def _grid(spark: SparkSession) -> DataFrame:
     return src.regular_grid(spark, N_LAT, N_LON, -35.0, 10.0, 22.5, 45.0, MASKED)
 
 
+def _arrays(spark: SparkSession) -> src.GridArrays:
+    return src.grid_arrays(_grid(spark))
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
-    e = src.read_table(spark, d, "embeddings").filter(F.size("embedding") == N_LAT * N_LON)
+    e = src.read_table(spark, d, "embeddings")
     return src.fields(e, F.date_add(F.lit("1982-01-01").cast("date"), F.col("vec_id").cast("int")), "embedding")
 
 
@@ -37,21 +39,19 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return labelling.label_components(_fields(spark, d), MASK, THRESHOLDS)
+    return labelling.label_components(_fields(spark, d), _arrays(spark), THRESHOLDS)
 
 
-def _largest(spark: SparkSession, d: str) -> DataFrame:
-    m = _members(spark, d)
-    return labelling.largest_members(m, labelling.largest_components(labelling.component_areas(m, _grid(spark))))
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    return labelling.component_table(_fields(spark, d), _arrays(spark), THRESHOLDS)
 
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    thresholds = spark.createDataFrame([(t,) for t in THRESHOLDS], "threshold_c double")
-    return occurrence.cell_statistics(_members(spark, d), _largest(spark, d), occurrence.valid_days(_cells(spark, d)), thresholds)
+    return occurrence.cell_statistics(_members(spark, d), occurrence.valid_days(_fields(spark, d), _arrays(spark)), THRESHOLDS)
 
 
-def _rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
-    return df.withColumns({c: F.round(c, p) for c, p in places.items()})
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -79,11 +79,11 @@ def grid_cell_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lcc_components(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(labelling.component_areas(_members(spark, d), _grid(spark)).select("date", "threshold_c", "component_id", "n_cells", "area_km2"), {"area_km2": 2})
+    return _rounded(_components(spark, d).select("date", "threshold_c", "component_id", "n_cells", "area_km2"), {"area_km2": 2})
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
-    return labelling.daily_diagnostics(labelling.component_areas(_members(spark, d), _grid(spark)))
+    return labelling.daily_diagnostics(_components(spark, d))
 
 
 def lcc_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -115,17 +115,17 @@ def user_longest_active_run(spark: SparkSession, d: str) -> DataFrame:
     return occurrence.longest_runs(e, ["user_id"])
 
 
-def _flagged(spark: SparkSession, d: str) -> DataFrame:
-    return regions.flag_definitions(_cells(spark, d), _largest(spark, d), BOX_THRESHOLD, BOX_LAT, BOX_LON)
+def _definitions(spark: SparkSession, d: str) -> DataFrame:
+    return regions.definition_daily(_fields(spark, d), _arrays(spark), BOX_THRESHOLD, BOX_LAT, BOX_LON)
 
 
 def definition_daily(spark: SparkSession, d: str) -> DataFrame:
-    out = regions.definition_daily(_flagged(spark, d))
+    out = _definitions(spark, d)
     return _rounded(out, {c: 1 if c.endswith("km2") else 4 for c, t in out.dtypes if t == "double"})
 
 
 def definition_annual(spark: SparkSession, d: str) -> DataFrame:
-    tidy = regions.unpivot_definitions(regions.definition_daily(_flagged(spark, d))).withColumn("year", F.year("date"))
+    tidy = regions.unpivot_definitions(_definitions(spark, d)).withColumn("year", F.year("date"))
     out = regions.definition_summary(tidy, ["year"])
     return _rounded(out, {"mean_daily_area_km2": 1, "median_daily_area_km2": 1, "mean_daily_mean_sst": 5, "area_time_weighted_mean_sst": 5})
 
@@ -194,7 +194,7 @@ def representative_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def qc_summary(spark: SparkSession, d: str) -> DataFrame:
     """(test, value, tolerance, pass): the checks that gate a release."""
-    daily = regions.definition_daily(_flagged(spark, d))
+    daily = _definitions(spark, d)
     one = daily.agg(
         F.max(F.col("lcc_area_km2") - F.col("canonical_area_km2")).alias("a"), F.max(F.col("box_strict_area_km2") - F.col("box_inclusive_area_km2")).alias("b"),
         (F.date_diff(F.max("date"), F.min("date")) + 1 - F.count_distinct("date")).cast("double").alias("c"),
@@ -205,7 +205,7 @@ def qc_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """(relative_path, bytes, sha256) of all files of a folder."""
-    return products.manifest(spark, d)
+    return products.manifest(spark, d).orderBy("relative_path")
 
 
 def _dated(query):

@@ -79,12 +79,12 @@ def stl_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def definition_overlap(spark: SparkSession, d: str) -> DataFrame:
-    out = regions.definition_daily(base._flagged(spark, d)).select("date", "intersection_area_km2", "union_area_km2", "lcc_outside_box_area_km2", "area_jaccard")
+    out = base._definitions(spark, d).select("date", "intersection_area_km2", "union_area_km2", "lcc_outside_box_area_km2", "area_jaccard")
     return base._rounded(out, {"intersection_area_km2": 1, "union_area_km2": 1, "lcc_outside_box_area_km2": 1, "area_jaccard": 6})
 
 
 def definition_period(spark: SparkSession, d: str) -> DataFrame:
-    out = regions.period_summary(regions.definition_daily(base._flagged(spark, d)), PERIODS)
+    out = regions.period_summary(base._definitions(spark, d), PERIODS)
     return base._rounded(out, {c: 1 if c.endswith("km2") else 5 for c, t in out.dtypes if t == "double"})
 
 
@@ -100,9 +100,9 @@ def grid_check(spark: SparkSession, d: str) -> DataFrame:
 
 def reference_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """The largest component's area from the components against the same from its cells."""
-    m, grid, by = base._members(spark, d), base._grid(spark), ["date", "threshold_c"]
-    top = labelling.largest_components(labelling.component_areas(m, grid)).select(*by, F.col("area_km2").alias("area"))
-    cells = base._largest(spark, d).join(F.broadcast(grid.select("cell_id", "area_km2")), "cell_id").groupBy(*by).agg(F.sum("area_km2").alias("area"))
+    by = ["date", "threshold_c"]
+    top = base._components(spark, d).filter("largest").select(*by, F.col("area_km2").alias("area"))
+    cells = labelling.component_areas(base._members(spark, d).filter("largest"), base._grid(spark)).select(*by, F.col("area_km2").alias("area"))
     qc = checks.reconcile(top, cells, by, "area", "lcc_area_two_ways", 1e-4, 1e-11)
     return qc.select("test", F.round("value", 2).alias("value"), F.round("tolerance", 3).alias("tolerance"), "pass")
 
@@ -126,6 +126,11 @@ _BAND_ROWS = ", ".join(f"('{n}', {lo}::DOUBLE, {hi}::DOUBLE)" for n, lo, hi in B
 _PERIOD_ROWS = ", ".join(f"('{n}', {a}, {b})" for n, a, b in PERIODS)
 _LAMBDA = f"{wavelet.LAMBDA!r}::DOUBLE"
 
+_GRID_TESTS = """SELECT test, value, 0.0::DOUBLE AS tolerance, value <= 0 AS pass FROM (
+        SELECT 'lat_ascending' AS test, CAST(count(*) FILTER (step <= 0 OR spread > 1e-8) AS DOUBLE) AS value FROM (SELECT x - lag(x) OVER (ORDER BY i) AS step, spread FROM (SELECT i, min(lat) AS x, max(lat) - min(lat) AS spread FROM {t} GROUP BY i))
+        UNION ALL SELECT 'lon_ascending', CAST(count(*) FILTER (step <= 0 OR spread > 1e-8) AS DOUBLE) FROM (SELECT x - lag(x) OVER (ORDER BY j) AS step, spread FROM (SELECT j, min(lon) AS x, max(lon) - min(lon) AS spread FROM {t} GROUP BY j))
+        UNION ALL SELECT 'cells_present', CAST(abs(count(DISTINCT cell_id) - 64) AS DOUBLE) FROM {t} UNION ALL SELECT 'areas_positive', CAST(count(*) FILTER (area_km2 IS NULL OR NOT area_km2 > 0) AS DOUBLE) FROM {t})"""
+
 ORACLES = {
     "theil_sen_ci": f"""WITH {base._MONTHLY}, sl AS (SELECT a.priority, (b.y - a.y) / (b.x - a.x) AS slope FROM mo a JOIN mo b ON a.priority = b.priority AND a.x < b.x),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY slope) AS r, count(*) OVER (PARTITION BY priority) AS nt FROM sl),
@@ -134,7 +139,7 @@ ORACLES = {
         SELECT priority, any_value(n) AS n, round(median(slope), 4) AS slope, round(max(slope) FILTER (r = greatest(round_even((nt - zs) / 2, 0), 1)), 4) AS low,
         round(max(slope) FILTER (r = least(round_even((nt + zs) / 2, 0), nt - 1) + 1), 4) AS high FROM ranked JOIN sg USING (priority) GROUP BY priority""",
     "acf": f"WITH {_RHO} SELECT priority, lag, round(rho, 6) AS rho FROM rho",
-    "effective_sample_size": f"""WITH {_RHO}, pr AS (SELECT priority, n, (lag + 1) // 2 AS m, sum(rho) AS pair, sum((1 - lag / n) * rho) AS w FROM rho WHERE lag > 0 GROUP BY ALL),
+    "effective_sample_size": f"""WITH {_RHO}, pr AS (SELECT priority, n, (lag + 1) // 2 AS m, sum(rho) AS pair, sum((1 - lag / n) * rho) AS w FROM rho WHERE lag > 0 GROUP BY ALL HAVING count(*) = 2),
         bad AS (SELECT priority, min(m) AS m FROM pr WHERE pair <= 0 GROUP BY priority),
         e AS (SELECT mo.priority, count(*) AS n, coalesce((SELECT sum(w) FROM pr LEFT JOIN bad USING (priority) WHERE pr.priority = mo.priority AND (bad.m IS NULL OR pr.m < bad.m)), 0) AS s FROM mo GROUP BY mo.priority),
         f AS (SELECT priority, n, least(greatest(n / (1 + 2 * s), 3), n) AS v FROM e)
@@ -156,7 +161,8 @@ ORACLES = {
     "record_check": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS date, sum(value) AS value FROM events GROUP BY ALL), s AS (SELECT CAST(date_diff('day', min(date), max(date)) + 1 AS INTEGER) AS e FROM d)
         SELECT event_type, any_value(e) AS n_expected, any_value(e) - count(DISTINCT date) AS n_missing, count(*) FILTER (date IS NULL) AS n_outside, count(date) - count(DISTINCT date) AS n_repeated, count(*) FILTER (value IS NULL) AS n_null,
         any_value(e) = count(DISTINCT date) AND count(*) = count(value) AND count(date) = count(DISTINCT date) AND count(*) = count(date) AS complete FROM d, s GROUP BY event_type""",
-    "grid_check": "SELECT unnest(['lat_ascending', 'lon_ascending', 'cells_present', 'areas_positive']) AS test, 0.0::DOUBLE AS value, 0.0::DOUBLE AS tolerance, true AS pass",
+    "grid_check": f"WITH {base._GRID} {_GRID_TESTS.format(t='g')}",
+    "dominant_period": f"WITH {_WELCH} SELECT 'all' AS series, round(first(1 / f ORDER BY p DESC, k), 6) AS dominant_period_days FROM psd",
     "reference_reconcile": f"""WITH RECURSIVE {base._MEMBERS}, w AS (SELECT l.date, l.threshold_c, sum(g.area_km2) AS a FROM lcc l JOIN g USING (cell_id) GROUP BY ALL)
         SELECT 'lcc_area_two_ways' AS test, round(max(abs(top.area_km2 - w.a)), 2) AS value, round(0.0001 + 1e-11 * max(w.a), 3) AS tolerance, max(abs(top.area_km2 - w.a)) <= 0.0001 + 1e-11 * max(w.a) AS pass FROM top JOIN w USING (date, threshold_c)""",
 }

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the library expects: UTC and adaptive execution."""
@@ -24,8 +26,14 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once for each Spark application."""
+    """Send this package to the Python workers, once for each Spark application.
+
+    Arrow batches are kept to some megabytes, unless the session says otherwise:
+    rows can be long texts or whole fields, and a count of rows does not bound them.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if getattr(sc, "_gridspan_shipped", None) != sc.applicationId:
         root = Path(__file__).resolve().parent
         path = os.path.join(tempfile.mkdtemp(prefix="gridspan-"), "gridspan.zip")

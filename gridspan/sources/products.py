@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import code_of, threshold_of
 from ..session import ship
 
 PIECE = 1 << 20
@@ -21,9 +23,19 @@ TASKS = 10_000
 CHECKSUMS = "relative_path string, bytes long, sha256 string"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A small table with a header, in one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, digits: int = 10) -> None:
+    """A small table with a header, in one file; doubles with ``digits`` significant digits.
+
+    It is written beside ``path`` and put in its place when it is whole.
+    """
+    out = df.withColumns({c: F.when(F.isnan(c), None).otherwise(F.format_string(f"%.{digits - 1}e", c)).cast("double") for c, t in df.dtypes if t == "double"})
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    out.coalesce(1).write.option("header", True).csv(aside)
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(aside), hadoop(path)):
+        raise OSError(f"{aside} could not be moved to {path}")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -79,6 +91,34 @@ def yearly(spark: SparkSession, path: str, build: Callable[[list[int]], DataFram
     return spark.read.parquet(path).filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], required: Iterable[str] = (), rebuild: bool = False) -> DataFrame:
+    """A stored table, built anew if it is absent, lacks a required column or ``rebuild`` is set."""
+    if not rebuild and exists(spark, path):
+        found = spark.read.parquet(path)
+        if set(required) <= set(found.columns):
+            return found
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def flattened(df: DataFrame, keys: list[str], thresholds: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(keys, t<code>__<name> ...): a column for each threshold and value of rows (keys, threshold_c, names). A threshold without rows is an error."""
+    lacking = set(thresholds) - {r["threshold_c"] for r in df.select("threshold_c").distinct().collect()}  # a row a threshold
+    if lacking:
+        raise ValueError("no rows at " + ", ".join(f"{t:g}" for t in sorted(lacking)))
+    return df.groupBy(*keys).agg(*(F.max(F.when(F.col("threshold_c") == t, F.col(n))).alias(f"t{code_of(t)}__{n}") for t in thresholds for n in names))
+
+
+def unflattened(df: DataFrame, keys: list[str], thresholds: Sequence[float]) -> DataFrame:
+    """(keys, threshold_c, name, value) of the columns t<code>__<name>. A threshold without columns is an error."""
+    parts = [(c, threshold_of(c.split("__", 1)[0][1:]), c.split("__", 1)[1]) for c in df.columns if "__" in c and c not in keys]
+    lacking = set(thresholds) - {t for _, t, _ in parts}
+    if lacking:
+        raise ValueError("no columns at " + ", ".join(f"{t:g}" for t in sorted(lacking)))
+    rows = F.array(*(F.struct(F.lit(t).alias("threshold_c"), F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for c, t, n in parts))
+    return df.select(*keys, F.inline(rows))
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -7,10 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gridspan.plans import catalogue, series_catalogue
+from gridspan.plans import catalogue, record_catalogue, series_catalogue
 
-QUERIES = catalogue.QUERIES | series_catalogue.QUERIES
-ORACLES = catalogue.ORACLES | series_catalogue.ORACLES
+QUERIES = catalogue.QUERIES | series_catalogue.QUERIES | record_catalogue.QUERIES
+ORACLES = catalogue.ORACLES | series_catalogue.ORACLES | record_catalogue.ORACLES
 DIR = "/root/testdata/sf0.001"
 
 

@@ -58,9 +58,14 @@ def test_grid_covers_the_sphere(spark):
 def test_non_finite_values_never_pass_a_threshold(spark):
     df = spark.createDataFrame([(dt.date(2000, 1, 1), [float("nan"), float("inf"), None, 1.0])], "d date, v array<double>")
     f = src.fields(df, F.col("d"), "v")
-    got = labelling.label_components(f, np.ones((2, 2), bool), (0.5,)).collect()
-    assert [(r["cell_id"], r["component_id"]) for r in got] == [(3, 3)]
-    assert labelling.label_components(f.limit(0), np.ones((2, 2), bool), (0.5,)).count() == 0
+    grid = src.grid_arrays(src.regular_grid(spark, 2, 2, -45.0, 90.0, 90.0, 180.0))
+    got = labelling.label_components(f, grid, (0.5,)).collect()
+    assert [(r["cell_id"], r["component_id"], r["largest"]) for r in got] == [(3, 3, True)]
+    assert labelling.label_components(f.limit(0), grid, (0.5,)).count() == 0
+    assert {r["cell_id"]: r["n_valid"] for r in occurrence.valid_days(f, grid).collect()} == {3: 1}
+    small = src.fields(spark.createDataFrame([(dt.date(2000, 1, 1), [1.0])], "d date, v array<double>"), F.col("d"), "v")
+    with pytest.raises(Exception, match="1 cells where the grid has 4"):
+        labelling.label_components(small, grid, (0.5,)).collect()
 
 
 def test_wrapped_longitude_and_distance(spark):
