@@ -70,8 +70,8 @@ FREQUENT = 1024
 COMBINED = 200
 HOT = 1 << 20
 #: The table of counts has a slot for about so many shingles, and 2 ** MAX_SLOT_BITS slots of one byte at most.
-SLOT_LOAD, MIN_SLOT_BITS, MAX_SLOT_BITS = 16, 16, 26
-PACK_BYTES = 16 << 20
+SLOT_LOAD, MIN_SLOT_BITS, MAX_SLOT_BITS = 32, 16, 26
+PACK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 #: Tokens of the documents of one block of a cell, and documents in it.
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 20, 2048
@@ -145,10 +145,11 @@ def count_shingles(docs: DataFrame, n_bytes: int) -> Counts:
         held, size = [], 0
 
         def found() -> pa.RecordBatch:
-            count = np.bincount(np.concatenate(held), minlength=1 << bits)
+            slot, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            parts = [pack([p]) for p in np.split(count, range(piece, len(count), piece))]
-            return pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["piece", "payload"])
+            cuts = np.flatnonzero(np.diff(slot // piece, prepend=-1))
+            parts = [pack([np.diff(slot[lo:hi], prepend=slot[lo] // piece * piece), count[lo:hi]]) for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slot)])]
+            return pa.record_batch([pa.array((slot[cuts] // piece).astype(np.int32)), pa.array(parts, pa.binary())], names=["piece", "payload"])
 
         for b in batches:
             for _, _, data, offsets in T.chunks(b):
@@ -162,12 +163,13 @@ def count_shingles(docs: DataFrame, n_bytes: int) -> Counts:
                     size = 0
         if held:
             yield found()
+        T.trim()
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(piece, dtype=np.int64)
         for p in group.column("payload").to_pylist():
-            got = unpack(p)[0]
-            total[: len(got)] += got
+            step, n = unpack(p)
+            total[np.cumsum(step)] += n
         return pa.table({"piece": pa.array([group.column("piece")[0].as_py()], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()), "level": pa.array([Counts.levels(total).tobytes()], pa.binary())})
 
     out, total = np.zeros(1 << bits, dtype=np.uint8), 0

@@ -90,10 +90,27 @@ class Words:
         h = (total[self.ends] - total[self.starts]) * q[self.starts]
         return mix(h + (self.ends - self.starts).astype(np.uint64))
 
+    def array(self) -> pa.Array:
+        """The words themselves."""
+        return binary_array(self.data[~_SPACE[self.data]], np.concatenate([[0], np.cumsum(self.ends - self.starts)]))
+
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Byte strings ``data[offsets[i]:offsets[i + 1]]``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.astype(np.uint8).tobytes())])
+
+
+def binary_buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of byte strings."""
+    _, off, data = strings.buffers()
+    offsets = np.frombuffer(off, dtype=np.int64, count=len(strings) + 1 + strings.offset)[strings.offset :]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Words of the documents ``data[offsets[i]:offsets[i + 1]]``; a word never spans documents."""
     if lower:
