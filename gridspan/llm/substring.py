@@ -1,25 +1,33 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
 A window is ``SPAN`` words of a document. A word goes if a window that covers
-it also starts in a document with a smaller id.
-
-*Suffix runs.* Every window start is a suffix, of which ``SPAN`` words matter.
-Neighbouring suffixes that share their least trigram hash (a window's least
-trigram depends on its words alone) travel together as one run of words, so a
-suffix costs a few bytes instead of ``SPAN`` words, and equal windows meet in
-the same bucket. A task packs its runs into one payload for each bucket: the
-distinct words' hashes once, then small codes. Suffixes that already
-repeat a smaller document of the same few megabytes are settled there and only
-the smallest document's are sent, so a passage that stands in a third of all
-documents arrives once from each such chunk.
-
-*Subtrees.* In a bucket, variable-length prefixes split the suffixes into
-groups of at most ``GROUP`` (a prefix with more is extended by a word, again
-and again; only suffixes equal in all ``SPAN`` words can exceed it). Each
-group's subtree is grown from its root, some words at a time: suffixes with
-equal next words stay together as an internal node, a suffix that is alone is a
-leaf and needs no more work. Nodes that reach depth ``SPAN`` hold the repeats;
-all their suffixes but those of the smallest document are marked.
+it also starts in a document with a smaller id. Every window start is a suffix,
+of which ``SPAN`` words matter. Suffixes are grouped by prefixes, a group's
+subtree is grown, and its nodes of depth ``SPAN`` are the repeats: all their
+suffixes but those of the smallest document are marked. Trees alone decide, on
+codes of words that are dealt by comparing the words' bytes.
+
+*Trees of a pack.* A task first grows the trees of the few megabytes that it
+has read. Suffixes that repeat a smaller document of the pack are marked there;
+one document's go on, so a passage that stands in a third of all documents
+leaves each pack once.
+
+*Prefix groups.* What is left is dealt to buckets by variable-length prefixes. The
+shortest is the suffix's anchor, the least of the hashes of its windows' three
+words: neighbouring suffixes share it, so they travel as one run of words and
+a suffix costs a few bytes instead of ``SPAN`` words. A first pass counts the
+suffixes of every anchor, and of the prefixes of the lengths in ``LENGTHS``, in tables of
+slots; where an anchor has more than ``HOT`` suffixes they are dealt by their
+first words instead, by as many as it takes to come below it, and by all
+``SPAN`` at last. Each of these keys depends on a suffix's ``SPAN`` words alone, so
+equal ones meet. A payload has the distinct words once, then small codes.
+
+*Subtrees.* In a bucket, prefixes split the suffixes into groups of at most
+``GROUP`` (a prefix with more is extended by a word, again and again; only
+suffixes equal in all ``SPAN`` words can exceed it, and of those a pack has sent
+one document's). Each group's subtree is grown from its root, some words at a
+time: suffixes with equal next words stay together as an internal node, a
+suffix that is alone is a leaf and needs no more work.
 
 Marks come back as (document, first window, number of windows), are gathered by
 document and cut out of its text. The number of buckets follows the bytes of
@@ -27,10 +35,9 @@ text, so a bucket's memory does not.
 
 Defined results: null texts have no words. Null ids neither lose words nor make
 others lose them. Rows that repeat an id do not affect each other, whatever
-their texts, as no id is smaller than itself. Documents of fewer than ``SPAN``
-words are kept whole. Words are compared by 40-bit hashes, place by place, so
-windows that differ in one word are confused once in 2**40 such pairs.
-Other columns are not read.
+their texts, as no id is smaller than itself; they are told apart by a 64-bit
+hash of the text. Documents of fewer than ``SPAN`` words are kept whole. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -48,13 +55,15 @@ from .packing import delta, pack, undelta, unpack
 
 SPAN = 13
 GRAM = 3
-GROUP = 1_000_000
+#: Words of the longer prefixes by which the suffixes of a hot anchor are dealt; SPAN follows.
+LENGTHS = (4, 8)
+#: Suffixes of one prefix above which it is extended: before they are dealt, and inside a bucket.
+HOT, GROUP = 200_000, 1_000_000
+MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 26
 #: A bucket's runs are ordered by so many sub-buckets, whose trees are grown one after the other.
 SUBS = 8
 PACK_BYTES = 16 << 20
 BUCKET_BYTES = 28 << 20
-#: Bits of a word's hash that travel. Two windows that differ are taken for equal only if every pair of differing words at one place collides.
-WORD_BITS = 40
 _RUNS = 1  # kind of a row: suffix runs, or marks that a pack has settled
 _MARKS = 0
 
@@ -76,60 +85,136 @@ def _runs_of(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin, np.diff(begin, append=len(at))
 
 
-def settled(h: np.ndarray, first: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each window of a few documents also starts in one of them with a smaller id."""
-    starts = T.window_starts(first, SPAN)
-    doc = np.repeat(ids, np.maximum(np.diff(first) - SPAN + 1, 0))
-    code, place = T.distinct(T.shingles(h, SPAN)[starts])
-    least = doc[place]
-    np.minimum.at(least, code, doc)
-    return doc > least[code]
+def anchors(h: np.ndarray) -> np.ndarray:
+    """The least hash of ``GRAM`` words in the window that begins at each word."""
+    gram = T.shingles(h, GRAM)
+    if len(h) < SPAN:
+        return gram[:0]
+    for width in (1, 2, 4):
+        gram = np.minimum(gram[:-width], gram[width:])
+    extra = SPAN - GRAM + 1 - 8
+    return T.mix(np.minimum(gram[:-extra], gram[extra:]))
+
+
+def coded(words: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """(code of each word, distinct words): equal codes are equal bytes."""
+    d = pa.concat_arrays(words).dictionary_encode()
+    return d.indices.to_numpy(), d.dictionary
+
+
+def prefix_keys(h: np.ndarray, starts: np.ndarray, hot: list[np.ndarray], bits: int) -> np.ndarray:
+    """The hash of the prefix by which the suffix at each of ``starts`` is dealt; ``hot`` are bits of the slots with too many, by length."""
+    key = anchors(h)[starts]
+    rest = np.flatnonzero(is_hot(key, hot[0], bits))
+    for k, length in enumerate((*LENGTHS, SPAN)):
+        if not len(rest):
+            break
+        longer = T.shingles(h, length)[starts[rest]] + np.uint64(length)
+        key[rest] = longer
+        if length < SPAN:
+            rest = rest[is_hot(longer, hot[k + 1], bits)]
+    return key
+
+
+def is_hot(key: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    slot = (key >> np.uint64(64 - bits)).astype(np.int64)
+    return (hot[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def hot_prefixes(docs: DataFrame, n_bytes: int) -> tuple[list[np.ndarray], int]:
+    """(bits of hot slots for anchors and each of ``LENGTHS``, bits of a slot number).
+
+    A pack counts each distinct window once, as its trees will send one
+    document's. Tables have a fixed number of slots, so what comes to the driver
+    is at most 2 ** MAX_SLOT_BITS bits a table.
+    """
+    load = max(1, n_bytes // 6 * 16 // HOT)
+    bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, load.bit_length()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 + len(LENGTHS), 1 << bits), dtype=np.int64)
+        held, size = [], 0
+
+        def add() -> None:
+            window, *keys = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            _, place = T.distinct(window)
+            for k, key in enumerate(keys):
+                total[k] += np.bincount(key[place], minlength=1 << bits)
 
-def pack_runs(h: np.ndarray, n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, local: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, payload) rows of a pack of documents; ``marks`` tells rows of one id apart, ``local`` marks settled windows."""
+        for b in batches:
+            for _, _, data, offsets in T.chunks(b):
+                w = T.words_of(data, offsets)
+                h, at = w.hashes(), T.window_starts(w.first, SPAN)
+                if len(at):
+                    keys = [anchors(h)[at], *(T.shingles(h, n)[at] + np.uint64(n) for n in LENGTHS)]
+                    held.append((T.shingles(h, SPAN)[at], *((k >> np.uint64(64 - bits)).astype(np.int32) for k in keys)))
+                size += len(data)
+                if size >= PACK_BYTES and held:
+                    add()
+                    size = 0
+        if held:
+            add()
+        level, slot = np.nonzero(total)
+        n = total[level, slot]
+        del total
+        T.trim()
+        for lo in range(0, len(n), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            yield pa.record_batch([pa.array(level[part].astype(np.int32)), pa.array(slot[part].astype(np.int32)), pa.array(n[part])], names=["level", "slot", "n"])
+
+    counts = docs.mapInArrow(run, "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
+    limit = max(HOT, 4 * (n_bytes // 6 >> bits))
+    found = counts.filter(F.col("n") > limit).select("level", "slot").toArrow()
+    level, slot = found.column("level").to_numpy(), found.column("slot").to_numpy()
+    out = []
+    for k in range(1 + len(LENGTHS)):
+        flags = np.zeros(1 << bits, dtype=bool)
+        flags[slot[level == k]] = True
+        out.append(np.packbits(flags, bitorder="little"))
+    return out, bits
+
+
+def pack_runs(h: np.ndarray, words: list[pa.Array], n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, hot: list[np.ndarray], bits: int, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, payload) rows of a pack of documents; ``marks`` tells rows of one id apart."""
     first = np.concatenate([[0], np.cumsum(n_words)])
     starts = T.window_starts(first, SPAN)
     if not len(starts):
         return
+    codes, dictionary = coded(words)
     doc = np.repeat(np.arange(len(n_words), dtype=np.int32), np.maximum(n_words - SPAN + 1, 0))
+    local = repeated(codes, starts, ids[doc])
     at = np.flatnonzero(local)
     begin, n = _runs_of(starts[at], doc[at])
     if len(begin):
         d = doc[at[begin]]
-        yield int(T.mix(ids[:1].astype(np.uint64))[0] % np.uint64(n_buckets)), _MARKS, pack([delta(ids[d]), marks[d], starts[at[begin]] - first[d], n])
-    # the rest, in runs with one least trigram
-    gram = T.shingles(h, GRAM)
-    for width in (1, 2, 4):
-        gram = np.minimum(gram[:-width], gram[width:])
-    extra = SPAN - GRAM + 1 - 8
-    gram = np.minimum(gram[:-extra], gram[extra:])
+        yield int(T.mix(ids[:1].astype(np.uint64))[0] % np.uint64(n_buckets)), _MARKS, pack([delta(ids[d]), marks[d].view(np.uint64), starts[at[begin]] - first[d], n])
+    # the rest, in runs of one prefix
     at = np.flatnonzero(~local)
-    least_gram = gram[starts[at]]
-    del gram, local
-    begin, n = _runs_of(starts[at], doc[at], least_gram)
-    bucket = (T.mix(least_gram[begin]) % np.uint64(n_buckets * SUBS)).astype(np.int64)
+    key = prefix_keys(h, starts[at], hot, bits)
+    begin, n = _runs_of(starts[at], doc[at], key)
+    bucket = (T.mix(key[begin]) % np.uint64(n_buckets * SUBS)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     sub, bucket, begin, n = bucket[order] % SUBS, bucket[order] // SUBS, at[begin[order]], n[order]
-    del at, least_gram, order
-    word_code, word_place = T.distinct(h)
-    word_code, hashes = word_code.astype(np.int32), h[word_place] >> np.uint64(64 - WORD_BITS)
+    del at, key, order, local
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
         s, c = starts[begin[lo:hi]], n[lo:hi]
-        words = word_code[_expand(s, c + (SPAN - 1))]
-        count = np.bincount(words, minlength=len(hashes))
+        run = codes[_expand(s, c + (SPAN - 1))]
+        count = np.bincount(run, minlength=len(dictionary))
         vocabulary = np.flatnonzero(count)
         vocabulary = vocabulary[np.argsort(-count[vocabulary], kind="stable")]  # frequent words get small codes
-        number = np.zeros(len(hashes), dtype=np.int64)
+        number = np.zeros(len(dictionary), dtype=np.int64)
         number[vocabulary] = np.arange(len(vocabulary))
+        text, ends = T.binary_buffers(dictionary.take(pa.array(vocabulary)))
         d = doc[begin[lo:hi]]
         some, which = np.unique(d, return_inverse=True)
-        yield int(bucket[lo]), _RUNS, pack([hashes[vocabulary], number[words], c, delta(which), s - first[d], delta(ids[some]), marks[some], sub[lo:hi]])
+        yield int(bucket[lo]), _RUNS, pack([np.diff(ends), text, number[run], c, delta(which), s - first[d], delta(ids[some]), marks[some].view(np.uint64), sub[lo:hi]])
 
 
-def prefix_groups(codes: np.ndarray, starts: np.ndarray, depth: int = 0, limit: int = GROUP) -> Iterator[tuple[np.ndarray, int]]:
+def prefix_groups(codes: np.ndarray, starts: np.ndarray, depth: int = 0, limit: int | None = None) -> Iterator[tuple[np.ndarray, int]]:
     """(places in ``starts``, depth): groups of at most ``limit`` suffixes that share their first ``depth`` words."""
+    limit = limit or GROUP
     stack = [(np.arange(len(starts)), depth)]
     while stack:
         at, depth = stack.pop()
@@ -174,7 +259,7 @@ def subtree(codes: np.ndarray, starts: np.ndarray, depth: int, bits: int) -> tup
     return at, node
 
 
-def repeated(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray, limit: int = GROUP) -> np.ndarray:
+def repeated(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Whether each suffix's ``SPAN`` words also start in a document with a smaller id."""
     out = np.zeros(len(starts), dtype=bool)
     bits = max(1, int(codes.max(initial=0)).bit_length())
@@ -189,22 +274,28 @@ def repeated(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray, limit: int
 
 def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marks (id, row mark, first window, windows) from a bucket's suffix runs."""
-    parts = [unpack(p) for p in payloads]
-    _, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    code = code.astype(np.int32)
-    vocabularies = np.split(code, np.cumsum([len(p[0]) for p in parts])[:-1])
-    ids, marks = [undelta(p[5]) for p in parts], [p[6] for p in parts]
-    docs = [undelta(p[3]).astype(np.int32) for p in parts]
-    ends = [np.concatenate([[0], np.cumsum(p[2] + (SPAN - 1))]) for p in parts]
+    parts = []
+    words = []
+    for p in payloads:
+        length, text, *rest = unpack(p)
+        words.append(T.binary_array(text, np.concatenate([[0], np.cumsum(length)])))
+        parts.append(rest)
+    payloads.clear()
+    code, _ = coded(words)
+    vocabularies = np.split(code, np.cumsum([len(w) for w in words])[:-1])
+    del words
+    ids, marks = [undelta(p[4]) for p in parts], [p[5].astype(np.int64) for p in parts]
+    docs = [undelta(p[2]).astype(np.int32) for p in parts]
+    ends = [np.concatenate([[0], np.cumsum(p[1] + (SPAN - 1))]) for p in parts]
     shift = np.cumsum([0, *map(len, ids)])
     all_ids, all_marks = np.concatenate(ids), np.concatenate(marks)
     out = []
     for sub in range(SUBS):
-        cut = [(int(np.searchsorted(p[7], sub)), int(np.searchsorted(p[7], sub, side="right"))) for p in parts]
-        codes = np.concatenate([v[p[1][e[lo] : e[hi]]] for p, v, e, (lo, hi) in zip(parts, vocabularies, ends, cut)])
-        count = np.concatenate([p[2][lo:hi] for p, (lo, hi) in zip(parts, cut)]).astype(np.int64)
+        cut = [(int(np.searchsorted(p[6], sub)), int(np.searchsorted(p[6], sub, side="right"))) for p in parts]
+        codes = np.concatenate([v[p[0][e[lo] : e[hi]]] for p, v, e, (lo, hi) in zip(parts, vocabularies, ends, cut)])
+        count = np.concatenate([p[1][lo:hi] for p, (lo, hi) in zip(parts, cut)]).astype(np.int64)
         run_doc = np.concatenate([s + d[lo:hi] for s, d, (lo, hi) in zip(shift, docs, cut)])
-        run_at = np.concatenate([p[4][lo:hi] for p, (lo, hi) in zip(parts, cut)])
+        run_at = np.concatenate([p[3][lo:hi] for p, (lo, hi) in zip(parts, cut)])
         length = count + (SPAN - 1)
         starts = _expand(np.cumsum(length) - length, count)
         doc = np.repeat(run_doc, count)
@@ -217,14 +308,18 @@ def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
+def find_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
     """Marks of ``docs`` (id long, mark long, text): (id, mark, at, n), n windows from word ``at`` on."""
+    n_buckets = max(8, -(-n_bytes // BUCKET_BYTES))
+    docs = docs.filter(F.col("id").isNotNull())
+    hot, bits = hot_prefixes(docs, n_bytes)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list) -> pa.RecordBatch:
-            h, n, ids, marks, local = (np.concatenate(x) for x in zip(*held))
+            h, words, n, ids, marks = zip(*held)
             held.clear()
-            got = list(pack_runs(h, n, ids, marks, local, n_buckets))
+            got = list(pack_runs(np.concatenate(h), list(words), *(np.concatenate(x) for x in (n, ids, marks)), hot, bits, n_buckets))
+            T.trim()
             return pa.record_batch([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "kind", "payload"])
 
         held, size = [], 0
@@ -232,8 +327,7 @@ def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, hi, data, offsets in T.chunks(b):
                 w = T.words_of(data, offsets)
-                h = w.hashes()
-                held.append((h, w.n_words, ids[lo:hi], marks[lo:hi], settled(h, w.first, ids[lo:hi])))
+                held.append((w.hashes(), w.array(), w.n_words, ids[lo:hi], marks[lo:hi]))
                 size += len(data)
                 if size >= PACK_BYTES:
                     yield rows(held)
@@ -248,14 +342,14 @@ def find_repeats(docs: DataFrame, n_buckets: int) -> DataFrame:
         marks = [p for k, p in zip(kind, payload) if k == _MARKS]
         runs = [p for k, p in zip(kind, payload) if k == _RUNS]
         del payload
-        out = [(undelta(a), b, c, d) for a, b, c, d in map(unpack, marks)]
+        out = [(undelta(a), b.astype(np.int64), c, d) for a, b, c, d in map(unpack, marks)]
         if runs:
             out.append(bucket_marks(runs))
         a, b, c, d = (np.concatenate(x) for x in zip(*out))
+        T.trim()
         return pa.table({"id": pa.array(a, pa.int64()), "mark": pa.array(b, pa.int64()), "at": pa.array(c, pa.int32()), "n": pa.array(d, pa.int32())})
 
-    rows = docs.filter(F.col("id").isNotNull()).mapInArrow(packed, "bucket int, kind int, payload binary")
-    return rows.groupBy("bucket").applyInArrow(grow, "id long, mark long, at int, n int")
+    return docs.mapInArrow(packed, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(grow, "id long, mark long, at int, n int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +401,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The columns in ``carry`` follow. The id must be a whole number.
     """
     others = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("mark"), F.col(text_col).alias("text"), *others)
-    n_buckets = max(8, -(-text_bytes(df, text_col) // BUCKET_BYTES))
-    marks = find_repeats(docs.select("id", "mark", "text"), n_buckets).groupBy("id", "mark").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), *others)
+    marks = find_repeats(docs.select("id", "mark", "text"), text_bytes(df, text_col)).groupBy("id", "mark").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
     both = docs.join(marks, ["id", "mark"], "left").select("id", "text", "at", "n", *(f"c{k}" for k in range(len(carry))))
     more = "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     out = both.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string" + more)
