@@ -1,10 +1,15 @@
 """Token counts under a unigram vocabulary: count-only Viterbi.
 
-A text's spaces become the mark U+2581, one is put in front, and each mark
-begins a unit. A task hashes its units with array arithmetic and scores each
-distinct one once. An Aho-Corasick automaton lists every vocabulary piece that
-ends at each character; dynamic programming carries the best score and the
-number of pieces of the path that has it, and nothing is traced back.
+A text's spaces become the mark U+2581 and one is put in front, if the text does
+not begin with one. The best segmentation of the whole text is wanted. Where no
+piece has a mark after another character, none can cross the place before a
+mark that follows something else, and the text falls apart there into units
+that are segmented on their own; with other vocabularies the whole text is one
+unit. A task hashes its units with array arithmetic and scores each distinct
+one once. An Aho-Corasick automaton lists every vocabulary piece that ends at
+each character; dynamic programming carries the best score and the number of
+pieces of the path that has it, and nothing is traced back. Control, unknown,
+unused and byte pieces are not entered, so a text that spells one is text.
 
 Tie rules are the tokenizer's: paths are extended from left to right and a
 path replaces another only with a strictly higher score, so of equal ones that
@@ -15,6 +20,10 @@ one piece a byte, otherwise a run of unknown characters counts as one.
 Defined results: null and empty texts have no tokens and score 0. Repeated
 rows are counted alike; the id is only carried and may be null; other columns
 are not read.
+
+The public vocabulary of the query comes from a BPE model, whose scores are
+merge ranks and no log probabilities: its counts are those of the best path by
+these scores, which are not the counts of that model's own merges.
 """
 
 from __future__ import annotations
@@ -32,6 +41,7 @@ from . import text as T
 from .common import table
 
 MARK = "▁"
+_MARK_BYTES = MARK.encode()
 UNKNOWN_PENALTY = 10.0
 #: Distinct units that a worker remembers; only memory depends on it.
 CACHE_UNITS = 250_000
@@ -40,16 +50,21 @@ CACHE_UNITS = 250_000
 class UnigramCounter:
     """Counts the pieces of the best segmentation. ``vocab``: (piece, score) in id order."""
 
-    def __init__(self, vocab: list[tuple[str, float]], byte_fallback: bool):
-        self.automaton = ahocorasick.Automaton()
+    def __init__(self, vocab: list[tuple[str, float]], byte_fallback: bool, special: frozenset[str] = frozenset()):
+        pieces = {}
         for piece, score in vocab:
-            if piece:
-                self.automaton.add_word(piece, (len(piece), score))
-        self.automaton.make_automaton()
-        self.single = {p for p, _ in vocab if len(p) == 1}
+            if piece and piece not in special:
+                pieces[piece] = score
+        self.automaton = ahocorasick.Automaton()
+        for piece, score in pieces.items():
+            self.automaton.add_word(piece, (len(piece), score))
+        if pieces:
+            self.automaton.make_automaton()
+        self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min((s for _, s in vocab), default=0.0) - UNKNOWN_PENALTY
         names = {p for p, _ in vocab}
         self.byte_fallback = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
+        self.splits = not any(b == MARK and a != MARK for p in pieces for a, b in zip(p, p[1:]))
         self.known = T.Remembered(CACHE_UNITS)
 
     def count(self, unit: str) -> tuple[int, float]:
@@ -57,7 +72,7 @@ class UnigramCounter:
         n = len(unit)
         low = float("-inf")
         best, pieces, last_unknown = [0.0] + [low] * n, [0] * (n + 1), [False] * (n + 1)
-        matches = self.automaton.iter(unit)
+        matches = self.automaton.iter(unit) if self.automaton.kind == ahocorasick.AHOCORASICK else iter(())
         end, (length, score) = next(matches, (n, (0, 0.0)))
         for i in range(n):
             top, count, unknown = low, 0, False
@@ -81,7 +96,12 @@ class UnigramCounter:
             return np.zeros(n_docs, np.int64), np.zeros(n_docs)
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[offsets] = True
-        cut[:-1] |= data == 0x20
+        if self.splits:
+            mark = data == 0x20
+            after = np.zeros(len(data), dtype=bool)  # the byte before ends a mark
+            after[1:] = mark[:-1]
+            after[3:] |= (data[:-3] == _MARK_BYTES[0]) & (data[1:-2] == _MARK_BYTES[1]) & (data[2:-1] == _MARK_BYTES[2])
+            cut[:-1] |= mark & ~after
         bounds = np.flatnonzero(cut)
         codes, first = T.distinct(T.spans_hash(data, bounds))
         raw, known = data.tobytes(), self.known
@@ -92,23 +112,27 @@ class UnigramCounter:
             u = raw[lo[k] : hi[k]]
             got = known.get(u)
             if got is None:
-                got = known[u] = self.count(MARK + (u[1:] if u[:1] == b" " else u).decode())
+                unit = u.decode().replace(" ", MARK)
+                got = known[u] = self.count(unit if unit.startswith(MARK) or not unit else MARK + unit)
             pieces[k], scores[k] = got
         per_doc = np.searchsorted(bounds, offsets)
         return T.sums(pieces[codes], per_doc), T.sums(scores[codes], per_doc)
 
 
-def read_vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file, in id order."""
+def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], frozenset[str]]:
+    """Pieces and scores of a sentencepiece model file, in id order, and those pieces that stand for no text."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
+    ids = range(sp.get_piece_size())
+    special = frozenset(sp.id_to_piece(i) for i in ids if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))
+    return [(sp.id_to_piece(i), sp.get_score(i)) for i in ids], special
 
 
 @lru_cache(maxsize=2)
 def load(path: str, byte_fallback: bool) -> UnigramCounter:
-    return UnigramCounter(read_vocabulary(path), byte_fallback)
+    vocab, special = read_vocabulary(path)
+    return UnigramCounter(vocab, byte_fallback, special)
 
 
 def default_vocabulary() -> str:

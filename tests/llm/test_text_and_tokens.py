@@ -73,14 +73,53 @@ def test_decoding_broken_and_unknown_ids():
     assert b.decode_slice(np.array([half, -5, 10**6], dtype=np.int32), np.array([3])) == ["�"]
 
 
+SPACED = ["hello      world", "a    b", "  two  lead", " " * 40, "x<s>y </s> <unk> <0x41>", "▁mark  ▁▁ and▁ ▁", "a" + " " * 17 + "b", "▁", "tail   "]
+
+
+def plain_counter(vocab, special, fallback, text):
+    """(pieces, score) by dynamic programming over every piece at every place of the whole text."""
+    pieces, low = {p: s for p, s in vocab if p not in special}, min(s for _, s in vocab) - 10.0
+    text = text.replace(" ", "▁")
+    text = text if text.startswith("▁") or not text else "▁" + text
+    best = [(0.0, 0, False)]
+    for end in range(1, len(text) + 1):
+        top = None
+        for begin in range(max(0, end - 40), end):
+            s, n, _ = best[begin]
+            if text[begin:end] in pieces and (top is None or s + pieces[text[begin:end]] > top[0]):
+                top = (s + pieces[text[begin:end]], n + 1, False)
+        if text[end - 1] not in pieces:
+            s, n, unknown = best[end - 1]
+            if top is None or s + low > top[0]:
+                top = (s + low, n + (len(text[end - 1].encode()) if fallback else not unknown), True)
+        best.append(top)
+    return best[-1][1], best[-1][0]
+
+
 @pytest.mark.parametrize("fallback", [True, False])
-def test_token_counts_match_the_library(fallback):
-    vocab = token_count.read_vocabulary(token_count.default_vocabulary())
-    lib = Tokenizer(models.Unigram(vocab, 0, fallback))
-    lib.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    want = [len(e.ids) for e in lib.encode_batch(texts(), add_special_tokens=False)]
-    counter = token_count.UnigramCounter(vocab, fallback)
-    assert [x for d, o in slices(texts()) for x in counter.count_slice(d, o)[0].tolist()] == want
+def test_token_counts_match_the_library_and_a_plain_version(fallback):
+    vocab, special = token_count.read_vocabulary(token_count.default_vocabulary())
+    values = texts() + SPACED
+    counter = token_count.UnigramCounter(vocab, fallback, special)
+    got = [x for d, o in slices(values) for x in zip(*(c.tolist() for c in counter.count_slice(d, o)))]
+    plain = [plain_counter(vocab, special, fallback, t) for t in values]
+    assert [n for n, _ in got] == [n for n, _ in plain]
+    assert np.allclose([s for _, s in got], [s for _, s in plain], rtol=1e-12)
+    # the library segments the whole text; its control pieces are renamed so that no text spells them
+    names = [(p if p not in special or p.startswith("<0x") else f"\U0010ff00{p}", s) for p, s in vocab]
+    lib = Tokenizer(models.Unigram(names, 0, fallback))
+    lib.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    some = [k for k, t in enumerate(values) if "<0x" not in t]
+    assert [got[k][0] for k in some] == [len(e.ids) for e in lib.encode_batch([values[k] for k in some], add_special_tokens=False)]
+
+
+def test_token_counts_of_a_vocabulary_with_inner_marks():
+    vocab = [("▁", -2.0), ("a", -1.5), ("b", -1.5), ("a▁b", -1.0), ("▁a", -2.5)]
+    counter = token_count.UnigramCounter(vocab, False)
+    values = ["a b", "aa  b", "", "b a", "a b a b"]
+    got = [x for d, o in slices(values) for x in zip(*(c.tolist() for c in counter.count_slice(d, o)))]
+    assert got == [plain_counter(vocab, (), False, t) for t in values]
+    assert token_count.UnigramCounter([], False).count("▁ab") == (1, -30.0)
 
 
 def test_edge_rows(spark):
