@@ -15,7 +15,8 @@ and the documents are scanned once for each block, so what is sent does not
 grow with the benchmark. No rows are shuffled.
 
 Defined results: items of fewer than ``SPAN`` words match where all their words
-stand in a row, items without words never. Null texts have no words. Rows come
+stand in a row; those of fewer than ``min_words`` are too short to tell a leak
+from common speech and match nothing, nor do items without words. Null texts have no words. Rows come
 only for documents with a match; repeated rows give repeated matches, repeated
 items are reported each. Null ids are carried. Other columns are not read.
 """
@@ -38,6 +39,8 @@ MISSES = 2
 BLOCKS = ((0, 1, 2, 3), (4, 5, 6), (7, 8, 9), (10, 11, 12))
 MASKS = [tuple(p for k, b in enumerate(BLOCKS) if k not in out for p in b) for out in combinations(range(4), 2)]
 BLOCK_WORDS = 500_000
+#: Words of an item at least, for it to be searched.
+MIN_WORDS = 8
 _ODD = [np.uint64(pow(0xD6E8FEB86659FD93, 2 * k + 1, 1 << 64)) for k in range(SPAN)]
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*range(0x21), *b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 0x7F]] = True
@@ -62,7 +65,7 @@ def masked(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Seeds:
     """The seeds of a block of benchmark items."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], min_words: int = 1):
         raw = [t.encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         w = normal_words(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
@@ -80,10 +83,12 @@ class Seeds:
             bitmap = np.zeros(1 << (64 - int(self.bits)), dtype=bool)
             bitmap[seed >> self.bits] = True
             self.maps.append(bitmap)
-        self.short: dict[int, list[int]] = {}
-        for i, n in enumerate(self.n_words.tolist()):
-            if 0 < n < SPAN:
-                self.short.setdefault(n, []).append(i)
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []  # (words, sorted hashes, items) of the shorter items
+        for n in np.unique(self.n_words[(self.n_words >= max(min_words, 1)) & (self.n_words < SPAN)]).tolist():
+            items = np.flatnonzero(self.n_words == n)
+            key = T.shingles(self.h, n)[self.first[items]]
+            order = np.argsort(key, kind="stable")
+            self.short.append((n, key[order], items[order]))
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document place, benchmark place) of verified windows."""
@@ -131,21 +136,23 @@ class Seeds:
             equal = int((h[s:e] == self.h[s + shift : e + shift]).sum())
             d, i = int(doc[lo]), int(item[lo])
             out.append((d, i, s - int(w.first[d]), e - int(w.first[d]), s + shift - int(self.first[i]), equal))
-        for n, items in self.short.items():
-            x = T.shingles(h, n)
+        for n, key, items in self.short:  # a length at a time, whatever the number of items
             at = T.window_starts(w.first, n)
-            for i in items:
-                key = T.shingles(self.h[self.first[i] : self.first[i] + n], n)[0]
-                for s in at[x[at] == key].tolist():
-                    d = int(np.searchsorted(w.first, s, side="right")) - 1
-                    out.append((d, i, s - int(w.first[d]), s - int(w.first[d]) + n, 0, n))
+            x = T.shingles(h, n)[at]
+            lo, hi = np.searchsorted(key, x, "left"), np.searchsorted(key, x, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                s = int(at[k])
+                d = int(np.searchsorted(w.first, s, side="right")) - 1
+                for i in items[lo[k] : hi[k]].tolist():
+                    if (h[s : s + n] == self.h[self.first[i] : self.first[i] + n]).all():
+                        out.append((d, i, s - int(w.first[d]), s - int(w.first[d]) + n, 0, n))
         return out
 
 
 SCHEMA = "start_word int, end_word int, item_start_word int, equal_words int, item_words int"
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Overlaps of documents with benchmark items: (id, item id, word spans, equal words, words of the item)."""
     spark = docs.sparkSession
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
@@ -158,7 +165,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for block in range(n_blocks):
         got = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        data = spark.sparkContext.broadcast(([r["item_id"] for r in got], Seeds([r["text"] for r in got])))
+        data = spark.sparkContext.broadcast(([r["item_id"] for r in got], Seeds([r["text"] for r in got], min_words)))
 
         def run(batches: Iterator[pa.RecordBatch], data=data) -> Iterator[pa.RecordBatch]:
             ids, seeds = data.value
