@@ -133,9 +133,12 @@ class Neighbours:
         out = np.empty(len(x))
         for lo in range(0, len(x), BLOCK):
             cos = self.project(x[lo : lo + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cos, self.k - 1, axis=1)[:, : self.k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(np.float64) ** POWER
-            out[lo : lo + BLOCK] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
+            least = np.partition(cos, len(self.labels) - self.k, axis=1)[:, len(self.labels) - self.k, None]
+            equal = cos == least
+            places = self.k - (cos > least).sum(axis=1, keepdims=True)  # for those as near as the last one
+            near = (cos > least) | (equal & (np.cumsum(equal, axis=1) <= places))
+            w = np.where(near, np.maximum(cos, 1e-6).astype(np.float64) ** POWER, 0.0)
+            out[lo : lo + BLOCK] = w @ self.labels / w.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
