@@ -188,7 +188,9 @@ class Network:
         padded = np.concatenate([data, np.zeros(PIECE, np.uint8)])
         for lo in range(0, len(doc), ROWS):
             hi = min(lo + ROWS, len(doc))
-            y = self.label(padded[start[lo:hi, None] + np.arange(PIECE)])
+            piece = padded[start[lo:hi, None] + np.arange(PIECE)]
+            piece[np.arange(PIECE) >= length[lo:hi, None]] = 0  # not the next document's bytes; training fills up in the same way
+            y = self.label(piece)
             if (length[lo:hi] < PIECE).any():
                 y *= (np.arange(PIECE)[:, None] < length[lo:hi])[:, None, :]
             for k, p in enumerate(y.sum(axis=0)):
