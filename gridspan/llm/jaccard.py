@@ -59,7 +59,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import table, text_bytes, written
+from .common import forget, table, text_bytes, written
 from .components import components
 from .packing import delta, pack, undelta, unpack
 
@@ -139,7 +139,7 @@ def count_shingles(docs: DataFrame, n_bytes: int) -> Counts:
     """Counts of all shingles of all texts; the tables of the packs are added up piece by piece."""
     load = max(1, n_bytes // (6 * SLOT_LOAD))
     bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, load.bit_length()))
-    piece = 1 << 16
+    piece = 1 << min(bits, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -483,7 +483,10 @@ def _first_links(star: DataFrame, about: DataFrame, docs: DataFrame) -> DataFram
     sizes = about.groupBy("id").agg(F.max("n").alias("n"))
     best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
     best = best.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-    return _verified(written(_hubs(best), "wanted"), docs, "links")
+    wanted = written(_hubs(best), "wanted")
+    links = _verified(wanted, docs, "links")
+    forget(pairs, likely, wanted)
+    return links
 
 
 def _hubs(pairs: DataFrame) -> DataFrame:
@@ -496,7 +499,7 @@ def _hubs(pairs: DataFrame) -> DataFrame:
 
 
 def _across(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (cell, left, id, component, n) of the cells with several components.
+    """Written rows (cell, left, id, component, n) of the cells with several components.
 
     Left are the documents outside a cell's main component, dealt in blocks;
     each block meets every block of the cell's other documents.
@@ -508,12 +511,15 @@ def _across(star: DataFrame, labels: DataFrame) -> DataFrame:
     main = parts.groupBy("hot", "cell").agg(F.max(F.struct("rows", "sum", "component")).alias("main"), F.sum("rows").alias("rows"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("several")).filter("several > 1")
     out_n, out_rows = F.col("sum") - F.col("main.sum"), F.col("rows") - F.col("main.rows")
     main = main.select("hot", "cell", F.col("main.component").alias("main"), _blocks("sum", "rows").alias("ys"), out_n.alias("out_n"), out_rows.alias("out_rows")).withColumn("xs", _blocks("out_n", "out_rows"))
-    rows = rows.join(main, ["hot", "cell"])
+    cells, rows = rows, rows.join(main, ["hot", "cell"])
     block = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     outside = rows.filter("component <> main").withColumn("x", block("xs")).withColumn("y", every("ys")).withColumn("left", F.lit(True))
     inside = rows.withColumn("y", block("ys")).withColumn("x", every("xs")).withColumn("left", F.lit(False))
-    return outside.unionByName(inside.select(outside.columns)).select(F.xxhash64("hot", "cell", "x", "y").alias("cell"), "left", "id", "component", "n")
+    both = outside.unionByName(inside.select(outside.columns)).select(F.xxhash64("hot", "cell", "x", "y").alias("cell"), "left", "id", "component", "n")
+    out = written(both, "rows")
+    forget(cells)
+    return out
 
 
 def _linked(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -524,9 +530,10 @@ def _linked(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame, DataFr
     star = found.filter(F.col("kind") == _KEYS).select("hot", "cell", "a", "b", "na", "nb")
     links = _first_links(star, about, docs).unionByName(found.filter(F.col("kind") == _COPIES).select("a", "b"))
     labels = components(links)
-    rows = written(_across(star, labels), "rows")
+    rows = _across(star, labels)
     hopeful = written(_with_sketches(rows, about, _hopeful, "cell long, left boolean, id long, component long, n long"), "hopeful")
     more = _verified(hopeful, docs, "links")
+    forget(rows, hopeful)
     if more.head(1):
         links = links.unionByName(more)
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
