@@ -35,7 +35,7 @@ _MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 #: Bytes of text that are worked on at once inside a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _pow: dict[str, np.ndarray] = {}
 
@@ -177,6 +177,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES)
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    trim()
 
 
 def spans_hash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:

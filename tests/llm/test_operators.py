@@ -138,8 +138,9 @@ def test_decontamination(spark, monkeypatch):
     want = [("1", 10, 2, 32, 30), ("3", 10, 0, 30, 29), ("6", 11, 0, 2, 2), ("None", 10, 0, 30, 30)]
     for words in (decontaminate.BLOCK_WORDS, 5):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
-        got = sorted((str(r["doc_id"]), r["item_id"], r["start_word"], r["end_word"], r["equal_words"]) for r in decontaminate.find_overlaps(df, bench).collect())
+        got = sorted((str(r["doc_id"]), r["item_id"], r["start_word"], r["end_word"], r["equal_words"]) for r in decontaminate.find_overlaps(df, bench, min_words=1).collect())
         assert got == want
+    assert decontaminate.find_overlaps(df, bench).filter("item_id = 11").count() == 0
     assert decontaminate.find_overlaps(df, bench.limit(0)).count() == decontaminate.find_overlaps(df.limit(0), bench).count() == 0
 
 
@@ -150,15 +151,34 @@ def test_top_k(spark):
     rows = [(int(k), [float(x) for x in np.float32(v[k])]) for k in range(400)] + [(400, None), (401, [None] + [0.0] * 15), (402, [float("nan")] * 16), (500, [1.0]), (None, [0.0] * 16), (3, [float(x) for x in np.float32(v[3])])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
     e = np.floor(1024 * np.float32(v).astype(float))
+    e, known = np.vstack([e, [[1024] + [0] * 15]]), [*range(400), 500]  # 500 is shorter
     want = set()
-    for q in range(0, 400, 100):
+    for q in (0, 100, 200, 300, 400):
         s = e @ e[q]
-        for r, k in enumerate([k for k in np.lexsort((np.arange(400), -s)) if k != q][:10]):
-            want.add((q, r + 1, int(k), int(s[k])))
+        for r, k in enumerate([k for k in np.lexsort((np.arange(401), -s)) if k != q][:10]):
+            want.add((known[q], r + 1, known[k], int(s[k])))
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 16384])
+def test_top_k_is_exact_beyond_doubles(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(2)
+    v = rng.uniform(-3e5, 3e5, (60, 16))
+    df = spark.createDataFrame([(int(k), [float(x) for x in v[k]], "x", False) for k in range(60)], "vec_id long, embedding array<double>, v string, query boolean")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
+    e = [[int(np.floor(1024 * x)) for x in row] for row in v]
+    want = set()
+    for q in (0, 20, 40):
+        s = sorted((-sum(a * b for a, b in zip(e[q], e[k])), k) for k in range(60) if k != q)[:10]
+        want |= {(q, r + 1, k, -score) for r, (score, k) in enumerate(s)}
+    assert {tuple(r) for r in got} == want and max(r["score"] for r in got) > 2**53
+    huge = spark.createDataFrame([(0, [1e200]), (1, [1e200])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(huge, F.col("vec_id") == 0).collect()
+
+
 @pytest.mark.parametrize("copies", [2, 20])
 def test_top_k_counts_a_repeated_id_once(spark, copies):
     rows = [(0, [1.0, 0.0])] + [(1, [20.0, 0.0])] * copies + [(k, [20.0 - k, 0.0]) for k in range(2, 15)]
