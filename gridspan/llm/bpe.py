@@ -299,22 +299,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(ids, pa.int32()))
+
+
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every text; ``vocabulary`` is a path that every machine has."""
+    return _encoded(df, vocabulary, id_col, text_col, False)
+
+
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text) of every text: its ids and what they decode to, in one pass through a worker."""
+    return _encoded(df, vocabulary, id_col, text_col, True)
+
+
+def _encoded(df: DataFrame, vocabulary: str, id_col: str, text_col: str, back: bool) -> DataFrame:
+    names = [id_col, "ids", "text"][: 3 if back else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for b in batches:
             for lo, hi, data, offsets in T.chunks(b):
                 ids, n = bpe.encode_slice(data, offsets)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(ids, pa.int32()))
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), lists], names=[id_col, "ids"])
+                cols = [b.column(0).slice(lo, hi - lo), _lists(ids, n)]
+                yield pa.record_batch(cols + [pa.array(bpe.decode_slice(ids, n), pa.string())] if back else cols, names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + ", text string" * back)
 
 
-def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = True) -> DataFrame:
+def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, text) of every id list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +353,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_vocabulary()
-    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    out = round_trip(table(spark, sf_dir, "documents"), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

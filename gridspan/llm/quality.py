@@ -40,7 +40,7 @@ MAX_LABELLED = 4000
 DIMENSIONS = 32
 NEIGHBOURS = 15
 POWER = 4
-BLOCK = 512
+BLOCK = 128
 
 _KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t\v\f", ".", ",", "!?", ":;", "|", "#$%&*", "-_~", "\"'`", "()[]{}<>", "@/\\=+^"]
 _CLASS = np.full(256, len(_KINDS), dtype=np.uint8)  # control bytes

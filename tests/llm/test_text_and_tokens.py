@@ -128,6 +128,8 @@ def test_edge_rows(spark):
     path = bpe.default_vocabulary()
     got = bpe.decode(bpe.encode(df, path), path).collect()
     assert sorted((r["doc_id"] or 0, len(r["ids"]), r["text"]) for r in got) == [(0, 2, "a b"), (1, 0, ""), (2, 0, ""), (3, 2, "a b"), (3, 2, "a b")]
+    both = bpe.round_trip(df, path).collect()
+    assert sorted(map(tuple, both), key=str) == sorted(map(tuple, got), key=str)
     counts = token_count.count_tokens(df, token_count.default_vocabulary()).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in counts) == [(0, True), (1, False), (2, False), (3, True), (3, True)]
     assert bpe.encode(df.limit(0), path).count() == token_count.count_tokens(df.limit(0), token_count.default_vocabulary()).count() == 0
