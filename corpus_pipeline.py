@@ -63,7 +63,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text that they decode to: (doc_id, n_tokens, ids, text)."""
     path = bpe.default_vocabulary()
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    return bpe.round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [
