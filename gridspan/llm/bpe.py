@@ -26,6 +26,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,7 +48,9 @@ _WIDE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "
 _WIDE_SPACE = regex.compile("[" + "".join(_WIDE) + "]")
 _WIDE_BYTES = [c.encode() for c in _WIDE]
 #: Distinct units that a worker remembers; only memory depends on it.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 100_000
+#: Verdicts on pairs of tokens that a worker remembers.
+CACHE_PAIRS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -167,7 +170,7 @@ class ByteBPE:
                 i -= size[i]
             out[w] = tuple(ids[::-1])
             before = w
-        if len(pairs) > 2_000_000:
+        if len(pairs) > CACHE_PAIRS:
             pairs.clear()
         return out
 
@@ -290,7 +293,10 @@ def _unit_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBPE:
     """The vocabulary, once in a worker."""
-    return ByteBPE(path)
+    out = ByteBPE(path)
+    gc.collect()
+    T.trim()  # what reading the file took
+    return out
 
 
 def default_vocabulary() -> str:
