@@ -17,10 +17,11 @@ shortest is the suffix's anchor, the least of the hashes of its windows' three
 words: neighbouring suffixes share it, so they travel as one run of words and
 a suffix costs a few bytes instead of ``SPAN`` words. A first pass counts the
 suffixes of every anchor, and of the prefixes of the lengths in ``LENGTHS``, in tables of
-slots; where an anchor has more than ``HOT`` suffixes they are dealt by their
+slots, and finds the commonest words; where an anchor has more than ``HOT`` suffixes they are dealt by their
 first words instead, by as many as it takes to come below it, and by all
 ``SPAN`` at last. Each of these keys depends on a suffix's ``SPAN`` words alone, so
-equal ones meet. A payload has the distinct words once, then small codes.
+equal ones meet. Common words travel as codes that all tasks share, of others a
+payload has each once.
 
 *Subtrees.* In a bucket, prefixes split the suffixes into groups of at most
 ``GROUP`` (a prefix with more is extended by a word, again and again; only
@@ -43,14 +44,16 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import table, text_bytes
+from .common import forget, table, text_bytes, written
 from .packing import delta, pack, undelta, unpack
 
 SPAN = 13
@@ -60,9 +63,11 @@ LENGTHS = (4, 8)
 #: Suffixes of one prefix above which it is extended: before they are dealt, and inside a bucket.
 HOT, GROUP = 200_000, 1_000_000
 MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 26
+#: Commonest words, whose codes all tasks share.
+WORDS = 1 << 18
 #: A bucket's runs are ordered by so many sub-buckets, whose trees are grown one after the other.
 SUBS = 8
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 BUCKET_BYTES = 28 << 20
 _RUNS = 1  # kind of a row: suffix runs, or marks that a pack has settled
 _MARKS = 0
@@ -96,10 +101,17 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return T.mix(np.minimum(gram[:-extra], gram[extra:]))
 
 
-def coded(words: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
-    """(code of each word, distinct words): equal codes are equal bytes."""
-    d = pa.concat_arrays(words).dictionary_encode()
-    return d.indices.to_numpy(), d.dictionary
+def coded(words: list[pa.Array], known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(code of each word, distinct words that are not known): equal codes are equal bytes; a known word's code is its place, others follow."""
+    w = pa.concat_arrays(words)
+    if not len(known):
+        d = w.dictionary_encode()
+        return d.indices.to_numpy(), d.dictionary
+    at = pc.index_in(w, value_set=known)
+    rest = w.filter(at.is_null()).dictionary_encode()
+    codes = at.fill_null(-1).to_numpy().copy()
+    codes[codes < 0] = rest.indices.to_numpy() + len(known)
+    return codes, rest.dictionary
 
 
 def prefix_keys(h: np.ndarray, starts: np.ndarray, hot: list[np.ndarray], bits: int) -> np.ndarray:
@@ -121,67 +133,84 @@ def is_hot(key: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     return (hot[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def hot_prefixes(docs: DataFrame, n_bytes: int) -> tuple[list[np.ndarray], int]:
-    """(bits of hot slots for anchors and each of ``LENGTHS``, bits of a slot number).
+@dataclass
+class Survey:
+    """What a first pass tells of all texts: bits of the slots with too many suffixes, for anchors and each of ``LENGTHS``, and the commonest words."""
+
+    hot: list[np.ndarray]
+    bits: int
+    words: pa.Array
+
+
+def survey(docs: DataFrame, n_bytes: int) -> Survey:
+    """One pass over all texts, counted by packs.
 
     A pack counts each distinct window once, as its trees will send one
-    document's. Tables have a fixed number of slots, so what comes to the driver
-    is at most 2 ** MAX_SLOT_BITS bits a table.
+    document's, and names its commonest words. Tables have a fixed number of
+    slots and the words a fixed number, so what comes to the driver is bounded.
     """
     load = max(1, n_bytes // 6 * 16 // HOT)
     bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, load.bit_length()))
 
+    def rows(held: list, total: np.ndarray) -> pa.RecordBatch:
+        words, window, *keys = zip(*held)
+        held.clear()
+        if sum(map(len, window)):
+            _, place = T.distinct(np.concatenate(window))
+            for k, key in enumerate(keys):
+                total[k] += np.bincount(np.concatenate(key)[place], minlength=1 << bits)
+        codes, dictionary = coded(list(words), pa.nulls(0, pa.large_binary()))
+        n = np.bincount(codes, minlength=len(dictionary))
+        best = np.argsort(-n, kind="stable")[: WORDS // 8]
+        zero = np.zeros(len(best), np.int32)
+        return pa.record_batch([pa.array(zero - 1), pa.array(zero), dictionary.take(pa.array(best)).cast(pa.binary()), pa.array(n[best])], names=["level", "slot", "word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 + len(LENGTHS), 1 << bits), dtype=np.int64)
         held, size = [], 0
-
-        def add() -> None:
-            window, *keys = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            _, place = T.distinct(window)
-            for k, key in enumerate(keys):
-                total[k] += np.bincount(key[place], minlength=1 << bits)
-
         for b in batches:
             for _, _, data, offsets in T.chunks(b):
                 w = T.words_of(data, offsets)
                 h, at = w.hashes(), T.window_starts(w.first, SPAN)
-                if len(at):
-                    keys = [anchors(h)[at], *(T.shingles(h, n)[at] + np.uint64(n) for n in LENGTHS)]
-                    held.append((T.shingles(h, SPAN)[at], *((k >> np.uint64(64 - bits)).astype(np.int32) for k in keys)))
+                keys = [anchors(h)[at], *(T.shingles(h, n)[at] + np.uint64(n) for n in LENGTHS)] if len(at) else [h[:0]] * (1 + len(LENGTHS))
+                held.append((w.array(), T.shingles(h, SPAN)[at] if len(at) else h[:0], *((k >> np.uint64(64 - bits)).astype(np.int32) for k in keys)))
                 size += len(data)
-                if size >= PACK_BYTES and held:
-                    add()
+                if size >= PACK_BYTES:
+                    yield rows(held, total)
                     size = 0
         if held:
-            add()
+            yield rows(held, total)
         level, slot = np.nonzero(total)
         n = total[level, slot]
         del total
         T.trim()
         for lo in range(0, len(n), 1 << 16):
             part = slice(lo, lo + (1 << 16))
-            yield pa.record_batch([pa.array(level[part].astype(np.int32)), pa.array(slot[part].astype(np.int32)), pa.array(n[part])], names=["level", "slot", "n"])
+            yield pa.record_batch([pa.array(level[part].astype(np.int32)), pa.array(slot[part].astype(np.int32)), pa.nulls(len(n[part]), pa.binary()), pa.array(n[part])], names=["level", "slot", "word", "n"])
 
-    counts = docs.mapInArrow(run, "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
+    counts = written(docs.mapInArrow(run, "level int, slot int, word binary, n long").groupBy("level", "slot", "word").agg(F.sum("n").alias("n")), "survey")
     limit = max(HOT, 4 * (n_bytes // 6 >> bits))
-    found = counts.filter(F.col("n") > limit).select("level", "slot").toArrow()
+    found = counts.filter(F.col("level") >= 0).filter(F.col("n") > limit).select("level", "slot").toArrow()
+    words = counts.filter(F.col("level") < 0).orderBy(F.desc("n"), "word").limit(WORDS).select("word").toArrow().column("word").combine_chunks()
+    forget(counts)
     level, slot = found.column("level").to_numpy(), found.column("slot").to_numpy()
     out = []
     for k in range(1 + len(LENGTHS)):
         flags = np.zeros(1 << bits, dtype=bool)
         flags[slot[level == k]] = True
         out.append(np.packbits(flags, bitorder="little"))
-    return out, bits
+    return Survey(out, bits, words.cast(pa.large_binary()))
 
 
-def pack_runs(h: np.ndarray, words: list[pa.Array], n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, hot: list[np.ndarray], bits: int, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def pack_runs(h: np.ndarray, words: list[pa.Array], n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, known: Survey, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, payload) rows of a pack of documents; ``marks`` tells rows of one id apart."""
     first = np.concatenate([[0], np.cumsum(n_words)])
     starts = T.window_starts(first, SPAN)
     if not len(starts):
         return
-    codes, dictionary = coded(words)
+    codes, dictionary = coded(words, known.words)
+    words.clear()
+    common = len(known.words)
     doc = np.repeat(np.arange(len(n_words), dtype=np.int32), np.maximum(n_words - SPAN + 1, 0))
     local = repeated(codes, starts, ids[doc])
     at = np.flatnonzero(local)
@@ -191,7 +220,7 @@ def pack_runs(h: np.ndarray, words: list[pa.Array], n_words: np.ndarray, ids: np
         yield int(T.mix(ids[:1].astype(np.uint64))[0] % np.uint64(n_buckets)), _MARKS, pack([delta(ids[d]), marks[d].view(np.uint64), starts[at[begin]] - first[d], n])
     # the rest, in runs of one prefix
     at = np.flatnonzero(~local)
-    key = prefix_keys(h, starts[at], hot, bits)
+    key = prefix_keys(h, starts[at], known.hot, known.bits)
     begin, n = _runs_of(starts[at], doc[at], key)
     bucket = (T.mix(key[begin]) % np.uint64(n_buckets * SUBS)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -200,16 +229,14 @@ def pack_runs(h: np.ndarray, words: list[pa.Array], n_words: np.ndarray, ids: np
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
         s, c = starts[begin[lo:hi]], n[lo:hi]
-        run = codes[_expand(s, c + (SPAN - 1))]
-        count = np.bincount(run, minlength=len(dictionary))
-        vocabulary = np.flatnonzero(count)
-        vocabulary = vocabulary[np.argsort(-count[vocabulary], kind="stable")]  # frequent words get small codes
-        number = np.zeros(len(dictionary), dtype=np.int64)
-        number[vocabulary] = np.arange(len(vocabulary))
-        text, ends = T.binary_buffers(dictionary.take(pa.array(vocabulary)))
+        run = codes[_expand(s, c + (SPAN - 1))].astype(np.int64)
+        rare = run >= common
+        vocabulary, number = np.unique(run[rare], return_inverse=True)
+        run[rare] = number + common
+        text, ends = T.binary_buffers(dictionary.take(pa.array(vocabulary - common)))
         d = doc[begin[lo:hi]]
         some, which = np.unique(d, return_inverse=True)
-        yield int(bucket[lo]), _RUNS, pack([np.diff(ends), text, number[run], c, delta(which), s - first[d], delta(ids[some]), marks[some].view(np.uint64), sub[lo:hi]])
+        yield int(bucket[lo]), _RUNS, pack([np.diff(ends), text, run, c, delta(which), s - first[d], delta(ids[some]), marks[some].view(np.uint64), sub[lo:hi]])
 
 
 def prefix_groups(codes: np.ndarray, starts: np.ndarray, depth: int = 0, limit: int | None = None) -> Iterator[tuple[np.ndarray, int]]:
@@ -272,8 +299,13 @@ def repeated(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray, limit: int
     return out
 
 
-def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (id, row mark, first window, windows) from a bucket's suffix runs."""
+def _unified(codes: np.ndarray, code: np.ndarray, common: int, first: int) -> np.ndarray:
+    """A payload's codes as the bucket's; its own words stand from ``first`` on in the bucket's list."""
+    return code[np.where(codes < common, codes, codes + first)]
+
+
+def bucket_marks(payloads: list[bytes], common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marks (id, row mark, first window, windows) from a bucket's suffix runs; ``common`` words have codes that all packs share."""
     parts = []
     words = []
     for p in payloads:
@@ -281,8 +313,9 @@ def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         words.append(T.binary_array(text, np.concatenate([[0], np.cumsum(length)])))
         parts.append(rest)
     payloads.clear()
-    code, _ = coded(words)
-    vocabularies = np.split(code, np.cumsum([len(w) for w in words])[:-1])
+    code, _ = coded(words, pa.nulls(0, pa.large_binary()))
+    code = np.concatenate([np.arange(common, dtype=np.int32), code + np.int32(common)])
+    first = np.cumsum([0, *(len(w) for w in words)])
     del words
     ids, marks = [undelta(p[4]) for p in parts], [p[5].astype(np.int64) for p in parts]
     docs = [undelta(p[2]).astype(np.int32) for p in parts]
@@ -292,7 +325,7 @@ def bucket_marks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     out = []
     for sub in range(SUBS):
         cut = [(int(np.searchsorted(p[6], sub)), int(np.searchsorted(p[6], sub, side="right"))) for p in parts]
-        codes = np.concatenate([v[p[0][e[lo] : e[hi]]] for p, v, e, (lo, hi) in zip(parts, vocabularies, ends, cut)])
+        codes = np.concatenate([_unified(p[0][e[lo] : e[hi]], code, common, f) for p, f, e, (lo, hi) in zip(parts, first, ends, cut)])
         count = np.concatenate([p[1][lo:hi] for p, (lo, hi) in zip(parts, cut)]).astype(np.int64)
         run_doc = np.concatenate([s + d[lo:hi] for s, d, (lo, hi) in zip(shift, docs, cut)])
         run_at = np.concatenate([p[3][lo:hi] for p, (lo, hi) in zip(parts, cut)])
@@ -312,13 +345,14 @@ def find_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
     """Marks of ``docs`` (id long, mark long, text): (id, mark, at, n), n windows from word ``at`` on."""
     n_buckets = max(8, -(-n_bytes // BUCKET_BYTES))
     docs = docs.filter(F.col("id").isNotNull())
-    hot, bits = hot_prefixes(docs, n_bytes)
+    known = survey(docs, n_bytes)
+    common = len(known.words)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list) -> pa.RecordBatch:
             h, words, n, ids, marks = zip(*held)
             held.clear()
-            got = list(pack_runs(np.concatenate(h), list(words), *(np.concatenate(x) for x in (n, ids, marks)), hot, bits, n_buckets))
+            got = list(pack_runs(np.concatenate(h), list(words), *(np.concatenate(x) for x in (n, ids, marks)), known, n_buckets))
             T.trim()
             return pa.record_batch([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "kind", "payload"])
 
@@ -344,7 +378,7 @@ def find_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
         del payload
         out = [(undelta(a), b.astype(np.int64), c, d) for a, b, c, d in map(unpack, marks)]
         if runs:
-            out.append(bucket_marks(runs))
+            out.append(bucket_marks(runs, common))
         a, b, c, d = (np.concatenate(x) for x in zip(*out))
         T.trim()
         return pa.table({"id": pa.array(a, pa.int64()), "mark": pa.array(b, pa.int64()), "at": pa.array(c, pa.int32()), "n": pa.array(d, pa.int32())})

@@ -79,7 +79,7 @@ def test_links_are_similar_and_connect_the_classes(spark):
 
 @pytest.mark.parametrize("seed,hot", [(1, 3), (2, 30), (3, 10**9)])
 def test_substring_dedup_of_crowds(spark, monkeypatch, seed, hot):
-    for name, value in dict(HOT=hot, GROUP=5, MIN_SLOT_BITS=6, PACK_BYTES=1500, BUCKET_BYTES=3000).items():
+    for name, value in dict(HOT=hot, GROUP=5, MIN_SLOT_BITS=6, PACK_BYTES=1500, BUCKET_BYTES=3000, WORDS=40).items():
         monkeypatch.setattr(substring, name, value)
     docs = crowded(seed)
     rows = [(k, t, "x", 1, "y") for k, t in docs]
@@ -97,12 +97,13 @@ def test_substring_query_has_the_digests_of_the_plain_version(spark, tmp_path):
 def test_words_are_compared_by_their_bytes(spark, monkeypatch):
     """Even if all words had one hash, trees would not confuse them."""
     monkeypatch.setattr(substring.T.Words, "hashes", lambda self: substring.np.zeros(len(self.starts), dtype=substring.np.uint64))
+    known = substring.pa.array([b"a3", b"a4"], substring.pa.large_binary())
     docs = [(1, " ".join(f"a{k}" for k in range(20))), (2, " ".join(f"a{k if k != 7 else 'x'}" for k in range(20))), (3, " ".join(f"a{k}" for k in range(20)))]
     h = []
     for _, t in docs:
         raw = substring.np.frombuffer(t.encode(), dtype=substring.np.uint8)
         h.append(substring.T.words_of(raw, substring.np.array([0, len(raw)])))
-    codes, _ = substring.coded([w.array() for w in h])
+    codes, _ = substring.coded([w.array() for w in h], known)
     first = substring.np.cumsum([0, *(len(w.starts) for w in h)])
     starts = substring.T.window_starts(first, substring.SPAN)
     got = substring.repeated(codes, starts, substring.np.repeat([1, 2, 3], 8))
