@@ -61,10 +61,10 @@ GRAM = 3
 #: Words of the longer prefixes by which the suffixes of a hot anchor are dealt; SPAN follows.
 LENGTHS = (4, 8)
 #: Suffixes of one prefix above which it is extended: before they are dealt, and inside a bucket.
-HOT, GROUP = 200_000, 1_000_000
+HOT, GROUP = 200_000, 250_000
 MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 26
 #: Commonest words, whose codes all tasks share.
-WORDS = 1 << 18
+WORDS = 1 << 16
 #: A bucket's runs are ordered by so many sub-buckets, whose trees are grown one after the other.
 SUBS = 8
 PACK_BYTES = 8 << 20
@@ -102,8 +102,9 @@ def anchors(h: np.ndarray) -> np.ndarray:
 
 
 def coded(words: list[pa.Array], known: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(code of each word, distinct words that are not known): equal codes are equal bytes; a known word's code is its place, others follow."""
+    """(code of each word, distinct words that are not known): equal codes are equal bytes; a known word's code is its place, others follow. Empties ``words``."""
     w = pa.concat_arrays(words)
+    words.clear()
     if not len(known):
         d = w.dictionary_encode()
         return d.indices.to_numpy(), d.dictionary
@@ -153,15 +154,16 @@ def survey(docs: DataFrame, n_bytes: int) -> Survey:
     bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, load.bit_length()))
 
     def rows(held: list, total: np.ndarray) -> pa.RecordBatch:
-        words, window, *keys = zip(*held)
+        words, window, *keys = map(list, zip(*held))
         held.clear()
         if sum(map(len, window)):
-            _, place = T.distinct(np.concatenate(window))
+            _, place = np.unique(np.concatenate(window), return_index=True)
+            window.clear()
             for k, key in enumerate(keys):
                 total[k] += np.bincount(np.concatenate(key)[place], minlength=1 << bits)
-        codes, dictionary = coded(list(words), pa.nulls(0, pa.large_binary()))
+        codes, dictionary = coded(words, pa.nulls(0, pa.large_binary()))
         n = np.bincount(codes, minlength=len(dictionary))
-        best = np.argsort(-n, kind="stable")[: WORDS // 8]
+        best = np.argsort(-n, kind="stable")[: WORDS // 2]
         zero = np.zeros(len(best), np.int32)
         return pa.record_batch([pa.array(zero - 1), pa.array(zero), dictionary.take(pa.array(best)).cast(pa.binary()), pa.array(n[best])], names=["level", "slot", "word", "n"])
 
@@ -202,17 +204,16 @@ def survey(docs: DataFrame, n_bytes: int) -> Survey:
     return Survey(out, bits, words.cast(pa.large_binary()))
 
 
-def pack_runs(h: np.ndarray, words: list[pa.Array], n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, known: Survey, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, payload) rows of a pack of documents; ``marks`` tells rows of one id apart."""
+def pack_runs(keys: list[np.ndarray], words: list[pa.Array], n_words: np.ndarray, ids: np.ndarray, marks: np.ndarray, known: pa.Array, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, payload) rows of a pack of documents, from the prefix keys of their windows; ``marks`` tells rows of one id apart."""
     first = np.concatenate([[0], np.cumsum(n_words)])
-    starts = T.window_starts(first, SPAN)
+    starts = T.window_starts(first, SPAN).astype(np.int32)
     if not len(starts):
         return
-    codes, dictionary = coded(words, known.words)
-    words.clear()
-    common = len(known.words)
+    codes, dictionary = coded(words, known)
+    common = len(known)
     doc = np.repeat(np.arange(len(n_words), dtype=np.int32), np.maximum(n_words - SPAN + 1, 0))
-    local = repeated(codes, starts, ids[doc])
+    local = repeated(codes, starts, np.unique(ids, return_inverse=True)[1].astype(np.int32)[doc])
     at = np.flatnonzero(local)
     begin, n = _runs_of(starts[at], doc[at])
     if len(begin):
@@ -220,7 +221,8 @@ def pack_runs(h: np.ndarray, words: list[pa.Array], n_words: np.ndarray, ids: np
         yield int(T.mix(ids[:1].astype(np.uint64))[0] % np.uint64(n_buckets)), _MARKS, pack([delta(ids[d]), marks[d].view(np.uint64), starts[at[begin]] - first[d], n])
     # the rest, in runs of one prefix
     at = np.flatnonzero(~local)
-    key = prefix_keys(h, starts[at], known.hot, known.bits)
+    key = np.concatenate(keys)[at]
+    keys.clear()
     begin, n = _runs_of(starts[at], doc[at], key)
     bucket = (T.mix(key[begin]) % np.uint64(n_buckets * SUBS)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -313,10 +315,9 @@ def bucket_marks(payloads: list[bytes], common: int) -> tuple[np.ndarray, np.nda
         words.append(T.binary_array(text, np.concatenate([[0], np.cumsum(length)])))
         parts.append(rest)
     payloads.clear()
+    first = np.cumsum([0, *(len(w) for w in words)])
     code, _ = coded(words, pa.nulls(0, pa.large_binary()))
     code = np.concatenate([np.arange(common, dtype=np.int32), code + np.int32(common)])
-    first = np.cumsum([0, *(len(w) for w in words)])
-    del words
     ids, marks = [undelta(p[4]) for p in parts], [p[5].astype(np.int64) for p in parts]
     docs = [undelta(p[2]).astype(np.int32) for p in parts]
     ends = [np.concatenate([[0], np.cumsum(p[1] + (SPAN - 1))]) for p in parts]
@@ -350,9 +351,9 @@ def find_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list) -> pa.RecordBatch:
-            h, words, n, ids, marks = zip(*held)
+            keys, words, n, ids, marks = map(list, zip(*held))
             held.clear()
-            got = list(pack_runs(np.concatenate(h), list(words), *(np.concatenate(x) for x in (n, ids, marks)), known, n_buckets))
+            got = list(pack_runs(keys, words, *(np.concatenate(x) for x in (n, ids, marks)), known.words, n_buckets))
             T.trim()
             return pa.record_batch([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "kind", "payload"])
 
@@ -361,7 +362,8 @@ def find_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, hi, data, offsets in T.chunks(b):
                 w = T.words_of(data, offsets)
-                held.append((w.hashes(), w.array(), w.n_words, ids[lo:hi], marks[lo:hi]))
+                key = prefix_keys(w.hashes(), T.window_starts(w.first, SPAN), known.hot, known.bits)
+                held.append((key, w.array(), w.n_words, ids[lo:hi], marks[lo:hi]))
                 size += len(data)
                 if size >= PACK_BYTES:
                     yield rows(held)

@@ -23,6 +23,7 @@ pa.set_memory_pool(pa.system_memory_pool())
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+    _LIBC.mallopt(-3, 9 << 19)  # arrays beyond a chunk's are mapped, and so go back when they are freed
 except (OSError, AttributeError):  # another C library
     _LIBC = None
 
@@ -35,7 +36,7 @@ _MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 #: Bytes of text that are worked on at once inside a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _pow: dict[str, np.ndarray] = {}
 
