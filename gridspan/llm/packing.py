@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
 
 def pack(arrays: list[np.ndarray]) -> bytes:
     """Whole numbers of at least 0 as one compressed buffer, each array with as few bytes as its largest needs, byte by byte."""
@@ -14,7 +16,7 @@ def pack(arrays: list[np.ndarray]) -> bytes:
         planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
         out.append(np.array([len(a), width], dtype="<i8").tobytes() + planes.tobytes())
     raw = b"".join(out)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

@@ -64,11 +64,11 @@ LENGTHS = (4, 8)
 HOT, GROUP = 200_000, 250_000
 MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 26
 #: Commonest words, whose codes all tasks share.
-WORDS = 1 << 16
+WORDS = 1 << 17
 #: A bucket's runs are ordered by so many sub-buckets, whose trees are grown one after the other.
 SUBS = 8
 PACK_BYTES = 8 << 20
-BUCKET_BYTES = 28 << 20
+BUCKET_BYTES = 20 << 20
 _RUNS = 1  # kind of a row: suffix runs, or marks that a pack has settled
 _MARKS = 0
 
