@@ -53,6 +53,21 @@ def loess(y: np.ndarray, window: int, robust: np.ndarray | None = None, beyond:
     return np.where(np.isnan(got), stay, got)
 
 
+def _cycles(y: np.ndarray, window: int, robust: np.ndarray) -> np.ndarray:
+    """``loess`` of many short series of one length (a row each), one place beyond either end."""
+    many, n = y.shape
+    q = min(window, n)
+    out = np.empty((many, n + 2))
+    for column, at in enumerate(range(-1, n + 1)):
+        left = min(max(at - (q - 1) // 2, 0), n - q)
+        reach = max(at - left, left + q - 1 - at, 1e-9) + max(0, (window - n) // 2)
+        part = slice(left, left + q)
+        places = np.broadcast_to(np.arange(left, left + q, dtype=float), (many, q))
+        got = _fit(np.full(many, float(at)), places, y[:, part], np.full(many, reach), robust[:, part], max(n - 1, 1))
+        out[:, column] = np.where(np.isnan(got), y[:, min(max(at, 0), n - 1)], got)
+    return out
+
+
 def _mean(x: np.ndarray, n: int) -> np.ndarray:
     c = np.concatenate([[0.0], np.cumsum(x)])
     return (c[n:] - c[:-n]) / n
@@ -67,8 +82,11 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int, inner: int = 2, o
         for _ in range(inner):
             d = y - t
             c = np.empty(n + 2 * period)
-            for k in range(period):
-                c[k::period] = loess(d[k::period], seasonal, robust[k::period], beyond=1)
+            for first, last in ((0, n % period), (n % period, period)):  # days of the cycle with one more year, and the others
+                if last > first:
+                    rows = np.arange(first, last)[:, None] + period * np.arange(-(-(n - first) // period))
+                    smooth = _cycles(d[rows], seasonal, robust[rows])
+                    c[rows[:, :1] + period * np.arange(smooth.shape[1])] = smooth
             s = c[period : period + n] - loess(_mean(_mean(_mean(c, period), period), 3), low)
             t = loess(y - s, trend, robust)
         if round_ < outer:

@@ -91,7 +91,7 @@ def component_table(fields: DataFrame, grid: GridArrays, thresholds: tuple[float
             field, cell = np.nonzero(label >= 0)
             key, code = np.unique(field * grid.mask.size + label[field, cell], return_inverse=True)
             of, root = key // grid.mask.size, key % grid.mask.size
-            sums = [np.bincount(code, weights=w[cell], minlength=len(key)) for w in weights]
+            sums = [np.bincount(code, weights=w[cell], minlength=len(key)).astype(float) for w in weights]  # whole numbers if there is nothing to count
             number = np.arange(len(key)) - np.searchsorted(of, of) + 1
             top = root == largest_labels(label, grid.area)[of]
             ints = [pa.array(x.astype(np.int32)) for x in (root, number)]

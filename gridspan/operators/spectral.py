@@ -26,17 +26,13 @@ def welch(y: np.ndarray, segment: int, overlap: int) -> tuple[np.ndarray, np.nda
 
 
 def effective_dof(segment: int, step: int, n: int) -> float:
-    """Degrees of freedom of a mean over overlapping segments."""
-    w = hann(segment)
-    k = 1 + (n - segment) // step
-    s = 0.0
-    for m in range(1, k):
-        shift = m * step
-        if shift >= segment:
-            break
-        rho = (w[: segment - shift] @ w[shift:] / (w @ w)) ** 2
-        s += (1 - m / k) * rho
-    return 2 * k / (1 + 2 * s)
+    """Degrees of freedom of a mean over overlapping segments: fewer the more the window overlaps itself."""
+    segments = 1 + (n - segment) // step
+    power = np.abs(np.fft.rfft(hann(segment), 2 * segment)) ** 2
+    overlap = np.fft.irfft(power)[:segment]
+    shift = np.arange(1, min(segments, -(-segment // step)))
+    shared = (overlap[shift * step] / overlap[0]) ** 2
+    return 2 * segments / (1 + 2 * float(shared @ (1 - shift / segments)))
 
 
 def red_noise(f: np.ndarray, variance: float, lag1: float) -> np.ndarray:

@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.distributions import t_quantile, t_two_sided
 
 
+#: Points of a series whose pairs are compared, at most.
+MAX_POINTS = 2000
+
+
 def pairwise_slopes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Slopes of all pairs of points of a series (x, y) with different x: for vectors of some hundred points."""
-    a, b = df.alias("a"), df.alias("b")
+    """Slopes of all pairs of points of a series (x, y) with different x: for years or months. More than ``MAX_POINTS`` points are an error."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_points"))
+    few = F.when(F.col("_points") <= MAX_POINTS, F.col("x")).otherwise(F.raise_error(F.lit(f"a series has more than {MAX_POINTS} points")).cast("double"))
+    a, b = df.join(n, keys).select(*keys, few.alias("x"), "y").alias("a"), df.alias("b")
     on = F.col("a.x") < F.col("b.x")
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))

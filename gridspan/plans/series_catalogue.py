@@ -48,7 +48,8 @@ def welch_bands(spark: SparkSession, d: str) -> DataFrame:
 
 def wavelet_power(spark: SparkSession, d: str) -> DataFrame:
     out = wavelet.wavelet_power(_series(spark, d), KEY)
-    return out.select("series", "k", "scale", "period_days", "n", "lag1", "sig95", "global_power", "global_sig95")
+    floor = F.log10(F.greatest("global_power", F.lit(1e-6)))
+    return out.select("series", "k", "scale", "period_days", "n", "lag1", "sig95", "global_power", "global_sig95", floor.alias("log_global_power"))
 
 
 def wavelet_coi(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +63,7 @@ def wavelet_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stl(spark: SparkSession, d: str) -> DataFrame:
-    """A yearly cycle would need years of data at every scale; the weekly one serves here."""
-    return decomposition.stl_components(_series(spark, d), KEY, period=7, seasonal=35, trend=61, outer=5)
+    return decomposition.stl_components(_series(spark, d), KEY)
 
 
 def stl_components(spark: SparkSession, d: str) -> DataFrame:

@@ -28,7 +28,7 @@ def write_csv(df: DataFrame, path: str, digits: int = 10) -> None:
 
     It is written beside ``path`` and put in its place when it is whole.
     """
-    out = df.withColumns({c: F.when(F.isnan(c), None).otherwise(F.format_string(f"%.{digits - 1}e", c)).cast("double") for c, t in df.dtypes if t == "double"})
+    out = df.withColumns({c: F.when(F.col(c).isNull() | F.isnan(c), None).otherwise(F.format_string(f"%.{digits - 1}e", c)).cast("double") for c, t in df.dtypes if t == "double"})
     aside = f"{path}.{uuid.uuid4().hex}.tmp"
     out.coalesce(1).write.option("header", True).csv(aside)
     hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
