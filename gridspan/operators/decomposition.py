@@ -132,7 +132,7 @@ def stl_summary(parts: DataFrame, keys: list[str]) -> DataFrame:
     leap = F.dayofmonth(F.last_day(F.make_date("year", F.lit(2), F.lit(1)))) == 29
     a = annual_amplitude(parts, keys).filter(F.col("n_days") == F.when(leap, 366).otherwise(365))
     metrics = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("y")) for m in ("amplitude", "relative_amplitude_pct")))
-    tidy = a.select(*keys, F.col("year").cast("double").alias("x"), F.inline(metrics))
+    tidy = a.select(*keys, F.col("year").cast("double").alias("x"), F.inline(metrics)).persist()  # a few rows a year, which the interval reads several times
     by = [*keys, "metric"]
     slope = trends.theil_sen_interval(tidy, by)
     mean = tidy.groupBy(*by).agg(F.avg("y").alias("mean"))
