@@ -208,7 +208,7 @@ class ByteBPE:
         special = np.zeros(n_docs, dtype=bool)
         special[odd] = True
         bounds = _unit_bounds(data, offsets)
-        codes, first = T.distinct(T.spans_hash(data, bounds))
+        codes, first = T.distinct_spans(data, bounds)
         lo, hi = bounds[first].tolist(), bounds[first + 1].tolist()
         per_doc = np.searchsorted(bounds, offsets)
         if len(odd):

@@ -16,10 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own and any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        sc = spark.sparkContext
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gridspan-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app, found = getattr(sc, "_gridspan_shared", (None, None))
+        if app != sc.applicationId:
+            found = "file://" + tempfile.mkdtemp(prefix="gridspan-")
+            sc._gridspan_shared = sc.applicationId, found
     return found.rstrip("/")
 
 

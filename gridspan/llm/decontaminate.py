@@ -7,7 +7,7 @@ of a window are substituted, one mask ignores both: windows of a benchmark item
 and of a document that differ in at most ``MISSES`` places agree in at least one
 masked hash. Document windows are hashed under all masks with array arithmetic,
 joined with the benchmark's hashes (a bitmap first, then binary search in the
-sorted hashes), and each hit is verified word by word. Verified windows of one
+sorted hashes), and each hit is verified word by word, on the words' bytes. Verified windows of one
 document, item and alignment are merged into overlaps.
 
 The benchmark is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words
@@ -69,7 +69,7 @@ class Seeds:
         raw = [t.encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         w = normal_words(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
-        self.h, self.first = w.hashes(), w.first
+        self.h, self.first, self.words = w.hashes(), w.first, w
         self.n_words = w.n_words
         starts = T.window_starts(w.first, SPAN)
         self.tables = []
@@ -90,13 +90,13 @@ class Seeds:
             order = np.argsort(key, kind="stable")
             self.short.append((n, key[order], items[order]))
 
-    def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, w: T.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document place, benchmark place) of verified windows."""
         at: list[np.ndarray] = []
         to: list[np.ndarray] = []
         if len(h) >= SPAN and self.tables:
             valid = np.zeros(len(h), dtype=bool)
-            valid[T.window_starts(first, SPAN)] = True
+            valid[T.window_starts(w.first, SPAN)] = True
             valid = valid[: len(h) - SPAN + 1]
             for (mask, seed, starts), bitmap in zip(self.tables, self.maps):
                 x = masked(h, mask)
@@ -113,7 +113,7 @@ class Seeds:
         a, b = pair >> 32, pair & 0xFFFFFFFF
         same = np.zeros(len(a), dtype=np.int64)
         for p in range(SPAN):
-            same += h[a + p] == self.h[b + p]
+            same += w.equal(a + p, self.words, b + p)
         ok = same >= SPAN - MISSES
         return a[ok], b[ok]
 
@@ -121,7 +121,7 @@ class Seeds:
         """(document, item, first word, end word, item's first word, equal words) of merged overlaps."""
         w = normal_words(data, offsets)
         h = w.hashes()
-        a, b = self.hits(h, w.first)
+        a, b = self.hits(w, h)
         doc = np.searchsorted(w.first, a, side="right") - 1
         item = np.searchsorted(self.first, b, side="right") - 1
         out = []
@@ -133,7 +133,7 @@ class Seeds:
         begin = np.flatnonzero(new)
         for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(a)]):
             s, e, shift = int(a[lo]), int(a[hi - 1]) + SPAN, int(b[lo] - a[lo])
-            equal = int((h[s:e] == self.h[s + shift : e + shift]).sum())
+            equal = int(w.equal(np.arange(s, e), self.words, np.arange(s + shift, e + shift)).sum())
             d, i = int(doc[lo]), int(item[lo])
             out.append((d, i, s - int(w.first[d]), e - int(w.first[d]), s + shift - int(self.first[i]), equal))
         for n, key, items in self.short:  # a length at a time, whatever the number of items
@@ -144,7 +144,7 @@ class Seeds:
                 s = int(at[k])
                 d = int(np.searchsorted(w.first, s, side="right")) - 1
                 for i in items[lo[k] : hi[k]].tolist():
-                    if (h[s : s + n] == self.h[self.first[i] : self.first[i] + n]).all():
+                    if w.equal(np.arange(s, s + n), self.words, np.arange(self.first[i], self.first[i] + n)).all():
                         out.append((d, i, s - int(w.first[d]), s - int(w.first[d]) + n, 0, n))
         return out
 

@@ -96,7 +96,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[1:][data == 0x0A] = True
     bounds = np.flatnonzero(cut)
     line_doc = np.searchsorted(offsets, bounds[:-1], side="right") - 1
-    out[:, -1] = _repeated(T.spans_hash(data, bounds), line_doc, n_docs)
+    out[:, -1] = _repeated(T.distinct_spans(data, bounds)[0].astype(np.uint64), line_doc, n_docs)
     out[:, -N_EXTRA:] = np.sqrt(out[:, -N_EXTRA:])
     return out
 

@@ -3,14 +3,16 @@
 A chunk of documents is held as one UTF-8 byte array plus document offsets, as
 Arrow stores it. Words are the maximal runs of bytes outside ``\\x20`` and
 ``\\x09-\\x0D``; no UTF-8 continuation byte lies in that range, so words are
-found on bytes without decoding. Word and shingle hashes are computed with
-wrap-around arithmetic on whole arrays, so a document costs a few nanoseconds
-a byte and no per-word Python object exists.
+found on bytes without decoding. Word hashes chain a mixer over eight bytes at a
+time, on whole arrays; words beyond ``LONG_WORD`` bytes are hashed by keyed
+BLAKE2. No structure of a word's bytes carries over to its hash. What must be
+told apart for certain is told apart by its bytes (``distinct_spans``).
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,20 +40,9 @@ _S33 = np.uint64(33)
 #: Bytes of text that are worked on at once inside a task.
 CHUNK_BYTES = 1 << 19
 
-_pow: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, ``n`` at least."""
-    have = _pow.get("p")
-    if have is None or len(have) < n:
-        n = max(n, CHUNK_BYTES + (1 << 16))
-        for key, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-            a = np.full(n, base, dtype=np.uint64)
-            a[0] = 1
-            np.multiply.accumulate(a, out=a)
-            _pow[key] = a
-    return _pow["p"], _pow["q"]
+#: Words up to this length are hashed on arrays.
+LONG_WORD = 64
+_KEY = b"gridspan words"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,14 +73,45 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.n_words)
 
+    def _eights(self) -> np.ndarray:
+        """Eight bytes from every place on, as numbers."""
+        padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+        padded[: len(self.data)] = self.data
+        return np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+    def equal(self, at: np.ndarray, other: Words, to: np.ndarray) -> np.ndarray:
+        """Whether the bytes of words ``at`` are those of the words ``to`` of ``other``."""
+        size = self.ends[at] - self.starts[at]
+        same = size == other.ends[to] - other.starts[to]
+        a, b, live, k = self._eights(), other._eights(), np.flatnonzero(same & (size > 0)), 0
+        while len(live):
+            left = size[live] - k
+            x = a[self.starts[at[live]] + k] ^ b[other.starts[to[live]] + k]
+            short = left < 8
+            x[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+            same[live[x != 0]] = False
+            live = live[(x == 0) & (left > 8)]
+            k += 8
+        return same
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        p, q = _powers(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * q[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        size = self.ends - self.starts
+        eight = self._eights()
+        h = mix(size.astype(np.uint64) * np.uint64(_BASE))
+        live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+        at = 0
+        while len(live):
+            left = size[live] - at
+            lane = eight[self.starts[live] + at]
+            short = left < 8
+            lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+            h[live] = mix((h[live] ^ lane) + np.uint64(_BASE))
+            at += 8
+            live = live[left > 8]
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(self.word(k), digest_size=8, key=_KEY).digest(), "little")
+        return h
 
     def array(self) -> pa.Array:
         """The words themselves."""
@@ -181,17 +203,22 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES)
     trim()
 
 
-def spans_hash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the pieces between consecutive bounds (the last bound is the end of the data)."""
-    return Words(data, bounds[:-1], bounds[1:], bounds, bounds).hashes()
+def distinct_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, first places) of the pieces between consecutive bounds, as ``distinct`` has them but told apart by their bytes."""
+    codes = binary_array(data[bounds[0] :] if len(bounds) else data, bounds - bounds[0]).dictionary_encode().indices.to_numpy()
+    return codes, _first(codes, int(codes.max(initial=-1)) + 1)
+
+
+def _first(codes: np.ndarray, n: int) -> np.ndarray:
+    first = np.empty(n, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return first
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code of each hash, place where each code first occurs)."""
     codes, uniques = pd.factorize(h)
-    first = np.empty(len(uniques), dtype=np.int64)
-    first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
-    return codes, first
+    return codes, _first(codes, len(uniques))
 
 
 def segments(values: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

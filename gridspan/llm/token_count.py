@@ -5,8 +5,8 @@ not begin with one. The best segmentation of the whole text is wanted. Where no
 piece has a mark after another character, none can cross the place before a
 mark that follows something else, and the text falls apart there into units
 that are segmented on their own; with other vocabularies the whole text is one
-unit. A task hashes its units with array arithmetic and scores each distinct
-one once. An Aho-Corasick automaton lists every vocabulary piece that ends at
+unit. A task tells its units apart by their bytes and scores each distinct one
+once. An Aho-Corasick automaton lists every vocabulary piece that ends at
 each character; dynamic programming carries the best score and the number of
 pieces of the path that has it, and nothing is traced back. Control, unknown,
 unused and byte pieces are not entered, so a text that spells one is text.
@@ -103,7 +103,7 @@ class UnigramCounter:
             after[3:] |= (data[:-3] == _MARK_BYTES[0]) & (data[1:-2] == _MARK_BYTES[1]) & (data[2:-1] == _MARK_BYTES[2])
             cut[:-1] |= mark & ~after
         bounds = np.flatnonzero(cut)
-        codes, first = T.distinct(T.spans_hash(data, bounds))
+        codes, first = T.distinct_spans(data, bounds)
         raw, known = data.tobytes(), self.known
         known.turn()
         pieces, scores = np.empty(len(first), np.int64), np.empty(len(first))
