@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, language, mixing, quality, substring, token_count, topk, url_filter, warc
+from . import align, bpe, decontaminate, jaccard, language, mixing, quality, substring, token_count, topk, url_filter, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_language_id": language.op10_language_id,
+    "op11_alignment": align.op11_alignment,
     "op12_mixing": mixing.op12_mixing,
 }
 ORACLES: dict[str, str] = {**substring.SQL, **url_filter.SQL, **jaccard.SQL, **topk.SQL, **warc.SQL}
