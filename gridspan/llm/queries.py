@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, decontaminate, jaccard, language, mixing, quality, substring, token_count, topk, url_filter, warc
+from . import align, bpe, decontaminate, jaccard, language, lexical, mixing, quality, substring, token_count, topk, url_filter, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_language_id": language.op10_language_id,
     "op11_alignment": align.op11_alignment,
     "op12_mixing": mixing.op12_mixing,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
-ORACLES: dict[str, str] = {**substring.SQL, **url_filter.SQL, **jaccard.SQL, **topk.SQL, **warc.SQL}
+ORACLES: dict[str, str] = {**substring.SQL, **url_filter.SQL, **jaccard.SQL, **topk.SQL, **warc.SQL, **lexical.SQL}
