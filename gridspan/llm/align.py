@@ -10,8 +10,8 @@ that follows something other than white space, so a text falls apart there into
 units that are tokenized on their own, and a pack's distinct units only once.
 DuckDB, inside the task, holds the units' tokens as two tables of intervals on
 one axis of bytes: equal ends are the cuts, an ASOF join puts A's tokens and a
-range join B's tokens into their groups, window sums number the groups, and a
-join by group gives the linked pairs with their multiplicities. (Ids are counted
+range join (by blocks of 32 bytes, so that it is linear) B's tokens into their
+groups, window sums number the groups, and a join by group gives the linked pairs with their multiplicities. (Ids are counted
 in each group before that join, so a long group costs its distinct ids.) It also
 counts the documents of the pack for each pair. Spark adds up the packs' counts,
 finds the highest count of each A id, and joins both back to the packs' pairs;
@@ -31,9 +31,11 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,23 +49,24 @@ PACK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 _DOC, _PAIRS = 0, 1
 _STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, times array<int>, a array<int>, b array<int>, docs array<int>, u_unit array<int>, u_pair array<int>, u_times array<int>"
-_UNITS_SQL = """
-WITH cuts AS (
-    SELECT e, lag(e, 1, 0) OVER (ORDER BY e) AS s, sum(1) OVER (ORDER BY e) AS g
-    FROM (SELECT ta.e FROM ta JOIN tb ON ta.e = tb.e)),
-ga AS (SELECT cuts.g, cuts.e AS cut, ta.id, ta.e FROM ta ASOF JOIN cuts ON ta.e <= cuts.e),
-gb AS (SELECT cuts.g, tb.id, tb.e FROM tb JOIN cuts ON tb.e > cuts.s AND tb.e <= cuts.e),
+_CUTS_SQL = """
+CREATE OR REPLACE TEMP TABLE cuts AS
+    SELECT e, lag(e, 1, 0) OVER (ORDER BY e) AS s, CAST(sum(1) OVER (ORDER BY e) AS BIGINT) - 1 AS g
+    FROM (SELECT ta.e FROM ta JOIN tb ON ta.e = tb.e)
 """
-_GROUPS_SQL = _UNITS_SQL + """
-sa AS (SELECT g, any_value(cut) AS cut, string_agg(id, ',' ORDER BY e) AS s, count(*) AS n FROM ga GROUP BY g),
-sb AS (SELECT g, string_agg(id, ',' ORDER BY e) AS s, count(*) AS n FROM gb GROUP BY g)
-SELECT sa.cut, sa.s || '|' || sb.s AS s, sa.n AS n_a, sb.n AS n_b FROM sa JOIN sb ON sa.g = sb.g ORDER BY sa.g
+_GROUP_A_SQL = "CREATE OR REPLACE TEMP TABLE ga AS SELECT ta.k, ta.id, cuts.g FROM ta ASOF JOIN cuts ON ta.e <= cuts.e"
+_GROUP_B_SQL = """
+CREATE OR REPLACE TEMP TABLE gb AS
+    SELECT tb.k, tb.id, c.g FROM tb JOIN (SELECT g, s, e, unnest(range((s + 1) >> 5, (e >> 5) + 1)) AS block FROM cuts) c
+    ON tb.e >> 5 = c.block AND tb.e > c.s AND tb.e <= c.e
 """
-_PAIRS_SQL = _UNITS_SQL + """
-ca AS (SELECT g, any_value(cut) AS cut, id, count(*) AS n FROM ga GROUP BY g, id),
-cb AS (SELECT g, id, count(*) AS n FROM gb GROUP BY g, id)
-SELECT ca.cut, ca.id AS a, cb.id AS b, ca.n * cb.n AS n FROM ca JOIN cb ON ca.g = cb.g
+_PAIRS_SQL = "SELECT g, ga.id AS a, gb.id AS b, CAST(1 AS BIGINT) AS n FROM ga JOIN gb USING (g)"
+_COUNTED_PAIRS_SQL = """
+SELECT g, ca.id AS a, cb.id AS b, ca.n * cb.n AS n FROM (SELECT g, id, count(*) AS n FROM ga GROUP BY g, id) ca
+JOIN (SELECT g, id, count(*) AS n FROM gb GROUP BY g, id) cb USING (g)
 """
+#: Links of a group from which on its ids are counted before they are joined.
+MANY_LINKS = 4096
 
 
 class Aligner:
@@ -87,8 +90,8 @@ class Aligner:
             self.bytes_a[i] = bytes(alphabet[c] for c in s) if all(c in alphabet for c in s) else s.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.len_a = np.array([len(x) for x in self.bytes_a])
-        self.len_b = np.array([len(x) for x in self.bytes_b])
+        self.len_a, self.len_b = (np.array([len(x) for x in y]) for y in (self.bytes_a, self.bytes_b))
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         self.splits = not any(x == "▁" and y != "▁" for p in pieces for y, x in zip(p, p[1:]))
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
@@ -99,9 +102,16 @@ class Aligner:
         a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
         b = [x if len(u) > 1 else [self.space] for x, u in zip(b, units)]
-        spell_a, spell_b = self.bytes_a, self.bytes_b
-        good = [b"".join([spell_a[i] for i in x]) == u == b"".join([spell_b[i] for i in y]) for x, y, u in zip(a, b, units)]
-        return a, b, np.array(good, dtype=bool)
+        size = np.array([len(u) for u in units])
+        good = np.ones(len(units), bool)
+        for ids, length, spelt in ((a, self.len_a, self.flat_a), (b, self.len_b, self.flat_b)):
+            flat, n = _flat(ids)
+            good &= T.sums(length[flat], np.concatenate([[0], np.cumsum(n)])) == size
+            keep = np.repeat(good, n)
+            want = np.frombuffer(b"".join([u for u, ok in zip(units, good.tolist()) if ok]), np.uint8)
+            wrong = np.flatnonzero(T.segments(spelt, length, flat[keep])[0] != want)
+            good[np.flatnonzero(good)[np.searchsorted(np.cumsum(size[good]), wrong, side="right")]] = False
+        return a, b, good
 
     def bounds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Places where units begin, and the end of the data; every document begins with a space."""
@@ -115,6 +125,17 @@ class Aligner:
         return np.flatnonzero(cut)
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids one after the other, how many each list has)."""
+    n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(n.sum())), n
+
+
+def _joined(strings: pa.Array, counts: np.ndarray, by: str) -> pa.Array:
+    """Runs of strings, each joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), strings), by)
+
+
 def _white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether white space, as the tokenizer's pattern has it, ends at these places."""
     x, y, z = data[at], data[at - 1], data[at - 2]
@@ -152,30 +173,36 @@ class Pack:
         self.bad.append(~good)
         live = np.flatnonzero(good)
         end = np.cumsum([len(units[k]) for k in live.tolist()])
-        ids_a = np.array([i for k in live.tolist() for i in a[k]], dtype=np.int32)
-        ids_b = np.array([i for k in live.tolist() for i in b[k]], dtype=np.int32)
+        if len(live) < len(units):
+            a, b = [a[k] for k in live.tolist()], [b[k] for k in live.tolist()]
+        (ids_a, _), (ids_b, _) = _flat(a), _flat(b)
         db = al.db
-        db.register("ta", pa.table({"id": ids_a, "e": np.cumsum(al.len_a[ids_a])}))
-        db.register("tb", pa.table({"id": ids_b, "e": np.cumsum(al.len_b[ids_b])}))
-        groups = db.sql(_GROUPS_SQL).to_arrow_table().combine_chunks()
-        linked = db.sql(_PAIRS_SQL).to_arrow_table()
+        ends = np.cumsum(al.len_a[ids_a])
+        db.register("ta", pa.table({"k": np.arange(len(ids_a)), "id": ids_a, "e": ends}))
+        db.register("tb", pa.table({"k": np.arange(len(ids_b)), "id": ids_b, "e": np.cumsum(al.len_b[ids_b])}))
+        for sql in (_CUTS_SQL, _GROUP_A_SQL, _GROUP_B_SQL):
+            db.execute(sql)
+        cut = db.sql("SELECT e FROM cuts ORDER BY g").to_arrow_table()["e"].to_numpy()
+        group_a, group_b = (db.sql(f"SELECT g FROM {x} ORDER BY k").to_arrow_table()["g"].to_numpy() for x in ("ga", "gb"))
+        n_a, n_b = np.bincount(group_a, minlength=len(cut)), np.bincount(group_b, minlength=len(cut))
+        linked = db.sql(_PAIRS_SQL if (n_a * n_b).max(initial=0) < MANY_LINKS else _COUNTED_PAIRS_SQL).to_arrow_table()
         db.unregister("ta")
         db.unregister("tb")
-        stats = np.zeros((len(units), 4), np.int64)
-        shown = [b""] * len(units)
-        of = np.searchsorted(end, groups["cut"].to_numpy(), side="left")  # the unit in which a group ends
-        n_a, n_b = groups["n_a"].to_numpy(), groups["n_b"].to_numpy()
+        of = np.searchsorted(end, cut, side="left")  # the unit in which a group ends
         first = np.searchsorted(of, np.arange(len(live) + 1))
+        stats = np.zeros((len(units), 4), np.int64)
         stats[live] = np.stack([T.sums(n_a, first), T.sums(n_b, first), np.diff(first), T.sums(n_a * n_b, first)], axis=1)
-        strings = groups["s"].to_pylist()
-        for k, (lo, hi) in zip(live.tolist(), zip(first.tolist(), first[1:].tolist())):
-            shown[k] = ";".join(strings[lo:hi]).encode()
-        self.shown += shown
         self.stats.append(stats)
-        unit = live[np.searchsorted(end, linked["cut"].to_numpy(), side="left")] + base
-        key = linked["a"].to_numpy().astype(np.int64) << 32 | linked["b"].to_numpy()
+        sides = [_joined(pa.array(ids).cast(pa.string()), n, ",") for ids, n in ((ids_a, n_a), (ids_b, n_b))]
+        strings = _joined(pc.binary_join_element_wise(*sides, "|"), np.diff(first), ";").cast(pa.binary()).to_pylist()
+        if len(live) < len(units):
+            own = dict(zip(live.tolist(), strings))
+            strings = [own.get(k, b"") for k in range(len(units))]
+        self.shown += strings
+        unit = live[of[linked["g"].to_numpy()]] + base
+        keys, code = np.unique(linked["a"].to_numpy().astype(np.int64) << 32 | linked["b"].to_numpy(), return_inverse=True)
         known = self.pairs
-        pair = np.array([known.setdefault(x, len(known)) for x in key.tolist()], dtype=np.int64)
+        pair = np.array([known.setdefault(x, len(known)) for x in keys.tolist()], dtype=np.int64)[code]
         both, at = np.unique(unit << 32 | pair, return_inverse=True)  # a unit may hold a pair in several groups
         times = np.zeros(len(both), np.int64)
         np.add.at(times, at, linked["n"].to_numpy())
