@@ -38,7 +38,7 @@ def label_fields(member: np.ndarray) -> np.ndarray:
         label = jumped
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], mask: np.ndarray, thresholds: tuple[float, ...]) -> Iterator[tuple[pa.RecordBatch, float, np.ndarray]]:
+def labelled(batches: Iterator[pa.RecordBatch], mask: np.ndarray, thresholds: tuple[float, ...]) -> Iterator[tuple[pa.RecordBatch, float, np.ndarray]]:
     """(rows, threshold, labels by field and cell) of fields (date, values) with value >= threshold inside the mask."""
     for b in batches:
         step = max(1, (1 << 22) // mask.size)
@@ -67,7 +67,7 @@ def label_components(fields: DataFrame, grid: GridArrays, thresholds: tuple[floa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t, label in _labelled(batches, grid.mask, thresholds):
+        for part, t, label in labelled(batches, grid.mask, thresholds):
             field, cell = np.nonzero(label >= 0)
             found = label[field, cell]
             top = found == largest_labels(label, grid.area)[field]
@@ -87,7 +87,7 @@ def component_table(fields: DataFrame, grid: GridArrays, thresholds: tuple[float
     weights = (grid.area, *(grid.area * v for v in grid.vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t, label in _labelled(batches, grid.mask, thresholds):
+        for part, t, label in labelled(batches, grid.mask, thresholds):
             field, cell = np.nonzero(label >= 0)
             key, code = np.unique(field * grid.mask.size + label[field, cell], return_inverse=True)
             of, root = key // grid.mask.size, key % grid.mask.size

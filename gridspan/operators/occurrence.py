@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.fields import GridArrays, field_values
+from .labelling import labelled, largest_labels
 
 
 def longest_runs(members: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
@@ -20,37 +21,105 @@ def longest_runs(members: DataFrame, keys: list[str], date: str = "date") -> Dat
     return island.groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").cast("int").alias("longest_run"))
 
 
-def valid_days(fields: DataFrame, grid: GridArrays) -> DataFrame:
-    """Days with a value of each cell inside the mask. Tasks count whole batches, so a batch gives a row for each cell and not each field."""
+#: A stretch of consecutive days of a cell: counts, the run that begins with it, the run that ends with it and the longest in it.
+STRETCH = "threshold_c double, cell_id int, first_day int, days int, n_valid long, n_canonical long, n_lcc long, prefix int, suffix int, best int"
+
+
+class _Stretch:
+    """What a task counts of consecutive days, for every cell inside the mask and every threshold; row 0 of ``valid`` needs no threshold."""
+
+    def __init__(self, day: int, n_thresholds: int, n_cells: int):
+        self.first = self.last = day
+        self.valid = np.zeros(n_cells, np.int64)
+        self.canonical, self.lcc = (np.zeros((n_thresholds, n_cells), np.int64) for _ in range(2))
+        self.prefix, self.suffix, self.best = (np.zeros((n_thresholds, n_cells), np.int32) for _ in range(3))
+
+    def add(self, day: int, k: int, member: np.ndarray, top: np.ndarray) -> None:
+        """A day at threshold ``k``."""
+        self.last = day
+        self.canonical[k] += member
+        self.lcc[k] += top
+        run = self.suffix[k]
+        run += 1
+        run[~top] = 0
+        np.maximum(self.best[k], run, out=self.best[k])
+        whole = run == day - self.first + 1
+        self.prefix[k][whole] = run[whole]
+
+    def rows(self, cells: np.ndarray, thresholds: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
+        """Cells that have a value, and for each threshold those that are ever a member; the others add nothing."""
+        names = [x.split(" ")[0] for x in STRETCH.split(", ")]
+        for k in range(-1, len(thresholds)):
+            at = np.flatnonzero(self.valid if k < 0 else self.canonical[k])
+            n, none = len(at), np.zeros(len(at), np.int64)
+            counts = [self.valid[at], none, none] if k < 0 else [none, self.canonical[k][at], self.lcc[k][at]]
+            runs = [none.astype(np.int32)] * 3 if k < 0 else [x[k][at] for x in (self.prefix, self.suffix, self.best)]
+            head = [pa.nulls(n, pa.float64()) if k < 0 else pa.array(np.full(n, thresholds[k])), pa.array(cells[at].astype(np.int32)), pa.array(np.full(n, self.first, np.int32)), pa.array(np.full(n, self.last - self.first + 1, np.int32))]
+            yield pa.record_batch([*head, *map(pa.array, counts), *map(pa.array, runs)], names=names)
+
+
+def stretches(fields: DataFrame, grid: GridArrays, thresholds: tuple[float, ...]) -> DataFrame:
+    """``STRETCH`` rows of every cell for every stretch of consecutive days that a task reads; a null threshold has the valid days.
+
+    Fields are labelled once. A task sorts the days it reads and counts on while
+    they follow each other, so the rows grow with cells and tasks, not with days.
+    """
     inside = np.flatnonzero(grid.mask.ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(inside), dtype=np.int64)
+        now = None
         for b in batches:
-            step = max(1, (1 << 24) // grid.mask.size)
-            for lo in range(0, b.num_rows, step):
-                n += (~np.isnan(field_values(b.column(0).slice(lo, step), grid.mask.size)[:, inside])).sum(axis=0)
-        yield pa.record_batch([pa.array(inside[n > 0].astype(np.int32)), pa.array(n[n > 0])], names=["cell_id", "n"])
-
-    return fields.select("values").mapInArrow(run, "cell_id int, n long").groupBy("cell_id").agg(F.sum("n").alias("n_valid"))
-
-
-def cell_history(members: DataFrame) -> DataFrame:
-    """(threshold_c, cell_id, n_canonical, n_lcc, longest_run): all in one shuffle of the members by cell."""
-    k = ["threshold_c", "cell_id"]
-    w = Window.partitionBy(*k).orderBy("date")
-    island = F.when(F.col("largest"), F.date_diff("date", F.lit("1970-01-01").cast("date")) - F.count_if("largest").over(w))
-    n = members.withColumn("island", island).groupBy(*k, "island").agg(F.count(F.lit(1)).alias("n"))
-    run = F.when(F.col("island").isNotNull(), F.col("n"))
-    return n.groupBy(*k).agg(F.sum("n").alias("n_canonical"), F.sum(run).alias("n_lcc"), F.max(run).cast("int").alias("longest_run"))
-
-
-def cell_statistics(members: DataFrame, valid: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """(threshold_c, cell_id, n_valid, n_canonical, n_lcc, longest_run) for every valid cell; zero where it never occurs."""
+            step = max(1, (1 << 22) // grid.mask.size)
+            for part in (b.slice(lo, step) for lo in range(0, b.num_rows, step)):
+                days = part.column(0).cast(pa.int32()).to_numpy()
+                valid = ~np.isnan(field_values(part.column(1), grid.mask.size)[:, inside])
+                found = []
+                for _, _, label in labelled(iter([part]), grid.mask, thresholds):
+                    top = label == largest_labels(label, grid.area)[:, None]
+                    found.append(((label >= 0)[:, inside], (top & (label >= 0))[:, inside]))
+                for row, day in enumerate(days.tolist()):
+                    if now is not None and day != now.last + 1:
+                        yield from now.rows(inside, thresholds)
+                        now = None
+                    now = now or _Stretch(day, len(thresholds), len(inside))
+                    now.valid += valid[row]
+                    now.last = day
+                    for k, (member, top) in enumerate(found):
+                        now.add(day, k, member[row], top[row])
+        if now is not None:
+            yield from now.rows(inside, thresholds)
+
+    return fields.select("date", "values").filter("date is not null").sortWithinPartitions("date").mapInArrow(run, STRETCH)
+
+
+def merged_runs(parts: Column) -> Column:
+    """The longest run of an array of stretches (first_day, days, prefix, suffix, best): in order of days, a run goes on where a stretch begins the day after the one before. A day in two stretches is an error."""
+    start = F.struct(F.lit(None).cast("int").alias("after"), F.lit(0).alias("run"), F.lit(0).alias("longest"))
+
+    def step(state: Column, x: Column) -> Column:
+        twice = F.when(x["first_day"] < state["after"], F.raise_error(F.lit("a day occurs twice in the record")).cast("int")).otherwise(x["first_day"])
+        before = F.when(twice == state["after"], state["run"]).otherwise(F.lit(0))
+        run = F.when(x["prefix"] == x["days"], before + x["days"]).otherwise(x["suffix"])
+        return F.struct((x["first_day"] + x["days"]).alias("after"), run.alias("run"), F.greatest(state["longest"], x["best"], before + x["prefix"]).alias("longest"))
+
+    return F.aggregate(F.array_sort(parts), start, step, lambda state: state["longest"])
+
+
+def cell_statistics(fields: DataFrame, grid: GridArrays, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold_c, cell_id, n_valid, n_canonical, n_lcc, longest_run) for every valid cell; zero where it never occurs.
+
+    One pass over the fields; what is shuffled is a row for each cell and stretch of days.
+    """
+    s = stretches(fields, grid, thresholds)
     k = ["threshold_c", "cell_id"]
-    base = valid.withColumn("threshold_c", F.explode(F.array(*(F.lit(t) for t in thresholds))))
-    out = base.join(cell_history(members), k, "left")
-    return out.select(*k, "n_valid", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_canonical", "n_lcc", "longest_run")))
+    part = F.when(F.col("threshold_c").isNotNull(), F.struct("first_day", "days", "prefix", "suffix", "best"))
+    found = s.groupBy(*k).agg(*(F.sum(c).alias(c) for c in ("n_valid", "n_canonical", "n_lcc")), merged_runs(F.collect_list(part)).alias("longest_run"))
+    # a row for each cell, taken apart by threshold; a threshold at which nothing occurs has zeros
+    own = F.map_from_entries(F.collect_list(F.when(F.col("threshold_c").isNotNull(), F.struct("threshold_c", F.struct("n_canonical", "n_lcc", "longest_run")))))
+    cells = found.groupBy("cell_id").agg(F.sum("n_valid").alias("n_valid"), own.alias("own")).filter("n_valid > 0")
+    rows = cells.select("cell_id", "n_valid", "own", F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold_c"))
+    at = F.try_element_at("own", F.col("threshold_c"))
+    return rows.select(*k, "n_valid", *(F.coalesce(at[c], F.lit(0)).cast(kind).alias(c) for c, kind in (("n_canonical", "long"), ("n_lcc", "long"), ("longest_run", "int"))))
 
 
 def cell_percentages(stats: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return occurrence.cell_statistics(_members(spark, d), occurrence.valid_days(_fields(spark, d), _arrays(spark)), THRESHOLDS)
+    return occurrence.cell_statistics(_fields(spark, d), _arrays(spark), THRESHOLDS)
 
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:

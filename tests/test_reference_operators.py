@@ -62,7 +62,7 @@ def test_non_finite_values_never_pass_a_threshold(spark):
     got = labelling.label_components(f, grid, (0.5,)).collect()
     assert [(r["cell_id"], r["component_id"], r["largest"]) for r in got] == [(3, 3, True)]
     assert labelling.label_components(f.limit(0), grid, (0.5,)).count() == 0
-    assert {r["cell_id"]: r["n_valid"] for r in occurrence.valid_days(f, grid).collect()} == {3: 1}
+    assert {r["cell_id"]: r["n_valid"] for r in occurrence.cell_statistics(f, grid, (0.5,)).collect()} == {3: 1}
     small = src.fields(spark.createDataFrame([(dt.date(2000, 1, 1), [1.0])], "d date, v array<double>"), F.col("d"), "v")
     with pytest.raises(Exception, match="1 cells where the grid has 4"):
         labelling.label_components(small, grid, (0.5,)).collect()
