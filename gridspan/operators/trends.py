@@ -1,9 +1,8 @@
-"""Trends of short (annual or monthly) series: Theil-Sen, autocorrelation, effective sample size, Newey-West."""
+"""Trends of series: Theil-Sen, autocorrelation, effective sample size, Newey-West."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,51 +10,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_quantile, t_two_sided
+from .slopes import Slopes
 
+#: Upper 2.5 % point of the normal distribution.
+Z95 = 1.959963984540054
+_LINE = {"n": "long", "slope": "double", "intercept": "double", "joint_intercept": "double", "low": "double", "high": "double"}
 
-#: Points of a series whose pairs are compared, at most.
-MAX_POINTS = 2000
 
+def _tied(v: np.ndarray) -> int:
+    k = np.unique(v, return_counts=True)[1].astype(object)
+    return int((k * (k - 1) * (2 * k + 5)).sum())
 
-def pairwise_slopes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Slopes of all pairs of points of a series (x, y) with different x: for years or months. More than ``MAX_POINTS`` points are an error."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_points"))
-    few = F.when(F.col("_points") <= MAX_POINTS, F.col("x")).otherwise(F.raise_error(F.lit(f"a series has more than {MAX_POINTS} points")).cast("double"))
-    a, b = df.join(n, keys).select(*keys, few.alias("x"), "y").alias("a"), df.alias("b")
-    on = F.col("a.x") < F.col("b.x")
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in keys), ((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("slope"))
 
+def line_statistics(x: np.ndarray, y: np.ndarray, z: float = Z95) -> dict[str, float] | None:
+    """The median slope of all pairs of points with both intercept rules, and the slopes at the ranks that Kendall's variance, with ties, gives. None where all x are equal."""
+    s, n = Slopes(x, y), len(x)
+    if not s.pairs:
+        return None
+    slope = s.median()
+    half = z * math.sqrt((n * (n - 1) * (2 * n + 5) - _tied(x) - _tied(y)) / 18)
+    low, high = max(round((s.pairs - half) / 2), 1) - 1, min(round((s.pairs + half) / 2), s.pairs - 1)
+    return {"n": n, "slope": slope, "intercept": float(np.median(y) - slope * np.median(x)), "joint_intercept": float(np.median(y - slope * x)), "low": s.at_rank(low), "high": s.at_rank(high)}
 
-def theil_sen(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, slope, intercept, joint_intercept, n): both intercept rules, medians apart and median of residuals."""
-    s = pairwise_slopes(df, keys).groupBy(*keys).agg(F.median("slope").alias("slope"))
-    m = df.groupBy(*keys).agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.count(F.lit(1)).alias("n"))
-    both = m.join(s, keys)
-    joint = df.join(s, keys).groupBy(*keys).agg(F.median(F.col("y") - F.col("slope") * F.col("x")).alias("joint_intercept"))
-    return both.join(joint, keys).select(*keys, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), "joint_intercept")
 
+def lines(df: DataFrame, keys: list[str], z: float = Z95) -> DataFrame:
+    """(keys, n, slope, intercept, joint_intercept, low, high) of each series (keys, x, y), exact at any length: slopes are selected by rank and no pairs are written. Points with a null are left out."""
+    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
 
-#: Upper 2.5 % point of the normal distribution.
-Z95 = 1.959963984540054
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        g = group.dropna(subset=["x", "y"])
+        found = line_statistics(g["x"].to_numpy(float), g["y"].to_numpy(float), z)
+        return pd.DataFrame([dict(zip(keys, key)) | found] if found else [], columns=[*keys, *_LINE])
+
+    return df.select(*keys, F.col("x").cast("double"), F.col("y").cast("double")).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, *(f"{k} {v}" for k, v in _LINE.items())]))
+
+
+def theil_sen(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, slope, intercept, joint_intercept): both intercept rules, medians apart and median of residuals."""
+    return lines(df, keys).select(*keys, "n", "slope", "intercept", "joint_intercept")
 
 
 def theil_sen_interval(df: DataFrame, keys: list[str], z: float = Z95) -> DataFrame:
-    """(keys, n, slope, low, high): the median slope and the slopes at the ranks that Kendall's variance, with ties, gives."""
-    n = F.col("n")
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    score = n * (n - 1) * (n * 2 + 5)
-    for c in ("x", "y"):
-        k = F.col("_times")
-        tied = df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_times")).groupBy(*keys).agg(F.sum(k * (k - 1) * (k * 2 + 5)).alias(f"tied_{c}"))
-        out, score = out.join(tied, keys), score - F.col(f"tied_{c}")
-    s = pairwise_slopes(df, keys)
-    ranked = s.withColumns({"r": F.row_number().over(Window.partitionBy(*keys).orderBy("slope")), "nt": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    j = ranked.join(out.select(*keys, "n", F.sqrt(score / 18.0).alias("sigma")), keys)
-    lo = F.greatest(F.bround((F.col("nt") - F.col("sigma") * z) / 2, 0), F.lit(1.0))
-    hi = F.least(F.bround((F.col("nt") + F.col("sigma") * z) / 2, 0), F.col("nt") - 1.0) + 1
-    return j.groupBy(*keys).agg(F.max("n").alias("n"), F.median("slope").alias("slope"), F.max(F.when(F.col("r") == lo, F.col("slope"))).alias("low"), F.max(F.when(F.col("r") == hi, F.col("slope"))).alias("high"))
+    """(keys, n, slope, low, high): the median slope and its interval."""
+    return lines(df, keys, z).select(*keys, "n", "slope", "low", "high")
 
 
 def lag1(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -156,27 +153,37 @@ def hac_trend(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.col("x").cast("double"), F.col("y").cast("double")).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, *(f"{k} {v}" for k, v in fields.items())]))
 
 
+_TREND = {
+    "n": "int", "mean": "double", "theil_sen_slope": "double", "low": "double", "high": "double", "intercept": "double", "effective_sample_size_residual": "double", "effective_degrees_of_freedom": "double",
+    "hac_maxlags": "int", "hac_slope": "double", "hac_se": "double", "hac_t": "double", "relative_slope_pct": "double", "hac_low": "double", "hac_high": "double", "hac_p": "double",
+}
+
+
+def trend_statistics(x: np.ndarray, y: np.ndarray, scale: float) -> dict[str, float] | None:
+    """What ``trend_table`` says of a series in order of x; None below three points or where all x are equal."""
+    line = line_statistics(x, y) if len(x) >= 3 else None
+    if line is None:
+        return None
+    hac = hac_statistics(x, y)
+    size = effective_sample_size(y - line["intercept"] - line["slope"] * x)
+    df, slope, se, mean = max(size - 2, 1.0), scale * hac["slope"], scale * hac["se"], float(np.mean(y))
+    half = t_quantile(0.975, df) * se
+    own = {"n": len(x), "mean": mean, "theil_sen_slope": scale * line["slope"], "low": scale * line["low"], "high": scale * line["high"], "intercept": line["intercept"], "effective_sample_size_residual": size, "effective_degrees_of_freedom": df}
+    return own | {"hac_maxlags": hac["maxlags"], "hac_slope": slope, "hac_se": se, "hac_t": hac["t"], "relative_slope_pct": 100 * scale * line["slope"] / mean if mean else None, "hac_low": slope - half, "hac_high": slope + half, "hac_p": t_two_sided(hac["t"], df) if se else None}
+
+
 def trend_table(df: DataFrame, keys: list[str], scale: float = 10.0) -> DataFrame:
     """A row for each series (keys, x, y): the Theil-Sen line with its interval, the Newey-West slope, and the slope relative to the mean in percent.
 
     Slopes are for ``scale`` units of x (ten years, say). The Newey-West
     inference uses the effective degrees of freedom of the residuals of the
-    Theil-Sen line.
+    Theil-Sen line. One shuffle by series; points with a null are left out.
     """
-    line, ends = theil_sen(df, keys).drop("n", "joint_intercept"), theil_sen_interval(df, keys).select(*keys, "low", "high")
-    residual = df.join(line, keys).select(*keys, "x", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")).alias("y"))
-    size = effective_sizes(residual, keys).select(*keys, F.col("effective_sample_size").alias("effective_sample_size_residual"), F.col("df").alias("effective_degrees_of_freedom"))
-    hac = hac_trend(df, keys).select(*keys, F.col("slope").alias("hac"), "se", F.col("maxlags").alias("hac_maxlags"), F.col("t").alias("hac_t"))
-    out = df.groupBy(*keys).agg(F.count("y").cast("int").alias("n"), F.avg("y").alias("mean")).join(line, keys).join(ends, keys).join(size, keys).join(hac, keys)
-
-    def inference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            half = [t_quantile(0.975, d) * e for d, e in zip(b["effective_degrees_of_freedom"], b["hac_se"])]
-            yield b.assign(hac_low=b["hac_slope"] - half, hac_high=b["hac_slope"] + half, hac_p=[t_two_sided(t, d) for t, d in zip(b["hac_t"], b["effective_degrees_of_freedom"])])
-
-    s = F.lit(scale)
-    out = out.select(
-        *keys, "n", "mean", (s * F.col("slope")).alias("theil_sen_slope"), (s * F.col("low")).alias("low"), (s * F.col("high")).alias("high"), "intercept", "effective_sample_size_residual", "effective_degrees_of_freedom", "hac_maxlags",
-        (s * F.col("hac")).alias("hac_slope"), (s * F.col("se")).alias("hac_se"), "hac_t", (F.try_divide(F.col("slope") * s, F.col("mean")) * 100).alias("relative_slope_pct"),
-    )
-    return out.mapInPandas(inference, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", hac_low double, hac_high double, hac_p double")
+    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        g = group.dropna(subset=["x", "y"]).sort_values("x")
+        found = trend_statistics(g["x"].to_numpy(float), g["y"].to_numpy(float), scale)
+        return pd.DataFrame([dict(zip(keys, key)) | found] if found else [], columns=[*keys, *_TREND])
+
+    return df.select(*keys, F.col("x").cast("double"), F.col("y").cast("double")).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, *(f"{k} {v}" for k, v in _TREND.items())]))

@@ -182,9 +182,7 @@ def test_trend_table_of_noise_and_line(spark):
     assert got["relative_slope_pct"] == pytest.approx(100 * got["theil_sen_slope"] / got["mean"]) and got["hac_p"] < 1e-6 and got["n"] == 40
 
 
-def test_long_series_have_no_pairs(spark, monkeypatch):
-    monkeypatch.setattr(trends, "MAX_POINTS", 3)
-    df = spark.createDataFrame([("a", float(k), 1.0) for k in range(4)], "k string, x double, y double")
-    with pytest.raises(Exception, match="more than 3 points"):
-        trends.theil_sen(df, ["k"]).collect()
-    assert trends.theil_sen(df.filter("x > 0"), ["k"]).first()["slope"] == 0.0
+def test_long_series_have_a_slope(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") * 0.5 + F.pmod(F.col("id"), F.lit(7))).alias("y"))
+    got = trends.lines(df, ["k"]).first()
+    assert got["n"] == 20_000 and got["slope"] == 0.5 and got["low"] <= 0.5 <= got["high"]
