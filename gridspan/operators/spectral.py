@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,28 +43,83 @@ def red_noise(f: np.ndarray, variance: float, lag1: float) -> np.ndarray:
     return shape * variance / np.trapezoid(shape, f)
 
 
-def welch_spectrum(df: DataFrame, keys: list[str], segment: int = 2920, overlap: int = 1460) -> DataFrame:
-    """(keys, k, frequency, period_days, psd, background, sig95) of daily series (keys, date, value), linear trend removed."""
-    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
+def series_statistics(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(days, statistics) of daily series (keys, date, value): (keys, t, residual) from the first day on, and (keys, n, variance, lag1) of the residuals of the line.
+
+    The line comes from moments, the correlation from each day and the next by a
+    join, so no series is gathered. Rows without a date or value are left out;
+    then a series must have every day of its span once, or it is an error.
+    Series of fewer than 8 days give no rows.
+    """
+    day = F.unix_date("date")
+    s = df.filter(F.col("date").isNotNull() & F.col("value").isNotNull()).select(*keys, day.alias("_day"), F.col("value").cast("double").alias("_value"))
+    fit = s.groupBy(*keys).agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"), F.count(F.lit(1)).alias("n"), F.regr_slope("_value", "_day").alias("_slope"), F.regr_intercept("_value", "_day").alias("_intercept")).filter("n >= 8")
+    whole = F.when(F.col("_last") - F.col("_first") + 1 == F.col("n"), F.col("_day") - F.col("_first")).otherwise(F.raise_error(F.lit("a series lacks days or repeats some")).cast("int"))
+    z = s.join(fit, keys).select(*keys, "n", whole.alias("t"), (F.col("_value") - F.col("_slope") * F.col("_day") - F.col("_intercept")).alias("residual"))
+    after = z.select(*keys, (F.col("t") - 1).alias("t"), F.col("residual").alias("_next"))
+    both = z.join(after, [*keys, "t"], "left").groupBy(*keys).agg(F.first("n").alias("n"), F.var_samp("residual").alias("variance"), F.corr("residual", "_next").alias("r"), F.count_distinct("t").alias("_days"))
+    once = F.when(F.col("_days") == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("a series repeats days")).cast("long"))
+    return z, both.select(*keys, once.cast("int").alias("n"), "variance", F.least(F.greatest("r", F.lit(-0.99)), F.lit(0.99)).alias("lag1"))
+
+
+def _segments(statistics: DataFrame, segment: int, overlap: int, level: float) -> DataFrame:
+    """A row for each series with its segments' length and step and the level of significance in units of the background."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            length = np.minimum(b["n"], segment)
+            step = length - np.minimum(overlap, length // 2)
+            dof = [effective_dof(int(m), int(d), int(n)) for m, d, n in zip(length, step, b["n"])]
+            yield b.assign(length=length, step=step, dof=dof, sure=[chi2_quantile(level, d) / d for d in dof])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in statistics.schema)
+    return statistics.mapInPandas(run, f"{fields}, length int, step int, dof double, sure double")
+
+
+def welch_spectrum(df: DataFrame, keys: list[str], segment: int = 2920, overlap: int = 1460, level: float = 0.95) -> DataFrame:
+    """(keys, k, frequency, period_days, psd, background, sig95) of daily series (keys, date, value), linear trend removed.
+
+    Each day goes to the segments that it lies in, each segment is transformed
+    where its days meet, and densities are averaged over segments: a group holds
+    one segment, whatever the length of a series. Background: first-order
+    autoregressive with the series' variance and correlation.
+    """
+    return spectrum_of(*series_statistics(df, keys), keys, segment, overlap, level)
+
+
+def spectrum_of(days: DataFrame, statistics: DataFrame, keys: list[str], segment: int = 2920, overlap: int = 1460, level: float = 0.95) -> DataFrame:
+    """``welch_spectrum`` from what ``series_statistics`` gives."""
+    own = _segments(statistics, segment, overlap, level)
+    t, length, step = F.col("t"), F.col("length"), F.col("step")
+    last = F.least(F.floor(t / step), F.floor((F.col("n") - length) / step))
+    dealt = days.drop("n").join(own.select(*keys, "n", "length", "step"), keys).withColumn("_segment", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.ceil((t - length + 1) / step)), last)))
+    dealt = dealt.filter(F.col("_segment").between(F.ceil((t - length + 1) / step), last))
+    kinds = [f"`{k}` {days.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        y = group.sort_values("date")["value"].to_numpy(float)
-        if len(y) < 8:
-            return pd.DataFrame(columns=[*keys, "k", "frequency", "period_days", "psd", "background", "sig95"])
-        x = np.arange(len(y))
-        z = y - np.polyval(np.polyfit(x, y, 1), x)
-        r = float(np.clip(np.corrcoef(z[:-1], z[1:])[0, 1], -0.99, 0.99))
-        f, p = welch(z, segment, overlap)
-        used = min(segment, len(y))
-        dof = effective_dof(used, used - min(overlap, used // 2), len(y))
-        f, p = f[1:], p[1:]
-        b = red_noise(f, float(z.var(ddof=1)), r)
-        out = pd.DataFrame({"k": np.arange(1, len(f) + 1), "frequency": f, "period_days": 1 / f, "psd": p, "background": b, "sig95": b * chi2_quantile(0.95, dof) / dof})
-        for name, v in zip(keys, key):
-            out.insert(0, name, v)
-        return out[[*keys, "k", "frequency", "period_days", "psd", "background", "sig95"]]
-
-    return df.select(*keys, "date", "value").groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "k int, frequency double, period_days double, psd double, background double, sig95 double"]))
+        length = int(group["length"].iloc[0])
+        z = np.zeros(length)
+        z[group["t"].to_numpy() - int(key[-1]) * int(group["step"].iloc[0])] = group["residual"].to_numpy()
+        return pd.DataFrame([dict(zip(keys, key)) | {"power": np.abs(np.fft.rfft(z * hann(length))) ** 2}])
+
+    powers = dealt.select(*keys, "_segment", "t", "residual", "length", "step").groupBy(*keys, "_segment").applyInPandas(run, ", ".join([*kinds, "power array<double>"]))
+    mean = powers.select(*keys, F.posexplode("power").alias("k", "p")).filter("k > 0").groupBy(*keys, "k").agg(F.avg("p").alias("p"))
+    out = mean.join(own, keys)
+    k, r = F.col("k"), F.col("lag1")
+    sides = F.when(k < F.floor((length + 1) / 2), 2.0).otherwise(1.0)
+    shape = lambda at: (1 - r * r) / (1 + r * r - 2 * r * F.cos(at / F.col("length") * (2 * np.pi)))
+    top = F.floor(length / 2).cast("int")
+    area = F.aggregate(F.sequence(F.lit(1), top), F.lit(0.0), lambda s, at: s + shape(at) * F.when((at == 1) | (at == top), 0.5).otherwise(1.0)) / length
+    background = shape(k) * F.col("variance") / area
+    return out.select(*keys, "k", (k / length).alias("frequency"), (length / k).alias("period_days"), (F.col("p") * sides / (length * 0.375)).alias("psd"), background.alias("background"), (background * F.col("sure")).alias("sig95"))
+
+
+def welch_summary(df: DataFrame, keys: list[str], segment: int = 2920, overlap: int = 1460) -> DataFrame:
+    """(keys, n_days, lag1, welch_segment_days, overlap_days, effective_welch_dof, dominant_period_days, detrended_variance) of each series."""
+    days, statistics = series_statistics(df, keys)
+    own = _segments(statistics, segment, overlap, 0.95)
+    top = dominant_period(spectrum_of(days, statistics, keys, segment, overlap), keys)
+    return own.join(top, keys).select(*keys, F.col("n").alias("n_days"), "lag1", F.col("length").alias("welch_segment_days"), (F.col("length") - F.col("step")).alias("overlap_days"), F.col("dof").alias("effective_welch_dof"), "dominant_period_days", F.col("variance").alias("detrended_variance"))
 
 
 def dominant_period(spectrum: DataFrame, keys: list[str]) -> DataFrame:

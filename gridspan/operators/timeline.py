@@ -23,9 +23,13 @@ def gaps(df: DataFrame) -> DataFrame:
     return spine(df).join(df.select("date").distinct(), "date", "left_anti")
 
 
-def filled(df: DataFrame) -> DataFrame:
-    """The series on its spine, 0 where a day is missing."""
-    return spine(df).join(df, "date", "left").select("date", F.coalesce("value", F.lit(0.0)).alias("value"))
+def filled(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The series on the spine of all keys together, 0 where a day is missing."""
+    if not keys:
+        return spine(df).join(df, "date", "left").select("date", F.coalesce("value", F.lit(0.0)).alias("value"))
+    ends = df.agg(F.min("date").alias("_a"), F.max("date").alias("_b"))  # one row
+    days = df.select(*keys).distinct().crossJoin(F.broadcast(ends)).select(*keys, F.explode(F.sequence("_a", "_b")).alias("date"))
+    return days.join(df, [*keys, "date"], "left").select(*keys, "date", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def complete_years(df: DataFrame) -> DataFrame:
@@ -47,12 +51,6 @@ def monthly_climatology(df: DataFrame) -> DataFrame:
     return df.groupBy(F.month("date").alias("month")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n_days"))
 
 
-def centred_mean(df: DataFrame, half: int = 182, least: int = 183, keys: list[str] | None = None) -> DataFrame:
-    """Mean of the rows around each row; null where fewer than ``least`` have a value."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date").rowsBetween(-half, half)
-    return df.withColumn("rolling_mean", F.when(F.count("value").over(w) >= least, F.avg("value").over(w)))
-
-
 def annual_metrics(df: DataFrame, keys: list[str], metrics: Sequence[str]) -> DataFrame:
     """(keys, year, metrics, n_days, date): means of daily values over the complete years, dated at mid-year. Ratios are averaged as they are, day by day."""
     leap = F.dayofmonth(F.last_day(F.make_date("year", F.lit(2), F.lit(1)))) == 29
@@ -65,11 +63,27 @@ def monthly_metrics(df: DataFrame, keys: list[str], metrics: Sequence[str]) -> D
     return df.groupBy(*keys, F.month("date").alias("month")).agg(*(f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
+#: Days of a series that are averaged in one group; those near its ends go to the next one too.
+BLOCK_DAYS = 2048
+
+
 def centred_means(df: DataFrame, keys: list[str], metrics: Sequence[str], half: int = 182, least: int = 183) -> DataFrame:
     """``df`` with a column ``<metric>_rolling`` for each metric: the mean over the days around each day, null where fewer than ``least`` have a value.
 
     The window is of days, not rows, so a day that is missing takes no other's
-    place. All metrics share one sort by key.
+    place. A series is dealt in blocks of days, each with a halo of ``half``
+    days on either side, so a long one is no group of its own. All metrics
+    share one sort. A row without a date keeps a null.
     """
-    w = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(-half, half)
-    return df.withColumns({f"{m}_rolling": F.when(F.count(m).over(w) >= least, F.avg(m).over(w)) for m in metrics})
+    day, size = F.unix_date("date"), max(BLOCK_DAYS, 2 * half)
+    block = lambda at: F.floor(at / size)
+    rows = df.withColumn("_own", block(day)).withColumn("_block", F.explode_outer(F.sequence(block(day - half), block(day + half))))
+    w = Window.partitionBy(*keys, "_block").orderBy(day).rangeBetween(-half, half)
+    dated = F.col("date").isNotNull()
+    out = rows.withColumns({f"{m}_rolling": F.when(dated & (F.count(m).over(w) >= least), F.avg(m).over(w)) for m in metrics})
+    return out.filter(F.col("_own").eqNullSafe(F.col("_block"))).drop("_own", "_block")
+
+
+def centred_mean(df: DataFrame, half: int = 182, least: int = 183, keys: list[str] | None = None) -> DataFrame:
+    """The daily series (keys, date, value) with the mean of the days around each day as ``rolling_mean``."""
+    return centred_means(df, keys or [], ["value"], half, least).withColumnRenamed("value_rolling", "rolling_mean")

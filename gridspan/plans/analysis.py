@@ -76,8 +76,7 @@ class Project:
 
     def cells(self, rebuild: bool = False) -> DataFrame:
         def build() -> DataFrame:
-            members = labelling.label_components(self.fields(), self.grid, self.settings.thresholds)
-            return occurrence.cell_statistics(members, occurrence.valid_days(self.fields(), self.grid), self.settings.thresholds)
+            return occurrence.cell_statistics(self.fields(), self.grid, self.settings.thresholds)
 
         return products.load_or_build(self.spark, f"{self.root}/cells", build, CELL_COLUMNS, rebuild)
 

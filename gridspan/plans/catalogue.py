@@ -171,9 +171,14 @@ def hac_trend(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _keyed_series(spark: SparkSession, d: str) -> DataFrame:
+    """A daily series (series, date, value) for each priority, on the days of all orders."""
+    o = src.read_table(spark, d, "orders").withColumnRenamed("o_orderpriority", "series")
+    return timeline.filled(timeline.daily_series(o, "o_orderdate", "o_totalprice", ["series"]), ["series"])
+
+
 def _welch(spark: SparkSession, d: str) -> DataFrame:
-    s = timeline.filled(_series(spark, d)).withColumn("series", F.lit("all"))
-    return spectral.welch_spectrum(s, ["series"], 256, 128)
+    return spectral.welch_spectrum(_keyed_series(spark, d), ["series"], 256, 128)
 
 
 def welch_psd(spark: SparkSession, d: str) -> DataFrame:

@@ -234,7 +234,7 @@ ORACLES = {
     "product_wide": f"WITH RECURSIVE {base._STATS} SELECT cell_id, {_WIDE} FROM st GROUP BY cell_id",
     "product_long": f"WITH RECURSIVE {base._STATS} SELECT cell_id, threshold_c, name, CAST(value AS DOUBLE) AS value FROM (SELECT cell_id, threshold_c, 'n_lcc' AS name, n_lcc AS value FROM st UNION ALL SELECT cell_id, threshold_c, 'longest_run', longest_run FROM st)",
     "threshold_codes": f"WITH RECURSIVE {base._MEMBERS} SELECT threshold_c, replace(CAST(threshold_c AS VARCHAR), '.', 'p') AS code, count(*) AS n_days FROM day GROUP BY threshold_c",
-    "ar1_background": f"""WITH {series._WELCH}, ar AS (SELECT least(greatest(corr(b.z, a.z), -0.99), 0.99) AS r FROM z a JOIN z b ON b.x = a.x + 1), sh AS (SELECT k, f, p, (1 - r * r) / (1 + r * r - 2 * r * cos(2 * pi() * f)) AS s FROM psd, ar),
-        tz AS (SELECT sum((f - pf) * (s + ps) / 2) AS area FROM (SELECT f, s, lag(f) OVER (ORDER BY k) AS pf, lag(s) OVER (ORDER BY k) AS ps FROM sh))
-        SELECT 'all' AS series, k, round(1 / f / 365.25, 8) AS period_years, round(log10(greatest(p, 1e-6)), 5) AS log_psd, round(log10(greatest(s * (SELECT var_samp(z) FROM z) / area, 1e-6)), 5) AS log_background FROM sh, tz""",
+    "ar1_background": f"""WITH {series._WELCH}, ar AS (SELECT series, least(greatest(corr(b.z, a.z), -0.99), 0.99) AS r FROM z a JOIN z b USING (series) WHERE b.x = a.x + 1 GROUP BY series), sh AS (SELECT series, k, f, p, (1 - r * r) / (1 + r * r - 2 * r * cos(2 * pi() * f)) AS s FROM psd JOIN ar USING (series)),
+        tz AS (SELECT series, sum((f - pf) * (s + ps) / 2) AS area FROM (SELECT series, f, s, lag(f) OVER w AS pf, lag(s) OVER w AS ps FROM sh WINDOW w AS (PARTITION BY series ORDER BY k)) GROUP BY series)
+        SELECT series, k, round(1 / f / 365.25, 8) AS period_years, round(log10(greatest(p, 1e-6)), 5) AS log_psd, round(log10(greatest(s * variance / area, 1e-6)), 5) AS log_background FROM sh JOIN tz USING (series) JOIN vz USING (series)""",
 }

@@ -20,11 +20,7 @@ KEY = ["series"]
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.filled(base._series(spark, d)).withColumn("series", F.lit("all"))
-
-
-def _xy(s: DataFrame) -> DataFrame:
-    return s.select("series", F.date_diff("date", F.lit("1970-01-01").cast("date")).cast("double").alias("x"), F.col("value").alias("y"))
+    return base._keyed_series(spark, d)
 
 
 def theil_sen_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -40,12 +36,16 @@ def effective_sample_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 def welch_bands(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(spark, d)
-    variance = trends.detrended(_xy(s), KEY).groupBy(*KEY).agg(F.var_samp("residual").alias("variance"))
-    out = spectral.band_variance(spectral.welch_spectrum(s, KEY, SEGMENT, OVERLAP), variance, KEY, BANDS)
+    days, statistics = spectral.series_statistics(_series(spark, d), KEY)
+    out = spectral.band_variance(spectral.spectrum_of(days, statistics, KEY, SEGMENT, OVERLAP), statistics.select(*KEY, "variance"), KEY, BANDS)
     return base._rounded(out.drop("integrated_variance"), {"fraction_of_detrended_variance_pct": 4})
 
 
+def welch_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = spectral.welch_summary(_series(spark, d), KEY, SEGMENT, OVERLAP)
+    return out.select("series", "n_days", F.round("lag1", 6).alias("lag1"), "welch_segment_days", "overlap_days", F.round("effective_welch_dof", 6).alias("effective_welch_dof"), F.round("dominant_period_days", 6).alias("dominant_period_days"), F.format_string("%.6e", "detrended_variance").cast("double").alias("detrended_variance"))
+
+
 def wavelet_power(spark: SparkSession, d: str) -> DataFrame:
     out = wavelet.wavelet_power(_series(spark, d), KEY)
     floor = F.log10(F.greatest("global_power", F.lit(1e-6)))
@@ -108,7 +108,7 @@ def reference_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: base._dated(f) for f in (
-    theil_sen_ci, acf, effective_sample_size, welch_bands, wavelet_power, wavelet_coi, wavelet_bands, stl_components, stl_amplitude, stl_summary,
+    theil_sen_ci, acf, effective_sample_size, welch_bands, welch_summary, wavelet_power, wavelet_coi, wavelet_bands, stl_components, stl_amplitude, stl_summary,
     definition_overlap, definition_period, record_check, grid_check, reference_reconcile,
 )}
 
@@ -116,12 +116,16 @@ _RHO = base._MONTHLY + """,
 c AS (SELECT priority, y - avg(y) OVER (PARTITION BY priority) AS z, row_number() OVER (PARTITION BY priority ORDER BY x) AS t, count(*) OVER (PARTITION BY priority) AS n FROM mo),
 r AS (SELECT a.priority, a.n, CAST(b.t - a.t AS INTEGER) AS lag, sum(a.z * b.z) / any_value(a.n - (b.t - a.t)) AS v FROM c a JOIN c b ON a.priority = b.priority AND b.t >= a.t GROUP BY ALL),
 rho AS (SELECT r.priority, r.n, r.lag, coalesce(r.v / nullif(o.v, 0), 0) AS rho FROM r JOIN r o ON o.priority = r.priority AND o.lag = 0)"""
-_WELCH = base._SERIES + f""",
-tt AS (SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS DOUBLE) AS x, value AS y, count(*) OVER () AS n FROM fl),
-z AS (SELECT CAST(x AS BIGINT) AS x, n, y - (SELECT regr_intercept(y, x) FROM tt) - (SELECT regr_slope(y, x) FROM tt) * x AS z FROM tt),
-seg AS (SELECT s, j, z.z * (0.5 - 0.5 * cos(2 * pi() * j / {SEGMENT})) AS v FROM (SELECT unnest(range(0, (SELECT max(n) FROM z) - {SEGMENT} + 1, {SEGMENT - OVERLAP})) AS s), range({SEGMENT}) q(j) JOIN z ON z.x = s + j),
-ft AS (SELECT s, k, sum(v * cos(2 * pi() * j * k / {SEGMENT})) AS re, sum(v * sin(2 * pi() * j * k / {SEGMENT})) AS im FROM seg, range(1, {SEGMENT // 2 + 1}) f(k) GROUP BY s, k),
-psd AS (SELECT CAST(k AS INTEGER) AS k, k / {SEGMENT}.0::DOUBLE AS f, avg(re * re + im * im) / (SELECT sum((0.5 - 0.5 * cos(2 * pi() * j / {SEGMENT})) ^ 2) FROM range({SEGMENT}) w(j)) * (CASE WHEN k < {SEGMENT // 2} THEN 2 ELSE 1 END) AS p FROM ft GROUP BY k)"""
+_KEYED = """s AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS value FROM orders GROUP BY ALL),
+fl AS (SELECT series, date, coalesce(value, 0) AS value FROM (SELECT DISTINCT series FROM s) CROSS JOIN (SELECT CAST(unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM s) LEFT JOIN s USING (series, date))"""
+_WELCH = _KEYED + f""",
+tt AS (SELECT series, CAST(row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS DOUBLE) AS x, value AS y, count(*) OVER (PARTITION BY series) AS n FROM fl),
+ln AS (SELECT series, regr_intercept(y, x) AS ic, regr_slope(y, x) AS sl FROM tt GROUP BY series),
+z AS (SELECT series, CAST(x AS BIGINT) AS x, n, y - ic - sl * x AS z FROM tt JOIN ln USING (series)),
+seg AS (SELECT series, s, j, z.z * (0.5 - 0.5 * cos(2 * pi() * j / {SEGMENT})) AS v FROM (SELECT unnest(range(0, (SELECT max(n) FROM z) - {SEGMENT} + 1, {SEGMENT - OVERLAP})) AS s), range({SEGMENT}) q(j) JOIN z ON z.x = s + j),
+ft AS (SELECT series, s, k, sum(v * cos(2 * pi() * j * k / {SEGMENT})) AS re, sum(v * sin(2 * pi() * j * k / {SEGMENT})) AS im FROM seg, range(1, {SEGMENT // 2 + 1}) f(k) GROUP BY series, s, k),
+psd AS (SELECT series, CAST(k AS INTEGER) AS k, k / {SEGMENT}.0::DOUBLE AS f, avg(re * re + im * im) / (SELECT sum((0.5 - 0.5 * cos(2 * pi() * j / {SEGMENT})) ^ 2) FROM range({SEGMENT}) w(j)) * (CASE WHEN k < {SEGMENT // 2} THEN 2 ELSE 1 END) AS p FROM ft GROUP BY series, k),
+vz AS (SELECT series, var_samp(z) AS variance FROM z GROUP BY series)"""
 _BAND_ROWS = ", ".join(f"('{n}', {lo}::DOUBLE, {hi}::DOUBLE)" for n, lo, hi in BANDS)
 _PERIOD_ROWS = ", ".join(f"('{n}', {a}, {b})" for n, a, b in PERIODS)
 _LAMBDA = f"{wavelet.LAMBDA!r}::DOUBLE"
@@ -145,10 +149,16 @@ ORACLES = {
         f AS (SELECT priority, n, least(greatest(n / (1 + 2 * s), 3), n) AS v FROM e)
         SELECT priority, CAST(n AS INTEGER) AS n, round(v, 4) AS effective_sample_size, round(greatest(v - 2, 1), 4) AS df FROM f""",
     "welch_bands": f"""WITH {_WELCH}, b(band, lo, hi) AS (VALUES {_BAND_ROWS})
-        SELECT 'all' AS series, band, any_value(lo) AS minimum_period_days, any_value(hi) AS maximum_period_days, count(*) AS n_frequencies,
-        round(100 * sum(p / {SEGMENT}.0::DOUBLE) / (SELECT var_samp(z) FROM z), 4) AS fraction_of_detrended_variance_pct FROM b JOIN psd ON f BETWEEN 1 / hi AND 1 / lo GROUP BY band""",
-    "wavelet_coi": f"""WITH {base._SERIES}, sz AS (SELECT count(*) AS n FROM fl), ks AS (SELECT n, unnest(range(CAST(floor(log2(n / 2) * 12) AS BIGINT) + 1)) AS k FROM sz), pl AS (SELECT n, k, {_LAMBDA} * 2 * 2 ^ (k / 12) AS period, unnest(range(n)) AS t FROM ks)
-        SELECT 'all' AS series, CAST(k AS INTEGER) AS k, count(*) FILTER (period <= {_LAMBDA} / sqrt(2) * (n / 2 - abs(t - (n - 1) / 2))) AS n_inside, count(*) AS n FROM pl GROUP BY k""",
+        SELECT series, band, any_value(lo) AS minimum_period_days, any_value(hi) AS maximum_period_days, count(*) AS n_frequencies,
+        round(100 * sum(p / {SEGMENT}.0::DOUBLE) / any_value(variance), 4) AS fraction_of_detrended_variance_pct FROM b JOIN psd ON f BETWEEN 1 / hi AND 1 / lo JOIN vz USING (series) GROUP BY series, band""",
+    "welch_summary": f"""WITH {_WELCH}, nn AS (SELECT series, any_value(n) AS n FROM z GROUP BY series), ar AS (SELECT series, least(greatest(corr(b.z, a.z), -0.99), 0.99) AS r FROM z a JOIN z b USING (series) WHERE b.x = a.x + 1 GROUP BY series),
+        sh AS (SELECT m, (sum((0.5 - 0.5 * cos(2 * pi() * j / {SEGMENT})) * (0.5 - 0.5 * cos(2 * pi() * (j + m * {SEGMENT - OVERLAP}) / {SEGMENT}))) / (0.375 * {SEGMENT})) ^ 2 AS w FROM range(1, {-(-SEGMENT // (SEGMENT - OVERLAP))}) q(m), range({SEGMENT}) t(j) WHERE j + m * {SEGMENT - OVERLAP} < {SEGMENT} GROUP BY m),
+        df AS (SELECT series, 2 * ks / (1 + 2 * (SELECT coalesce(sum((1 - m / ks) * w), 0) FROM sh WHERE m < ks)) AS dof FROM (SELECT series, 1 + (n - {SEGMENT}) // {SEGMENT - OVERLAP} AS ks FROM nn)),
+        dp AS (SELECT series, first(1 / f ORDER BY p DESC, k) AS d FROM psd GROUP BY series)
+        SELECT series, CAST(n AS INTEGER) AS n_days, round(r, 6) AS lag1, {SEGMENT} AS welch_segment_days, {OVERLAP} AS overlap_days, round(dof, 6) AS effective_welch_dof, round(d, 6) AS dominant_period_days, CAST(printf('%.6e', variance) AS DOUBLE) AS detrended_variance
+        FROM nn JOIN ar USING (series) JOIN df USING (series) JOIN dp USING (series) JOIN vz USING (series)""",
+    "wavelet_coi": f"""WITH {_KEYED}, sz AS (SELECT series, count(*) AS n FROM fl GROUP BY series), ks AS (SELECT series, n, unnest(range(CAST(floor(log2(n / 2) * 12) AS BIGINT) + 1)) AS k FROM sz), pl AS (SELECT series, n, k, {_LAMBDA} * 2 * 2 ^ (k / 12) AS period, unnest(range(n)) AS t FROM ks)
+        SELECT series, CAST(k AS INTEGER) AS k, count(*) FILTER (period <= {_LAMBDA} / sqrt(2) * (n / 2 - abs(t - (n - 1) / 2))) AS n_inside, count(*) AS n FROM pl GROUP BY series, k""",
     "definition_overlap": f"WITH RECURSIVE {base._FLAGS} SELECT CAST(date AS VARCHAR) AS date, round(intersection_area_km2, 1) AS intersection_area_km2, round(union_area_km2, 1) AS union_area_km2, round(lcc_outside_box_area_km2, 1) AS lcc_outside_box_area_km2, round(intersection_area_km2 / nullif(union_area_km2, 0), 6) AS area_jaccard FROM dd",
     "definition_period": f"""WITH RECURSIVE {base._FLAGS}, p AS (SELECT * FROM (VALUES {_PERIOD_ROWS}) v(period, a, b) WHERE a >= (SELECT min(year(date)) FROM dd) AND b <= (SELECT max(year(date)) FROM dd)),
         t AS ({" UNION ALL ".join(f"SELECT date, '{d}' AS definition, {d}_area_km2 AS a, {d}_sst_area_integral AS s FROM dd" for d in base._DEFS)}),
@@ -162,7 +172,7 @@ ORACLES = {
         SELECT event_type, any_value(e) AS n_expected, any_value(e) - count(DISTINCT date) AS n_missing, count(*) FILTER (date IS NULL) AS n_outside, count(date) - count(DISTINCT date) AS n_repeated, count(*) FILTER (value IS NULL) AS n_null,
         any_value(e) = count(DISTINCT date) AND count(*) = count(value) AND count(date) = count(DISTINCT date) AND count(*) = count(date) AS complete FROM d, s GROUP BY event_type""",
     "grid_check": f"WITH {base._GRID} {_GRID_TESTS.format(t='g')}",
-    "dominant_period": f"WITH {_WELCH} SELECT 'all' AS series, round(first(1 / f ORDER BY p DESC, k), 6) AS dominant_period_days FROM psd",
+    "dominant_period": f"WITH {_WELCH} SELECT series, round(first(1 / f ORDER BY p DESC, k), 6) AS dominant_period_days FROM psd GROUP BY series",
     "reference_reconcile": f"""WITH RECURSIVE {base._MEMBERS}, w AS (SELECT l.date, l.threshold_c, sum(g.area_km2) AS a FROM lcc l JOIN g USING (cell_id) GROUP BY ALL)
         SELECT 'lcc_area_two_ways' AS test, round(max(abs(top.area_km2 - w.a)), 2) AS value, round(0.0001 + 1e-11 * max(w.a), 3) AS tolerance, max(abs(top.area_km2 - w.a)) <= 0.0001 + 1e-11 * max(w.a) AS pass FROM top JOIN w USING (date, threshold_c)""",
 }
