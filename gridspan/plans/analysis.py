@@ -13,13 +13,22 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, labelling, occurrence, regions, timeline, trends
+from ..operators import checks, decomposition, labelling, occurrence, regions, spectral, timeline, trends, wavelet
 from ..sources import fields as src
 from ..sources import products
 
-VERSION = "1"
+VERSION = "2"
+# The historical box in degrees north and east, its threshold, the periods of the comparison,
+# the bands of periods in days (they overlap and are not summed), Welch's segment and overlap in days.
+BOX_LAT, BOX_LON, BOX_THRESHOLD = (-20.0, 20.0), (120.0, 210.0), 28.0
+PERIODS = (("1982-1991", 1982, 1991), ("1982-2025", 1982, 2025))
+BANDS = (("annual_strict", 336.0, 378.0), ("quasi_biennial", 550.0, 1096.0), ("interannual_broad", 805.0, 2922.0))
+SEGMENT, OVERLAP = 2920, 1460
+AREA = "largest_component_area_km2"
 METRICS = ("total_area_km2", "largest_component_area_km2", "secondary_area_km2", "largest_component_area_fraction", "fragmentation_index", "component_count")
 DISTANCE = "centroid_distance_km"
+#: Tables without which a run is not whole.
+REQUIRED = ("record_check", "annual_summary", "trend_statistics", "monthly_climatology", "occurrence_summary", "detached_summary", "stl_summary", "welch_summary", "welch_bands", "wavelet_bands", "definition_annual", "definition_trends", "release_checks")
 CELL_COLUMNS = ("threshold_c", "cell_id", "n_valid", "n_canonical", "n_lcc", "longest_run")
 
 
@@ -30,12 +39,19 @@ class Settings:
     start: str
     end: str
     thresholds: tuple[float, ...] = (28.0, 28.5, 29.0)
-    box_lat: tuple[float, float] = (-10.0, 10.0)
-    box_lon: tuple[float, float] = (120.0, 270.0)
-    box_threshold: float = 28.0
-    periods: tuple[tuple[str, int, int], ...] = ()
+    box_lat: tuple[float, float] = BOX_LAT
+    box_lon: tuple[float, float] = BOX_LON
+    box_threshold: float = BOX_THRESHOLD
+    periods: tuple[tuple[str, int, int], ...] = PERIODS
+    bands: tuple[tuple[str, float, float], ...] = BANDS
+    segment: int = SEGMENT
+    overlap: int = OVERLAP
 
     def __post_init__(self) -> None:
+        if self.box_lat[0] > self.box_lat[1] or self.box_lon[0] > self.box_lon[1]:
+            raise ValueError(f"the box {self.box_lat} x {self.box_lon} has no cells")
+        if any(first > last for _, first, last in self.periods):
+            raise ValueError("a period ends before it begins")
         if self.start > self.end:
             raise ValueError(f"the record would start on {self.start}, after its end on {self.end}")
 
@@ -57,18 +73,28 @@ class Project:
         return src.time_range(self.spark.read.parquet(f"{self.root}/fields"), self.settings.start, self.settings.end)
 
     def of_years(self, years: list[int]) -> DataFrame:
-        return self.fields().filter(F.year("date").isin(years))
+        """The fields of some years; each run of years is a range of dates, which reaches the scan."""
+        own, spans = sorted(years), []
+        for y in own:
+            if spans and spans[-1][1] == y - 1:
+                spans[-1][1] = y
+            else:
+                spans.append([y, y])
+        wanted = F.lit(False)
+        for a, b in spans:
+            wanted = wanted | F.col("date").between(F.lit(f"{a:04d}-01-01").cast("date"), F.lit(f"{b:04d}-12-31").cast("date"))
+        return self.fields().filter(wanted)
 
     def daily(self, rebuild: bool = False) -> DataFrame:
         """Diagnostics by date and threshold; a day without a component at any threshold is an error."""
         s = self.settings
 
         def build(years: list[int]) -> DataFrame:
-            f = self.of_years(years)
-            table = labelling.component_table(f, self.grid, s.thresholds)
-            return labelling.daily_diagnostics(labelling.require_components(f, table, s.thresholds))
+            return labelling.daily_diagnostics(labelling.component_table(self.of_years(years), self.grid, s.thresholds))
 
-        return checks.require_thresholds(products.yearly(self.spark, f"{self.root}/daily", build, s.start, s.end, rebuild), s.thresholds)
+        table = products.yearly(self.spark, f"{self.root}/daily", build, s.start, s.end, rebuild)
+        labelling.require_components(table.select("date").distinct(), table, s.thresholds)  # of what was stored: fields are labelled once
+        return checks.require_thresholds(table, s.thresholds)
 
     def definitions(self, rebuild: bool = False) -> DataFrame:
         s = self.settings
@@ -80,6 +106,12 @@ class Project:
 
         return products.load_or_build(self.spark, f"{self.root}/cells", build, CELL_COLUMNS, rebuild)
 
+    def store(self, name: str, table: DataFrame) -> DataFrame:
+        """A product that is no small table, as Parquet below ``products``, read again from there."""
+        path = f"{self.root}/products/{name}"
+        table.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def write(self, name: str, table: DataFrame, order: list[str]) -> None:
         products.write_csv(table.orderBy(*order), f"{self.root}/tables/{name}.csv")
 
@@ -115,13 +147,42 @@ def components(p: Project, rebuild_daily: bool = False, rebuild_cells: bool = Fa
     detached(p)
 
 
+def variability(p: Project) -> None:
+    """Decomposition, spectra and wavelets of the largest component's daily area, a series for each threshold.
+
+    The days of the decomposition, the spectrum and the wavelet's scales are
+    stored as Parquet below ``products``; their summaries are tables.
+    """
+    s, key = p.settings, ["threshold_c"]
+    series = p.daily().select("threshold_c", "date", F.col(AREA).alias("value"))
+    parts = p.store("decomposition", decomposition.stl_components(series, key))
+    p.write("stl_summary", decomposition.stl_summary(parts, key), ["threshold_c", "metric"])
+    days, statistics = spectral.series_statistics(series, key)
+    spectrum = p.store("spectrum", spectral.spectrum_of(days, statistics, key, s.segment, s.overlap))
+    p.write("welch_summary", spectral.welch_summary(series, key, s.segment, s.overlap), key)
+    p.write("welch_bands", spectral.band_variance(spectrum, statistics.select("threshold_c", "variance"), key, list(s.bands)), ["threshold_c", "minimum_period_days"])
+    power = p.store("wavelet", wavelet.wavelet_power(series, key))
+    p.write("wavelet_bands", wavelet.wavelet_bands(power, key, list(s.bands)), ["threshold_c", "minimum_period_days"])
+
+
+def snapshots(p: Project) -> None:
+    """The fields of the days that stand for the record at the first threshold: the largest component's share nearest its median, and at its least."""
+    share = p.daily().filter(F.col("threshold_c") == p.settings.thresholds[0]).select("date", F.col("largest_component_area_fraction").alias("share"))
+    middle = share.agg(F.median("share").alias("m"))  # one row
+    near = F.struct(F.abs(F.col("share") - F.col("m")), "date")
+    days = share.crossJoin(F.broadcast(middle)).agg(F.min_by("date", near).alias("median"), F.min_by("date", F.struct("share", "date")).alias("minimum")).first()
+    chosen = p.spark.createDataFrame([("median", days["median"]), ("minimum", days["minimum"])], "stands_for string, date date")
+    p.write("representative_dates", chosen, ["stands_for"])
+    p.store("snapshots", src.on_dates(p.fields(), [days["median"], days["minimum"]]))
+
+
 def comparison(p: Project, rebuild: bool = False, reference: bool = True) -> None:
     """The tables of the definitions, and the checks that let a release pass."""
     daily = p.definitions(rebuild)
     tidy = regions.unpivot_definitions(daily).withColumn("year", F.year("date"))
     annual = regions.definition_summary(tidy, ["year"])
     p.write("definition_annual", annual, ["definition", "year"])
-    if p.settings.periods:
+    if p.settings.periods:  # those that the record covers
         p.write("definition_period", regions.period_summary(daily, list(p.settings.periods)), ["period", "definition"])
     p.write("definition_trends", trend_rows(annual, ["definition"], ("mean_daily_area_km2", "area_time_weighted_mean_sst")), ["definition", "metric"])
     other = p.daily().filter(F.col("threshold_c") == p.settings.box_threshold) if reference else daily.select("date", F.col("canonical_area_km2").alias("total_area_km2"), F.col("lcc_area_km2").alias("largest_component_area_km2"))
@@ -129,11 +190,26 @@ def comparison(p: Project, rebuild: bool = False, reference: bool = True) -> Non
 
 
 def provenance(p: Project, refresh: bool = False) -> None:
-    """The metadata and the checksums of the tables; ``refresh`` first holds what is stored against the settings."""
+    """The metadata and the checksums of the tables; ``refresh`` first holds what is stored against the settings.
+
+    Metadata: the settings, the rows and span of each threshold, and the files
+    of the tables. A record with other rows or another span than the settings
+    say is an error.
+    """
     meta, settings = f"{p.root}/metadata.json", asdict(p.settings) | {"version": VERSION}
-    expect = {k: [list(x) if isinstance(x, tuple) else x for x in v] if isinstance(v, tuple) else v for k, v in settings.items()}
+    plain = lambda x: [plain(y) for y in x] if isinstance(x, tuple) else x
+    expect = {k: plain(v) for k, v in settings.items()}
     if refresh:
         products.read_json(p.spark, meta, expect)
-        checks.require_thresholds(p.daily(), p.settings.thresholds)
-    products.write_json(p.spark, settings, meta)
-    products.write_csv(products.manifest(p.spark, f"{p.root}/tables").orderBy("relative_path"), f"{p.root}/manifest.csv")
+        lacking = [n for n in REQUIRED if not products.exists(p.spark, f"{p.root}/tables/{n}.csv")]
+        if lacking:
+            raise FileNotFoundError(f"no table {', '.join(lacking)}")
+    daily = checks.require_thresholds(p.daily(), p.settings.thresholds)
+    span = F.date_diff(F.lit(p.settings.end).cast("date"), F.lit(p.settings.start).cast("date")) + 1
+    record = {f"{r['threshold_c']:g}": {"rows": r["n"], "first": str(r["a"]), "last": str(r["b"]), "expected": r["expected"]} for r in daily.groupBy("threshold_c").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("a"), F.max("date").alias("b"), F.first(span).alias("expected")).collect()}  # a row a threshold
+    wrong = [t for t, r in record.items() if r["rows"] != r["expected"] or (r["first"], r["last"]) != (p.settings.start, p.settings.end)]
+    if wrong:
+        raise ValueError(f"the record at {', '.join(sorted(wrong))} has not the rows or the span of the settings: {record}")
+    checksums = products.manifest(p.spark, f"{p.root}/tables").orderBy("relative_path")
+    products.write_json(p.spark, expect | {"record": record}, meta)
+    products.write_csv(checksums, f"{p.root}/manifest.csv")
