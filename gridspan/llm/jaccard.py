@@ -7,15 +7,19 @@ texts in a table of slots, whose size follows the number of shingles up to
 pair, as the counts decide only the order and the class of a token.
 
 Texts of Jaccard similarity ``NUM / DEN`` or more agree, in that order, on a
-place early in both sets; the classic prefix of a set of n is its first
-n - ceil(NUM n / DEN) + 1 tokens. Here prefixes are extended by a token, so
-similar sets share two tokens of their prefixes, and tokens fall into two
-classes. A rare token is a key itself; of frequent ones (slots counted more
-than ``FREQUENT`` times above the mean) every combination of two in a prefix is
-a key. Sets of more than ``COMBINED`` tokens, whose combinations would outgrow
-their texts, have single frequent tokens as keys, and so have those of at least
-NUM / DEN of that size, which may have a partner among them. Equal sets meet in
-a key of the whole set.
+token early in both sets: the prefix of a set of n is its first
+n - ceil(NUM n / DEN) + 1 tokens, and with prefixes longer by c they share c + 1
+tokens. Tokens fall into two classes. Frequent are those in the fullest slots,
+which together hold at most ``FREQUENT_SHARE`` of all occurrences and each more
+than ``FREQUENT`` above twice the mean; the others are rare. As rare ones stand
+first, similar sets either share a rare token of their prefixes, which is a key
+itself, or share frequent tokens only. For these, prefixes are longer by c and
+frequent tokens are dealt by hash into c groups: of c + 1 shared tokens two
+fall into one group, so every combination of two frequent tokens of a group is
+a key. c is a power of two of at least n / ``GROUPED`` for the larger set, so a
+set of any size has fewer keys than tokens; sets that may be the smaller of a
+pair with the next c have keys for both. Sets whose rare tokens fill their
+prefix need no combinations. Equal sets meet in a key of the whole set.
 
 *Keys.* Tasks pack the prefixes of their documents by hash bucket; of documents
 with equal sets in one pack only the smallest id is packed and the others are
@@ -46,7 +50,7 @@ no links. Rows that repeat an id count as one document with several texts: each
 row has its own set size, all have one component. Null ids are returned as they
 are, without links. Shingles are compared by 64-bit hashes; two texts with u
 shingles in all hold a pair of different shingles of one hash with a chance
-below u ** 2 / 2 ** 65 (20,000 words: 1e-11). Other columns are not read.
+of about u ** 2 / 2 ** 65 (20,000 words: 1e-11), whatever their words are like. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -65,9 +69,10 @@ from .packing import delta, pack, undelta, unpack
 
 WORDS = 5
 NUM, DEN = 3, 4
-EXTRA = 1  # tokens by which prefixes are extended: combinations of two
-FREQUENT = 1024
-COMBINED = 200
+#: The class of frequent tokens: at most this share of all occurrences, in slots this much fuller than twice the mean.
+FREQUENT_SHARE, FREQUENT = 1 / 16, 64
+#: Tokens of a set for each group of frequent tokens, at most.
+GROUPED = 8
 HOT = 1 << 20
 #: The table of counts has a slot for about so many shingles, and 2 ** MAX_SLOT_BITS slots of one byte at most.
 SLOT_LOAD, MIN_SLOT_BITS, MAX_SLOT_BITS = 32, 16, 26
@@ -102,8 +107,13 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    """Tokens of the extended prefix of sets of ``n``."""
-    return np.minimum(n, n - -(-NUM * n // DEN) + 1 + EXTRA)
+    """Tokens of the prefix of sets of ``n``."""
+    return np.minimum(n, n - -(-NUM * n // DEN) + 1)
+
+
+def groups_of(n: np.ndarray) -> np.ndarray:
+    """Groups of frequent tokens where the larger set has ``n`` tokens: a power of two."""
+    return 1 << np.ceil(np.log2(np.maximum(n / GROUPED, 1))).astype(np.int64)
 
 
 def most_apart(a, b):
@@ -121,7 +131,9 @@ class Counts:
 
     def __init__(self, bits: int, level: np.ndarray, mean: float):
         self.bits, self.level, self.mean = bits, level, mean
-        self.frequent = int(self.levels(np.array([FREQUENT + 2 * mean]))[0])
+        full = np.bincount(level, minlength=256) * 2.0 ** (np.arange(256) / self.STEPS)
+        above = np.cumsum(full[::-1])[::-1] <= FREQUENT_SHARE * full.sum()  # levels that with all higher ones hold few occurrences
+        self.frequent = max(int(np.argmax(above)) if above.any() else 256, int(self.levels(np.array([FREQUENT + 2 * mean]))[0]))
 
     @classmethod
     def levels(cls, count: np.ndarray) -> np.ndarray:
@@ -218,6 +230,21 @@ def differing(words: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray
 # --- keys and stars -----------------------------------------------------------------------------
 
 
+def combinations_of(g: np.ndarray, doc: np.ndarray, level: np.ndarray, c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, document, level) of the combinations of two tokens of a document that fall into one of its ``c`` groups; tokens come in their order."""
+    group = ((g >> _U(20)) & (c - 1).astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((group, doc))
+    g, doc, level, group, c = g[order], doc[order], level[order], group[order], c[order].astype(np.uint64)
+    out, k = [], 1
+    while True:  # by distance in a group
+        same = np.flatnonzero((doc[k:] == doc[:-k]) & (group[k:] == group[:-k])) if k < len(g) else np.zeros(0, np.int64)
+        if not len(same):
+            return out
+        two = T.mix(g[same] * _U(3) + T.mix(g[same + k] + c[same])) & ~_U(1)
+        out.append((two, doc[same + k], np.minimum(level[same + k], level[same])))
+        k += 1
+
+
 def keys_of(g: np.ndarray, n: np.ndarray, whole: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, document, level, score): keys of sets, and each set's share of frequent tokens in its prefix."""
     first = np.concatenate([[0], np.cumsum(n)])
@@ -225,20 +252,16 @@ def keys_of(g: np.ndarray, n: np.ndarray, whole: np.ndarray, counts: Counts) ->
     level = counts.of(g)
     order = np.lexsort((level, doc))  # hashes ascend already, and the sort is stable
     g, level = g[order], level[order]
-    p = prefix_size(n)
-    at = (np.arange(len(g)) - first[doc]) < p[doc]
-    g, level, doc = g[at] & ~_U(1), level[at], doc[at]
-    ends = np.concatenate([[0], np.cumsum(p)])
-    score = T.sums(level.astype(np.int64), ends) * 64 // np.maximum(p, 1)
-    often = level >= counts.frequent
-    single = ~often | (n[doc] * DEN > COMBINED * NUM)
-    out = [(g[single], doc[single], level[single]), (whole | _U(1), np.arange(len(n), dtype=np.int32), np.zeros(len(n), np.uint8))]
-    often &= n[doc] <= COMBINED
-    g, level, doc = g[often], level[often], doc[often]
-    for k in range(1, int(np.bincount(doc).max(initial=0))):  # by distance in the order
-        same = doc[k:] == doc[:-k]
-        two = T.mix(g[:-k][same] * _U(3) + T.mix(g[k:][same])) & ~_U(1)
-        out.append((two, doc[k:][same], np.minimum(level[k:], level[:-k])[same]))
+    p, rank, often = prefix_size(n), np.arange(len(g)) - first[doc], level >= counts.frequent
+    inside = rank < p[doc]
+    score = T.sums(np.where(inside, level, 0).astype(np.int64), first) * 64 // np.maximum(p, 1)
+    single = inside & ~often
+    out = [(g[single] & ~_U(1), doc[single], level[single]), (whole | _U(1), np.arange(len(n), dtype=np.int32), np.zeros(len(n), np.uint8))]
+    open_ = (np.bincount(doc[~often], minlength=len(n)) < p) & (n > 1)  # rare tokens do not fill the prefix
+    own, next_ = groups_of(n), groups_of(n * DEN // NUM)
+    for c, more in ((own, open_), (next_, open_ & (next_ > own))):
+        at = np.flatnonzero(often & more[doc] & (rank < (p + c)[doc]))
+        out += combinations_of(g[at], doc[at], level[at], c[doc[at]])
     key, doc, level = (np.concatenate(x) for x in zip(*out))
     return key, doc, level, score
 

@@ -98,6 +98,7 @@ def brute_classes(docs):
 @pytest.mark.parametrize("seed,frequent", [(1, 1024), (3, 2)])
 def test_jaccard_join(spark, monkeypatch, seed, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "FREQUENT_SHARE", 1.0)
     docs = corpus(seed, 90)
     got = jaccard.similarity_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(docs)
@@ -306,3 +307,29 @@ def test_samples_have_every_language_and_each_id_once(spark, monkeypatch):
     monkeypatch.setattr(quality.Neighbours, "fit", classmethod(lambda cls, x, y: (x, y)))
     x, y = quality.learn(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int"))
     assert len(x) == len(y) <= 20
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_similar_sets_share_a_key(seed):
+    """Sets of any size whose tokens are frequent, rare or both; every similar pair meets in some key."""
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2))
+    counts = jaccard.Counts.__new__(jaccard.Counts)
+    counts.bits, counts.frequent = 26, 100
+    often = dict(zip(pool.tolist(), (rng.random(len(pool)) < (0.2, 0.6, 0.9, 0.97, 1.0, 0.75)[seed]).tolist()))
+    counts.of = lambda g: np.array([100 + x % 7 if often[x] else x % 90 for x in g.tolist()], np.uint8)
+    sets = []
+    for n in (1, 2, 3, 5, 8, 15, 16, 17, 60, 96, 128, 129, 250, 600):
+        base = rng.choice(pool, n, replace=False)
+        for _ in range(6):
+            keep = base[rng.random(n) > rng.choice([0, 0.05, 0.12])]
+            sets.append(np.unique(np.concatenate([keep, rng.choice(pool, rng.integers(0, max(1, n // 5) + 1))])))
+    sets = [s for s in sets if len(s)]
+    n = np.array([len(s) for s in sets])
+    g = np.concatenate(sets)
+    whole = np.array([int(s.sum()) for s in sets], np.uint64)
+    key, doc, _, _ = jaccard.keys_of(g, n, whole, counts)
+    held = [set(key[doc == d].tolist()) for d in range(len(sets))]
+    assert all(len(k) <= 3 * len(s) + 2 for k, s in zip(held, sets))
+    similar = [(a, b) for a in range(len(sets)) for b in range(a) if 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))]
+    assert len(similar) > 40 and all(held[a] & held[b] for a, b in similar)

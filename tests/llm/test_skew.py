@@ -35,12 +35,12 @@ def crowded(seed):
 
 
 def tight_jaccard(m, **more):
-    small = dict(FREQUENT=2, COMBINED=40, HOT=4, MIN_SLOT_BITS=14, PACK_BYTES=600, BUCKET_BYTES=2000, BLOCK_TOKENS=200, BLOCK_ROWS=3, SKETCH_TOKENS=3000, TEXT_TOKENS=2000, BROADCAST_ROWS=0)
+    small = dict(FREQUENT=2, FREQUENT_SHARE=1.0, GROUPED=8, HOT=4, MIN_SLOT_BITS=14, PACK_BYTES=600, BUCKET_BYTES=2000, BLOCK_TOKENS=200, BLOCK_ROWS=3, SKETCH_TOKENS=3000, TEXT_TOKENS=2000, BROADCAST_ROWS=0)
     for name, value in (small | more).items():
         m.setattr(jaccard, name, value)
 
 
-@pytest.mark.parametrize("seed,more", [(1, {}), (2, {"COMBINED": 5}), (3, {"HOT": 1 << 20, "COMBINED": 1000}), (4, {"FREQUENT": 10**6})])
+@pytest.mark.parametrize("seed,more", [(1, {}), (2, {"GROUPED": 2, "FREQUENT": 0}), (3, {"HOT": 1 << 20, "GROUPED": 100}), (4, {"FREQUENT": 10**6})])
 def test_jaccard_join_of_crowds(spark, monkeypatch, seed, more):
     tight_jaccard(monkeypatch, **more)
     docs = crowded(seed)
