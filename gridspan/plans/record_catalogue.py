@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import threshold_code
-from ..operators import checks, labelling, occurrence, spectral, timeline, trends
+from ..operators import checks, labelling, occurrence, spectral, tiles, timeline, trends
 from ..sources import fields as src
 from ..sources import products
 from . import catalogue as base
@@ -15,6 +15,7 @@ from . import series_catalogue as series
 METRICS = ("total_area_km2", "largest_component_area_km2", "secondary_area_km2", "largest_component_area_fraction", "fragmentation_index", "component_count", "centroid_distance_km")
 MONTHLY = ("largest_component_area_km2", "total_area_km2", "secondary_area_km2", "largest_component_area_fraction", "component_count")
 ROLLING = ("largest_component_area_fraction", "secondary_area_km2", "component_count", "fragmentation_index")
+TILE = 3
 DATES = ("1982-01-10", "1982-12-31")
 PLACES = {"total_area_km2": 1, "largest_component_area_km2": 1, "secondary_area_km2": 1, "largest_component_area_fraction": 6, "fragmentation_index": 6, "component_count": 6, "centroid_distance_km": 1}
 
@@ -23,6 +24,14 @@ def component_numbers(spark: SparkSession, d: str) -> DataFrame:
     return base._components(spark, d).select("date", "threshold_c", "component_id", "number")
 
 
+def tiled_components(spark: SparkSession, d: str) -> DataFrame:
+    """The components of fields that are stored in tiles of 3 x 3 cells, joined across their borders."""
+    axes = tiles.regular_axes(base.N_LAT, base.N_LON, -35.0, 10.0, 22.5, 45.0)
+    f = tiles.tiled(src.masked(base._fields(spark, d), base._arrays(spark)), axes.shape, TILE)
+    out = tiles.component_table(f, axes, TILE, base.THRESHOLDS)
+    return base._rounded(out.select("date", "threshold_c", "component_id", "number", "n_cells", "area_km2", "largest"), {"area_km2": 2})
+
+
 def lcc_periodic_seam(spark: SparkSession, d: str) -> DataFrame:
     """Components with cells on both sides of the seam of longitudes."""
     m = base._members(spark, d)
@@ -80,7 +89,7 @@ def metric_rolling_means(spark: SparkSession, d: str) -> DataFrame:
 def trend_table(spark: SparkSession, d: str) -> DataFrame:
     """Monthly means stand in for the annual ones, as the tables hold few years; slopes are by month."""
     out = trends.trend_table(base._monthly(spark, d), ["priority"], 1.0)
-    keep = {"mean": 2, "theil_sen_slope": 4, "low": 4, "high": 4, "intercept": 1, "effective_sample_size_residual": 4, "effective_degrees_of_freedom": 4, "hac_slope": 4, "hac_se": 4, "hac_t": 4, "relative_slope_pct": 6}
+    keep = {"mean": 2, "theil_sen_slope": 4, "low": 4, "high": 4, "intercept": 1, "effective_sample_size_residual": 4, "effective_degrees_of_freedom": 4, "hac_slope": 4, "hac_se": 4, "hac_t": 4, "relative_slope_pct": 6, "hac_low": 3, "hac_high": 3, "hac_p": 6}
     return base._rounded(out.select("priority", "n", "hac_maxlags", *keep), keep)
 
 
@@ -130,15 +139,15 @@ def release_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grids_agree(spark: SparkSession, d: str) -> DataFrame:
-    """The grid against a copy with a wrong mask cell, a shifted latitude and a cell missing."""
-    g = base._grid(spark).select("cell_id", "lat", "lon", "in_mask")
+    """The record's cells against a copy with a wrong mask cell, a shifted latitude and a cell missing."""
+    g = base._seen_grid(spark, d).select("cell_id", "lat", "lon", "in_mask")
     other = g.filter("cell_id <> 9").withColumn("in_mask", F.when(F.col("cell_id") == 20, ~F.col("in_mask")).otherwise(F.col("in_mask"))).withColumn("lat", F.col("lat") + F.when(F.col("cell_id") == 7, F.lit(0.25)).otherwise(F.lit(0.0)))
     return checks.grids_agree(g, other)
 
 
 def grid_faults(spark: SparkSession, d: str) -> DataFrame:
-    """The checks of a grid on one with faults: a row of equal latitude, an area of zero, a cell missing."""
-    g = base._grid(spark).filter("cell_id <> 63").withColumn("lat", F.when(F.col("i") == 4, F.lit(-5.0)).otherwise(F.col("lat"))).withColumn("area_km2", F.when(F.col("cell_id") == 5, F.lit(0.0)).otherwise(F.col("area_km2")))
+    """The checks of a grid on the record's cells with faults: a row of equal latitude, an area of zero, a cell missing."""
+    g = base._seen_grid(spark, d).filter("cell_id <> 63").withColumn("lat", F.when(F.col("i") == 4, F.lit(-5.0)).otherwise(F.col("lat"))).withColumn("area_km2", F.when(F.col("cell_id") == 5, F.lit(0.0)).otherwise(F.col("area_km2")))
     return checks.grid_check(g, base.N_LAT, base.N_LON)
 
 
@@ -169,7 +178,7 @@ def ar1_background(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: base._dated(f) for f in (
-    component_numbers, lcc_periodic_seam, lcc_centroids, cell_longest_run, cell_percentages, detached_occurrence, run_scale, annual_metrics, monthly_metrics, metric_rolling_means, trend_table,
+    component_numbers, tiled_components, lcc_periodic_seam, lcc_centroids, cell_longest_run, cell_percentages, detached_occurrence, run_scale, annual_metrics, monthly_metrics, metric_rolling_means, trend_table,
     fitted_lines, days_without_component, point_lookup, snapshot, field_normalised, masked_fields, release_checks, grids_agree, grid_faults, thresholds_present, product_wide, product_long, threshold_codes, ar1_background,
 )}
 
@@ -177,12 +186,15 @@ _DAY = base._MEMBERS + """,
 ce AS (SELECT *, degrees(atan2(fy, fx)) AS flon, degrees(atan2(fz, sqrt(fx * fx + fy * fy))) AS flat, degrees(atan2(ty, tx)) AS tlon, degrees(atan2(tz, sqrt(tx * tx + ty * ty))) AS tlat FROM day),
 dm AS (SELECT date, threshold_c, total AS total_area_km2, big AS largest_component_area_km2, total - big AS secondary_area_km2, big / total AS largest_component_area_fraction, 1 - big / total AS fragmentation_index, n AS component_count,
   2 * 6371.0088 * asin(sqrt(least(1, greatest(0, sin(radians(tlat - flat) / 2) ^ 2 + cos(radians(flat)) * cos(radians(tlat)) * sin(radians(tlon - flon) / 2) ^ 2)))) AS centroid_distance_km FROM ce)"""
-_FAULTY = base._GRID + ", h AS (SELECT cell_id, i, j, CASE WHEN i = 4 THEN -5.0::DOUBLE ELSE lat END AS lat, lon, CASE WHEN cell_id = 5 THEN 0.0::DOUBLE ELSE area_km2 END AS area_km2 FROM g WHERE cell_id <> 63)"
+_FAULTY = base._CELLS + ", h AS (SELECT cell_id, i, j, CASE WHEN i = 4 THEN -5.0::DOUBLE ELSE lat END AS lat, lon, CASE WHEN cell_id = 5 THEN 0.0::DOUBLE ELSE area_km2 END AS area_km2 FROM sg WHERE cell_id <> 63)"
 _WIDE = ", ".join(f"CAST(max({c}) FILTER (threshold_c = {t}) AS {'INTEGER' if c == 'longest_run' else 'BIGINT'}) AS t0p{code}__{c}" for t, code in ((0.05, "05"), (0.1, "1"), (0.15, "15")) for c in ("n_lcc", "longest_run"))
+_CELLS_T = 40_000  # of the angle over which t's density is summed up
 _LAGS, _LAGS_C = (f"CAST(greatest(1, floor(4 * ({n} / 100) ^ (2 / 9))) AS INTEGER)" for n in ("n", "c.n"))
 
 ORACLES = {
     "component_numbers": f"WITH RECURSIVE {base._MEMBERS} SELECT CAST(date AS VARCHAR) AS date, threshold_c, component_id, CAST(dense_rank() OVER (PARTITION BY date, threshold_c ORDER BY component_id) AS INTEGER) AS number FROM comp",
+    "tiled_components": f"""WITH RECURSIVE {base._MEMBERS} SELECT CAST(comp.date AS VARCHAR) AS date, comp.threshold_c, CAST(comp.component_id AS BIGINT) AS component_id, CAST(dense_rank() OVER (PARTITION BY comp.date, comp.threshold_c ORDER BY comp.component_id) AS INTEGER) AS number,
+        comp.n_cells, round(comp.area_km2, 2) AS area_km2, comp.component_id = top.component_id AS largest FROM comp JOIN top ON top.date = comp.date AND top.threshold_c = comp.threshold_c""",
     "lcc_periodic_seam": f"WITH RECURSIVE {base._MEMBERS} SELECT CAST(date AS VARCHAR) AS date, threshold_c, component_id, count(*) AS n_cells FROM lab JOIN g USING (cell_id) GROUP BY date, threshold_c, component_id HAVING max(CASE WHEN j = 0 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN j = 7 THEN 1 ELSE 0 END) = 1",
     "lcc_centroids": f"""WITH RECURSIVE {_DAY}, q AS (SELECT date, threshold_c, sqrt(fx * fx + fy * fy) > 1e4 AS sf, sqrt(tx * tx + ty * ty) > 1e4 AS st, (flon + 360) % 360 AS fl, (tlon + 360) % 360 AS tl, tlat - flat AS dl FROM ce)
         SELECT CAST(date AS VARCHAR) AS date, threshold_c, CASE WHEN sf THEN round((round(fl, 3) + 360) % 360, 3) END AS full_centroid_lon_360, CASE WHEN st THEN round((round(tl, 3) + 360) % 360, 3) END AS largest_centroid_lon_360,
@@ -209,10 +221,14 @@ ORACLES = {
         rho AS (SELECT r.priority, r.n, r.lag, r.v / o.v AS rho FROM r JOIN r o ON o.priority = r.priority AND o.lag = 0),
         pr AS (SELECT priority, (lag + 1) // 2 AS m, sum(rho) AS pair, sum((1 - lag / n) * rho) AS w FROM rho WHERE lag > 0 GROUP BY ALL HAVING count(*) = 2),
         bad AS (SELECT priority, min(m) AS m FROM pr WHERE pair <= 0 GROUP BY priority),
-        ne AS (SELECT me.priority, least(greatest(n / (1 + 2 * coalesce((SELECT sum(w) FROM pr LEFT JOIN bad USING (priority) WHERE pr.priority = me.priority AND (bad.m IS NULL OR pr.m < bad.m)), 0)), 3), n) AS ne FROM me)
-        SELECT priority, CAST(n AS INTEGER) AS n, {_LAGS} AS hac_maxlags, round(mean, 2) AS mean, round(ts, 4) AS theil_sen_slope, round(low, 4) AS low, round(high, 4) AS high, round(ic, 1) AS intercept, round(ne, 4) AS effective_sample_size_residual,
+        ne AS (SELECT me.priority, least(greatest(n / (1 + 2 * coalesce((SELECT sum(w) FROM pr LEFT JOIN bad USING (priority) WHERE pr.priority = me.priority AND (bad.m IS NULL OR pr.m < bad.m)), 0)), 3), n) AS ne FROM me),
+        st AS (SELECT priority, greatest(ne - 2, 1) AS df, b / (sqrt(v) / sxx) AS t FROM ols JOIN hac USING (priority) JOIN ne USING (priority)),
+        dens AS (SELECT priority, df, abs(t) AS t, i, cos((i + 0.5) * pi() / 2 / {_CELLS_T}) ^ (df - 1) AS d FROM st, range({_CELLS_T}) q(i)),
+        tail AS (SELECT priority, df, t, i, d / sum(d) OVER (PARTITION BY priority) AS d, 1 - sum(d) OVER (PARTITION BY priority ORDER BY i) / sum(d) OVER (PARTITION BY priority) AS beyond FROM dens),
+        pq AS (SELECT priority, sum(d * greatest(0, least(1, i + 1 - atan(t / sqrt(df)) * 2 / pi() * {_CELLS_T}))) AS p, min(CASE WHEN beyond <= 0.05 AND beyond + d > 0.05 THEN sqrt(df) * tan((i + 1 - (0.05 - beyond) / d) * pi() / 2 / {_CELLS_T}) END) AS q FROM tail GROUP BY priority)
+        SELECT priority, CAST(n AS INTEGER) AS n, {_LAGS} AS hac_maxlags, round(b - q * sqrt(v) / sxx, 3) AS hac_low, round(b + q * sqrt(v) / sxx, 3) AS hac_high, round(p, 6) AS hac_p, round(mean, 2) AS mean, round(ts, 4) AS theil_sen_slope, round(low, 4) AS low, round(high, 4) AS high, round(ic, 1) AS intercept, round(ne, 4) AS effective_sample_size_residual,
         round(greatest(ne - 2, 1), 4) AS effective_degrees_of_freedom, round(b, 4) AS hac_slope, round(sqrt(v) / sxx, 4) AS hac_se, round(b / (sqrt(v) / sxx), 4) AS hac_t, round(100 * ts / mean, 6) AS relative_slope_pct
-        FROM me JOIN ols USING (priority) JOIN hac USING (priority) JOIN ne USING (priority)""",
+        FROM me JOIN ols USING (priority) JOIN hac USING (priority) JOIN ne USING (priority) JOIN pq USING (priority)""",
     "fitted_lines": f"""WITH {base._MONTHLY}, sl AS (SELECT a.priority, median((b.y - a.y) / (b.x - a.x)) AS slope FROM mo a JOIN mo b ON a.priority = b.priority AND a.x < b.x GROUP BY 1),
         ic AS (SELECT priority, any_value(slope) AS slope, median(y) - any_value(slope) * median(x) AS ic FROM mo JOIN sl USING (priority) GROUP BY priority) SELECT priority, x, round(y, 2) AS y, round(ic + slope * x, 2) AS fitted FROM mo JOIN ic USING (priority)""",
     "days_without_component": f"WITH {base._CELLS} SELECT CAST(date AS VARCHAR) AS date, threshold_c FROM c, th GROUP BY date, threshold_c HAVING count(*) FILTER (in_mask AND sst >= threshold_c) = 0",
@@ -226,8 +242,8 @@ ORACLES = {
         o AS (SELECT CAST(date_diff('day', min(date), max(date)) + 1 - count(DISTINCT date) AS DOUBLE) AS a, max(lcc_area_km2 - canonical_area_km2) AS b, max(box_strict_area_km2 - box_inclusive_area_km2) AS c, max(abs(canonical_area_km2 - total)) AS d, max(abs(lcc_area_km2 - big)) AS e,
           0.01 + 1e-11 * max(greatest(canonical_area_km2, total)) AS td, 0.01 + 1e-11 * max(greatest(lcc_area_km2, big)) AS te FROM k)
         SELECT test, round(v, 3) AS value, round(t, 3) AS tolerance, v <= t AS pass FROM (SELECT 'daily_record_complete' AS test, a AS v, 0.0::DOUBLE AS t FROM o UNION ALL SELECT 'lcc_within_canonical', greatest(b, 0), 0.0001 FROM o UNION ALL SELECT 'strict_within_inclusive', greatest(c, 0), 0.0001 FROM o UNION ALL SELECT 'canonical_area_vs_reference', d, td FROM o UNION ALL SELECT 'lcc_area_vs_reference', e, te FROM o)""",
-    "grids_agree": f"""WITH {base._GRID}, o AS (SELECT cell_id, CASE WHEN cell_id = 7 THEN lat + 0.25 ELSE lat END AS lat, lon, CASE WHEN cell_id = 20 THEN NOT in_mask ELSE in_mask END AS in_mask FROM g WHERE cell_id <> 9),
-        q AS (SELECT count(*) FILTER (g.cell_id IS NULL OR o.cell_id IS NULL) AS c, count(*) FILTER (g.in_mask IS DISTINCT FROM o.in_mask AND g.cell_id IS NOT NULL AND o.cell_id IS NOT NULL) AS m, max(abs(g.lat - o.lat)) AS la, max(abs(g.lon - o.lon)) AS lo FROM g FULL JOIN o USING (cell_id))
+    "grids_agree": f"""WITH {base._CELLS}, o AS (SELECT cell_id, CASE WHEN cell_id = 7 THEN lat + 0.25 ELSE lat END AS lat, lon, CASE WHEN cell_id = 20 THEN NOT in_mask ELSE in_mask END AS in_mask FROM sg WHERE cell_id <> 9),
+        q AS (SELECT count(*) FILTER (g.cell_id IS NULL OR o.cell_id IS NULL) AS c, count(*) FILTER (g.in_mask IS DISTINCT FROM o.in_mask AND g.cell_id IS NOT NULL AND o.cell_id IS NOT NULL) AS m, max(abs(g.lat - o.lat)) AS la, max(abs(g.lon - o.lon)) AS lo FROM sg g FULL JOIN o USING (cell_id))
         SELECT test, value, tolerance, value <= tolerance AS pass FROM (SELECT 'cells_on_both_sides' AS test, CAST(c AS DOUBLE) AS value, 0.0::DOUBLE AS tolerance FROM q UNION ALL SELECT 'mask_equal', CAST(m AS DOUBLE), 0.0 FROM q UNION ALL SELECT 'lat_equal', la, 1e-8 FROM q UNION ALL SELECT 'lon_equal', lo, 1e-8 FROM q)""",
     "grid_faults": f"WITH {_FAULTY} {series._GRID_TESTS.format(t='h')}",
     "thresholds_present": f"WITH RECURSIVE {base._MEMBERS}, e(threshold_c) AS (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.9::DOUBLE)) SELECT threshold_c, count(date) AS n_rows, count(date) > 0 AS present FROM e LEFT JOIN day USING (threshold_c) GROUP BY threshold_c",

@@ -95,7 +95,7 @@ def record_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_check(spark: SparkSession, d: str) -> DataFrame:
-    return checks.grid_check(base._grid(spark), base.N_LAT, base.N_LON)
+    return checks.grid_check(base._seen_grid(spark, d), base.N_LAT, base.N_LON)
 
 
 def reference_reconcile(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +171,7 @@ ORACLES = {
     "record_check": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS date, sum(value) AS value FROM events GROUP BY ALL), s AS (SELECT CAST(date_diff('day', min(date), max(date)) + 1 AS INTEGER) AS e FROM d)
         SELECT event_type, any_value(e) AS n_expected, any_value(e) - count(DISTINCT date) AS n_missing, count(*) FILTER (date IS NULL) AS n_outside, count(date) - count(DISTINCT date) AS n_repeated, count(*) FILTER (value IS NULL) AS n_null,
         any_value(e) = count(DISTINCT date) AND count(*) = count(value) AND count(date) = count(DISTINCT date) AND count(*) = count(date) AS complete FROM d, s GROUP BY event_type""",
-    "grid_check": f"WITH {base._GRID} {_GRID_TESTS.format(t='g')}",
+    "grid_check": f"WITH {base._CELLS} {_GRID_TESTS.format(t='sg')}",
     "dominant_period": f"WITH {_WELCH} SELECT series, round(first(1 / f ORDER BY p DESC, k), 6) AS dominant_period_days FROM psd GROUP BY series",
     "reference_reconcile": f"""WITH RECURSIVE {base._MEMBERS}, w AS (SELECT l.date, l.threshold_c, sum(g.area_km2) AS a FROM lcc l JOIN g USING (cell_id) GROUP BY ALL)
         SELECT 'lcc_area_two_ways' AS test, round(max(abs(top.area_km2 - w.a)), 2) AS value, round(0.0001 + 1e-11 * max(w.a), 3) AS tolerance, max(abs(top.area_km2 - w.a)) <= 0.0001 + 1e-11 * max(w.a) AS pass FROM top JOIN w USING (date, threshold_c)""",
