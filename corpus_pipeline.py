@@ -14,11 +14,14 @@ from gridspan.llm import bpe, decontaminate, jaccard, quality, substring
 from gridspan.llm.common import table, without, written
 
 
-ROW = "_row"
+#: A column of this name would be lost; ``_numbered`` refuses it.
+ROW = "_row_of_pipeline"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number for each row, written so that the numbers stay: ids may repeat."""
+    if ROW in docs.columns:
+        raise ValueError(f"documents have a column {ROW}")
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
@@ -46,10 +49,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that start in a smaller id; texts that lose nothing keep their white space."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "n_chars"))
-    cut = substring.dedup_substrings(docs, carry=others)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
-    out = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = substring.dedup_substrings(docs, carry=others, as_is=True).withColumnRenamed("kept", "text")
+    out = cut.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*(F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 

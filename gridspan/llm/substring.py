@@ -12,14 +12,16 @@ has read. Suffixes that repeat a smaller document of the pack are marked there;
 one document's go on, so a passage that stands in a third of all documents
 leaves each pack once.
 
-*Prefix groups.* What is left is dealt to buckets by variable-length prefixes. The
-shortest is the suffix's anchor, the least of the hashes of its windows' three
-words: neighbouring suffixes share it, so they travel as one run of words and
-a suffix costs a few bytes instead of ``SPAN`` words. A first pass counts the
-suffixes of every anchor, and of the prefixes of the lengths in ``LENGTHS``, in tables of
-slots, and finds the commonest words; where an anchor has more than ``HOT`` suffixes they are dealt by their
-first words instead, by as many as it takes to come below it, and by all
-``SPAN`` at last. Each of these keys depends on a suffix's ``SPAN`` words alone, so
+*Prefix groups.* What is left is dealt to buckets by a minimizer or by
+variable-length prefixes. The minimizer (anchor) of a suffix is the least hash
+of any three words of its window. It is no prefix: prefixes proper would send
+every suffix with its own ``SPAN`` words, as neighbours begin with different
+words, while neighbours mostly share their anchor, so they travel as one run of
+words and a suffix costs a few bytes. A first pass counts the suffixes of every
+anchor, and of the prefixes of the lengths in ``LENGTHS``, in tables of slots,
+and finds the commonest words; where an anchor has more than ``HOT`` suffixes
+they are dealt by their first words instead, by as many as it takes to come
+below it, and by all ``SPAN`` at last. Each of these keys depends on a suffix's ``SPAN`` words alone, so
 equal ones meet. Common words travel as codes that all tasks share, of others a
 payload has each once.
 
@@ -63,8 +65,8 @@ LENGTHS = (4, 8)
 #: Suffixes of one prefix above which it is extended: before they are dealt, and inside a bucket.
 HOT, GROUP = 200_000, 250_000
 MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 26
-#: Commonest words, whose codes all tasks share.
-WORDS = 1 << 17
+#: Commonest words, whose codes all tasks share, and bytes of such a word at most.
+WORDS, WORD_BYTES = 1 << 17, 32
 #: A bucket's runs are ordered by so many sub-buckets, whose trees are grown one after the other.
 SUBS = 8
 PACK_BYTES = 8 << 20
@@ -147,8 +149,9 @@ def survey(docs: DataFrame, n_bytes: int) -> Survey:
     """One pass over all texts, counted by packs.
 
     A pack counts each distinct window once, as its trees will send one
-    document's, and names its commonest words. Tables have a fixed number of
-    slots and the words a fixed number, so what comes to the driver is bounded.
+    document's, and names its commonest words of at most ``WORD_BYTES``. Tables
+    have a fixed number of slots and the words a fixed number, so what comes to
+    the driver is bounded: some 4 MB of words.
     """
     load = max(1, n_bytes // 6 * 16 // HOT)
     bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, load.bit_length()))
@@ -163,6 +166,8 @@ def survey(docs: DataFrame, n_bytes: int) -> Survey:
                 total[k] += np.bincount(np.concatenate(key)[place], minlength=1 << bits)
         codes, dictionary = coded(words, pa.nulls(0, pa.large_binary()))
         n = np.bincount(codes, minlength=len(dictionary))
+        short = pc.less_equal(pc.binary_length(dictionary), WORD_BYTES).to_numpy(zero_copy_only=False)
+        dictionary, n = dictionary.filter(pa.array(short)), n[short]
         best = np.argsort(-n, kind="stable")[: WORDS // 2]
         zero = np.zeros(len(best), np.int32)
         return pa.record_batch([pa.array(zero - 1), pa.array(zero), dictionary.take(pa.array(best)).cast(pa.binary()), pa.array(n[best])], names=["level", "slot", "word", "n"])
@@ -388,8 +393,8 @@ def find_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
     return docs.mapInArrow(packed, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(grow, "id long, mark long, at int, n int")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, at list, n list, others) to (id, n_words, n_removed, kept, others)."""
+def _cut(batches: Iterator[pa.RecordBatch], as_is: bool) -> Iterator[pa.RecordBatch]:
+    """(id, text, at list, n list, others) to (id, n_words, n_removed, kept, others); ``as_is`` keeps texts that lose nothing as they are."""
     for b in batches:
         carried = b.schema.names[4:]
         lists = [c.fill_null([]) if c.null_count else c for c in (b.column(2), b.column(3))]
@@ -427,21 +432,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64).tobytes()), raw).cast(pa.string())
             total = w.n_words
             left = T.sums(keep.astype(np.int64), w.first)
+            if as_is:
+                kept = pc.if_else(pa.array(left < total), kept, b.column(1).slice(lo, hi - lo).cast(pa.string()))
             cols = [b.column(0).slice(lo, hi - lo), pa.array(total), pa.array(total - left), kept, *(b.column(c).slice(lo, hi - lo) for c in carried)]
             yield pa.record_batch(cols, names=["id", "n_words", "n_removed", "kept", *carried])
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept): the text of each document without repeated passages, words joined by one space.
 
-    The columns in ``carry`` follow. The id must be a whole number.
+    The columns in ``carry`` follow. The id must be a whole number. With
+    ``as_is`` texts that lose nothing are kept with their white space, and null
+    ones null.
     """
     others = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), *others)
-    marks = find_repeats(docs.select("id", "mark", "text"), text_bytes(df, text_col)).groupBy("id", "mark").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    marks = find_repeats(docs.select("id", "mark", "text"), text_bytes(df, text_col)).groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("runs"))
+    marks = marks.select("id", "mark", F.col("runs.at").alias("at"), F.col("runs.n").alias("n"))  # equal rows have the same marks, once
     both = docs.join(marks, ["id", "mark"], "left").select("id", "text", "at", "n", *(f"c{k}" for k in range(len(carry))))
     more = "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    out = both.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string" + more)
+    out = both.mapInArrow(lambda batches: _cut(batches, as_is), "id long, n_words long, n_removed long, kept string" + more)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
 
 

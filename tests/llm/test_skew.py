@@ -160,3 +160,29 @@ def test_repeated_rows_and_items(spark):
     docs = spark.createDataFrame([(1, item), (1, item), (2, "clean words only")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, item), (5, item)], "item_id long, text string")
     assert decontaminate.find_overlaps(docs, bench).count() == 4
+
+
+def test_repeated_rows_have_their_marks_once(spark):
+    """Rows that repeat an id and a text share one short list of marks, however many they are."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage)] + [(2, f"a b {passage} c d {passage} e")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = substring.dedup_substrings(df)
+    assert {tuple(r) for r in out.collect()} == {(1, 20, 0, passage), (2, 45, 40, "a b c d e")} and out.count() == 501
+    marks = substring.find_repeats(df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text"), 10_000)
+    assert marks.groupBy("id", "mark").agg(F.size(F.collect_set(F.struct("at", "n"))).alias("n")).first()["n"] <= 4
+
+
+def test_long_words_are_no_common_words(spark):
+    rows = [(k, " ".join([f"{'x' * 2000}{j}" for j in range(30)] + ["short"] * 5)) for k in range(4)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert [w for w in substring.survey(df, 240_000).words.to_pylist()] == [b"short"]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_substrings(df.withColumnRenamed("id", "doc_id")).collect()}
+    assert got == {0: 0, 1: 35, 2: 35, 3: 35}
+
+
+def test_texts_that_lose_nothing_stay_as_they_are(spark):
+    passage = " ".join(f"p{k}" for k in range(13))
+    df = spark.createDataFrame([(1, f"x\n{passage}  y ", "l"), (2, f"\t{passage}\tz ", "m"), (3, None, "n"), (4, "", "o"), (None, " a  b ", "p")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["kept"], r["lang"]) for r in substring.dedup_substrings(df, carry=("lang",), as_is=True).collect()}
+    assert got == {1: (f"x\n{passage}  y ", "l"), 2: ("z", "m"), 3: (None, "n"), 4: ("", "o"), None: (" a  b ", "p")}
