@@ -1,11 +1,13 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours.
 
-A document becomes counts of character-class pairs (what follows what: letters
-by case, digits, spaces, line ends and kinds of punctuation) and of a few
-repetition terms (words equal to the one before, words, lines and shingles that
-occurred before in the document). Square-rooted frequencies weighted by inverse
-document frequency, centred, are projected on the leading right singular
-vectors of the labelled matrix: a latent-semantic vector. The labelled vectors
+A document becomes counts of its words, hashed into 2 ** ``TERM_BITS`` terms,
+of character-class pairs (what follows what: letters by case, digits, spaces,
+line ends and kinds of punctuation) and of a few repetition terms (words equal
+to the one before, words, lines and shingles that occurred before in the
+document). Logarithms of word counts, brought to length 1, and square-rooted
+frequencies of the others, weighted by inverse document frequency and centred,
+are projected on the leading right singular vectors of the labelled matrix: a
+latent-semantic vector. The labelled vectors
 are broadcast; their number is at most ``max_labelled``, whatever the input.
 Every document is compared with all of them by blocked matrix products of unit
 vectors, and the ``k`` nearest vote with their label, weighted by a power of
@@ -14,7 +16,7 @@ their cosine.
 Labels are learned only from documents whose fold is not 0; of more than
 ``max_labelled`` the ones with the smallest hash of their id are taken.
 
-Defined results: a null or blank text has no class pairs; its vector is that of
+Defined results: a null or blank text has no terms; its vector is that of
 the empty text and it is scored like any other. Documents with a null id are
 scored, learn nothing and are not held out. Repeated label rows of an id count
 with the smallest label; null labels are ignored. Ties among neighbours go to
@@ -41,6 +43,8 @@ DIMENSIONS = 32
 NEIGHBOURS = 15
 POWER = 4
 BLOCK = 128
+#: Documents whose features are made at once, at most.
+ROWS = 1024
 
 _KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t\v\f", ".", ",", "!?", ":;", "|", "#$%&*", "-_~", "\"'`", "()[]{}<>", "@/\\=+^"]
 _CLASS = np.full(256, len(_KINDS), dtype=np.uint8)  # control bytes
@@ -50,7 +54,11 @@ for _k, _chars in enumerate(_KINDS):
     _CLASS[[ord(c) for c in _chars]] = _k
 N_CLASSES = len(_KINDS) + 3
 N_EXTRA = 4
-N_FEATURES = N_CLASSES * N_CLASSES + N_EXTRA
+N_PAIRS = N_CLASSES * N_CLASSES + N_EXTRA
+#: Words are hashed into 2 ** TERM_BITS terms, whose mean weight is TERM_WEIGHT.
+TERM_BITS, TERM_WEIGHT = 10, 0.5
+N_TERMS = 1 << TERM_BITS
+N_FEATURES = N_PAIRS + N_TERMS
 #: Weight of a repetition term against a class pair.
 EXTRA_WEIGHT = 2.0
 
@@ -71,9 +79,10 @@ def _distinct_docs(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of frequencies for each document."""
     n_docs = len(offsets) - 1
-    out = np.zeros((n_docs, N_FEATURES), dtype=np.float32)
+    whole = np.zeros((n_docs, N_FEATURES), dtype=np.float32)
+    out, terms = whole[:, :N_PAIRS], whole[:, N_PAIRS:]
     if not len(data):
-        return out
+        return whole
     size = np.diff(offsets)
     kind = _CLASS[data].astype(np.int64)
     doc = np.repeat(np.arange(n_docs), size)
@@ -88,6 +97,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         same[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
         out[:, -4] = np.bincount(d[same], minlength=n_docs) / np.maximum(w.n_words, 1)
         out[:, -3] = _repeated(h, d, n_docs)
+        slot = (h >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+        terms[:] = np.log1p(np.bincount(d * N_TERMS + slot, minlength=n_docs * N_TERMS)).reshape(n_docs, -1)
+        terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1)
         at = T.window_starts(w.first, 4)
         if len(at):
             out[:, -2] = _repeated(T.shingles(h, 4)[at], d[at], n_docs)
@@ -98,7 +110,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_doc = np.searchsorted(offsets, bounds[:-1], side="right") - 1
     out[:, -1] = _repeated(T.distinct_spans(data, bounds)[0].astype(np.uint64), line_doc, n_docs)
     out[:, -N_EXTRA:] = np.sqrt(out[:, -N_EXTRA:])
-    return out
+    return whole
 
 
 @dataclass
@@ -116,7 +128,8 @@ class Neighbours:
     def fit(cls, x: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, k: int = NEIGHBOURS) -> Neighbours:
         df = (x > 0).sum(axis=0)
         weight = np.log((1 + len(x)) / (1 + df)) + 1
-        weight[-N_EXTRA:] = EXTRA_WEIGHT
+        weight[N_PAIRS - N_EXTRA : N_PAIRS] = EXTRA_WEIGHT
+        weight[N_PAIRS:] *= TERM_WEIGHT / weight[N_PAIRS:].mean()
         z = x * weight
         mean = z.mean(axis=0)
         _, _, v = np.linalg.svd(z - mean, full_matrices=False)
@@ -153,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offsets in T.chunks(b):
+            for lo, hi, data, offsets in T.chunks(b, most=ROWS):
                 x = features(data, offsets)
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
@@ -171,7 +184,7 @@ def score(docs: DataFrame, model: Neighbours | None, threshold: float = 0.3, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = data.value
         for b in batches:
-            for lo, hi, raw, offsets in T.chunks(b):
+            for lo, hi, raw, offsets in T.chunks(b, most=ROWS):
                 s = m.score(features(raw, offsets)) if m else np.full(hi - lo, 0.5)
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
@@ -188,7 +201,7 @@ def keep_good(docs: DataFrame, model: Neighbours | None, threshold: float = 0.3,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, raw, offsets in T.chunks(b, text_col):
+            for lo, hi, raw, offsets in T.chunks(b, text_col, most=ROWS):
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(data.value.score(features(raw, offsets)) >= threshold))
 

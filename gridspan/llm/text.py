@@ -191,13 +191,13 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about ``size`` bytes: (first row, end row, bytes, offsets)."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most ``most`` whole documents of about ``size`` bytes: (first row, end row, bytes, offsets)."""
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + most, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
     trim()

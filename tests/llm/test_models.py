@@ -16,7 +16,7 @@ TEXTS = ["Plain prose, with a few words.\nAnd a line.", "", None, "$$$ buy NOW!!
 
 def plain_features(text):
     data = (text or "").encode()
-    out = [0.0] * quality.N_FEATURES
+    out = [0.0] * quality.N_PAIRS
     kind = [int(quality._CLASS[b]) for b in data]
     for a, b in zip(kind, kind[1:]):
         out[a * quality.N_CLASSES + b] += 1
@@ -29,7 +29,13 @@ def plain_features(text):
     lines = (text or "").split("\n")
     lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
     extra = [sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)), seen(words), seen(grams), seen(lines)]
-    return out[: -quality.N_EXTRA] + [math.sqrt(x) for x in extra]
+    terms = [0.0] * quality.N_TERMS
+    for w in words:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        terms[int(T.words_of(raw, np.array([0, len(raw)])).hashes()[0]) >> (64 - quality.TERM_BITS)] += 1
+    terms = [math.log1p(x) for x in terms]
+    length = max(1.0, math.sqrt(sum(x * x for x in terms)))
+    return out[: -quality.N_EXTRA] + [math.sqrt(x) for x in extra] + [x / length for x in terms]
 
 
 def corpus():
@@ -123,3 +129,14 @@ def test_repeated_rows_are_predicted_alike(spark):
     docs = spark.createDataFrame([(7, "some text")] * 30 + [(8, "some text")], "doc_id long, text string").repartition(5)
     assert language.identify(docs, net).select("lang_pred", F.round("score", 6)).distinct().count() == 1
     assert language.identify(docs.limit(0), net).count() == 0
+
+
+def test_vectors_tell_topics_by_their_words():
+    """Texts of the same shape whose words differ: the label hangs on terms alone."""
+    rnd = random.Random(5)
+    topics = [[f"{c}{x}{y}" for x in "abcdefgh" for y in "ijklmn"] for c in "pq"]
+    made = [(" ".join(rnd.choice(topics[k % 2]) for _ in range(40)), k % 2) for k in range(300)]
+    x = np.array([plain_features(t) for t, _ in made], np.float32)
+    y = np.array([k for _, k in made], float)
+    got = quality.Neighbours.fit(x[:200], y[:200]).score(x[200:])
+    assert ((got >= 0.5) == y[200:]).mean() > 0.95
