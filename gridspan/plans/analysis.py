@@ -1,6 +1,7 @@
 """The whole analysis of a stored record, from daily fields to tables, checks and a manifest.
 
-A project folder holds ``grid`` and ``fields`` (date, values) as Parquet. The
+A project folder holds ``grid`` and ``fields`` (date, values) as Parquet, or
+instead of the latter a folder ``arrays`` of array files. The
 daily tables are stored by year, so a run that was cut off goes on where it
 stood; tables of cells are stored once. What is derived from them is small and
 written as CSV below ``tables``.
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, decomposition, labelling, occurrence, regions, spectral, timeline, trends, wavelet
+from ..sources import arrays
 from ..sources import fields as src
 from ..sources import products
 
@@ -70,7 +72,11 @@ class Project:
     def fields(self) -> DataFrame:
         if self.no_fields:
             raise RuntimeError("a table has to be built, but the fields may not be read")
-        return src.time_range(self.spark.read.parquet(f"{self.root}/fields"), self.settings.start, self.settings.end)
+        if products.exists(self.spark, f"{self.root}/fields"):
+            stored = self.spark.read.parquet(f"{self.root}/fields")
+        else:  # array files as they come; dates of files without a time axis begin with the record
+            stored = arrays.register(self.spark).read.format(arrays.FORMAT).option("path", f"{self.root}/arrays").option("start_date", self.settings.start).load()
+        return src.time_range(stored, self.settings.start, self.settings.end)
 
     def of_years(self, years: list[int]) -> DataFrame:
         """The fields of some years; each run of years is a range of dates, which reaches the scan."""

@@ -243,7 +243,7 @@ _CELLS = _GRID + """,
 c AS (SELECT CAST(DATE '1982-01-01' + CAST(vec_id AS INTEGER) AS DATE) AS date, g.*, CASE WHEN isfinite(x) THEN x END AS sst
   FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS cell_id FROM embeddings WHERE len(embedding) = 64) JOIN g USING (cell_id)),
 th(threshold_c) AS (VALUES (0.05::DOUBLE), (0.10::DOUBLE), (0.15::DOUBLE)),
-sg AS (SELECT cell_id, any_value(i) AS i, any_value(j) AS j, any_value(lat) AS lat, any_value(lon) AS lon, any_value(in_mask) AS in_mask, any_value(area_km2) AS area_km2, count(sst) AS n_values FROM c GROUP BY cell_id)"""
+seen AS (SELECT cell_id, any_value(i) AS i, any_value(j) AS j, any_value(lat) AS lat, any_value(lon) AS lon, any_value(in_mask) AS in_mask, any_value(area_km2) AS area_km2, count(sst) AS n_values FROM c GROUP BY cell_id)"""
 _MEMBERS = _CELLS + """,
 m AS (SELECT date, threshold_c, cell_id, i, j FROM c, th WHERE in_mask AND sst >= threshold_c),
 edges AS (SELECT a.date, a.threshold_c, a.cell_id AS a, b.cell_id AS b FROM m a JOIN m b ON a.date = b.date AND a.threshold_c = b.threshold_c AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) IN (0, 1, 7)),
@@ -276,7 +276,7 @@ _CUTS = (1, 5, 10, 25, 50)
 ORACLES = {
     "field_cells": f"WITH {_CELLS} SELECT date, cell_id, i, j, lat, lon, in_mask, round(sst, 6) AS sst FROM c",
     "field_valid_threshold": f"WITH {_CELLS} SELECT date, threshold_c, count(*) FILTER (sst >= threshold_c) AS n_cells, count(*) AS n_valid FROM c, th WHERE in_mask AND sst IS NOT NULL GROUP BY ALL",
-    "grid_cell_area": f"WITH {_CELLS} SELECT cell_id, i, j, lat, lon, in_mask, round(area_km2, 3) AS area_km2, n_values FROM sg",
+    "grid_cell_area": f"WITH {_CELLS} SELECT cell_id, i, j, lat, lon, in_mask, round(area_km2, 3) AS area_km2, n_values FROM seen",
     "lcc_components": f"WITH RECURSIVE {_MEMBERS} SELECT date, threshold_c, component_id, n_cells, round(area_km2, 2) AS area_km2 FROM comp",
     "lcc_daily": f"""WITH RECURSIVE {_MEMBERS} SELECT date, CAST(year(date) AS INTEGER) AS year, threshold_c, CAST(n AS INTEGER) AS component_count, round(total, 1) AS total_area_km2, round(big, 1) AS largest_component_area_km2,
         round(big / total, 6) AS largest_component_area_fraction, round(total - big, 1) AS secondary_area_km2, round(1 - big / total, 6) AS fragmentation_index FROM day""",

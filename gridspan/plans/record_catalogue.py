@@ -14,7 +14,7 @@ from . import series_catalogue as series
 
 METRICS = ("total_area_km2", "largest_component_area_km2", "secondary_area_km2", "largest_component_area_fraction", "fragmentation_index", "component_count", "centroid_distance_km")
 MONTHLY = ("largest_component_area_km2", "total_area_km2", "secondary_area_km2", "largest_component_area_fraction", "component_count")
-ROLLING = ("largest_component_area_fraction", "secondary_area_km2", "component_count", "fragmentation_index")
+ROLLING = ("largest_component_area_km2", "largest_component_area_fraction", "secondary_area_km2", "component_count", "fragmentation_index")
 TILE = 3
 DATES = ("1982-01-10", "1982-12-31")
 PLACES = {"total_area_km2": 1, "largest_component_area_km2": 1, "secondary_area_km2": 1, "largest_component_area_fraction": 6, "fragmentation_index": 6, "component_count": 6, "centroid_distance_km": 1}
@@ -93,6 +93,32 @@ def trend_table(spark: SparkSession, d: str) -> DataFrame:
     return base._rounded(out.select("priority", "n", "hac_maxlags", *keep), keep)
 
 
+#: Metrics of the record whose trends are registered, and the unit that they are counted in.
+TRENDS = {"largest_component_area_km2": 1e6, "largest_component_area_fraction": 1.0, "component_count": 1.0}
+
+
+def _record_months(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly means (threshold_c, metric, x, y) of the record's metrics, as the tables hold few years."""
+    daily = base._daily(spark, d)
+    month = (F.year("date") * 12 + F.month("date")).cast("double")
+    means = daily.groupBy("threshold_c", month.alias("x")).agg(*(F.avg(F.col(m) / u).alias(m) for m, u in TRENDS.items()))
+    return means.select("threshold_c", "x", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("y")) for m in TRENDS))))
+
+
+def record_trends(spark: SparkSession, d: str) -> DataFrame:
+    """A trend row for each threshold and metric of the record."""
+    out = trends.trend_table(_record_months(spark, d), ["threshold_c", "metric"], 10.0)
+    keep = {c: 5 for c in ("mean", "theil_sen_slope", "low", "high", "effective_sample_size_residual", "effective_degrees_of_freedom", "hac_slope", "hac_se", "hac_t", "hac_low", "hac_high", "hac_p")}
+    return base._rounded(out.select("threshold_c", "metric", "n", "hac_maxlags", *keep), keep)
+
+
+def record_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The record's monthly means with the line of their trend row."""
+    m = _record_months(spark, d)
+    t = trends.lines(m, ["threshold_c", "metric"]).select("threshold_c", "metric", "slope", "intercept")
+    return m.join(t, ["threshold_c", "metric"]).select("threshold_c", "metric", "x", F.round("y", 6).alias("y"), F.round(F.col("intercept") + F.col("slope") * F.col("x"), 4).alias("fitted"))
+
+
 def fitted_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each series with the line of its trend row, looked up by key."""
     m = base._monthly(spark, d)
@@ -179,14 +205,14 @@ def ar1_background(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: base._dated(f) for f in (
     component_numbers, tiled_components, lcc_periodic_seam, lcc_centroids, cell_longest_run, cell_percentages, detached_occurrence, run_scale, annual_metrics, monthly_metrics, metric_rolling_means, trend_table,
-    fitted_lines, days_without_component, point_lookup, snapshot, field_normalised, masked_fields, release_checks, grids_agree, grid_faults, thresholds_present, product_wide, product_long, threshold_codes, ar1_background,
+    record_trends, record_lines, fitted_lines, days_without_component, point_lookup, snapshot, field_normalised, masked_fields, release_checks, grids_agree, grid_faults, thresholds_present, product_wide, product_long, threshold_codes, ar1_background,
 )}
 
 _DAY = base._MEMBERS + """,
 ce AS (SELECT *, degrees(atan2(fy, fx)) AS flon, degrees(atan2(fz, sqrt(fx * fx + fy * fy))) AS flat, degrees(atan2(ty, tx)) AS tlon, degrees(atan2(tz, sqrt(tx * tx + ty * ty))) AS tlat FROM day),
 dm AS (SELECT date, threshold_c, total AS total_area_km2, big AS largest_component_area_km2, total - big AS secondary_area_km2, big / total AS largest_component_area_fraction, 1 - big / total AS fragmentation_index, n AS component_count,
   2 * 6371.0088 * asin(sqrt(least(1, greatest(0, sin(radians(tlat - flat) / 2) ^ 2 + cos(radians(flat)) * cos(radians(tlat)) * sin(radians(tlon - flon) / 2) ^ 2)))) AS centroid_distance_km FROM ce)"""
-_FAULTY = base._CELLS + ", h AS (SELECT cell_id, i, j, CASE WHEN i = 4 THEN -5.0::DOUBLE ELSE lat END AS lat, lon, CASE WHEN cell_id = 5 THEN 0.0::DOUBLE ELSE area_km2 END AS area_km2 FROM sg WHERE cell_id <> 63)"
+_FAULTY = base._CELLS + ", h AS (SELECT cell_id, i, j, CASE WHEN i = 4 THEN -5.0::DOUBLE ELSE lat END AS lat, lon, CASE WHEN cell_id = 5 THEN 0.0::DOUBLE ELSE area_km2 END AS area_km2 FROM seen WHERE cell_id <> 63)"
 _WIDE = ", ".join(f"CAST(max({c}) FILTER (threshold_c = {t}) AS {'INTEGER' if c == 'longest_run' else 'BIGINT'}) AS t0p{code}__{c}" for t, code in ((0.05, "05"), (0.1, "1"), (0.15, "15")) for c in ("n_lcc", "longest_run"))
 _CELLS_T = 40_000  # of the angle over which t's density is summed up
 _LAGS, _LAGS_C = (f"CAST(greatest(1, floor(4 * ({n} / 100) ^ (2 / 9))) AS INTEGER)" for n in ("n", "c.n"))
@@ -242,8 +268,8 @@ ORACLES = {
         o AS (SELECT CAST(date_diff('day', min(date), max(date)) + 1 - count(DISTINCT date) AS DOUBLE) AS a, max(lcc_area_km2 - canonical_area_km2) AS b, max(box_strict_area_km2 - box_inclusive_area_km2) AS c, max(abs(canonical_area_km2 - total)) AS d, max(abs(lcc_area_km2 - big)) AS e,
           0.01 + 1e-11 * max(greatest(canonical_area_km2, total)) AS td, 0.01 + 1e-11 * max(greatest(lcc_area_km2, big)) AS te FROM k)
         SELECT test, round(v, 3) AS value, round(t, 3) AS tolerance, v <= t AS pass FROM (SELECT 'daily_record_complete' AS test, a AS v, 0.0::DOUBLE AS t FROM o UNION ALL SELECT 'lcc_within_canonical', greatest(b, 0), 0.0001 FROM o UNION ALL SELECT 'strict_within_inclusive', greatest(c, 0), 0.0001 FROM o UNION ALL SELECT 'canonical_area_vs_reference', d, td FROM o UNION ALL SELECT 'lcc_area_vs_reference', e, te FROM o)""",
-    "grids_agree": f"""WITH {base._CELLS}, o AS (SELECT cell_id, CASE WHEN cell_id = 7 THEN lat + 0.25 ELSE lat END AS lat, lon, CASE WHEN cell_id = 20 THEN NOT in_mask ELSE in_mask END AS in_mask FROM sg WHERE cell_id <> 9),
-        q AS (SELECT count(*) FILTER (g.cell_id IS NULL OR o.cell_id IS NULL) AS c, count(*) FILTER (g.in_mask IS DISTINCT FROM o.in_mask AND g.cell_id IS NOT NULL AND o.cell_id IS NOT NULL) AS m, max(abs(g.lat - o.lat)) AS la, max(abs(g.lon - o.lon)) AS lo FROM sg g FULL JOIN o USING (cell_id))
+    "grids_agree": f"""WITH {base._CELLS}, o AS (SELECT cell_id, CASE WHEN cell_id = 7 THEN lat + 0.25 ELSE lat END AS lat, lon, CASE WHEN cell_id = 20 THEN NOT in_mask ELSE in_mask END AS in_mask FROM seen WHERE cell_id <> 9),
+        q AS (SELECT count(*) FILTER (g.cell_id IS NULL OR o.cell_id IS NULL) AS c, count(*) FILTER (g.in_mask IS DISTINCT FROM o.in_mask AND g.cell_id IS NOT NULL AND o.cell_id IS NOT NULL) AS m, max(abs(g.lat - o.lat)) AS la, max(abs(g.lon - o.lon)) AS lo FROM seen g FULL JOIN o USING (cell_id))
         SELECT test, value, tolerance, value <= tolerance AS pass FROM (SELECT 'cells_on_both_sides' AS test, CAST(c AS DOUBLE) AS value, 0.0::DOUBLE AS tolerance FROM q UNION ALL SELECT 'mask_equal', CAST(m AS DOUBLE), 0.0 FROM q UNION ALL SELECT 'lat_equal', la, 1e-8 FROM q UNION ALL SELECT 'lon_equal', lo, 1e-8 FROM q)""",
     "grid_faults": f"WITH {_FAULTY} {series._GRID_TESTS.format(t='h')}",
     "thresholds_present": f"WITH RECURSIVE {base._MEMBERS}, e(threshold_c) AS (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.9::DOUBLE)) SELECT threshold_c, count(date) AS n_rows, count(date) > 0 AS present FROM e LEFT JOIN day USING (threshold_c) GROUP BY threshold_c",
@@ -254,3 +280,12 @@ ORACLES = {
         tz AS (SELECT series, sum((f - pf) * (s + ps) / 2) AS area FROM (SELECT series, f, s, lag(f) OVER w AS pf, lag(s) OVER w AS ps FROM sh WINDOW w AS (PARTITION BY series ORDER BY k)) GROUP BY series)
         SELECT series, k, round(1 / f / 365.25, 8) AS period_years, round(log10(greatest(p, 1e-6)), 5) AS log_psd, round(log10(greatest(s * variance / area, 1e-6)), 5) AS log_background FROM sh JOIN tz USING (series) JOIN vz USING (series)""",
 }
+
+_MONTHS = f"""WITH RECURSIVE {_DAY}, mm AS (SELECT threshold_c, CAST(year(date) * 12 + month(date) AS DOUBLE) AS x, {", ".join(f"avg({m} / {u}) AS {m}" for m, u in TRENDS.items())} FROM dm GROUP BY ALL),
+mo AS ({" UNION ALL ".join(f"SELECT CAST(threshold_c AS VARCHAR) || '/{m}' AS priority, x, {m} AS y FROM mm" for m in TRENDS)})"""
+_OF_KEY = "CAST(split_part(priority, '/', 1) AS DOUBLE) AS threshold_c, split_part(priority, '/', 2) AS metric"
+_head, _tail = ORACLES["trend_table"].replace(f"WITH {base._MONTHLY}", _MONTHS).rsplit("SELECT priority, CAST(n AS INTEGER) AS n,", 1)
+ORACLES["record_trends"] = f"""{_head}SELECT {_OF_KEY}, CAST(n AS INTEGER) AS n, {_LAGS} AS hac_maxlags, round(mean, 5) AS mean, round(10 * ts, 5) AS theil_sen_slope, round(10 * low, 5) AS low, round(10 * high, 5) AS high, round(ne, 5) AS effective_sample_size_residual, round(greatest(ne - 2, 1), 5) AS effective_degrees_of_freedom,
+        round(10 * b, 5) AS hac_slope, round(10 * sqrt(v) / sxx, 5) AS hac_se, round(b / (sqrt(v) / sxx), 5) AS hac_t, round(10 * (b - q * sqrt(v) / sxx), 5) AS hac_low, round(10 * (b + q * sqrt(v) / sxx), 5) AS hac_high, round(p, 5) AS hac_p FROM me{_tail.rsplit("FROM me", 1)[1]}"""
+ORACLES["record_lines"] = f"""{_MONTHS}, sl AS (SELECT a.priority, median((b.y - a.y) / (b.x - a.x)) AS slope FROM mo a JOIN mo b ON a.priority = b.priority AND a.x < b.x GROUP BY 1),
+        ic AS (SELECT priority, any_value(slope) AS slope, median(y) - any_value(slope) * median(x) AS ic FROM mo JOIN sl USING (priority) GROUP BY priority) SELECT {_OF_KEY}, x, round(y, 6) AS y, round(ic + slope * x, 4) AS fitted FROM mo JOIN ic USING (priority)"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, decomposition, labelling, regions, spectral, timeline, trends, wavelet
+from ..operators import checks, decomposition, labelling, quantiles, regions, spectral, timeline, trends, wavelet
 from ..sources import fields as src
 from . import catalogue as base
 
@@ -17,6 +17,7 @@ BANDS = [("weeks", 5.0, 9.0), ("month", 25.0, 35.0), ("season", 60.0, 130.0)]
 PERIODS = [("first", 1982, 1982), ("two years", 1982, 1983), ("later", 1990, 1999)]
 SEGMENT, OVERLAP = 256, 128
 KEY = ["series"]
+SHARES = (0.01, 0.5, 0.95)
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +95,19 @@ def record_check(spark: SparkSession, d: str) -> DataFrame:
     return checks.record_check(daily, ["event_type"], values=["value"])
 
 
+def exact_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the prices of the items by return flag: three groups that hold all rows."""
+    out = quantiles.quantiles(src.read_table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", SHARES)
+    return base._rounded(out, {"quantile": 4})
+
+
+def null_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Nulls, NaN among them, of each column of the events and of a day's sums by type, where a type has no value on a day."""
+    e = src.read_table(spark, d, "events").select("event_type", F.col("ts").cast("date").alias("date"), "value", F.when(F.col("value") > 50, F.col("value")).alias("large"))
+    daily = e.groupBy("event_type", "date").agg(F.sum("value").alias("value"), F.sum("large").alias("large"))
+    return checks.null_counts(daily, ["event_type"], ["date", "value", "large"])
+
+
 def grid_check(spark: SparkSession, d: str) -> DataFrame:
     return checks.grid_check(base._seen_grid(spark, d), base.N_LAT, base.N_LON)
 
@@ -109,7 +123,7 @@ def reference_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: base._dated(f) for f in (
     theil_sen_ci, acf, effective_sample_size, welch_bands, welch_summary, wavelet_power, wavelet_coi, wavelet_bands, stl_components, stl_amplitude, stl_summary,
-    definition_overlap, definition_period, record_check, grid_check, reference_reconcile,
+    definition_overlap, definition_period, record_check, exact_quantiles, null_counts, grid_check, reference_reconcile,
 )}
 
 _RHO = base._MONTHLY + """,
@@ -171,7 +185,11 @@ ORACLES = {
     "record_check": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS date, sum(value) AS value FROM events GROUP BY ALL), s AS (SELECT CAST(date_diff('day', min(date), max(date)) + 1 AS INTEGER) AS e FROM d)
         SELECT event_type, any_value(e) AS n_expected, any_value(e) - count(DISTINCT date) AS n_missing, count(*) FILTER (date IS NULL) AS n_outside, count(date) - count(DISTINCT date) AS n_repeated, count(*) FILTER (value IS NULL) AS n_null,
         any_value(e) = count(DISTINCT date) AND count(*) = count(value) AND count(date) = count(DISTINCT date) AND count(*) = count(date) AS complete FROM d, s GROUP BY event_type""",
-    "grid_check": f"WITH {base._CELLS} {_GRID_TESTS.format(t='sg')}",
+    "exact_quantiles": " UNION ALL ".join(f"SELECT l_returnflag, {q}::DOUBLE AS share, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, {q}), 4) AS quantile FROM lineitem GROUP BY l_returnflag" for q in SHARES),
+    "null_counts": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS date, sum(value) AS value, sum(value) FILTER (value > 50) AS large FROM events GROUP BY ALL),
+        l AS (SELECT event_type, 'date' AS "column", date IS NULL AS x FROM d UNION ALL SELECT event_type, 'value', value IS NULL OR isnan(value) FROM d UNION ALL SELECT event_type, 'large', large IS NULL OR isnan(large) FROM d)
+        SELECT event_type, "column", count(*) AS n_rows, count(*) FILTER (x) AS n_null FROM l GROUP BY ALL""",
+    "grid_check": f"WITH {base._CELLS} {_GRID_TESTS.format(t='seen')}",
     "dominant_period": f"WITH {_WELCH} SELECT series, round(first(1 / f ORDER BY p DESC, k), 6) AS dominant_period_days FROM psd GROUP BY series",
     "reference_reconcile": f"""WITH RECURSIVE {base._MEMBERS}, w AS (SELECT l.date, l.threshold_c, sum(g.area_km2) AS a FROM lcc l JOIN g USING (cell_id) GROUP BY ALL)
         SELECT 'lcc_area_two_ways' AS test, round(max(abs(top.area_km2 - w.a)), 2) AS value, round(0.0001 + 1e-11 * max(w.a), 3) AS tolerance, max(abs(top.area_km2 - w.a)) <= 0.0001 + 1e-11 * max(w.a) AS pass FROM top JOIN w USING (date, threshold_c)""",
