@@ -45,10 +45,10 @@ from .bpe import byte_alphabet
 from .common import table, written
 
 #: Bytes of text in a pack, and in a slice of it that is worked on at once.
-PACK_BYTES = 32 << 20
-SLICE_BYTES = 1 << 20
+PACK_BYTES = 24 << 20
+SLICE_BYTES = 1 << 19
 _DOC, _PAIRS = 0, 1
-_STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, times array<int>, a array<int>, b array<int>, docs array<int>, u_unit array<int>, u_pair array<int>, u_times array<int>"
+_STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, times array<int>, a array<int>, b array<int>, docs array<int>, u_unit array<int>, u_pair array<int>, u_times array<long>"
 _CUTS_SQL = """
 CREATE OR REPLACE TEMP TABLE cuts AS
     SELECT e, lag(e, 1, 0) OVER (ORDER BY e) AS s, CAST(sum(1) OVER (ORDER BY e) AS BIGINT) - 1 AS g
@@ -94,7 +94,7 @@ class Aligner:
         self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         self.splits = not any(x == "▁" and y != "▁" for p in pieces for y, x in zip(p, p[1:]))
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
 
     def tokens(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """(A ids, B ids, whether both spell the unit) of each unit; each begins with the space."""
@@ -162,7 +162,8 @@ class Pack:
         self.bad = [np.zeros(0, bool)]
         self.pairs: dict[int, int] = {}
         self.docs = np.zeros(0, np.int64)
-        self.links: list[np.ndarray] = [np.zeros((3, 0), np.int64)]  # unit, pair, times
+        self.links: list[np.ndarray] = [np.zeros((2, 0), np.int32)]  # unit, pair
+        self.times: list[np.ndarray] = [np.zeros(0, np.int64)]
 
     def add(self, units: list[bytes]) -> None:
         """Tokenize, group and link new units."""
@@ -206,7 +207,8 @@ class Pack:
         both, at = np.unique(unit << 32 | pair, return_inverse=True)  # a unit may hold a pair in several groups
         times = np.zeros(len(both), np.int64)
         np.add.at(times, at, linked["n"].to_numpy())
-        self.links.append(np.stack([both >> 32, both & 0xFFFFFFFF, times]))
+        self.links.append(np.stack([both >> 32, both & 0xFFFFFFFF]).astype(np.int32))
+        self.times.append(times)
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(sums of each document, digests, units, times, units of each document) of documents that begin with a space each."""
@@ -256,8 +258,8 @@ def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, offsets + np.arange(n + 1)
 
 
-def _list(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.astype(np.int32)))
+def _list(values: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.astype(kind)))
 
 
 def _packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -267,14 +269,15 @@ def _packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def rows(n: int, id_type: pa.DataType, **given) -> pa.RecordBatch:
         ints = pa.list_(pa.int32())
-        types = {"kind": pa.int32(), "id": id_type, "groups_sha256": pa.string(), **dict.fromkeys(names[8:], ints)}
+        types = {"kind": pa.int32(), "id": id_type, "groups_sha256": pa.string(), **dict.fromkeys(names[8:], ints), "u_times": pa.list_(pa.int64())}
         return pa.record_batch([given[x] if x in given else pa.nulls(n, types.get(x, pa.int64())) for x in names], names=names)
 
     def close(pack: Pack, number: int, id_type: pa.DataType) -> pa.RecordBatch:
         key = np.fromiter(pack.pairs, dtype=np.int64, count=len(pack.pairs))
-        whole = lambda x: _list(x, [len(x)])
-        unit, pair, times = pack.links[0] if len(pack.links) == 1 else np.concatenate(pack.links, axis=1)
-        return rows(1, id_type, kind=pa.array([_PAIRS], pa.int32()), pack=pa.array([number]), a=whole(key >> 32), b=whole(key & 0xFFFFFFFF), docs=whole(pack.docs), u_unit=whole(unit), u_pair=whole(pair), u_times=whole(times))
+        whole = lambda x, kind=np.int32: _list(x, [len(x)], kind)
+        unit, pair = np.concatenate(pack.links, axis=1)
+        times = np.concatenate(pack.times)
+        return rows(1, id_type, kind=pa.array([_PAIRS], pa.int32()), pack=pa.array([number]), a=whole(key >> 32), b=whole(key & 0xFFFFFFFF), docs=whole(pack.docs), u_unit=whole(unit), u_pair=whole(pair), u_times=whole(times, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = load(path_a, path_b)
@@ -291,11 +294,14 @@ def _packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     groups_sha256=pa.array(digests, pa.string()), units=_list(units, n), times=_list(times, n),
                 )
                 held += len(data)
+                T.trim()
                 if held >= PACK_BYTES:
                     yield close(pack, number, id_type)
                     number, pack, held = number + 1, None, 0
         if pack is not None:
             yield close(pack, number, id_type)
+        pack = None
+        T.trim()
 
     return docs.mapInArrow(run, _STORED.format(id=kind.simpleString()))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -96,3 +97,16 @@ def test_string_ids_are_carried(spark):
     df = spark.createDataFrame([("a", "one two"), ("b", None)], "key string, body string")
     got = {r["key"]: r["n_links"] for r in align.align(df, *PATHS, "key", "body")[0].collect()}
     assert got["b"] == 0 and got["a"] >= 2
+
+
+def test_a_group_of_very_many_links(monkeypatch):
+    """One group whose links are more than 32 bits can count."""
+    al, n = align.load(*PATHS), 70_000
+    a, b = [1] * (n - 1) + [2], [3] + [1] * (n - 1)  # ends of the two sides meet at the last byte only
+    monkeypatch.setattr(al, "tokens", lambda units: ([a], [b], np.array([True])))
+    monkeypatch.setattr(al, "len_a", np.array([0, 2, 3, 0]))
+    monkeypatch.setattr(al, "len_b", np.array([0, 2, 0, 3]))
+    pack = align.Pack(al)
+    pack.add([b"x" * (2 * n + 1)])
+    assert pack.stats[-1][0].tolist() == [n, n, 1, n * n]
+    assert sorted(pack.times[-1].tolist()) == sorted([(n - 1) * (n - 1), n - 1, n - 1, 1])
