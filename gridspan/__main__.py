@@ -38,6 +38,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--no-periods", action="store_true", help="no table of periods")
     p.add_argument("--rebuild-daily", action="store_true", help="do not use stored daily tables")
     p.add_argument("--rebuild-spatial", action="store_true", help="do not use the stored tables of cells")
+    p.add_argument("--check-inputs", action="store_true", help="build years anew whose fields have changed since they were stored")
     p.add_argument("--no-raw-maps", action="store_true", help="fail rather than read fields")
     p.add_argument("--refresh-provenance-only", action="store_true", help="check stored results, write metadata and manifest")
     p.add_argument("--derive-detachment-only", action="store_true", help="only the tables of detached cells, from stored counts")
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> None:
         out = queries[a.query](spark, a.data)
         out.write.mode("overwrite").parquet(a.output) if a.output else out.show(50, truncate=False)
         return
-    p = analysis.Project(spark, a.project_root, settings(a), a.no_raw_maps)
+    p = analysis.Project(spark, a.project_root, settings(a), a.no_raw_maps, a.check_inputs)
     if a.refresh_provenance_only:
         analysis.provenance(p, refresh=True)
     elif a.derive_detachment_only:

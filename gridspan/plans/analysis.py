@@ -64,6 +64,7 @@ class Project:
     root: str
     settings: Settings
     no_fields: bool = False
+    check_inputs: bool = False
 
     def __post_init__(self) -> None:
         self.grid_table = src.read_grid(self.spark, f"{self.root}/grid")
@@ -91,6 +92,10 @@ class Project:
             wanted = wanted | F.col("date").between(F.lit(f"{a:04d}-01-01").cast("date"), F.lit(f"{b:04d}-12-31").cast("date"))
         return self.fields().filter(wanted)
 
+    def digests(self) -> dict[int, str] | None:
+        """Digests of each year's fields, where stored years are to be held against them: one more pass over the fields."""
+        return products.year_digests(self.fields()) if self.check_inputs else None
+
     def daily(self, rebuild: bool = False) -> DataFrame:
         """Diagnostics by date and threshold; a day without a component at any threshold is an error."""
         s = self.settings
@@ -98,13 +103,13 @@ class Project:
         def build(years: list[int]) -> DataFrame:
             return labelling.daily_diagnostics(labelling.component_table(self.of_years(years), self.grid, s.thresholds))
 
-        table = products.yearly(self.spark, f"{self.root}/daily", build, s.start, s.end, rebuild)
+        table = products.yearly(self.spark, f"{self.root}/daily", build, s.start, s.end, rebuild, self.digests())
         labelling.require_components(table.select("date").distinct(), table, s.thresholds)  # of what was stored: fields are labelled once
         return checks.require_thresholds(table, s.thresholds)
 
     def definitions(self, rebuild: bool = False) -> DataFrame:
         s = self.settings
-        return products.yearly(self.spark, f"{self.root}/definitions", lambda years: regions.definition_daily(self.of_years(years), self.grid, s.box_threshold, s.box_lat, s.box_lon), s.start, s.end, rebuild)
+        return products.yearly(self.spark, f"{self.root}/definitions", lambda years: regions.definition_daily(self.of_years(years), self.grid, s.box_threshold, s.box_lat, s.box_lon), s.start, s.end, rebuild, self.digests())
 
     def cells(self, rebuild: bool = False) -> DataFrame:
         def build() -> DataFrame:

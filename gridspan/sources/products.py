@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_of, threshold_of
 from ..session import ship
+from . import versions
 
 PIECE = 1 << 20
 #: Bytes of a file that a task may hold whole, where a store gives no pieces.
@@ -26,16 +27,22 @@ CHECKSUMS = "relative_path string, bytes long, sha256 string"
 def write_csv(df: DataFrame, path: str, digits: int = 10) -> None:
     """A small table with a header, in one file; doubles with ``digits`` significant digits.
 
-    It is written beside ``path`` and put in its place when it is whole.
+    It is written beside ``path`` and put in its place when it is whole; what was
+    there before stays until then.
     """
     out = df.withColumns({c: F.when(F.col(c).isNull() | F.isnan(c), None).otherwise(F.format_string(f"%.{digits - 1}e", c)).cast("double") for c, t in df.dtypes if t == "double"})
     aside = f"{path}.{uuid.uuid4().hex}.tmp"
     out.coalesce(1).write.option("header", True).csv(aside)
     hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
+    before = hadoop(f"{path}.{uuid.uuid4().hex}.old")
+    had = fs.exists(hadoop(path)) and fs.rename(hadoop(path), before)
     if not fs.rename(hadoop(aside), hadoop(path)):
+        if had:
+            fs.rename(before, hadoop(path))
         raise OSError(f"{aside} could not be moved to {path}")
+    if had:
+        fs.delete(before, True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,27 +85,36 @@ def incomplete_years(done: DataFrame | None, spark: SparkSession, start: str, en
     return sorted(r["year"] for r in want.select("year").collect())  # a row a year
 
 
-def yearly(spark: SparkSession, path: str, build: Callable[[list[int]], DataFrame], start: str, end: str, rebuild: bool = False) -> DataFrame:
-    """A daily table stored by year; ``build(years)`` is called for the years that are absent or incomplete.
+def yearly(spark: SparkSession, path: str, build: Callable[[list[int]], DataFrame], start: str, end: str, rebuild: bool = False, digests: dict[int, str] | None = None) -> DataFrame:
+    """A daily table stored by year; ``build(years)`` is called for the years that are absent or incomplete, or whose input has another digest than when they were made.
 
-    Only those years' partitions are written anew, so a job that was cut off goes on where it stood.
+    Only those years are written, beside the ones in use, and take their place
+    by one rename, so a job that was cut off goes on where it stood and readers
+    never see half a year.
     """
-    done = spark.read.parquet(path) if exists(spark, path) and not rebuild else None
-    todo = incomplete_years(done, spark, start, end)
+    stored, want = versions.Years(spark, path), digests or {}
+    done = None if rebuild else stored.table()
+    todo = set(incomplete_years(done, spark, start, end))
+    if digests is not None:
+        todo |= {y for y in range(int(start[:4]), int(end[:4]) + 1) if stored.years.get(y, {}).get("digest") != want.get(y)}
     if todo:
-        rows = build(todo).withColumn("year", F.year("date"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
-    return spark.read.parquet(path).filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        stored.replace(lambda years: build(years).withColumn("year", F.year("date")), sorted(todo), want)
+    return stored.table().filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def year_digests(fields: DataFrame) -> dict[int, str]:
+    """A digest of the rows (date, values) of each year that does not depend on their order: one pass, a row for each year comes to the driver."""
+    mark = F.xxhash64("date", "values").cast("decimal(20,0)")
+    rows = fields.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("s"), F.bit_xor(F.xxhash64("values", "date")).alias("x"))
+    return {r["year"]: f"{r['n']}:{r['s']}:{r['x']}" for r in rows.collect()}
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], required: Iterable[str] = (), rebuild: bool = False) -> DataFrame:
-    """A stored table, built anew if it is absent, lacks a required column or ``rebuild`` is set."""
-    if not rebuild and exists(spark, path):
-        found = spark.read.parquet(path)
-        if set(required) <= set(found.columns):
-            return found
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """A stored table, built anew if it is absent, lacks a required column or ``rebuild`` is set; the old one stays in use until the new one is whole."""
+    found = None if rebuild else versions.read(spark, path)
+    if found is not None and set(required) <= set(found.columns):
+        return found
+    return versions.publish(build(), path)
 
 
 def flattened(df: DataFrame, keys: list[str], thresholds: Sequence[float], names: Sequence[str]) -> DataFrame:
