@@ -2,50 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..tables import forget, fresh_path, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own and any other an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        if not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        app, found = getattr(sc, "_gridspan_shared", (None, None))
-        if app != sc.applicationId:
-            found = "file://" + tempfile.mkdtemp(prefix="gridspan-")
-            sc._gridspan_shared = sc.applicationId, found
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, never used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage: a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` that nothing will read again."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["fold", "forget", "fresh_path", "shared_dir", "table", "text_bytes", "without", "written"]
 
 
 def fold(doc_id: Column, n: int) -> Column:

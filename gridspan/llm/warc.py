@@ -112,6 +112,10 @@ def _finish(fs: pafs.FileSystem, part: str, path: str) -> None:
     fs.move(part, path)
 
 
+#: Repeated payloads whose digests are broadcast at most, some 100 bytes each; more are joined by shuffle.
+BROADCAST_DIGESTS = 250_000
+
+
 def _roles(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataFrame:
     """Pages with payload, digest and, for payloads that occur more than once, the id of the response."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
@@ -122,6 +126,8 @@ def _roles(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataFr
     least = max(2, -(-pages.count() // 1000))
     hot = F.broadcast(twice.filter(F.col("n") >= least).select(F.col("digest").alias("hot_digest"), F.col("first").alias("hot_first")))
     cold = twice.filter(F.col("n") < least).select(F.col("digest").alias("key"), F.col("first").alias("cold_first"))
+    if cold.count() <= BROADCAST_DIGESTS:  # then no payload is shuffled
+        cold = F.broadcast(cold)
     p = p.join(hot, p["digest"] == hot["hot_digest"], "left")
     p = p.withColumn("key", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.concat(F.lit("!"), F.xxhash64("page_id", "url").cast("string"))))
     return p.join(cold, "key", "left").select("page_id", "url", "payload", "digest", F.coalesce("hot_first", "cold_first").alias("first"))
