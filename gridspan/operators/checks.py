@@ -31,11 +31,11 @@ def record_check(df: DataFrame, keys: list[str], start: str | None = None, end:
 
 
 def null_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, column, n_rows, n_null): nulls of each column by key, NaN among them, in one pass."""
+    """(keys, field, n_rows, n_null): nulls of each column by key, NaN among them, in one pass."""
     kinds = dict(df.dtypes)
     null = lambda c: F.col(c).isNull() | F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNull()
     got = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(null(c)).alias(f"_{k}") for k, c in enumerate(columns)))
-    return got.select(*keys, "n_rows", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_{k}").alias("n_null")) for k, c in enumerate(columns))))).select(*keys, "column", "n_rows", "n_null")
+    return got.select(*keys, "n_rows", F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"_{k}").alias("n_null")) for k, c in enumerate(columns))))).select(*keys, "field", "n_rows", "n_null")
 
 
 def grid_check(grid: DataFrame, n_lat: int, n_lon: int) -> DataFrame:

@@ -89,7 +89,7 @@ def metric_rolling_means(spark: SparkSession, d: str) -> DataFrame:
 def trend_table(spark: SparkSession, d: str) -> DataFrame:
     """Monthly means stand in for the annual ones, as the tables hold few years; slopes are by month."""
     out = trends.trend_table(base._monthly(spark, d), ["priority"], 1.0)
-    keep = {"mean": 2, "theil_sen_slope": 4, "low": 4, "high": 4, "intercept": 1, "effective_sample_size_residual": 4, "effective_degrees_of_freedom": 4, "hac_slope": 4, "hac_se": 4, "hac_t": 4, "relative_slope_pct": 6, "hac_low": 3, "hac_high": 3, "hac_p": 6}
+    keep = {"mean": 2, "theil_sen_slope": 4, "low": 4, "high": 4, "intercept": 1, "effective_sample_size_residual": 4, "effective_degrees_of_freedom": 4, "hac_slope": 4, "hac_se": 4, "hac_t": 4, "relative_slope_pct": 6, "hac_low": 1, "hac_high": 1, "hac_p": 6}
     return base._rounded(out.select("priority", "n", "hac_maxlags", *keep), keep)
 
 
@@ -108,7 +108,7 @@ def _record_months(spark: SparkSession, d: str) -> DataFrame:
 def record_trends(spark: SparkSession, d: str) -> DataFrame:
     """A trend row for each threshold and metric of the record."""
     out = trends.trend_table(_record_months(spark, d), ["threshold_c", "metric"], 10.0)
-    keep = {c: 5 for c in ("mean", "theil_sen_slope", "low", "high", "effective_sample_size_residual", "effective_degrees_of_freedom", "hac_slope", "hac_se", "hac_t", "hac_low", "hac_high", "hac_p")}
+    keep = {c: 5 for c in ("mean", "theil_sen_slope", "low", "high", "effective_sample_size_residual", "effective_degrees_of_freedom", "hac_slope", "hac_se", "hac_t", "hac_p")} | {"hac_low": 4, "hac_high": 4}
     return base._rounded(out.select("threshold_c", "metric", "n", "hac_maxlags", *keep), keep)
 
 
@@ -214,7 +214,7 @@ dm AS (SELECT date, threshold_c, total AS total_area_km2, big AS largest_compone
   2 * 6371.0088 * asin(sqrt(least(1, greatest(0, sin(radians(tlat - flat) / 2) ^ 2 + cos(radians(flat)) * cos(radians(tlat)) * sin(radians(tlon - flon) / 2) ^ 2)))) AS centroid_distance_km FROM ce)"""
 _FAULTY = base._CELLS + ", h AS (SELECT cell_id, i, j, CASE WHEN i = 4 THEN -5.0::DOUBLE ELSE lat END AS lat, lon, CASE WHEN cell_id = 5 THEN 0.0::DOUBLE ELSE area_km2 END AS area_km2 FROM seen WHERE cell_id <> 63)"
 _WIDE = ", ".join(f"CAST(max({c}) FILTER (threshold_c = {t}) AS {'INTEGER' if c == 'longest_run' else 'BIGINT'}) AS t0p{code}__{c}" for t, code in ((0.05, "05"), (0.1, "1"), (0.15, "15")) for c in ("n_lcc", "longest_run"))
-_CELLS_T = 40_000  # of the angle over which t's density is summed up
+_CELLS_T = 200_000  # of the angle over which t's density is summed up
 _LAGS, _LAGS_C = (f"CAST(greatest(1, floor(4 * ({n} / 100) ^ (2 / 9))) AS INTEGER)" for n in ("n", "c.n"))
 
 ORACLES = {
@@ -252,7 +252,7 @@ ORACLES = {
         dens AS (SELECT priority, df, abs(t) AS t, i, cos((i + 0.5) * pi() / 2 / {_CELLS_T}) ^ (df - 1) AS d FROM st, range({_CELLS_T}) q(i)),
         tail AS (SELECT priority, df, t, i, d / sum(d) OVER (PARTITION BY priority) AS d, 1 - sum(d) OVER (PARTITION BY priority ORDER BY i) / sum(d) OVER (PARTITION BY priority) AS beyond FROM dens),
         pq AS (SELECT priority, sum(d * greatest(0, least(1, i + 1 - atan(t / sqrt(df)) * 2 / pi() * {_CELLS_T}))) AS p, min(CASE WHEN beyond <= 0.05 AND beyond + d > 0.05 THEN sqrt(df) * tan((i + 1 - (0.05 - beyond) / d) * pi() / 2 / {_CELLS_T}) END) AS q FROM tail GROUP BY priority)
-        SELECT priority, CAST(n AS INTEGER) AS n, {_LAGS} AS hac_maxlags, round(b - q * sqrt(v) / sxx, 3) AS hac_low, round(b + q * sqrt(v) / sxx, 3) AS hac_high, round(p, 6) AS hac_p, round(mean, 2) AS mean, round(ts, 4) AS theil_sen_slope, round(low, 4) AS low, round(high, 4) AS high, round(ic, 1) AS intercept, round(ne, 4) AS effective_sample_size_residual,
+        SELECT priority, CAST(n AS INTEGER) AS n, {_LAGS} AS hac_maxlags, round(b - q * sqrt(v) / sxx, 1) AS hac_low, round(b + q * sqrt(v) / sxx, 1) AS hac_high, round(p, 6) AS hac_p, round(mean, 2) AS mean, round(ts, 4) AS theil_sen_slope, round(low, 4) AS low, round(high, 4) AS high, round(ic, 1) AS intercept, round(ne, 4) AS effective_sample_size_residual,
         round(greatest(ne - 2, 1), 4) AS effective_degrees_of_freedom, round(b, 4) AS hac_slope, round(sqrt(v) / sxx, 4) AS hac_se, round(b / (sqrt(v) / sxx), 4) AS hac_t, round(100 * ts / mean, 6) AS relative_slope_pct
         FROM me JOIN ols USING (priority) JOIN hac USING (priority) JOIN ne USING (priority) JOIN pq USING (priority)""",
     "fitted_lines": f"""WITH {base._MONTHLY}, sl AS (SELECT a.priority, median((b.y - a.y) / (b.x - a.x)) AS slope FROM mo a JOIN mo b ON a.priority = b.priority AND a.x < b.x GROUP BY 1),
@@ -286,6 +286,6 @@ mo AS ({" UNION ALL ".join(f"SELECT CAST(threshold_c AS VARCHAR) || '/{m}' AS pr
 _OF_KEY = "CAST(split_part(priority, '/', 1) AS DOUBLE) AS threshold_c, split_part(priority, '/', 2) AS metric"
 _head, _tail = ORACLES["trend_table"].replace(f"WITH {base._MONTHLY}", _MONTHS).rsplit("SELECT priority, CAST(n AS INTEGER) AS n,", 1)
 ORACLES["record_trends"] = f"""{_head}SELECT {_OF_KEY}, CAST(n AS INTEGER) AS n, {_LAGS} AS hac_maxlags, round(mean, 5) AS mean, round(10 * ts, 5) AS theil_sen_slope, round(10 * low, 5) AS low, round(10 * high, 5) AS high, round(ne, 5) AS effective_sample_size_residual, round(greatest(ne - 2, 1), 5) AS effective_degrees_of_freedom,
-        round(10 * b, 5) AS hac_slope, round(10 * sqrt(v) / sxx, 5) AS hac_se, round(b / (sqrt(v) / sxx), 5) AS hac_t, round(10 * (b - q * sqrt(v) / sxx), 5) AS hac_low, round(10 * (b + q * sqrt(v) / sxx), 5) AS hac_high, round(p, 5) AS hac_p FROM me{_tail.rsplit("FROM me", 1)[1]}"""
+        round(10 * b, 5) AS hac_slope, round(10 * sqrt(v) / sxx, 5) AS hac_se, round(b / (sqrt(v) / sxx), 5) AS hac_t, round(10 * (b - q * sqrt(v) / sxx), 4) AS hac_low, round(10 * (b + q * sqrt(v) / sxx), 4) AS hac_high, round(p, 5) AS hac_p FROM me{_tail.rsplit("FROM me", 1)[1]}"""
 ORACLES["record_lines"] = f"""{_MONTHS}, sl AS (SELECT a.priority, median((b.y - a.y) / (b.x - a.x)) AS slope FROM mo a JOIN mo b ON a.priority = b.priority AND a.x < b.x GROUP BY 1),
         ic AS (SELECT priority, any_value(slope) AS slope, median(y) - any_value(slope) * median(x) AS ic FROM mo JOIN sl USING (priority) GROUP BY priority) SELECT {_OF_KEY}, x, round(y, 6) AS y, round(ic + slope * x, 4) AS fitted FROM mo JOIN ic USING (priority)"""

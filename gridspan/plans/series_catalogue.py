@@ -187,8 +187,8 @@ ORACLES = {
         any_value(e) = count(DISTINCT date) AND count(*) = count(value) AND count(date) = count(DISTINCT date) AND count(*) = count(date) AS complete FROM d, s GROUP BY event_type""",
     "exact_quantiles": " UNION ALL ".join(f"SELECT l_returnflag, {q}::DOUBLE AS share, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, {q}), 4) AS quantile FROM lineitem GROUP BY l_returnflag" for q in SHARES),
     "null_counts": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS date, sum(value) AS value, sum(value) FILTER (value > 50) AS large FROM events GROUP BY ALL),
-        l AS (SELECT event_type, 'date' AS "column", date IS NULL AS x FROM d UNION ALL SELECT event_type, 'value', value IS NULL OR isnan(value) FROM d UNION ALL SELECT event_type, 'large', large IS NULL OR isnan(large) FROM d)
-        SELECT event_type, "column", count(*) AS n_rows, count(*) FILTER (x) AS n_null FROM l GROUP BY ALL""",
+        l AS (SELECT event_type, 'date' AS field, date IS NULL AS x FROM d UNION ALL SELECT event_type, 'value', value IS NULL OR isnan(value) FROM d UNION ALL SELECT event_type, 'large', large IS NULL OR isnan(large) FROM d)
+        SELECT event_type, field, count(*) AS n_rows, count(*) FILTER (x) AS n_null FROM l GROUP BY ALL""",
     "grid_check": f"WITH {base._CELLS} {_GRID_TESTS.format(t='seen')}",
     "dominant_period": f"WITH {_WELCH} SELECT series, round(first(1 / f ORDER BY p DESC, k), 6) AS dominant_period_days FROM psd GROUP BY series",
     "reference_reconcile": f"""WITH RECURSIVE {base._MEMBERS}, w AS (SELECT l.date, l.threshold_c, sum(g.area_km2) AS a FROM lcc l JOIN g USING (cell_id) GROUP BY ALL)
