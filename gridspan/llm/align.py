@@ -27,6 +27,7 @@ carried and may be null. Other columns are not read. Empty tables give none.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from collections.abc import Iterator
@@ -46,7 +47,9 @@ from .common import table, written
 
 #: Bytes of text in a pack, and in a slice of it that is worked on at once.
 PACK_BYTES = 24 << 20
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
+#: Documents of a pack that are summed up at once.
+ROWS = 1024
 _DOC, _PAIRS = 0, 1
 _STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, times array<int>, a array<int>, b array<int>, docs array<int>, u_unit array<int>, u_pair array<int>, u_times array<long>"
 _CUTS_SQL = """
@@ -151,6 +154,13 @@ def load(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def release() -> None:
+    """Give back what the tokenizers take."""
+    load.cache_clear()
+    gc.collect()
+    T.trim()
+
+
 class Pack:
     """What is known of the units and pairs of a pack."""
 
@@ -300,30 +310,36 @@ def _packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     number, pack, held = number + 1, None, 0
         if pack is not None:
             yield close(pack, number, id_type)
-        pack = None
-        T.trim()
+        pack = aligner = None
+        release()  # the stages that follow need no tokenizers, and their workers are these
 
     return docs.mapInArrow(run, _STORED.format(id=kind.simpleString()))
 
 
 def _totals(answers: pa.Table, stored: pa.Table) -> pa.Table:
-    """The documents of a pack with what their units' links have together."""
-    of = stored.filter(pa.compute.equal(stored["kind"], _PAIRS))
-    docs = stored.filter(pa.compute.equal(stored["kind"], _DOC))
-    unit, pair, times = (of[x].combine_chunks().flatten().to_numpy().astype(np.int64) for x in ("u_unit", "u_pair", "u_times"))
+    """The documents of a pack with what their units' links have together, some rows at a time."""
+    unit, pair, times = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for b in stored.to_batches():
+        row = pc.index(b.column("kind"), _PAIRS).as_py()
+        if row >= 0:
+            unit, pair, times = (b.column(x).slice(row, 1).flatten().to_numpy() for x in ("u_unit", "u_pair", "u_times"))
     at = answers["pos"].to_numpy()
     n = max(int(pair.max(initial=-1)), int(at.max(initial=-1))) + 1
-    count, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    count[at], best[at] = answers["count"].to_numpy(), answers["best"].to_numpy(zero_copy_only=False)
-    n_units = int(unit.max(initial=-1)) + 1
-    per_unit = np.zeros((n_units, 2), np.int64)
-    np.add.at(per_unit, unit, np.stack([times * best[pair], times * count[pair]], axis=1))
-    lists = docs["units"].combine_chunks()
-    first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py() if len(docs) else np.zeros(1, np.int64)
-    values, repeats = lists.flatten().to_numpy(), docs["times"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    sums = [T.sums(repeats * per_unit[values, k], first) for k in range(2)] if n_units else [np.zeros(len(docs), np.int64)] * 2
-    out = docs.select(["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
-    return out.append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
+    per_unit = np.zeros((int(unit.max(initial=-1)) + 1, 2), np.int64)
+    for k, name in enumerate(("best", "count")):
+        x = np.zeros(n, np.int64)
+        x[at] = answers[name].to_numpy()
+        np.add.at(per_unit[:, k], unit, times * x[pair])
+    out, own = [], ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    for b in stored.to_batches(max_chunksize=ROWS):
+        docs = b.select([*own, "units", "times"]).filter(pc.equal(b.column("kind"), _DOC))
+        lists = docs.column("units")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        values, repeats = lists.flatten().to_numpy(), docs.column("times").flatten().to_numpy()
+        sums = [T.sums(repeats * per_unit[values, k], first - first[0]) for k in range(2)]
+        out.append(pa.record_batch([*(docs.column(x) for x in own), *map(pa.array, sums)], names=[*own, "n_best", "count_sum"]))
+    T.trim()
+    return pa.Table.from_batches(out)
 
 
 def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
