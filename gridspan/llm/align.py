@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .bpe import byte_alphabet
 from .common import table, written
+from .packing import pack, unpack
 
 #: Bytes of text in a pack, and in a slice of it that is worked on at once.
 PACK_BYTES = 24 << 20
@@ -51,7 +52,7 @@ SLICE_BYTES = 1 << 20
 #: Documents of a pack that are summed up at once.
 ROWS = 1024
 _DOC, _PAIRS = 0, 1
-_STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, times array<int>, a array<int>, b array<int>, docs array<int>, u_unit array<int>, u_pair array<int>, u_times array<long>"
+_STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, a array<int>, b array<int>, docs array<int>, u_unit array<int>, u_pair array<int>, u_times array<long>"
 _CUTS_SQL = """
 CREATE OR REPLACE TEMP TABLE cuts AS
     SELECT e, lag(e, 1, 0) OVER (ORDER BY e) AS s, CAST(sum(1) OVER (ORDER BY e) AS BIGINT) - 1 AS g
@@ -272,6 +273,12 @@ def _list(values: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.L
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.astype(kind)))
 
 
+def _bundles(units: np.ndarray, times: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each document's units, which ascend, and how often it has them, as a small buffer; empty where it has none."""
+    ends = np.concatenate([[0], np.cumsum(n)]).tolist()
+    return [pack([np.diff(units[lo:hi], prepend=0), times[lo:hi]]) if hi > lo else b"" for lo, hi in zip(ends, ends[1:])]
+
+
 def _packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """A row for each document with its own sums and its units, and one for each pack with its pairs."""
     names = [x.strip().split(" ")[0] for x in _STORED.split(", ")]
@@ -279,38 +286,38 @@ def _packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def rows(n: int, id_type: pa.DataType, **given) -> pa.RecordBatch:
         ints = pa.list_(pa.int32())
-        types = {"kind": pa.int32(), "id": id_type, "groups_sha256": pa.string(), **dict.fromkeys(names[8:], ints), "u_times": pa.list_(pa.int64())}
+        types = {"kind": pa.int32(), "id": id_type, "groups_sha256": pa.string(), "units": pa.binary(), **dict.fromkeys(names[9:], ints), "u_times": pa.list_(pa.int64())}
         return pa.record_batch([given[x] if x in given else pa.nulls(n, types.get(x, pa.int64())) for x in names], names=names)
 
-    def close(pack: Pack, number: int, id_type: pa.DataType) -> pa.RecordBatch:
-        key = np.fromiter(pack.pairs, dtype=np.int64, count=len(pack.pairs))
+    def close(held: Pack, number: int, id_type: pa.DataType) -> pa.RecordBatch:
+        key = np.fromiter(held.pairs, dtype=np.int64, count=len(held.pairs))
         whole = lambda x, kind=np.int32: _list(x, [len(x)], kind)
-        unit, pair = np.concatenate(pack.links, axis=1)
-        times = np.concatenate(pack.times)
-        return rows(1, id_type, kind=pa.array([_PAIRS], pa.int32()), pack=pa.array([number]), a=whole(key >> 32), b=whole(key & 0xFFFFFFFF), docs=whole(pack.docs), u_unit=whole(unit), u_pair=whole(pair), u_times=whole(times, np.int64))
+        unit, pair = np.concatenate(held.links, axis=1)
+        times = np.concatenate(held.times)
+        return rows(1, id_type, kind=pa.array([_PAIRS], pa.int32()), pack=pa.array([number]), a=whole(key >> 32), b=whole(key & 0xFFFFFFFF), docs=whole(held.docs), u_unit=whole(unit), u_pair=whole(pair), u_times=whole(times, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = load(path_a, path_b)
-        number, pack, held = TaskContext.get().partitionId() << 24, None, 0
+        number, now, held = TaskContext.get().partitionId() << 24, None, 0
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             for lo, hi, data, offsets in T.chunks(batch, size=SLICE_BYTES):
-                pack = pack or Pack(aligner)
-                sums, digests, units, times, n = pack.slice(*_spaced(data, offsets))
+                now = now or Pack(aligner)
+                sums, digests, units, times, n = now.slice(*_spaced(data, offsets))
                 yield rows(
                     hi - lo, id_type, kind=pa.array(np.full(hi - lo, _DOC), pa.int32()), pack=pa.array(np.full(hi - lo, number)), id=batch.column(0).slice(lo, hi - lo),
                     n_a=pa.array(sums[:, 0]), n_b=pa.array(sums[:, 1]), n_groups=pa.array(sums[:, 2]), n_links=pa.array(sums[:, 3]),
-                    groups_sha256=pa.array(digests, pa.string()), units=_list(units, n), times=_list(times, n),
+                    groups_sha256=pa.array(digests, pa.string()), units=pa.array(_bundles(units, times, n), pa.binary()),
                 )
                 held += len(data)
                 T.trim()
                 if held >= PACK_BYTES:
-                    yield close(pack, number, id_type)
-                    number, pack, held = number + 1, None, 0
-        if pack is not None:
-            yield close(pack, number, id_type)
-        pack = aligner = None
+                    yield close(now, number, id_type)
+                    number, now, held = number + 1, None, 0
+        if now is not None:
+            yield close(now, number, id_type)
+        now = aligner = None
         release()  # the stages that follow need no tokenizers, and their workers are these
 
     return docs.mapInArrow(run, _STORED.format(id=kind.simpleString()))
@@ -332,12 +339,13 @@ def _totals(answers: pa.Table, stored: pa.Table) -> pa.Table:
         np.add.at(per_unit[:, k], unit, times * x[pair])
     out, own = [], ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     for b in stored.to_batches(max_chunksize=ROWS):
-        docs = b.select([*own, "units", "times"]).filter(pc.equal(b.column("kind"), _DOC))
-        lists = docs.column("units")
-        first = lists.offsets.to_numpy().astype(np.int64)
-        values, repeats = lists.flatten().to_numpy(), docs.column("times").flatten().to_numpy()
-        sums = [T.sums(repeats * per_unit[values, k], first - first[0]) for k in range(2)]
-        out.append(pa.record_batch([*(docs.column(x) for x in own), *map(pa.array, sums)], names=[*own, "n_best", "count_sum"]))
+        docs = b.select([*own, "units"]).filter(pc.equal(b.column("kind"), _DOC))
+        sums = np.zeros((docs.num_rows, 2), np.int64)
+        for row, bundle in enumerate(docs.column("units").to_pylist()):
+            if bundle:
+                steps, repeats = unpack(bundle)
+                sums[row] = (per_unit[np.cumsum(steps)] * repeats[:, None]).sum(axis=0)
+        out.append(pa.record_batch([*(docs.column(x) for x in own), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=[*own, "n_best", "count_sum"]))
     T.trim()
     return pa.Table.from_batches(out)
 
@@ -353,7 +361,7 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     highest = pairs.groupBy("a").agg(F.max("count").alias("highest"))
     pairs = pairs.join(highest, "a").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
     answers = each.drop("docs").join(pairs, ["a", "b"]).select(F.col("pack").alias("of_pack"), "pos", "count", "best")
-    held = stored.select("kind", "pack", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "times", "u_unit", "u_pair", "u_times")
+    held = stored.select("kind", "pack", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "u_unit", "u_pair", "u_times")
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
     out = answers.groupBy("of_pack").cogroup(held.groupBy("pack")).applyInArrow(_totals, schema)
     return out.withColumnRenamed("id", id_col), pairs
