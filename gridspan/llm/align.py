@@ -52,7 +52,7 @@ SLICE_BYTES = 1 << 20
 #: Documents of a pack that are summed up at once.
 ROWS = 1024
 _DOC, _PAIRS = 0, 1
-_STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, a array<int>, b array<int>, docs array<int>, u_unit array<int>, u_pair array<int>, u_times array<long>"
+_STORED = "kind int, pack long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, a array<int>, b array<int>, docs array<int>, links binary"
 _CUTS_SQL = """
 CREATE OR REPLACE TEMP TABLE cuts AS
     SELECT e, lag(e, 1, 0) OVER (ORDER BY e) AS s, CAST(sum(1) OVER (ORDER BY e) AS BIGINT) - 1 AS g
@@ -269,8 +269,8 @@ def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, offsets + np.arange(n + 1)
 
 
-def _list(values: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.ListArray:
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.astype(kind)))
+def _list(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.astype(np.int32)))
 
 
 def _bundles(units: np.ndarray, times: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -286,15 +286,15 @@ def _packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def rows(n: int, id_type: pa.DataType, **given) -> pa.RecordBatch:
         ints = pa.list_(pa.int32())
-        types = {"kind": pa.int32(), "id": id_type, "groups_sha256": pa.string(), "units": pa.binary(), **dict.fromkeys(names[9:], ints), "u_times": pa.list_(pa.int64())}
+        types = {"kind": pa.int32(), "id": id_type, "groups_sha256": pa.string(), "units": pa.binary(), "links": pa.binary(), **dict.fromkeys(("a", "b", "docs"), ints)}
         return pa.record_batch([given[x] if x in given else pa.nulls(n, types.get(x, pa.int64())) for x in names], names=names)
 
     def close(held: Pack, number: int, id_type: pa.DataType) -> pa.RecordBatch:
         key = np.fromiter(held.pairs, dtype=np.int64, count=len(held.pairs))
-        whole = lambda x, kind=np.int32: _list(x, [len(x)], kind)
+        whole = lambda x: _list(x, [len(x)])
         unit, pair = np.concatenate(held.links, axis=1)
         times = np.concatenate(held.times)
-        return rows(1, id_type, kind=pa.array([_PAIRS], pa.int32()), pack=pa.array([number]), a=whole(key >> 32), b=whole(key & 0xFFFFFFFF), docs=whole(held.docs), u_unit=whole(unit), u_pair=whole(pair), u_times=whole(times, np.int64))
+        return rows(1, id_type, kind=pa.array([_PAIRS], pa.int32()), pack=pa.array([number]), a=whole(key >> 32), b=whole(key & 0xFFFFFFFF), docs=whole(held.docs), links=pa.array([pack([np.diff(unit, prepend=0), pair, times])], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = load(path_a, path_b)
@@ -329,7 +329,8 @@ def _totals(answers: pa.Table, stored: pa.Table) -> pa.Table:
     for b in stored.to_batches():
         row = pc.index(b.column("kind"), _PAIRS).as_py()
         if row >= 0:
-            unit, pair, times = (b.column(x).slice(row, 1).flatten().to_numpy() for x in ("u_unit", "u_pair", "u_times"))
+            unit, pair, times = unpack(b.column("links")[row].as_py())
+            unit = np.cumsum(unit)
     at = answers["pos"].to_numpy()
     n = max(int(pair.max(initial=-1)), int(at.max(initial=-1))) + 1
     per_unit = np.zeros((int(unit.max(initial=-1)) + 1, 2), np.int64)
@@ -361,7 +362,7 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     highest = pairs.groupBy("a").agg(F.max("count").alias("highest"))
     pairs = pairs.join(highest, "a").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
     answers = each.drop("docs").join(pairs, ["a", "b"]).select(F.col("pack").alias("of_pack"), "pos", "count", "best")
-    held = stored.select("kind", "pack", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "u_unit", "u_pair", "u_times")
+    held = stored.select("kind", "pack", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "links")
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
     out = answers.groupBy("of_pack").cogroup(held.groupBy("pack")).applyInArrow(_totals, schema)
     return out.withColumnRenamed("id", id_col), pairs
